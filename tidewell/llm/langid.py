@@ -16,6 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -258,3 +259,20 @@ def language_id(docs: DataFrame, model: ByteGru | None = None, fit: dict | None
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+
+
+#: Pooled probability under which a document's language counts as unknown; far below what mixed texts get.
+LEAST_SCORE = 0.3
+
+
+def known_language(docs: DataFrame, least: float = LEAST_SCORE, model: ByteGru | None = None) -> DataFrame:
+    """The rows of docs, unchanged, whose text has a language with at least that score."""
+    if model is None:
+        model = train(training_sample(docs))
+
+    @F.pandas_udf("double")
+    def certainty(texts: pd.Series) -> pd.Series:
+        got = [g for at in range(0, len(texts), 512) for g in score_texts(model, list(texts.iloc[at : at + 512]))]
+        return pd.Series([0.0 if lang == "und" else score for lang, score in got], dtype=float)
+
+    return docs.where(certainty(F.col("text").cast("string")) >= least)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import langid, mixing, pack, parsing, quality, rules, secretscan, tokenbin, tokencount
+from tidewell.llm import langid, mixing, neardup, pack, parsing, quality, rules, secretscan, tokenbin, tokencount
 from tidewell.session import table
 
 
@@ -51,6 +51,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), tokencount.fresh_cache(spark))
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tokenbin.token_rows(table(spark, sf_dir, "documents"))
     return rows.select("sequence_id", "n_tokens", "n_segments", F.crc32("ids").alias("ids_crc32"), "cu_seqlens", "position_resets", "doc_ids", "starts")
@@ -85,5 +89,20 @@ def op1_sql() -> str:
     FROM whole JOIN d USING (rid)"""
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_document_fingerprints, op3_quality_classifier, op4_language_id, op5_source_mixing, op6_best_fit_packing, op7_quality_rules, op8_token_counts, op10_token_binary)}
-ORACLE = {"op1_secret_scans": op1_sql()}
+def op9_sql() -> str:
+    """The same by brute force: all pairs that share a shingle, and their least reachable ids."""
+    return """
+    WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+    s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+            ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM d),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+    e AS (SELECT a, b FROM p JOIN n na ON a = na.doc_id JOIN n nb ON b = nb.doc_id WHERE 100 * shared >= 75 * (na.n + nb.n - shared)),
+    r(x, y) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.x, e.b FROM r JOIN e ON r.y = e.a),
+    c AS (SELECT x, min(y) AS component_id FROM r GROUP BY x)
+    SELECT cast(d.doc_id AS BIGINT) AS doc_id, cast(coalesce(n.n, 0) AS BIGINT) AS n_shingles, cast(c.component_id AS BIGINT) AS component_id, c.component_id = d.doc_id AS kept
+    FROM d LEFT JOIN n ON d.doc_id = n.doc_id JOIN c ON c.x = d.doc_id"""
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_document_fingerprints, op3_quality_classifier, op4_language_id, op5_source_mixing, op6_best_fit_packing, op7_quality_rules, op8_token_counts, op9_minhash_near_dedup, op10_token_binary)}
+ORACLE = {"op1_secret_scans": op1_sql(), "op9_minhash_near_dedup": op9_sql()}
