@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from tidewell.plans import analytics, extras, graphs, memory, search, streams, texts  # noqa: F401  (each registers its queries)
+from tidewell.plans.registry import ORACLE, QUERIES
 
 
 def queries() -> dict:
