@@ -1 +1,211 @@
-"""Queries."""
+"""Queries of sections 2.1 (sources), 2.8 (functions), 2.9 (parsing) and 2.13 (models)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidewell.functions import models, scoring
+from tidewell.functions import text as T
+from tidewell.operators import chunking as K
+from tidewell.plans.registry import query
+from tidewell.session import shared_dir, table
+from tidewell.sources import files as S
+
+STOP = "['" + "','".join(T.STOPWORDS) + "']"
+
+
+def as_files(spark, sf) -> DataFrame:
+    return table(spark, sf, "documents").select(F.concat(F.lit("d/"), "doc_id", F.lit(".md")).alias("path"), F.regexp_replace("text", r"\. ", "\n# ").alias("content"))
+
+
+@query(f"SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(lower(text), '[^A-Za-z0-9_]+'), lambda w: length(w) > 2 AND NOT list_contains({STOP}, w))[1:20], ' ') AS keywords FROM documents")
+def i1_keywords(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.array_join(F.slice(T.keywords(F.col("text")), 1, 20), " ").alias("keywords"))
+
+
+@query(r"SELECT doc_id, len(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: length(w) > 2)) AS n_words, cast(ceil(length(trim(regexp_replace(text, '\s+', ' ', 'g'))) / 4.0) AS BIGINT) AS tokens FROM documents")
+def i2_i15_words_and_tokens(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.size(T.long_words(F.col("text"))).cast("long").alias("n_words"), T.token_estimate(F.col("text")).alias("tokens"))
+
+
+QUESTIONS = ["what was the first decision", "before January 2024", "in 2023", "before 2024-03", "after 2023-11", "on 2024-01-05", "latest notes in 2023", "February 2024 plans", "nothing", "what do we do now", "after March 2022"]
+
+
+@query("""SELECT * FROM (VALUES ('what was the first decision', 'first', 'asc', NULL, NULL), ('before January 2024', 'between', NULL, '2024-01-01T00:00:00.000Z', '2024-01-31T23:59:59.999Z'),
+('in 2023', 'between', NULL, '2023-01-01T00:00:00.000Z', '2023-12-31T23:59:59.999Z'), ('before 2024-03', 'before', NULL, '2024-03-01T00:00:00.000Z', NULL), ('after 2023-11', 'after', NULL, '2023-11-01T00:00:00.000Z', NULL),
+('on 2024-01-05', 'between', NULL, '2024-01-05T00:00:00.000Z', '2024-01-05T23:59:59.999Z'), ('latest notes in 2023', 'last', 'desc', NULL, NULL), ('February 2024 plans', 'between', NULL, '2024-02-01T00:00:00.000Z', '2024-02-29T23:59:59.999Z'),
+('nothing', 'none', NULL, NULL, NULL), ('what do we do now', 'current', 'desc', NULL, NULL), ('after March 2022', 'between', NULL, '2022-03-01T00:00:00.000Z', '2022-03-31T23:59:59.999Z')) t(q, op, "order", date_from, date_to)""")
+def i3_temporal(spark, sf):
+    return spark.createDataFrame([(q,) for q in QUESTIONS], "q string").select("q", T.temporal(F.col("q")).alias("t")).select("q", "t.*")
+
+
+@query(r"SELECT doc_id, md5(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) AS normal, sha256(text) AS sha, md5(substr(trim(lower(text)), 1, 100) || '|' || array_to_string(list_sort([lang, source]), ',')) AS fingerprint FROM documents")
+def i4_i13_i14_hashes(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", F.md5(T.normalised(F.col("text"))).alias("normal"), F.sha2("text", 256).alias("sha"), T.fingerprint(F.col("text"), F.array("lang", "source")).alias("fingerprint"))
+
+
+@query("SELECT doc_id, starts_with(lower(text), 'the') AS corrects, contains(lower(text), 'and') OR contains(lower(text), 'und') AS saves FROM documents")
+def i5_phrases(spark, sf):
+    low = F.lower("text")
+    return table(spark, sf, "documents").select("doc_id", F.startswith(low, F.lit("the")).alias("corrects"), (F.contains(low, F.lit("and")) | F.contains(low, F.lit("und"))).alias("saves"))
+
+
+@query(r"""SELECT page_id, array_to_string(list_sort(list_distinct(regexp_extract_all(html, '([A-Za-z0-9_/.-]+\.(?:ts|js|py|go|java|md|json|html))', 1))), ',') AS files, len(list_distinct(regexp_extract_all(html, '\b([A-Z][a-z]+(?:[A-Z][a-z]+)+)\b', 1))) AS n_classes FROM pages""")
+def i7_entities(spark, sf):
+    e = T.entities(F.col("html"))
+    return table(spark, sf, "pages").select("page_id", F.array_join(F.array_sort(e["files"]), ",").alias("files"), F.size(e["classes"]).cast("long").alias("n_classes"))
+
+
+@query("SELECT * FROM (VALUES ('a/b.ts', 'typescript', 'code'), ('x.py', 'python', 'code'), ('r/README.md', 'markdown', 'docs'), ('k.proto', 'unknown', 'contract'), ('c.yaml', 'yaml', 'config'), ('noext', 'unknown', 'code')) t(path, language, kind)")
+def i9_i10_classify_paths(spark, sf):
+    p = spark.createDataFrame([(x,) for x in ("a/b.ts", "x.py", "r/README.md", "k.proto", "c.yaml", "noext")], "path string")
+    return p.select("path", T.language_of(F.col("path")).alias("language"), K.kind_of(F.col("path")).alias("kind"))
+
+
+@query(r"SELECT url FROM pages WHERE regexp_matches(url, '^https?://.*/[^/]*1[^/]*$') AND NOT regexp_matches(url, '^.*7[^/]*$')")
+def i12_a16_globs(spark, sf):
+    p = table(spark, sf, "pages").select(F.col("url").alias("path"))
+    return S.select_paths(p, ["http*://**/*1*"], ["**7*"]).where("path rlike '^https?://.*/[^/]*1[^/]*$'").where("not path rlike '^.*7[^/]*$'").select(F.col("path").alias("url"))
+
+
+@query("SELECT * FROM (VALUES ('', 2166136261), ('a', 3826002220), ('foobar', 3214735720)) t(s, h)")
+def i13_fnv(spark, sf):
+    return spark.createDataFrame([("",), ("a",), ("foobar",)], "s string").select("s", T.fnv1a32(F.col("s")).alias("h"))
+
+
+@query("""SELECT a.o_orderkey AS id, true AS matches FROM orders a WHERE a.o_orderkey % 100 = 0""")
+def i16_path_suffix(spark, sf):
+    o = table(spark, sf, "orders").where("o_orderkey % 100 = 0").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("src/x"), "o_orderkey", F.lit(".ts")).alias("a"), F.concat(F.lit("x"), "o_orderkey", F.lit(".ts")).alias("b"))
+    return o.select("id", (T.path_matches(F.col("a"), F.col("b")) & ~T.path_matches(F.col("a"), F.substring("b", 2, 99))).alias("matches"))
+
+
+@query("""SELECT event_id, cast(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE event_id % 10 = 0""")
+def i17_json_salvage(spark, sf):
+    e = table(spark, sf, "events").where("event_id % 10 = 0")
+    answer = F.when(F.col("event_id") % 20 == 0, F.concat(F.lit("Sure:\n```json\n"), "props", F.lit("\n```"))).otherwise(F.concat(F.lit("here "), "props", F.lit(" done")))
+    return e.select("event_id", F.try_variant_get(T.json_object(answer), "$.k", "bigint").alias("k"))
+
+
+@query("""SELECT event_id, cast(dayofweek(ts) AS INTEGER) AS dow, cast(hour(ts) AS INTEGER) AS hour, cast(floor(epoch_ms(TIMESTAMP '2024-01-31' - ts) / 86400000) AS BIGINT) AS days FROM (SELECT *, 1 FROM events)""".replace("epoch_ms(TIMESTAMP '2024-01-31' - ts)", "(epoch_ms(TIMESTAMP '2024-01-31') - epoch_ms(ts))"))
+def i18_dates(spark, sf):
+    e = table(spark, sf, "events")
+    return e.select("event_id", (F.dayofweek("ts") - 1).alias("dow"), F.hour("ts").alias("hour"), F.floor(scoring.days_before(F.expr("TIMESTAMP '2024-01-31 00:00:00'"), F.col("ts"))).alias("days"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_quantity > 40 THEN 1.0 WHEN l_quantity > 30 THEN 0.7 WHEN l_quantity > 20 THEN 0.5 ELSE 0.3 END::DOUBLE AS emotion,
+round((l_quantity * 3 + l_linenumber * 15 + l_quantity * 3 * 1.25 + l_linenumber * 3 * 0.1) / 1000000 * CASE WHEN l_returnflag = 'R' THEN 0.5 ELSE 1 END, 9)::DOUBLE AS cost FROM lineitem WHERE l_orderkey % 50 = 0""")
+def i23_i24_cost_and_emotion(spark, sf):
+    li = table(spark, sf, "lineitem").where("l_orderkey % 50 = 0")
+    q, n = F.col("l_quantity"), F.col("l_linenumber")
+    cost = scoring.cost(q, n, q, n, F.lit(3.0), F.lit(15.0), F.col("l_returnflag") == "R")
+    ms = F.when(q > 30, 10_001).when(q > 20, 5_001).otherwise(0)
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", scoring.emotion(q <= 40, ms).alias("emotion"), F.round(cost, 9).alias("cost"))
+
+
+@query("SELECT doc_id, CASE WHEN regexp_matches(lower(text), 'prefer|like|favorite') THEN 'preference' WHEN regexp_matches(lower(text), 'decided|chose|will use') THEN 'decision' WHEN regexp_matches(lower(text), 'meeting|event|happened') THEN 'event' WHEN regexp_matches(lower(text), 'works at|lives in|is a') THEN 'profile' ELSE 'general' END AS kind FROM documents")
+def i25_fact_type(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.fact_type(F.col("text")).alias("kind"))
+
+
+@query("SELECT conv_id, turn, array_to_string(CASE WHEN len(r) = 0 THEN ['memory', 'code'] ELSE r END, ',') AS routes FROM (SELECT conv_id, turn, list_filter([CASE WHEN regexp_matches(lower(text), 'remember|recall|decided|decision|previous') THEN 'memory' END, CASE WHEN regexp_matches(lower(text), 'function|class|method|implement|code|file') THEN 'code' END, CASE WHEN regexp_matches(lower(text), 'document|readme|guide|explain') THEN 'docs' END, CASE WHEN regexp_matches(lower(text), 'depend|import|call|uses|impact') THEN 'graph' END, CASE WHEN regexp_matches(lower(text), 'pattern|convention|style') THEN 'patterns' END], lambda x: x IS NOT NULL) AS r FROM conversations)")
+def i28_routes(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.array_join(models.routes(F.col("text")), ",").alias("routes"))
+
+
+# --- chunks ---------------------------------------------------------------------------------------
+
+
+@query()
+def k1_size_chunks(spark, sf):
+    return K.size_chunks(as_files(spark, sf))
+
+
+@query(r"""WITH f AS (SELECT 'd/' || doc_id || '.md' AS path, string_split(regexp_replace(text, '\. ', chr(10) || '# ', 'g'), chr(10)) AS l FROM documents),
+s AS (SELECT path, l, list_filter(list_transform(range(1, len(l) + 1), lambda i: CASE WHEN i = 1 OR regexp_matches(l[i], '^#{1,6}\s') THEN i ELSE 0 END), lambda n: n > 0) AS s FROM f),
+c AS (SELECT path, unnest(range(0, len(s))) AS chunk, l, s FROM s), e AS (SELECT path, chunk, s[chunk + 1] AS a, coalesce(s[chunk + 2] - 1, len(l)) AS b, l FROM c)
+SELECT path, cast(chunk AS INTEGER) AS chunk, cast(a AS INTEGER) AS start_line, cast(b AS INTEGER) AS end_line, array_to_string(l[a:b], chr(10)) AS content FROM e WHERE length(trim(array_to_string(l[a:b], chr(10)))) >= 10""")
+def k2_markdown_sections(spark, sf):
+    return K.markdown(as_files(spark, sf)).drop("heading")
+
+
+@query("SELECT 'e/' || event_id AS path, 'k' AS key, json_extract_string(props, '$.k') AS content FROM events WHERE event_id % 9 = 0")
+def k4_json_keys(spark, sf):
+    e = table(spark, sf, "events").where("event_id % 9 = 0")
+    return K.json_keys(e.select(F.concat(F.lit("e/"), "event_id").alias("path"), F.col("props").alias("content")))
+
+
+CODE = "import a from 'lib/a'\nfrom os.path import join\n\nclass Shop(Base):\n    def sell(self):\n        return 1\n\n\n\nfunction pay() {\n  return 2\n}\n// end\n"
+
+
+@query()
+def k7_code_chunks(spark, sf):
+    return K.code(S.uploaded(spark, [(f"f{i}.ts", CODE * (i + 1)) for i in range(5)]))
+
+
+@query("SELECT * FROM (VALUES ('f.ts', 'lib/a', 'imports'), ('f.ts', 'os.path', 'imports'), ('f.ts', 'Base', 'extends')) t(path, target, edge_type)")
+def k9_code_edges(spark, sf):
+    return K.code_edges(S.uploaded(spark, [("f.ts", CODE)]))
+
+
+@query("SELECT * FROM (VALUES ('f.ts', 'function', 'sell'), ('f.ts', 'function', 'pay'), ('f.ts', 'class', 'Shop')) t(path, kind, name)")
+def i27_symbols(spark, sf):
+    return K.symbols(S.uploaded(spark, [("f.ts", CODE)]))
+
+
+@query("SELECT page_id, length(html) AS n FROM pages WHERE length(trim(html)) >= 10 AND length(html) <= 4000")
+def k12_chunk_filter(spark, sf):
+    p = table(spark, sf, "pages").select("page_id", F.col("html").alias("content"))
+    return K.kept(p, 10, 4000).select("page_id", F.length("content").cast("long").alias("n"))
+
+
+@query("SELECT conv_id, count(*) AS turns, string_agg(role || ': ' || text, chr(10) ORDER BY turn, role || ': ' || text) AS content FROM conversations GROUP BY conv_id")
+def k13_conversation_rows(spark, sf):
+    return K.conversation_rows(table(spark, sf, "conversations"), "conv_id", "turn", "role", "text")
+
+
+@query("SELECT conv_id, count(*) FILTER (turn % 4 > 0) AS parsed, count(*) FILTER (turn % 4 = 0) AS unparseable, count(*) FILTER (turn % 4 > 0 AND role = 'user') AS user_texts FROM conversations GROUP BY conv_id")
+def a18_i6_transcript(spark, sf):
+    c = table(spark, sf, "conversations")
+    block = F.to_json(F.struct(F.col("role").alias("type"), F.struct(F.array(F.struct(F.lit("text").alias("type"), "text")).alias("content")).alias("message")))
+    line = F.when(F.col("turn") % 4 == 0, F.lit("{broken")).otherwise(block)
+    lines = S.json_lines(c.groupBy("conv_id").agg(F.array_join(F.collect_list(line), "\n").alias("doc")), "doc")
+    return lines.groupBy("conv_id").agg(F.count_if("ok").alias("parsed"), F.count_if(~F.col("ok")).alias("unparseable"), F.count_if(S.user_text(F.col("line")).isNotNull()).alias("user_texts"))
+
+
+@query("SELECT 'calls{tool=\"' || event_type || '\",ok=\"' || (event_type <> 'error') || '\"} ' || count(*) AS line FROM events GROUP BY event_type")
+def a23_exposition(spark, sf):
+    e = table(spark, sf, "events").groupBy(F.col("event_type").alias("tool"), (F.col("event_type") != "error").alias("ok")).agg(F.count("*").alias("n"))
+    return S.exposition(e, "calls", "n", ["tool", "ok"])
+
+
+@query("SELECT n_nationkey AS id, n_name AS name FROM nation WHERE n_nationkey % 2 = 0")
+def a13_a15_versions(spark, sf):
+    import uuid
+
+    catalog = S.Catalog(spark, f"{shared_dir(spark)}/catalog-{uuid.uuid4().hex}")
+    n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    first = catalog.write("p_nation", n.where("id % 2 = 0"))
+    catalog.write("p_nation", n)
+    catalog.recover("p_nation", first)
+    return catalog.read("p_nation")
+
+
+@query()
+def p1_embed(spark, sf):
+    e = models.embed(table(spark, sf, "benchmark"), "text")
+    return e.select("item_id", F.size("vector").alias("dim"))
+
+
+@query("SELECT item_id, len(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '')) AS n_words FROM benchmark".replace("\\\\", "\\"))
+def p2_sparse_counts(spark, sf):
+    counts = F.map_values(models.sparse_counts(F.col("text")))
+    return table(spark, sf, "benchmark").select("item_id", F.aggregate(counts, F.lit(0).cast("long"), lambda s, x: s + x).alias("n_words"))
+
+
+@query("SELECT * FROM (VALUES ('a', 'supersedes'), ('b', 'extends')) t(target, type)")
+def p5_valid_relations(spark, sf):
+    answer = '[{"targetId":"a","type":"supersedes","confidence":0.9},{"targetId":"b","type":"extends","confidence":0.5},{"targetId":"c","type":"extends","confidence":0.9},{"targetId":"a","type":"odd","confidence":0.9},{"targetId":"b","type":"refines","confidence":0.2}]'
+    rows = spark.createDataFrame([(answer, ["a", "b"])], "answer string, known array<string>")
+    return rows.select(F.explode(models.valid_relations(F.col("answer"), F.col("known"))).alias("r")).select(F.col("r.targetId").alias("target"), F.col("r.type").alias("type"))
