@@ -1 +1,137 @@
-"""Queries."""
+"""Queries of section 2.12; streams over the events table, and the batch twins that SQL can check."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidewell.functions import scoring
+from tidewell.plans.registry import query
+from tidewell.session import shared_dir, table
+from tidewell.streaming import stateful as J
+
+TABLE = {"error": 0.6, "purchase": 0.85, "signup": 0.7, "click": 0.2}
+
+
+def events(spark, sf) -> DataFrame:
+    return table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def stream(spark, sf, parts: int = 4) -> DataFrame:
+    """The events table as a stream of several batches in order of time, written below the shared folder."""
+    path = f"{shared_dir(spark)}/events-{uuid.uuid4().hex}"
+    rows = events(spark, sf)
+    at = F.unix_micros("ts")
+    cuts = rows.agg(F.percentile_approx(at, [i / parts for i in range(1, parts)])).first()[0] or []
+    bounds = [None, *cuts, None]
+    for low, high in zip(bounds[:-1], bounds[1:], strict=True):  # a file source takes files in order of their age
+        part = rows if low is None else rows.where(at > low)
+        (part if high is None else part.where(at <= high)).coalesce(1).write.mode("append").parquet(path)
+    return J.replay(spark, path, rows.schema)
+
+
+def gathered(spark, df: DataFrame, mode: str = "append") -> DataFrame:
+    name = f"s_{uuid.uuid4().hex}"
+    return J.run_to_memory(df, name, mode, f"{shared_dir(spark)}/{name}")
+
+
+SAL = "CASE WHEN event_type = 'error' THEN 0.9 WHEN event_type = 'purchase' THEN 0.85 WHEN event_type = 'signup' THEN 0.7 WHEN event_type = 'click' THEN 0.2 ELSE 0.3 END"
+
+
+@query("SELECT event_id, user_id FROM events")
+def j1_append_log(spark, sf):
+    at = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"
+    J.append_log(stream(spark, sf).select("event_id", "user_id"), at, at + "-checkpoint").awaitTermination()
+    return spark.read.parquet(at)
+
+
+@query("SELECT event_id FROM events WHERE user_id = 1 AND ts >= TIMESTAMP '2024-01-10' ORDER BY ts, event_id LIMIT 20")
+def j2_read_since(spark, sf):
+    e = events(spark, sf).where("user_id = 1 and ts >= timestamp '2024-01-10'")
+    return e.orderBy("ts", "event_id").limit(20).select("event_id")
+
+
+@query(f"SELECT event_id, ({SAL})::DOUBLE AS salience FROM events WHERE {SAL} >= 0.5")
+def j3_attention_stream(spark, sf):
+    return gathered(spark, J.attended(stream(spark, sf), "event_type", F.col("event_type") != "error", 0.5, TABLE).select("event_id", "salience"))
+
+
+def slots_input(df: DataFrame) -> DataFrame:
+    rows = J.attended(df, "event_type", F.col("event_type") != "error", 0.1, TABLE)
+    return rows.select(F.col("user_id").alias("session"), "event_id", "ts", F.concat_ws(":", "event_type", (F.col("value") / 10).cast("int")).alias("fingerprint"), "salience", scoring.emotion(F.col("event_type") != "error", F.col("value") * 100).alias("emotion"))
+
+
+@query()
+def j4_working_memory(spark, sf):
+    return J.working_memory(slots_input(events(spark, sf)))
+
+
+@query()
+def j4_working_memory_stream(spark, sf):
+    return gathered(spark, J.working_memory(slots_input(stream(spark, sf))), "update")
+
+
+@query("""WITH g AS (SELECT *, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 2 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS sid FROM g) SELECT user_id, epoch_us(min(ts)) AS started, epoch_us(max(ts) + INTERVAL 2 HOUR) AS ended, count(*) AS n FROM s GROUP BY user_id, sid""")
+def j5_sessions(spark, sf):
+    s = J.sessions(events(spark, sf), "user_id", "ts")
+    return s.select("user_id", F.unix_micros("started").alias("started"), F.unix_micros("ended").alias("ended"), "n")
+
+
+@query("SELECT user_id, arg_max(event_id, ts) AS last_event FROM events WHERE ts >= TIMESTAMP '2024-01-29' GROUP BY user_id")
+def j6_latest_session(spark, sf):
+    return events(spark, sf).where("ts >= timestamp '2024-01-29'").groupBy("user_id").agg(F.max_by("event_id", "ts").alias("last_event"))
+
+
+@query("SELECT user_id, array_to_string(list(event_id ORDER BY ts DESC, event_id DESC)[1:20], ',') AS last_events FROM events GROUP BY user_id")
+def j7_bounded_arrays(spark, sf):
+    from tidewell.operators.memory import tail
+
+    rows = tail(events(spark, sf), ["user_id"], ["ts", "event_id"], 20)  # bounded before it is gathered
+    last = F.reverse(F.array_sort(F.collect_list(F.struct("ts", "event_id"))))
+    return rows.groupBy("user_id").agg(F.array_join(F.transform(last, lambda x: x["event_id"]), ",").alias("last_events"))
+
+
+@query()
+def j8_rate_limiter(spark, sf):
+    e = events(spark, sf).select(F.col("user_id").alias("key"), "event_id", "ts")
+    return J.limit_rate(e, 3, 7200)
+
+
+@query()
+def j8_rate_limiter_stream(spark, sf):
+    e = stream(spark, sf).select(F.col("user_id").alias("key"), "event_id", "ts")
+    return gathered(spark, J.limit_rate(e, 3, 7200))
+
+
+@query("SELECT user_id, event_type FROM events GROUP BY ALL")
+def j9_claim_once(spark, sf):
+    rows = stream(spark, sf).select("user_id", "event_type", "ts")
+    return gathered(spark, J.once(rows, ["user_id", "event_type"], "ts", "60 days").select("user_id", "event_type"))
+
+
+@query("""WITH g AS (SELECT *, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS sid FROM g) SELECT user_id, epoch_us(min(ts)) AS at, arg_max(event_type, ts) AS kind, count(*) AS n FROM s GROUP BY user_id, sid""")
+def j10_debounce(spark, sf):
+    d = J.debounced(events(spark, sf), "user_id", "ts", "event_type", "30 minutes")
+    return d.select("user_id", F.unix_micros("at").alias("at"), "kind", "n")
+
+
+@query("WITH d AS (SELECT DISTINCT l_orderkey AS e, l_suppkey AS s FROM lineitem WHERE l_orderkey % 4 = 0) SELECT x.s AS a, y.s AS b, count(*) AS n FROM d x JOIN d y USING (e) WHERE x.s < y.s GROUP BY ALL")
+def j11_co_recall_counts(spark, sf):
+    rows = table(spark, sf, "lineitem").where("l_orderkey % 4 = 0").groupBy("l_orderkey").agg(F.collect_set("l_suppkey").alias("items"))
+    return J.co_recall_counts(rows, "l_orderkey", "items")
+
+
+@query("SELECT epoch_us(date_trunc('hour', ts)) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def j17_hourly_stream(spark, sf):
+    w = J.tumbling(stream(spark, sf), "ts", "1 hour", "event_type")
+    return gathered(spark, w, "complete").select(F.unix_micros("start").alias("start"), "event_type", "n")
+
+
+@query("""SELECT epoch_us(date_trunc('hour', ts) - (i * 3600) * INTERVAL 1 SECOND) AS start, count(*) AS n FROM events, (SELECT unnest([0, 1]) AS i) GROUP BY 1""")
+def j19_sliding_windows(spark, sf):
+    w = J.tumbling(events(spark, sf), "ts", "2 hours", slide="1 hour")
+    return w.select(F.unix_micros("start").alias("start"), "n")

@@ -65,7 +65,8 @@ class Catalog:
 
     def write(self, name: str, df: DataFrame) -> str:
         """A new version of a collection; it is current once it is whole."""
-        version = f"v{len(self._names(f'{self.root}/{name}')):06d}-{uuid.uuid4().hex[:8]}"
+        last = max([int(v[1:7]) for v in self._names(f"{self.root}/{name}")], default=-1)
+        version = f"v{last + 1:06d}-{uuid.uuid4().hex[:8]}"
         df.write.parquet(f"{self.root}/{name}/{version}")
         return version
 
