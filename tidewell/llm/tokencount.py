@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm import vocab
-from tidewell.session import shared_dir
+from tidewell.session import shared_dir, written
 
 CACHE = "digest binary, version string, n_tokens long"
 LIMIT = 512
@@ -57,7 +57,8 @@ def token_counts(docs: DataFrame, cache: str, tokenizer: str | None = None, limi
 
     misses = keyed.select("digest", "text").join(read_cache(spark, cache, version), "digest", "left_anti").dropDuplicates(["digest"])
     misses.mapInArrow(encode, CACHE).write.mode("append").parquet(cache)
-    counted = keyed.drop("text").join(read_cache(spark, cache, version), "digest", "left")
+    known = written(read_cache(spark, cache, version), "token-counts-known")  # a plain scan, so that Spark can split a digest's many rows in the join
+    counted = keyed.drop("text").join(known, "digest", "left")
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
