@@ -22,6 +22,7 @@ row without an id has no component (null) and is kept; it links nothing. An empt
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +30,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.llm import shingles
-from tidewell.session import written
+from tidewell.session import stored, written
 
 COORDS, TREES, SMALL, DEPTH = 64, 10, 24, 7
 PERCENT = 75
 #: Equal sketch bytes, of COORDS, from which a pair is kept: over 4 standard deviations below 0.75.
 EQUAL = 33
-#: Rows of ids up to which a side is broadcast (16 bytes each).
-BROADCAST_ROWS = 1_000_000
+#: Equal bytes from which a class is close to a pivot (0.8), and under which nothing linked with a close one is.
+CLOSE, BORDER = 52, 27
+#: Rows of ids up to which a side is broadcast (16 bytes each, 3 MB).
+BROADCAST_ROWS = 200_000
 BLOCK = 512
 _RNG = np.random.default_rng(97)
 _A = _RNG.integers(0, 1 << 31, COORDS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -141,31 +144,51 @@ def branch(members: DataFrame) -> DataFrame:
     return members.select("node", "cid", "mini", F.explode(chosen).alias("c")).select(F.xxhash64("node", "c", byte).alias("node"), "cid", "mini")
 
 
+def side(df: DataFrame, rows: int) -> DataFrame:
+    """A side of a join whose rows were counted: broadcast if few, else left to the planner."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def unlike(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("a", "b").agg(F.max("equal").alias("equal"))
+
+
 def chosen_paths(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """(pairs, dense): candidate pairs of classes, and (node, cid, mini) of nodes still large at the end."""
+    """(pairs, dense): candidate pairs of classes, and (node, cid, mini) of groups that pivots settle."""
     roots = F.transform("roots", lambda v, i: F.struct(F.xxhash64(i, v).alias("node")))
     rows = classes.select("cid", "mini", F.inline(roots)).select("node", "cid", "mini")
-    found, dense = [], None
+    found, dense = [], []
     for level in range(DEPTH):
-        rows = written(rows, f"paths-{level}")
+        rows, _ = stored(rows, f"paths-{level}")
         nodes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min(F.struct("cid", "mini")).alias("p"), F.min(F.struct(F.xxhash64("cid").alias("h"), "cid", "mini")).alias("q")).where("n > 1")
-        nodes = written(nodes.select("node", "n", F.col("p.cid").alias("p1"), F.col("p.mini").alias("m1"), F.col("q.cid").alias("p2"), F.col("q.mini").alias("m2")), f"nodes-{level}")
-        small = rows.join(nodes.where(F.col("n") <= SMALL).select("node"), "node")
-        found.append(written(compare_small(small.groupBy("node").agg(F.collect_list("cid").alias("ids"), F.collect_list("mini").alias("minis")).select("ids", "minis")).groupBy("a", "b").agg(F.max("equal").alias("equal")), f"small-{level}"))
-        large = nodes.where(F.col("n") > SMALL)
-        if not large.take(1):
+        nodes = nodes.select("node", "n", F.col("p.cid").alias("p1"), F.col("p.mini").alias("m1"), F.col("q.cid").alias("p2"), F.col("q.mini").alias("m2"))
+        nodes, seen = stored(nodes, f"nodes-{level}", large=F.count_if(F.col("n") > SMALL))
+        if seen["rows"] > seen["large"]:
+            small = rows.join(side(nodes.where(F.col("n") <= SMALL).select("node"), seen["rows"]), "node")
+            found.append(written(unlike(compare_small(small.groupBy("node").agg(F.collect_list("cid").alias("ids"), F.collect_list("mini").alias("minis")).select("ids", "minis"))), f"small-{level}"))
+        if not seen["large"]:
             break
-        big = written(compare_pivots(rows.join(large, "node")), f"large-{level}")
+        # rows of a few hundred bytes: a tenth of the ids' bound
+        big = written(compare_pivots(rows.join(side(nodes.where(F.col("n") > SMALL), 10 * seen["large"]), "node")), f"large-{level}")
         star = F.inline(F.array(F.struct(F.col("p1").alias("p"), F.col("same1").alias("equal")), F.struct(F.col("p2").alias("p"), F.col("same2").alias("equal"))))
         stars = big.select("cid", star).where((F.col("equal") >= EQUAL) & (F.col("p") != F.col("cid")))
-        found.append(written(stars.select(F.least("cid", "p").alias("a"), F.greatest("cid", "p").alias("b"), "equal").groupBy("a", "b").agg(F.max("equal").alias("equal")), f"stars-{level}"))
+        found.append(written(unlike(stars.select(F.least("cid", "p").alias("a"), F.greatest("cid", "p").alias("b"), "equal")), f"stars-{level}"))
+        close = [F.col(f"same{k}") >= CLOSE for k in (1, 2)]
+        groups = big.groupBy("node").agg(*[(F.count_if(c) > SMALL).alias(f"g{k}") for k, c in enumerate(close, 1)]).where("g1 or g2")
+        groups, n = stored(groups, f"groups-{level}")
+        rest = big
+        if n["rows"]:
+            marked = big.join(side(groups, n["rows"]), "node", "left").withColumns({g: F.coalesce(g, F.lit(False)) for g in ("g1", "g2")})
+            for k in (1, 2):
+                dense.append(marked.where(F.col(f"g{k}") & (F.col(f"same{k}") >= BORDER)).select(F.xxhash64("node", F.lit(k)).alias("node"), "cid", "mini"))
+            rest = marked.where(~((F.col("g1") & close[0]) | (F.col("g2") & close[1])))
         if level == DEPTH - 1:
-            dense = big.select("node", "cid", "mini")
-        rows = branch(big)
-    pairs = found[0]
-    for f in found[1:]:
-        pairs = pairs.unionByName(f)
-    return written(pairs.groupBy("a", "b").agg(F.max("equal").alias("equal")), "pairs"), dense
+            dense.append(rest.select("node", "cid", "mini"))
+        rows = branch(rest)
+    if not found:
+        return classes.select(F.col("cid").alias("a"), F.col("cid").alias("b"), F.lit(0).alias("equal")).limit(0), None
+    pairs = written(unlike(reduce(DataFrame.unionByName, found)), "pairs")
+    return pairs, written(reduce(DataFrame.unionByName, dense), "dense-groups") if dense else None
 
 
 # --- confirmation and components --------------------------------------------------------------------
@@ -196,37 +219,39 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(cid, label) of the ends of links: the least id that each reaches.
+def components(links: DataFrame) -> tuple[DataFrame, int]:
+    """((cid, label), rows) of the ends of links: the least id that each reaches.
 
     Labels spread along links and then jump to their own labels, so long chains shorten by half
     and more in each round; ends when nothing changes.
     """
-    both = written(links.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(links.select(F.col("b").alias("x"), F.col("a").alias("y"))).distinct(), "links")
-    labels = written(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("label")).withColumnRenamed("x", "cid"), "labels")
+    both = written(links.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(links.select(F.col("b").alias("x"), F.col("a").alias("y"))), "links")
+    labels, n = stored(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("label")).withColumnRenamed("x", "cid"), "labels")
     while True:
-        seen = both.join(labels.withColumnsRenamed({"cid": "y", "label": "far"}), "y").groupBy("x").agg(F.min("far").alias("far"))
-        spread = labels.join(seen, labels["cid"] == seen["x"], "left").select("cid", "label", F.least("label", "far").alias("next"))
-        jump = spread.join(labels.select(F.col("cid").alias("at"), F.col("label").alias("to")), F.col("next") == F.col("at"), "left")
-        after = written(jump.select("cid", F.least("next", "to").alias("label"), (F.least("next", "to") < F.col("label")).alias("changed")), "labels")
-        labels = after.select("cid", "label")
-        if not after.where("changed").take(1):
-            return labels
-
-
-def across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+        of = side(labels, n["rows"])
+        seen = both.join(of.withColumnsRenamed({"cid": "y", "label": "far"}), "y").groupBy("x").agg(F.min("far").alias("far"))
+        spread = seen.join(of.withColumnRenamed("cid", "x"), "x").select("x", "label", F.least("label", "far").alias("next"))
+        jump = spread.join(of.select(F.col("cid").alias("at"), F.col("label").alias("to")), F.col("next") == F.col("at"))
+        label = F.least("next", "to")
+        labels, n = stored(jump.select(F.col("x").alias("cid"), label.alias("label"), (label < F.col("label")).alias("changed")), "labels", changed=F.count_if("changed"))
+        labels = labels.select("cid", "label")
+        if not n["changed"]:
+            return labels, n["rows"]
+
+
+def across(pairs: DataFrame, labels: DataFrame, n: int) -> DataFrame:
     """Pairs whose ends are in different components, with the components as la and lb."""
-    of = lambda c: labels.select(F.col("cid").alias(c), F.col("label").alias("l" + c))
+    of = lambda c: side(labels.select(F.col("cid").alias(c), F.col("label").alias("l" + c)), n)
     known = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
     return known.withColumn("la", F.coalesce("la", "a")).withColumn("lb", F.coalesce("lb", "b")).where("la != lb")
 
 
-def dense_pairs(dense: DataFrame, labels: DataFrame) -> DataFrame:
+def dense_pairs(dense: DataFrame, labels: DataFrame, n_labels: int) -> DataFrame:
     """Pairs of large last-level nodes between classes outside the node's main component and all others.
 
     Both sides are dealt into blocks of about BLOCK classes, and each pair of blocks is compared at once.
     """
-    known = dense.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    known = dense.join(side(labels, n_labels), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     sizes = known.groupBy("node", "label").agg(F.count("*").alias("n"))
     main = sizes.groupBy("node").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"), F.count("*").alias("parts")).where("parts > 1")
     rows = written(known.join(main, "node").withColumn("outside", F.col("label") != F.col("main")), "dense")
@@ -251,8 +276,8 @@ def dense_pairs(dense: DataFrame, labels: DataFrame) -> DataFrame:
     return blocks.mapInArrow(run, PAIRS).groupBy("a", "b").agg(F.max("equal").alias("equal"))
 
 
-def link(pairs: DataFrame, texts: DataFrame, links: DataFrame | None = None, labels: DataFrame | None = None) -> tuple[DataFrame | None, DataFrame | None]:
-    """Confirm pairs round by round, and give the links and labels.
+def link(pairs: DataFrame, texts: DataFrame, links: DataFrame | None = None, labels: DataFrame | None = None, n: int = 0) -> tuple[DataFrame | None, DataFrame | None, int]:
+    """Confirm pairs round by round, and give the links, the labels and the labels' rows.
 
     The first round tries each class with the least and the likeliest of those before it; later
     ones with the likeliest in every other component it has pairs with, four times as many in each round.
@@ -260,10 +285,9 @@ def link(pairs: DataFrame, texts: DataFrame, links: DataFrame | None = None, lab
     """
     most = 1
     while True:
-        if labels is not None:
-            pairs = written(across(pairs, labels), "open")
-        if not pairs.take(1):
-            return links, labels
+        pairs, left = stored(across(pairs, labels, n) if labels is not None else pairs, "open")
+        if not left["rows"]:
+            return links, labels, n
         if labels is None:
             tried = pairs.groupBy("b").agg(F.min("a").alias("a"), F.max_by("a", F.struct("equal", -F.col("a"))).alias("near"))
             tried = tried.select("b", F.explode(F.array_distinct(F.array("a", "near"))).alias("a"))
@@ -271,14 +295,14 @@ def link(pairs: DataFrame, texts: DataFrame, links: DataFrame | None = None, lab
             most *= 4
             place = F.row_number().over(Window.partitionBy("b", "la").orderBy(F.desc("equal"), "a"))
             tried = pairs.withColumn("place", place).where(F.col("place") <= most)
-        tried = written(tried.select("a", "b"), "tried")
-        good = written(confirm(tried, texts), "confirmed")
-        pairs = pairs.select("a", "b", "equal").join(tried, ["a", "b"], "left_anti")
-        if good.take(1):
+        tried, n_tried = stored(tried.select("a", "b"), "tried")
+        good, n_good = stored(confirm(tried, texts), "confirmed")
+        pairs = pairs.select("a", "b", "equal").join(side(tried, n_tried["rows"]), ["a", "b"], "left_anti")
+        if n_good["rows"]:
             links = good if links is None else links.unionByName(good)
-            labels = components(links)
+            labels, n = components(links)
         elif labels is None:
-            labels = good.select(F.col("a").alias("cid"), F.col("b").alias("label"))
+            labels, n = good.select(F.col("a").alias("cid"), F.col("b").alias("label")), 0
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -288,16 +312,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = written(grouped.select("digest", "cid", "s.mini", "s.roots"), "classes")
     pairs, dense = chosen_paths(classes)
     ends = pairs.select(F.explode(F.array("a", "b")).alias("cid"))
-    ids = written((ends if dense is None else ends.unionByName(dense.select("cid"))).distinct(), "paired")
-    side = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-    texts = written(docs.select(F.col("doc_id").cast("long").alias("cid"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(side, "cid"), "texts")
-    links, labels = link(pairs, texts)
+    ids, n_ids = stored((ends if dense is None else ends.unionByName(dense.select("cid"))).distinct(), "paired")
+    texts = written(docs.select(F.col("doc_id").cast("long").alias("cid"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(side(ids, n_ids["rows"]), "cid"), "texts")
+    links, labels, n = link(pairs, texts)
     if dense is not None:
         known = labels if labels is not None else classes.select("cid", F.col("cid").alias("label")).limit(0)
-        links, labels = link(written(dense_pairs(dense, known), "dense-pairs"), texts, links, labels)
+        links, labels, n = link(dense_pairs(dense, known, n), texts, links, known, n)
     if labels is None:
         labels = classes.select("cid", F.col("cid").alias("label")).limit(0)
-    of_class = classes.join(labels, "cid", "left").select("digest", F.coalesce("label", "cid").alias("label"))
+    of_class = classes.join(side(labels, n), "cid", "left").select("digest", F.coalesce("label", "cid").alias("label"))
     out = signed.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
     own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("label")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
@@ -306,12 +329,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """docs without the rows whose component has a document of a lesser id; of rows that share an id one stays."""
     judged = near_duplicates(docs)
-    gone = written(judged.where("not kept").select(F.col("doc_id").alias("__id")).distinct(), "dropped")
-    side = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    left = docs.join(side, docs["doc_id"].cast("long") == F.col("__id"), "left_anti")
-    again = written(docs.groupBy(F.col("doc_id").cast("long").alias("__id")).count().where("count > 1 and __id is not null").select("__id"), "repeated")
-    if not again.take(1):
+    gone, n = stored(judged.where("not kept").select(F.col("doc_id").alias("__id")).distinct(), "dropped")
+    left = docs.join(side(gone, n["rows"]), docs["doc_id"].cast("long") == F.col("__id"), "left_anti")
+    again, n = stored(docs.groupBy(F.col("doc_id").cast("long").alias("__id")).count().where("count > 1 and __id is not null").select("__id"), "repeated")
+    if not n["rows"]:
         return left
-    side = F.broadcast(again) if again.count() <= BROADCAST_ROWS else again
     same = left["doc_id"].cast("long") == F.col("__id")
-    return left.join(side, same, "left_anti").unionByName(left.join(side, same, "left_semi").dropDuplicates(["doc_id"]))
+    return left.join(side(again, n["rows"]), same, "left_anti").unionByName(left.join(side(again, n["rows"]), same, "left_semi").dropDuplicates(["doc_id"]))
