@@ -80,13 +80,13 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def word_histogram(lang: str) -> Column:
+def word_histogram(lang: str) -> list[Column]:
     """Counts of a language's common words, and of all others."""
     own = [F.get("common", F.lit(WORDS.index(w))) for w in COMMON[lang]]
     rest = F.col("n_words")
     for c in own:
         rest = rest - c
-    return F.array(*own, rest)
+    return [*own, rest]
 
 
 def references(counted: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
@@ -102,16 +102,20 @@ def references(counted: DataFrame) -> dict[str, tuple[list[float], list[float]]]
     return out
 
 
-def distance(histogram: Column, reference: list[float]) -> Column:
-    """Jensen-Shannon distance: the root of the divergence in bits, 0 to 1."""
-    total = F.greatest(F.aggregate(histogram, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(1))
-    shares = F.transform(histogram, lambda x: x / total)
+def distance(histogram: list[Column], total: Column, reference: list[float]) -> Column:
+    """Jensen-Shannon distance: the root of the divergence in bits, 0 to 1.
+
+    Written out bin by bin, so that it is compiled; an array function would call into each bin.
+    """
 
     def half(p: Column, q: Column) -> Column:
         return F.when(p > 0, p * F.log2(2 * p / (p + q))).otherwise(0.0)
 
-    parts = F.zip_with(shares, F.array(*[F.lit(float(x)) for x in reference]), lambda p, q: (half(p, q) + half(q, p)) / 2)
-    return F.sqrt(F.greatest(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x), F.lit(0.0)))
+    parts = F.lit(0.0)
+    for count, share in zip(histogram, reference, strict=True):
+        p, q = count / total, F.lit(float(share))
+        parts = parts + (half(p, q) + half(q, p)) / 2
+    return F.sqrt(F.greatest(parts, F.lit(0.0)))
 
 
 def quality_rules(docs: DataFrame, most_classes: float = MOST_CLASSES, most_words: float = MOST_WORDS) -> DataFrame:
@@ -119,8 +123,17 @@ def quality_rules(docs: DataFrame, most_classes: float = MOST_CLASSES, most_word
     counted = written(counts(docs.select("doc_id", "text", "lang"), "lang"), "quality-counts")
     refs = references(counted)
     enough = (F.col("n_words") >= LEAST_WORDS) & (F.col("n_chars") >= LEAST_CHARS)
-    near = [F.struct((distance(F.col("classes"), c) + distance(word_histogram(k), w)).alias("d"), distance(F.col("classes"), c).alias("c"), distance(word_histogram(k), w).alias("w")) for k, (c, w) in sorted(refs.items())]
-    best = F.when(enough, F.array_min(F.array(*near))) if near else F.lit(None).cast("struct<d:double,c:double,w:double>")
-    judged = counted.withColumn("best", best).withColumn("base_failed", base_failed())
+    chars, words = F.greatest("n_chars", F.lit(1)), F.greatest("n_words", F.lit(1))
+    near = {}
+    for k, (by_class, by_word) in sorted(refs.items()):
+        near[f"c_{k}"] = F.when(enough, distance([F.get("classes", F.lit(i)) for i in range(len(CLASSES))], chars, by_class))
+        near[f"w_{k}"] = F.when(enough, distance(word_histogram(k), words, by_word))
+    judged = counted.withColumns(near | {"base_failed": base_failed()})
+    if refs:
+        each = [F.struct((F.col(f"c_{k}") + F.col(f"w_{k}")).alias("d"), F.col(f"c_{k}").alias("c"), F.col(f"w_{k}").alias("w")) for k in sorted(refs)]
+        best = F.when(enough, F.array_min(F.array(*each)))
+    else:
+        best = F.lit(None).cast("struct<d:double,c:double,w:double>")
+    judged = judged.withColumn("best", best)
     divergent = F.coalesce((F.col("best.c") > most_classes) | (F.col("best.w") > most_words), F.lit(False))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~divergent).alias("kept"), F.col("best.c").alias("class_distance"), F.col("best.w").alias("word_distance"))
