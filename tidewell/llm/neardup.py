@@ -38,6 +38,8 @@ PERCENT = 75
 EQUAL = 33
 #: Equal bytes from which a class is close to a pivot (0.8), and under which nothing linked with a close one is.
 CLOSE, BORDER = 52, 27
+#: Pairs of a class with one other component that are tried before all the rest.
+FIRST = 4
 #: Rows of ids up to which a side is broadcast (16 bytes each, 3 MB).
 BROADCAST_ROWS = 200_000
 BLOCK = 512
@@ -276,33 +278,43 @@ def dense_pairs(dense: DataFrame, labels: DataFrame, n_labels: int) -> DataFrame
     return blocks.mapInArrow(run, PAIRS).groupBy("a", "b").agg(F.max("equal").alias("equal"))
 
 
-def link(pairs: DataFrame, texts: DataFrame, links: DataFrame | None = None, labels: DataFrame | None = None, n: int = 0) -> tuple[DataFrame | None, DataFrame | None, int]:
-    """Confirm pairs round by round, and give the links, the labels and the labels' rows.
+def link(pairs: DataFrame, dense: DataFrame | None, texts: DataFrame) -> tuple[DataFrame | None, int]:
+    """Confirm pairs in rounds, and give the components' labels and their rows.
 
-    The first round tries each class with the least and the likeliest of those before it; later
-    ones with the likeliest in every other component it has pairs with, four times as many in each round.
-    Pairs that a round puts into one component need no trial; those tried are done.
+    First each class is tried with the least and the likeliest of those before it. With the components that
+    gives, the dense groups add their pairs, and each class is tried with the likeliest ones in every other
+    component that it has pairs with; then all pairs that are still between components are. Pairs
+    inside one component need no trial.
     """
-    most = 1
-    while True:
-        pairs, left = stored(across(pairs, labels, n) if labels is not None else pairs, "open")
-        if not left["rows"]:
-            return links, labels, n
-        if labels is None:
+    links, labels, n = None, None, 0
+    pairs, left = stored(pairs, "open")
+    for round_ in range(3):
+        if round_:
+            if round_ == 1 and dense is not None:
+                known = labels if labels is not None else pairs.select(F.col("a").alias("cid"), F.col("b").alias("label")).limit(0)
+                pairs = unlike(pairs.unionByName(dense_pairs(dense, known, n).join(side(tried, n_tried["rows"]), ["a", "b"], "left_anti")))
+            if labels is not None:
+                pairs = across(pairs, labels, n)
+            else:
+                pairs = pairs.withColumns({"la": F.col("a"), "lb": F.col("b")})
+            pairs, left = stored(pairs, "open")
+        if not left["rows"] and (round_ or dense is None):
+            break
+        if round_ == 0:
             tried = pairs.groupBy("b").agg(F.min("a").alias("a"), F.max_by("a", F.struct("equal", -F.col("a"))).alias("near"))
             tried = tried.select("b", F.explode(F.array_distinct(F.array("a", "near"))).alias("a"))
-        else:
-            most *= 4
+        elif round_ == 1:
             place = F.row_number().over(Window.partitionBy("b", "la").orderBy(F.desc("equal"), "a"))
-            tried = pairs.withColumn("place", place).where(F.col("place") <= most)
+            tried = pairs.withColumn("place", place).where(F.col("place") <= FIRST)
+        else:
+            tried = pairs
         tried, n_tried = stored(tried.select("a", "b"), "tried")
         good, n_good = stored(confirm(tried, texts), "confirmed")
         pairs = pairs.select("a", "b", "equal").join(side(tried, n_tried["rows"]), ["a", "b"], "left_anti")
         if n_good["rows"]:
             links = good if links is None else links.unionByName(good)
             labels, n = components(links)
-        elif labels is None:
-            labels, n = good.select(F.col("a").alias("cid"), F.col("b").alias("label")), 0
+    return labels, n
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -314,10 +326,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ends = pairs.select(F.explode(F.array("a", "b")).alias("cid"))
     ids, n_ids = stored((ends if dense is None else ends.unionByName(dense.select("cid"))).distinct(), "paired")
     texts = written(docs.select(F.col("doc_id").cast("long").alias("cid"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(side(ids, n_ids["rows"]), "cid"), "texts")
-    links, labels, n = link(pairs, texts)
-    if dense is not None:
-        known = labels if labels is not None else classes.select("cid", F.col("cid").alias("label")).limit(0)
-        links, labels, n = link(dense_pairs(dense, known, n), texts, links, known, n)
+    labels, n = link(pairs, dense, texts)
     if labels is None:
         labels = classes.select("cid", F.col("cid").alias("label")).limit(0)
     of_class = classes.join(side(labels, n), "cid", "left").select("digest", F.coalesce("label", "cid").alias("label"))
