@@ -172,8 +172,7 @@ def chosen_paths(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
             break
         # rows of a few hundred bytes: a tenth of the ids' bound
         big = written(compare_pivots(rows.join(side(nodes.where(F.col("n") > SMALL), 10 * seen["large"]), "node")), f"large-{level}")
-        star = F.inline(F.array(F.struct(F.col("p1").alias("p"), F.col("same1").alias("equal")), F.struct(F.col("p2").alias("p"), F.col("same2").alias("equal"))))
-        stars = big.select("cid", star).where((F.col("equal") >= EQUAL) & (F.col("p") != F.col("cid")))
+        stars = reduce(DataFrame.unionByName, [big.where((F.col(f"same{k}") >= EQUAL) & (F.col(f"p{k}") != F.col("cid"))).select("cid", F.col(f"p{k}").alias("p"), F.col(f"same{k}").alias("equal")) for k in (1, 2)])
         found.append(written(unlike(stars.select(F.least("cid", "p").alias("a"), F.greatest("cid", "p").alias("b"), "equal")), f"stars-{level}"))
         close = [F.col(f"same{k}") >= CLOSE for k in (1, 2)]
         groups = big.groupBy("node").agg(*[(F.count_if(c) > SMALL).alias(f"g{k}") for k, c in enumerate(close, 1)]).where("g1 or g2")
