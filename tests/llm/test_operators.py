@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewell.llm import langid, mixing, neardup, pack, parsing, quality, rules, secretscan, shingles, tokenbin, tokencount, vocab
+from tidewell.llm import queries as llm_queries
 from tidewell.session import table
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -191,6 +192,16 @@ def test_mix_meets_targets(docs, odd, none):
     assert mixing.mixed_documents(odd).columns == odd.columns and mixing.mixed_documents(none).count() == 0 and mixing.mix(none).count() == 0
 
 
+def test_op5_counts_the_mix_itself(spark, sf, docs, odd, none, monkeypatch):
+    key = ["doc_id", "source", "size", "source_size", "target", "copies"]
+    for rows in (docs, odd):
+        assert Counter(map(tuple, mixing.drawn(rows, shards=4).select(key).collect())) == Counter(map(tuple, mixing.mix(rows).select(key).collect()))
+    assert mixing.drawn(none).count() == 0
+    table_of = mixing.shard_table
+    monkeypatch.setattr(mixing, "shard_table", lambda *a: [(s, k, 0, 0, n) for s, k, _, _, n in table_of(*a)])  # shards that take nothing
+    assert {r.taken for r in llm_queries.op5_source_mixing(spark, sf).collect()} == {0}
+
+
 # 6 and 10 ------------------------------------------------------------------------------------------
 
 

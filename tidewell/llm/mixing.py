@@ -127,22 +127,56 @@ def shard_table(blocks: DataFrame, shards: int, seed: int) -> list[tuple]:
     return [(r[0], s, int(ends[s, k] - counts[s, k]), int(ends[s, k]), r[2]) for k, r in enumerate(rows) for s in range(shards) if counts[s, k]]
 
 
-def draws(docs: DataFrame, shards: int | None = None, seed: int = 0, **how) -> tuple[DataFrame, int]:
-    """(rows, shards): a row for each time a row of docs is taken: docs' columns as ``row``, shard, and place (its shuffled order there)."""
+def deal(docs: DataFrame, blocks: DataFrame, shards: int | None, seed: int) -> tuple[DataFrame, int]:
+    """(rows, shards): a row for each time a row of docs is taken: doc_id, source, size, docs' columns as ``row``, shard, and place (its shuffled order there)."""
     spark = docs.sparkSession
-    blocks = written(plan(written(sizes(docs, seed), "mix-sizes"), seed=seed, **how), "mix-plan")
     if shards is None:
         words = blocks.select("source", "target").distinct().agg(F.sum("target")).first()[0] or 0
         shards = min(MOST_SHARDS, 1 << max(0, int(words / SHARD_WORDS)).bit_length())
-    rows = spark.createDataFrame(shard_table(blocks, shards, seed), "s string, shard int, low long, high long, in_source long")  # shards rows a source at most
-    taken = take(sizes(docs, seed, keep=True), blocks).where("copies > 0")
+    ranges = spark.createDataFrame(shard_table(blocks, shards, seed), "s string, shard int, low long, high long, in_source long")  # shards rows a source at most
+    turns = ranges.where("high > low").select("s", "in_source", "shard", F.explode(F.sequence("low", F.col("high") - 1)).alias("draw"))
+    # a row for each draw of a block: what a source's order says of (rank, pass), by equality
+    turns = turns.select("s", "shard", (F.col("draw") % F.col("in_source")).alias("r"), F.floor(F.col("draw") / F.col("in_source")).cast("int").alias("pass"))
+    by_block = turns.groupBy("s", "r").agg(F.map_from_entries(F.collect_list(F.struct("pass", "shard"))).alias("shards"))  # passes are bounded by MOST
+    placed = blocks.join(by_block, F.col("source").eqNullSafe(F.col("s")) & (F.col("rank") == F.col("r"))).drop("s", "r")
+    taken = take(sizes(docs, seed, keep=True), written(placed, "mix-turns")).where("copies > 0")
     taken = taken.withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    draw = F.col("rank") + F.col("pass") * F.col("in_source")
-    put = taken.join(F.broadcast(rows), F.col("source").eqNullSafe(F.col("s")) & (draw >= F.col("low")) & (draw < F.col("high")))
-    return put.select("row", "shard", F.xxhash64(F.lit(seed + 3), "doc_id", "pass").alias("place")), shards
+    shard = F.element_at("shards", F.col("pass")).alias("shard")
+    return taken.select("doc_id", "source", "size", "row", shard, F.xxhash64(F.lit(seed + 3), "doc_id", "pass").alias("place")), shards
+
+
+def shuffled(rows: DataFrame, shards: int) -> DataFrame:
+    """Rows of deal(): each partition is a shard, in its shuffled order."""
+    return rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("place")
+
+
+def draws(docs: DataFrame, shards: int | None = None, seed: int = 0, **how) -> tuple[DataFrame, int]:
+    """(rows, shards): a row for each time a row of docs is taken: docs' columns as ``row``, shard, and place (its shuffled order there)."""
+    blocks = written(plan(written(sizes(docs, seed), "mix-sizes"), seed=seed, **how), "mix-plan")
+    rows, shards = deal(docs, blocks, shards, seed)
+    return rows.select("row", "shard", "place"), shards
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """docs as the mix takes them: each output partition is a shard, in its shuffled order."""
     rows, shards = draws(docs, **how)
-    return rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("place").select("row.*")
+    return shuffled(rows, shards).select("row.*")
+
+
+def drawn(docs: DataFrame, shards: int | None = None, seed: int = 0, **how) -> DataFrame:
+    """doc_id, source, size, source_size, target and copies of every row of docs, counted in the mix itself.
+
+    The mix is made whole, documents in shuffled shards, and stored; a row's copies are the draws found
+    there. Rows of one id, source and size are one another's equals here, and share their draws out.
+    """
+    sized = written(sizes(docs, seed), "mix-sizes")
+    blocks = written(plan(sized, seed=seed, **how), "mix-plan")
+    rows, shards = deal(docs, blocks, shards, seed)
+    mixed = written(shuffled(rows, shards), "mix-shards", compression="zstd")
+    key = ["doc_id", "source", "size"]
+    both = sized.select(*key, F.lit(1).alias("n"), F.lit(0).alias("d")).unionByName(mixed.select(*key, F.lit(0).alias("n"), F.lit(1).alias("d")))
+    counted = both.groupBy(*key).agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
+    each = counted.select(*key, "n", "d", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
+    copies = (F.floor(F.col("d") / F.col("n")) + (F.col("i") < F.col("d") % F.col("n")).cast("int")).cast("int")
+    sources = blocks.select(F.col("source").alias("s"), "source_size", "target").distinct()
+    return each.select(*key, copies.alias("copies")).join(sources, F.col("source").eqNullSafe(F.col("s"))).select(*key, "source_size", "target", "copies")
