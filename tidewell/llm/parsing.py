@@ -9,8 +9,10 @@ names around it and not on its distance from the text's start: equal substrings
 but those near their ends, at any offset.
 
 A fingerprint keeps the least ``KEEP`` hashed names of the phrases of the levels from ``LEVEL``
-on (all phrases for texts too short to have many), each with how often it came before, and the
-likeness of two is the estimate of the Jaccard index of the names' multisets.
+on, each with how often it came before, and the likeness of two is the estimate of the Jaccard
+index of the names' multisets. A text with ``FEW`` of these or less than one in ``SPARSE`` code points
+(short texts; runs and short periods of any length, which are a phrase or two there) is compared
+by the names of all levels instead, code points included.
 
 Defined results: null text is the empty text; two empty texts are alike (1.0), an empty and a
 non-empty one are not (0.0). Documents follow by (doc_id, hash of the text), null ids first, so
@@ -21,7 +23,7 @@ itself.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KEEP, LEVEL = 64, 3
+#: Names of the high levels under which a text goes by all levels; code points for each name at most.
+FEW, SPARSE = 8, 200
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 _M1, _M2, _M3 = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
 
@@ -105,8 +109,12 @@ def levels(names: np.ndarray, owner: np.ndarray) -> Iterator[tuple[int, np.ndarr
         yield level, names, owner
 
 
-def fingerprints(texts: list[str], keep: int = KEEP, level: int = LEVEL) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each text its sketches: the least names of the high levels, and of all levels."""
+def fingerprints(texts: list[str], keep: int = KEEP, level: int = LEVEL, pairs: Iterable[tuple[int, int]] = ()) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each text its sketches: the least names of the high levels, and of all levels.
+
+    The second is empty unless the text is short or has few high names, or one it is paired with
+    (places in texts) has few, so that likeness() can compare the two.
+    """
     lengths = np.array([len(t) for t in texts])
     points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     owner = np.repeat(np.arange(len(texts)), lengths)
@@ -132,20 +140,28 @@ def fingerprints(texts: list[str], keep: int = KEEP, level: int = LEVEL) -> list
         ends = np.searchsorted(o, np.arange(len(texts) + 1))
         return [n[ends[i] : min(ends[i] + keep, ends[i + 1])] for i in range(len(texts))]
 
-    short = np.flatnonzero(lengths < 400)  # only these need the lower levels
-    high_sketches = least(high)
+    none = np.zeros(0, np.uint64)
+    named = np.zeros(len(texts), np.int64)
+    for _, o in high:
+        named += np.bincount(o, minlength=len(texts))
+    sparse = named * SPARSE < lengths
+    high_sketches = [none if sparse[i] else h for i, h in enumerate(least(high))]
+    few = np.array([len(h) < FEW for h in high_sketches], bool)
+    wanted = few | (lengths < 400)
+    for i, j in pairs:
+        if few[i] or few[j]:
+            wanted[i] = wanted[j] = True
     low: dict[int, np.ndarray] = {}
-    if len(short):
-        wanted = np.isin(np.arange(len(texts)), short)
+    if wanted.any():
         sketches = least([(n[wanted[o]], o[wanted[o]]) for n, o in every])
-        low = {int(i): sketches[i] for i in short}
-    none = np.zeros(0, np.uint64)
+        low = {int(i): sketches[i] for i in np.flatnonzero(wanted)}
     return [(high_sketches[i], low.get(i, none)) for i in range(len(texts))]
 
 
-def text_of(sketch: tuple[np.ndarray, np.ndarray]) -> str:
-    """high.low, each 16 hexadecimal digits a name."""
-    return ".".join(part.astype(">u8").tobytes().hex() for part in sketch)
+def text_of(sketch: tuple[np.ndarray, np.ndarray], length: int = 0) -> str:
+    """high.low, each 16 hexadecimal digits a name; low only where it is the text's own and not for its pair's sake."""
+    own = sketch if length < 400 or len(sketch[0]) < FEW else (sketch[0], sketch[1][:0])
+    return ".".join(part.astype(">u8").tobytes().hex() for part in own)
 
 
 def _jaccard(a: np.ndarray, b: np.ndarray, keep: int) -> float:
@@ -157,7 +173,7 @@ def _jaccard(a: np.ndarray, b: np.ndarray, keep: int) -> float:
 
 def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], keep: int = KEEP) -> float:
     """Estimated Jaccard index: over the high levels, or over all where a text has few phrases there."""
-    if min(len(a[0]), len(b[0])) < 8 and len(a[1]) and len(b[1]):
+    if min(len(a[0]), len(b[0])) < FEW and len(a[1]) and len(b[1]):
         return _jaccard(a[1], b[1], keep)
     return _jaccard(a[0], b[0], keep) if len(a[0]) or len(b[0]) or len(a[1]) == len(b[1]) == 0 else 0.0
 
@@ -214,14 +230,15 @@ def fingerprint_edits(docs: DataFrame, keep: int = KEEP, level: int = LEVEL, cha
     def rows_of(held: list[tuple[int, str]], after: str) -> pa.RecordBatch:
         texts = [t for _, t in held] + [after]
         changed = [edited(t, texts[i + 1]) for i, (_, t) in enumerate(held)]
-        sketches = fingerprints(texts + changed, keep, level)
         n = len(held)
+        pairs = [(i, j) for i in range(n) for j in (i + 1, n + 1 + i)]
+        sketches = fingerprints(texts + changed, keep, level, pairs)
         columns = [
             pa.array([d for d, _ in held], pa.int64()),
             pa.array([len(t) for _, t in held], pa.int64()),
             pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in changed]),
-            pa.array([text_of(s) for s in sketches[:n]]),
-            pa.array([text_of(s) for s in sketches[n + 1 :]]),
+            pa.array([text_of(s, len(t)) for s, t in zip(sketches[:n], texts[:n], strict=True)]),
+            pa.array([text_of(s, len(t)) for s, t in zip(sketches[n + 1 :], changed, strict=True)]),
             pa.array([likeness(sketches[i], sketches[n + 1 + i], keep) for i in range(n)], pa.float64()),
             pa.array([likeness(sketches[i], sketches[i + 1], keep) for i in range(n)], pa.float64()),
         ]
