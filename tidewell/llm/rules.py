@@ -2,7 +2,10 @@
 
 Two histograms of each document, of character classes and of a language's common words, are
 compared with the same histograms of all sound documents of each language, by Jensen-Shannon
-distance; the nearest language counts. Short texts, whose histograms are noise, pass by a guard.
+distance; the nearest language counts. How far words may be is taken from the corpus: short texts
+scatter more, so sound documents of about one length (a power of two of words) give a limit
+(the upper quartile plus FENCE times the span of the quartiles). A text with none of the nearest
+language's common words is always beyond it. Very short texts, whose histograms are noise, pass.
 All of it is DataFrame functions; the texts are read once, and the counts are stored.
 
 Defined results: null text has no words and fails the base rules, like any text under 50 words.
@@ -12,6 +15,8 @@ what passes the base rules is kept. Rows that repeat, or share an id, are judged
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +35,10 @@ CLASSES = ("lower", "upper", "digit", "punct", "space", "other")
 #: Words and characters under which a histogram is not compared.
 LEAST_WORDS, LEAST_CHARS = 50, 200
 REFERENCE_WORDS = 1000
-#: Largest distances (0 to 1) of a kept text from its nearest reference.
-MOST_CLASSES, MOST_WORDS = 0.26, 0.6
+#: Largest distance (0 to 1) of a kept text's classes from its nearest reference; of its words, see word_limits().
+MOST_CLASSES, FENCE = 0.26, 1.5
+#: Sound documents of a length under which the limit of the next shorter length holds.
+LEAST_BAND = 50
 
 
 def counts(docs: DataFrame, *keep: str) -> DataFrame:
@@ -118,8 +125,33 @@ def distance(histogram: list[Column], total: Column, reference: list[float]) ->
     return F.sqrt(F.greatest(parts, F.lit(0.0)))
 
 
-def quality_rules(docs: DataFrame, most_classes: float = MOST_CLASSES, most_words: float = MOST_WORDS) -> DataFrame:
-    """The counts, base_failed, both distances (null if guarded) and kept of every row of docs."""
+def band() -> Column:
+    """A text's length as a power of two of words."""
+    return F.floor(F.log2(F.greatest("n_words", F.lit(1)))).cast("int")
+
+
+def word_limits(judged: DataFrame, most_classes: float) -> dict[int, float]:
+    """Largest word distance of kept texts by band(), from the distances of sound documents: a row a band."""
+    sound = judged.where(F.col("lang").isin(*COMMON) & ~F.col("base_failed") & (F.col("best.c") <= most_classes))
+    rows = sound.groupBy(band().alias("band")).agg(F.count("*").alias("n"), F.percentile_approx("best.w", [0.25, 0.75], F.lit(10_000)).alias("q")).collect()
+    out, limit = {}, None
+    for r in sorted(rows, key=lambda r: r["band"]):
+        if r["n"] >= LEAST_BAND:
+            limit = r["q"][1] + FENCE * (r["q"][1] - r["q"][0])
+        if limit is not None:
+            out[r["band"]] = limit
+    return out
+
+
+def without_common(reference: list[float]) -> float:
+    """The word distance of a text that has none of the common words."""
+    rest = reference[-1]
+    parts = sum(reference[:-1]) + rest * (math.log2(2 * rest / (1 + rest)) if rest else 0.0) + math.log2(2 / (1 + rest))
+    return math.sqrt(max(parts / 2, 0.0))
+
+
+def quality_rules(docs: DataFrame, most_classes: float = MOST_CLASSES, most_words: float | None = None) -> DataFrame:
+    """The counts, base_failed, both distances (null if guarded) and kept of every row of docs; most_words in place of word_limits()."""
     counted = written(counts(docs.select("doc_id", "text", "lang"), "lang"), "quality-counts")
     refs = references(counted)
     enough = (F.col("n_words") >= LEAST_WORDS) & (F.col("n_chars") >= LEAST_CHARS)
@@ -130,10 +162,15 @@ def quality_rules(docs: DataFrame, most_classes: float = MOST_CLASSES, most_word
         near[f"w_{k}"] = F.when(enough, distance(word_histogram(k), words, by_word))
     judged = counted.withColumns(near | {"base_failed": base_failed()})
     if refs:
-        each = [F.struct((F.col(f"c_{k}") + F.col(f"w_{k}")).alias("d"), F.col(f"c_{k}").alias("c"), F.col(f"w_{k}").alias("w")) for k in sorted(refs)]
+        each = [F.struct((F.col(f"c_{k}") + F.col(f"w_{k}")).alias("d"), F.col(f"c_{k}").alias("c"), F.col(f"w_{k}").alias("w"), F.lit(without_common(refs[k][1])).alias("none")) for k in sorted(refs)]
         best = F.when(enough, F.array_min(F.array(*each)))
     else:
-        best = F.lit(None).cast("struct<d:double,c:double,w:double>")
-    judged = judged.withColumn("best", best)
-    divergent = F.coalesce((F.col("best.c") > most_classes) | (F.col("best.w") > most_words), F.lit(False))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~divergent).alias("kept"), F.col("best.c").alias("class_distance"), F.col("best.w").alias("word_distance"))
+        best = F.lit(None).cast("struct<d:double,c:double,w:double,none:double>")
+    figures = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    judged = written(judged.select(*figures, "lang", best.alias("best")), "quality-judged")
+    most, limits = F.lit(most_words).cast("double"), word_limits(judged, most_classes) if most_words is None and refs else {}
+    for k in sorted(limits):  # bands are powers of two, some dozens at most
+        most = F.when(band() >= k, F.lit(limits[k])).otherwise(most)
+    bare = F.col("best.w") >= F.col("best.none") - 1e-9
+    divergent = F.coalesce(F.col("best.c") > most_classes, F.lit(False)) | F.coalesce(F.col("best.w") > most, F.lit(False)) | F.coalesce(bare, F.lit(False))
+    return judged.select(*figures, (~F.col("base_failed") & ~divergent).alias("kept"), F.col("best.c").alias("class_distance"), F.col("best.w").alias("word_distance"))
