@@ -141,6 +141,14 @@ def greedy_clusters(pairs: DataFrame, order: DataFrame, group: str) -> DataFrame
     return placed.groupBy(group).applyInPandas(claim, "seed long, member long")
 
 
+def greedy_groups(near: DataFrame, points: DataFrame, id_: str = "id") -> DataFrame:
+    """greedy_clusters() of (query_id, id) in the order of ids, a pass for each component: no claim reaches another."""
+    pairs = near.select(F.col("query_id").alias("a"), F.col("id").alias("b"))
+    of = components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    placed = pairs.join(of.select(F.col("node").alias("a"), F.col("component").alias("group")), "a")
+    return greedy_clusters(placed, points.select(F.col(id_).alias("id"), F.col(id_).alias("at")), "group")
+
+
 def co_recall(events: DataFrame, event: str, item: str, least: int = 3) -> DataFrame:
     """(a, b, n) of items that occur in the same event at least so often, a < b."""
     rows = events.select(event, item).distinct()

@@ -11,9 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions import vectors
+from tidewell.session import written
 
 #: Query vectors of one batch search; they are sent to every task.
 MOST_QUERIES = 100_000
+#: Queries of one block where every point is a query.
+QUERY_BLOCK = 8192
 
 
 def build_filter(**fields: str | list | None) -> Column | None:
@@ -31,13 +34,15 @@ def search(points: DataFrame, vector: list[float], k: int = 10, where: Column |
     return scored.orderBy(F.desc("score"), id_).limit(k)
 
 
-def batch_search(points: DataFrame, queries: DataFrame, k: int = 10, least: float = -1.0, id_: str = "id", vec: str = "vector", keep_self: bool = False) -> DataFrame:
-    """(query_id, id, score, rank): the k nearest points of every query.
+def batch_search(points: DataFrame, queries: DataFrame, k: int = 10, least: float = -1.0, id_: str = "id", vec: str = "vector", keep_self: bool = False, same: str | None = None) -> DataFrame:
+    """(query_id, id, score, rank): the k nearest points of every query; with same, of those of its
+    value in that column (a query without one searches all).
 
     The queries' matrix goes to every task and meets the points in blocks; a task keeps k rows a
     query, so what is shuffled grows with tasks and queries and not with their product with points.
     """
-    rows = queries.select(F.col(id_), F.col(vec)).orderBy(id_).limit(MOST_QUERIES + 1).collect()
+    kind = F.col(same).cast("string") if same else F.lit(None).cast("string")
+    rows = queries.select(F.col(id_), F.col(vec), kind).orderBy(id_).limit(MOST_QUERIES + 1).collect()
     if len(rows) > MOST_QUERIES:
         raise ValueError(f"more than {MOST_QUERIES} queries")
     schema = "query_id long, id long, score double"
@@ -45,6 +50,8 @@ def batch_search(points: DataFrame, queries: DataFrame, k: int = 10, least: floa
         return points.sparkSession.createDataFrame([], schema + ", rank int")
     ids, q = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64)
     q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+    codes = {x: i for i, x in enumerate(sorted({r[2] for r in rows if r[2] is not None}))}
+    asked = np.array([codes.get(r[2], -1) for r in rows])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best_s, best_i = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
@@ -57,6 +64,9 @@ def batch_search(points: DataFrame, queries: DataFrame, k: int = 10, least: floa
                 s = q @ x.T
                 if not keep_self:
                     s[ids[:, None] == p[None, :]] = -np.inf
+                if codes:
+                    own = np.array([codes.get(x, -1) for x in part.column(2).to_pylist()])
+                    s[(asked[:, None] >= 0) & (asked[:, None] != own[None, :])] = -np.inf
                 s[s < least] = -np.inf
                 all_s, all_i = np.hstack([best_s, s]), np.hstack([best_i, np.broadcast_to(p, s.shape)])
                 order = np.lexsort((all_i, -all_s), axis=1)[:, :k]
@@ -64,11 +74,22 @@ def batch_search(points: DataFrame, queries: DataFrame, k: int = 10, least: floa
         hit = np.isfinite(best_s)
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, k)[hit.ravel()]), pa.array(best_i[hit]), pa.array(best_s[hit])], ["query_id", "id", "score"])
 
-    near = points.select(F.col(id_).alias("id"), F.col(vec)).mapInArrow(run, schema)
+    near = points.select(F.col(id_).alias("id"), F.col(vec), kind).mapInArrow(run, schema)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def nearest_of_all(points: DataFrame, k: int = 10, least: float = -1.0, id_: str = "id", vec: str = "vector", same: str | None = None, block: int = QUERY_BLOCK) -> DataFrame:
+    """batch_search() with every point as a query, in blocks of about so many queries, whatever their number.
+
+    A block is what the driver and a task hold at a time; its result is stored before the next.
+    """
+    blocks = -(-points.count() // block)
+    part = F.pmod(F.xxhash64(id_), F.lit(max(blocks, 1)))
+    parts = [written(batch_search(points, points.where(part == i), k, least, id_, vec, same=same), "nearest") for i in range(max(blocks, 1))]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def search_groups(scored: DataFrame, group: str, groups: int = 5, size: int = 3, id_: str = "id") -> DataFrame:
     """The best groups by their best score, each with its best rows."""
     inside = Window.partitionBy(group).orderBy(F.desc("score"), id_)

@@ -86,10 +86,7 @@ def g9_components(spark, sf):
 @query()
 def g10_greedy_clusters(spark, sf):
     p = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
-    near = S.batch_search(p, p, 10, 0.3)
-    labels = p.select("id", "label")
-    pairs = near.join(labels.withColumnsRenamed({"id": "query_id", "label": "group"}), "query_id").join(labels, "id").where(F.col("group") == F.col("label"))
-    return G.greedy_clusters(pairs.select("group", F.col("query_id").alias("a"), F.col("id").alias("b")), p.select("id", F.col("id").alias("at")), "group")
+    return G.greedy_groups(S.nearest_of_all(p, 10, 0.3, same="label"), p)
 
 
 @query("""WITH d AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) SELECT x.l_suppkey AS a, y.l_suppkey AS b, count(*) AS n FROM d x JOIN d y USING (l_orderkey) WHERE x.l_suppkey < y.l_suppkey GROUP BY ALL HAVING count(*) >= 3""")
