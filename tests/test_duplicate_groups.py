@@ -6,6 +6,7 @@ import pytest
 from tidewell.operators import graph as G
 from tidewell.operators import search as S
 from tidewell.plans import graphs
+from tidewell.plans import search as plans
 from tidewell.session import table
 
 
@@ -38,7 +39,7 @@ def test_groups_in_blocks_match_brute_force(spark, same):
     assert {tuple(r) for r in got.collect()} == brute(rows, 5, 0.8, same)
 
 
-@pytest.mark.parametrize("query, k, same", [(graphs.g10_greedy_clusters, 10, True)])
+@pytest.mark.parametrize("query, k, same", [(graphs.g10_greedy_clusters, 10, True), (plans.c7_duplicate_groups, 5, False)])
 def test_registered_groups_match_brute_force(spark, sf, query, k, same):
     rows = [tuple(r) for r in table(spark, sf, "embeddings").select("vec_id", "embedding", "label").collect()]
     assert {tuple(r) for r in query(spark, sf).collect()} == brute(rows, k, 0.3, same)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions import scoring, text, vectors
+from tidewell.operators import graph as G
 from tidewell.operators import search as S
 from tidewell.plans.registry import query
 from tidewell.session import table
@@ -85,6 +86,13 @@ def c7_duplicate_candidates(spark, sf):
     return near.groupBy("query_id").agg(F.count("*").alias("n_near"), F.min("id").alias("first_near"), F.round(F.max("score"), 6).alias("best"))
 
 
+@query()
+def c7_duplicate_groups(spark, sf):
+    """(seed, member) over all points; c7_duplicate_candidates has the counts of some seeds, which SQL can say."""
+    p = points(spark, sf)
+    return G.greedy_groups(S.nearest_of_all(p, 5, 0.3), p)
+
+
 WORDS_SQL = "list_filter(regexp_split_to_array(lower(text), '[^A-Za-z0-9_]+'), lambda w: length(w) > 2)"
 
 
