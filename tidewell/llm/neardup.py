@@ -1,22 +1,28 @@
 """Operator 9, MinHash near-dedup: a chosen-path set similarity join.
 
 Each text's set of word shingles gets ``COORDS`` minwise tokens. Texts with equal sets are one *class*.
-Independent trees branch the classes: a tree's roots are the values of one minwise token, and a
-node with more than ``SMALL`` classes branches again by one or two tokens that a hash of the node
-chooses, four for every three nodes, so that a pair at the threshold keeps about one common path
-on every level. Small nodes compare all their classes; large ones compare theirs with two pivots
-before they branch. What is still large on the last level, such as thousands of near copies, is
-settled after the pivots' links are known: only classes outside the node's main component are
-compared there with the rest, in blocks. Comparisons use a byte of each token and keep what could be
-at the threshold; every kept pair is then confirmed on the full sets, unless both ends already
-are in one component, to which a link between them would add nothing.
-
-Recall: a pair at 0.75 misses all ``TREES`` roots with probability 0.25**TREES; the byte sketch
-drops it with about 1e-5.
+Independent trees branch the classes: a tree's roots are the values of one minwise token. A node of
+``SMALL`` classes at most is compared whole, by a byte of each token. A larger one first sets
+aside those close to two pivots, where there are more than ``SMALL`` of these; the rest goes on to nodes of
+``PATHS`` sets of ``STEP`` tokens each that a hash of the node chooses. What is still large on the
+last level is set aside too.
+
+A node with many candidate pairs hands on a spanning forest of its likeliest ones and its members, not
+all pairs; so do groups set aside. Pairs are confirmed on the full sets: each class's likeliest
+first, then what still lies between components. A group whose members are then in several components
+is settled exactly: all members outside its main component meet all others in
+blocks that hold the full sets, and a block gives only links that join components.
+
+Recall of a pair at 0.75: 3/4 to share a tree's root. Each branching keeps a set of tokens with
+0.75**4 = 0.32, so 1.6 of the 5 paths go on: a path of any number of branchings is left with 0.73 at least, and
+all ten trees miss with (1 - 0.75 * 0.73)**10 = 4e-4; without branching, with 1e-6. The byte sketch
+drops a pair with about 1e-5. A member of a group set aside that lies beyond ``BORDER`` of the pivot
+goes on branching with the rest.
 
 Defined results: a text without words has an empty set, is linked with nothing and is its own
-component; null text is the empty text. Rows that share an id are one document to components. A
-row without an id has no component (null) and is kept; it links nothing. An empty table gives no rows.
+component, even beside other rows of its id; null text is the empty text. Rows that share an id
+are one document to components, whatever their texts. A row without an id has no component (null) and is kept; it links nothing.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,28 +32,33 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.llm import shingles
+from tidewell.llm.names import unused
 from tidewell.session import stored, written
 
-COORDS, TREES, SMALL, DEPTH = 64, 10, 24, 7
+COORDS, TREES, SMALL, DEPTH = 64, 10, 4096, 6
+#: Sets of tokens that a large node branches by, and tokens in each.
+PATHS, STEP = 5, 4
 PERCENT = 75
 #: Equal sketch bytes, of COORDS, from which a pair is kept: over 4 standard deviations below 0.75.
 EQUAL = 33
-#: Equal bytes from which a class is close to a pivot (0.8), and under which nothing linked with a close one is.
-CLOSE, BORDER = 52, 27
-#: Pairs of a class with one other component that are tried before all the rest.
-FIRST = 4
+#: Equal bytes from which a class is close to a pivot (0.8), and under which nothing linked with a close one is:
+#: 0.55 by the triangle inequality, less for the sketch's error on both sides.
+CLOSE, BORDER = 52, 20
+#: Candidate pairs of a node that are handed on one by one: this many, or four a class if that is more.
+FEW_PAIRS = 276
 #: Rows of ids up to which a side is broadcast (16 bytes each, 3 MB).
 BROADCAST_ROWS = 200_000
-BLOCK = 512
+#: Classes and bytes of text of one block of a group.
+BLOCK, BLOCK_BYTES = 2048, 16_000_000
 _RNG = np.random.default_rng(97)
 _A = _RNG.integers(0, 1 << 31, COORDS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _RNG.integers(0, 1 << 32, COORDS, dtype=np.uint32)
-SIGNATURE = "doc_id long, n_shingles long, digest binary, roots array<int>, mini binary"
-PAIRS = "a long, b long, equal int"
+SIGNATURE = "doc_id long, version long, n_shingles long, digest binary, roots array<int>, mini binary"
+COMPARED = "a long, b long, equal int, node long, mini binary"
 
 
 def encoded(texts: list[str | None]) -> list[bytes]:
@@ -78,14 +89,18 @@ def tokens(sets: list[np.ndarray]) -> np.ndarray:
     return out ^ (out >> np.uint32(15))
 
 
+def version() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("version")
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, the trees' root tokens and a byte of each token."""
+    """doc_id, version (a hash of the text), n_shingles, digest of the set, the trees' root tokens and a byte of each token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, high in runs(batch.column(1)):
+            for low, high in runs(batch.column(2)):
                 part = batch.slice(low, high - low)
-                sets = shingles.shingle_sets(encoded(part.column(1).to_pylist()))
+                sets = shingles.shingle_sets(encoded(part.column(2).to_pylist()))
                 full = [i for i, s in enumerate(sets) if len(s)]
                 roots, mini = [None] * len(sets), [None] * len(sets)
                 if full:
@@ -93,36 +108,93 @@ def signatures(docs: DataFrame) -> DataFrame:
                     low_bytes = (t & np.uint32(255)).astype(np.uint8)
                     for row, i in enumerate(full):
                         roots[i], mini[i] = t[row, :TREES].view(np.int32), low_bytes[row].tobytes()
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([shingles.digest(s) for s in sets], pa.binary()), pa.array(roots, pa.list_(pa.int32())), pa.array(mini, pa.binary())], [f.split()[0] for f in SIGNATURE.split(", ")])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([shingles.digest(s) for s in sets], pa.binary()), pa.array(roots, pa.list_(pa.int32())), pa.array(mini, pa.binary())], [f.split()[0] for f in SIGNATURE.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SIGNATURE)
+    return docs.select(F.col("doc_id").cast("long"), version(), F.col("text").cast("string")).mapInArrow(run, SIGNATURE)
 
 
-def _bytes(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, COORDS)
+# --- nodes ------------------------------------------------------------------------------------------
 
 
-def _ordered(a: np.ndarray, b: np.ndarray, equal: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(equal.astype(np.int32))], ["a", "b", "equal"])
+def _bytes(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, COORDS)
 
 
-def compare_small(nodes: DataFrame) -> DataFrame:
-    """All pairs of each small node that the sketches keep; nodes: ids, minis (arrays of SMALL at most)."""
+def equal_bytes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many bytes of the sketches x (n, COORDS) and y (m, COORDS) are equal: (n, m), bytes."""
+    if len(x) * len(y) <= 2500:
+        return (x[:, None, :] == y[None, :, :]).sum(axis=2, dtype=np.uint8)
+    out, columns = np.zeros((len(x), len(y)), np.uint8), np.ascontiguousarray(y.T)
+    for at in range(0, len(x), 128):
+        part, rows = out[at : at + 128], x[at : at + 128]
+        for k in range(COORDS):
+            part += rows[:, k, None] == columns[k]
+    return out
+
+
+def spanning(same: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of a maximum spanning forest of the pairs with at least ``least`` equal bytes (Prim)."""
+    n = len(same)
+    best, via, out = np.zeros(n, np.int16), np.zeros(n, np.int64), np.zeros(n, bool)
+    ends: list[tuple[int, int]] = []
+    for _ in range(n):
+        i = int(np.where(out, -1, best).argmax())
+        if best[i] >= least:
+            ends.append((int(via[i]), i))
+        out[i] = True
+        nearer = same[i] > best
+        best[nearer], via[nearer] = same[i][nearer], i
+    found = np.array(ends, np.int64).reshape(-1, 2)
+    return found[:, 0], found[:, 1]
+
+
+def compare_nodes(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b, equal) of nodes that fit one task; of a node with many, a forest and the members (a, node, mini)."""
+
+    def whole(node: int, ids: np.ndarray, x: np.ndarray, out: list[list]) -> None:
+        same = equal_bytes(x, x)
+        i, j = np.nonzero(np.triu(same >= EQUAL, 1))
+        if not len(i):
+            return
+        if len(i) > max(FEW_PAIRS, 4 * len(ids)):
+            paired = np.unique(np.concatenate([i, j]))
+            i, j = spanning(same, EQUAL)
+            for c, v in zip(out, (ids[paired], [None] * len(paired), [None] * len(paired), [node] * len(paired), [x[k].tobytes() for k in paired]), strict=True):
+                c.extend(v)
+        for c, v in zip(out, (np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), same[i, j], [None] * len(i), [None] * len(i)), strict=True):
+            c.extend(v)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[int, list, list] | None = None
         for batch in batches:
-            out: list[list[np.ndarray]] = [[], [], []]
-            for ids, minis in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x = np.frombuffer(b"".join(minis), np.uint8).reshape(-1, COORDS)
-                ids = np.array(ids, np.int64)
-                same = (x[:, None, :] == x[None, :, :]).sum(axis=2)
-                i, j = np.nonzero(np.triu(same >= EQUAL, 1))
-                for c, v in zip(out, (ids[i], ids[j], same[i, j]), strict=True):
-                    c.append(v)
-            if out[0]:
-                yield _ordered(*(np.concatenate(c) for c in out))
-
-    return nodes.mapInArrow(run, PAIRS).where("a < b")
+            if not batch.num_rows:
+                continue
+            out: list[list] = [[] for _ in range(5)]
+            node, ids, x = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _bytes(batch.column(2))
+            cuts = [0, *(np.flatnonzero(np.diff(node)) + 1).tolist(), len(node)]
+            if held and held[0] == node[0]:
+                held[1].append(ids[: cuts[1]])
+                held[2].append(x[: cuts[1]])
+                cuts = cuts[1:]
+            if held and len(cuts) > 1:
+                whole(held[0], np.concatenate(held[1]), np.concatenate(held[2]), out)
+                held = None
+            for low, high in zip(cuts[:-2], cuts[1:-1], strict=True):
+                if high - low > 1:
+                    whole(int(node[low]), ids[low:high], x[low:high], out)
+            if len(cuts) > 1:
+                held = (int(node[cuts[-2]]), [ids[cuts[-2] :]], [x[cuts[-2] :]])
+            yield batch_of(out)
+        if held and sum(map(len, held[1])) > 1:
+            out = [[] for _ in range(5)]
+            whole(held[0], np.concatenate(held[1]), np.concatenate(held[2]), out)
+            yield batch_of(out)
+
+    def batch_of(out: list[list]) -> pa.RecordBatch:
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], [f.split()[0] for f in COMPARED.split(", ")])
+
+    return rows.select("node", "cid", "mini").repartition("node").sortWithinPartitions("node").mapInArrow(run, COMPARED)
 
 
 def compare_pivots(members: DataFrame) -> DataFrame:
@@ -140,10 +212,13 @@ def compare_pivots(members: DataFrame) -> DataFrame:
 
 
 def branch(members: DataFrame) -> DataFrame:
-    """The next level: each node's chosen tokens lead its classes to new nodes."""
-    chosen = F.array_distinct(F.when(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(3)) == 0, F.array(*[F.pmod(F.xxhash64("node", F.lit(k)), F.lit(COORDS)) for k in (2, 3)])).otherwise(F.array(F.pmod(F.xxhash64("node", F.lit(2)), F.lit(COORDS)))))
-    byte = F.substring(F.col("mini"), F.col("c").cast("int") + 1, F.lit(1))
-    return members.select("node", "cid", "mini", F.explode(chosen).alias("c")).select(F.xxhash64("node", "c", byte).alias("node"), "cid", "mini")
+    """The next level: each node's chosen sets of tokens lead its classes to new nodes."""
+
+    def path(t: int) -> list:
+        place = lambda j: F.pmod(F.xxhash64("node", F.lit(STEP * t + j)), F.lit(COORDS)).cast("int") + 1
+        return F.xxhash64("node", F.lit(t), *[F.substring(F.col("mini"), place(j), F.lit(1)) for j in range(STEP)])
+
+    return members.select(F.explode(F.array(*[path(t) for t in range(PATHS)])).alias("next"), "cid", "mini").select(F.col("next").alias("node"), "cid", "mini")
 
 
 def side(df: DataFrame, rows: int) -> DataFrame:
@@ -151,32 +226,28 @@ def side(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def unlike(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("a", "b").agg(F.max("equal").alias("equal"))
-
-
-def chosen_paths(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """(pairs, dense): candidate pairs of classes, and (node, cid, mini) of groups that pivots settle."""
+def chosen_paths(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs, dense): candidate pairs (a, b, equal) of classes, and (node, cid, mini) of groups of which a forest alone is among the pairs."""
     roots = F.transform("roots", lambda v, i: F.struct(F.xxhash64(i, v).alias("node")))
     rows = classes.select("cid", "mini", F.inline(roots)).select("node", "cid", "mini")
     found, dense = [], []
     for level in range(DEPTH):
-        rows, _ = stored(rows, f"paths-{level}")
-        nodes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min(F.struct("cid", "mini")).alias("p"), F.min(F.struct(F.xxhash64("cid").alias("h"), "cid", "mini")).alias("q")).where("n > 1")
-        nodes = nodes.select("node", "n", F.col("p.cid").alias("p1"), F.col("p.mini").alias("m1"), F.col("q.cid").alias("p2"), F.col("q.mini").alias("m2"))
-        nodes, seen = stored(nodes, f"nodes-{level}", large=F.count_if(F.col("n") > SMALL))
-        if seen["rows"] > seen["large"]:
-            small = rows.join(side(nodes.where(F.col("n") <= SMALL).select("node"), seen["rows"]), "node")
-            found.append(written(unlike(compare_small(small.groupBy("node").agg(F.collect_list("cid").alias("ids"), F.collect_list("mini").alias("minis")).select("ids", "minis"))), f"small-{level}"))
-        if not seen["large"]:
+        # a large node takes SMALL rows, so these are few beside the rows
+        nodes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("mini", F.lit(1)).alias("h"), "cid", "mini")).alias("p"), F.min(F.struct(F.xxhash64("mini", F.lit(2)).alias("h"), "cid", "mini")).alias("q")).where(F.col("n") > SMALL)
+        nodes = nodes.select("node", F.col("p.cid").alias("p1"), F.col("p.mini").alias("m1"), F.col("q.cid").alias("p2"), F.col("q.mini").alias("m2"))
+        nodes, seen = stored(nodes, f"nodes-{level}")
+        small = rows.join(side(nodes.select("node"), seen["rows"]), "node", "left_anti") if seen["rows"] else rows
+        compared = written(compare_nodes(small), f"compared-{level}")
+        found.append(compared.where("node is null").select("a", "b", "equal"))
+        dense.append(compared.where("node is not null").select("node", F.col("a").alias("cid"), "mini"))
+        if not seen["rows"]:
             break
         # rows of a few hundred bytes: a tenth of the ids' bound
-        big = written(compare_pivots(rows.join(side(nodes.where(F.col("n") > SMALL), 10 * seen["large"]), "node")), f"large-{level}")
+        big = written(compare_pivots(rows.join(side(nodes, 10 * seen["rows"]), "node")), f"large-{level}")
         stars = reduce(DataFrame.unionByName, [big.where((F.col(f"same{k}") >= EQUAL) & (F.col(f"p{k}") != F.col("cid"))).select("cid", F.col(f"p{k}").alias("p"), F.col(f"same{k}").alias("equal")) for k in (1, 2)])
-        found.append(written(unlike(stars.select(F.least("cid", "p").alias("a"), F.greatest("cid", "p").alias("b"), "equal")), f"stars-{level}"))
+        found.append(stars.select(F.least("cid", "p").alias("a"), F.greatest("cid", "p").alias("b"), "equal"))
         close = [F.col(f"same{k}") >= CLOSE for k in (1, 2)]
-        groups = big.groupBy("node").agg(*[(F.count_if(c) > SMALL).alias(f"g{k}") for k, c in enumerate(close, 1)]).where("g1 or g2")
-        groups, n = stored(groups, f"groups-{level}")
+        groups, n = stored(big.groupBy("node").agg(*[(F.count_if(c) > SMALL).alias(f"g{k}") for k, c in enumerate(close, 1)]).where("g1 or g2"), f"groups-{level}")
         rest = big
         if n["rows"]:
             marked = big.join(side(groups, n["rows"]), "node", "left").withColumns({g: F.coalesce(g, F.lit(False)) for g in ("g1", "g2")})
@@ -185,11 +256,10 @@ def chosen_paths(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
             rest = marked.where(~((F.col("g1") & close[0]) | (F.col("g2") & close[1])))
         if level == DEPTH - 1:
             dense.append(rest.select("node", "cid", "mini"))
-        rows = branch(rest)
-    if not found:
-        return classes.select(F.col("cid").alias("a"), F.col("cid").alias("b"), F.lit(0).alias("equal")).limit(0), None
-    pairs = written(unlike(reduce(DataFrame.unionByName, found)), "pairs")
-    return pairs, written(reduce(DataFrame.unionByName, dense), "dense-groups") if dense else None
+        else:
+            rows = written(branch(rest), f"paths-{level}")
+    pairs = reduce(DataFrame.unionByName, found).groupBy("a", "b").agg(F.max("equal").alias("equal"))
+    return pairs, reduce(DataFrame.unionByName, dense)
 
 
 # --- confirmation and components --------------------------------------------------------------------
@@ -220,15 +290,53 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+class Union:
+    """Disjoint sets of numbers; the least of a set stands for it."""
+
+    def __init__(self) -> None:
+        self.above: dict[int, int] = {}
+
+    def of(self, x: int) -> int:
+        above, root = self.above, x
+        while (up := above.get(root, root)) != root:
+            root = up
+        while (up := above.get(x, x)) != root:
+            above[x], x = root, up
+        return root
+
+    def join(self, a: int, b: int) -> bool:
+        """False if they were in one set already."""
+        a, b = self.of(a), self.of(b)
+        if a != b:
+            self.above[max(a, b)] = min(a, b)
+        return a != b
+
+
+def joined_here(links: DataFrame) -> DataFrame:
+    """Links with the same components and at most one a class from each task: the tasks' own components as stars."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, seen = Union(), set()
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sets.join(a, b)
+                seen.update((a, b))
+        ends = [(sets.of(x), x) for x in seen if sets.of(x) != x]
+        yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in ends], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return links.select("a", "b").mapInArrow(run, "a long, b long")
+
+
 def components(links: DataFrame) -> tuple[DataFrame, int]:
     """((cid, label), rows) of the ends of links: the least id that each reaches.
 
-    Labels spread along links and then jump to their own labels, so long chains shorten by half
-    and more in each round; ends when nothing changes.
+    Each task first joins what it holds. Labels then spread along links and jump to their own
+    labels, so long chains shorten by half and more in each round; ends when nothing changes.
     """
-    both = written(links.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(links.select(F.col("b").alias("x"), F.col("a").alias("y"))), "links")
+    links = joined_here(links)
+    both = written(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).select(F.col("a").alias("x"), F.col("b").alias("y")), "links")
     labels, n = stored(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("label")).withColumnRenamed("x", "cid"), "labels")
-    while True:
+    while n["rows"]:
         of = side(labels, n["rows"])
         seen = both.join(of.withColumnsRenamed({"cid": "y", "label": "far"}), "y").groupBy("x").agg(F.min("far").alias("far"))
         spread = seen.join(of.withColumnRenamed("cid", "x"), "x").select("x", "label", F.least("label", "far").alias("next"))
@@ -237,110 +345,155 @@ def components(links: DataFrame) -> tuple[DataFrame, int]:
         labels, n = stored(jump.select(F.col("x").alias("cid"), label.alias("label"), (label < F.col("label")).alias("changed")), "labels", changed=F.count_if("changed"))
         labels = labels.select("cid", "label")
         if not n["changed"]:
-            return labels, n["rows"]
+            break
+    return labels, n["rows"]
 
 
 def across(pairs: DataFrame, labels: DataFrame, n: int) -> DataFrame:
-    """Pairs whose ends are in different components, with the components as la and lb."""
+    """Pairs whose ends are in different components."""
     of = lambda c: side(labels.select(F.col("cid").alias(c), F.col("label").alias("l" + c)), n)
     known = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    return known.withColumn("la", F.coalesce("la", "a")).withColumn("lb", F.coalesce("lb", "b")).where("la != lb")
-
+    return known.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select(*pairs.columns)
 
-def dense_pairs(dense: DataFrame, labels: DataFrame, n_labels: int) -> DataFrame:
-    """Pairs of large last-level nodes between classes outside the node's main component and all others.
 
-    Both sides are dealt into blocks of about BLOCK classes, and each pair of blocks is compared at once.
+def settled(dense: DataFrame, labels: DataFrame, n_labels: int, texts: DataFrame) -> DataFrame | None:
+    """Links (a, b) that join components inside dense groups: every member outside a group's main
+    component meets all others. Both sides are dealt into blocks of about BLOCK classes and
+    BLOCK_BYTES of text, and each pair of blocks is one run of rows, which a task compares on the
+    full sets; sketches only leave out what is far from the threshold. None: all groups are whole.
     """
     known = dense.join(side(labels, n_labels), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    sizes = known.groupBy("node", "label").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("node").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"), F.count("*").alias("parts")).where("parts > 1")
-    rows = written(known.join(main, "node").withColumn("outside", F.col("label") != F.col("main")), "dense")
-    n_all, n_out = F.ceil(F.col("n") / BLOCK).cast("int"), F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int")
+    known = written(known.join(texts.select("cid", "bytes"), "cid"), "dense")
+    by_label = known.groupBy("node", "label").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    blocks = lambda n, size: F.ceil(F.greatest(n / BLOCK, size / BLOCK_BYTES)).cast("int")
+    main = by_label.groupBy("node").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum("bytes").alias("size"), F.max("n").alias("most"), F.max_by("bytes", F.struct("n", "label")).alias("inside")).where("parts > 1")
+    main = main.select("node", "main", blocks(F.col("n"), F.col("size")).alias("every"), blocks(F.col("n") - F.col("most"), F.greatest(F.col("size") - F.col("inside"), F.lit(1))).alias("others"))
+    main, n_main = stored(main, "dense-groups")
+    if not n_main["rows"]:
+        return None
+    rows = known.join(side(main, n_main["rows"]), "node").withColumn("outside", F.col("label") != F.col("main"))
     deal = lambda n, seed: F.pmod(F.xxhash64("cid", F.lit(seed)), n).cast("int")
-    every = rows.select("node", "cid", "mini", "label", F.lit(False).alias("query"), deal(n_all, 1).alias("i"), F.explode(F.sequence(F.lit(0), n_out - 1)).alias("j"))
-    asked = rows.where("outside").select("node", "cid", "mini", "label", F.lit(True).alias("query"), F.explode(F.sequence(F.lit(0), n_all - 1)).alias("i"), deal(n_out, 2).alias("j"))
-    blocks = every.unionByName(asked).groupBy("node", "i", "j").agg(F.collect_list(F.struct("cid", "label", "query", "mini")).alias("m")).select("m.cid", "m.label", "m.query", "m.mini")
+    every = rows.select("node", "cid", "mini", "label", F.lit(False).alias("query"), deal(F.col("every"), 1).alias("i"), F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("j"))
+    asked = rows.where("outside").select("node", "cid", "mini", "label", F.lit(True).alias("query"), F.explode(F.sequence(F.lit(0), F.col("every") - 1)).alias("i"), deal(F.col("others"), 2).alias("j"))
+    placed = every.unionByName(asked).join(texts.select("cid", "text"), "cid").select(F.xxhash64("node", "i", "j").alias("block"), "query", "cid", "label", "mini", "text")
+
+    def compare(held: list[tuple]) -> list[tuple[int, int]]:
+        """Links between the block's queries and its members that join components; held: query, cid, label, mini, text."""
+        once = {h[1]: h for h in held}  # a query is a member as well, and may be in this block twice
+        rows, sets, out = list(once.values()), Union(), []
+        place = {c: k for k, c in enumerate(once)}
+        ids, x = np.array([r[1] for r in rows]), np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(-1, COORDS)
+        full = [s for at in range(0, len(rows), 64) for s in shingles.shingle_sets(encoded([r[4] for r in rows[at : at + 64]]))]
+        members = np.array(sorted({place[h[1]] for h in held if not h[0]}), np.int64)
+        labels = np.array([r[2] for r in rows])
+        asked = sorted({place[h[1]] for h in held if h[0]})
+        if not len(members) or not asked:
+            return out
+        near = equal_bytes(x[asked], x[members])
+        for q, same in zip(asked, near, strict=True):
+            order = members[np.argsort(-same.astype(np.int16), kind="stable")][: int((same >= EQUAL).sum())]
+            for at in range(0, len(order), 64):
+                part = [int(m) for m in order[at : at + 64] if sets.of(int(labels[m])) != sets.of(int(labels[q]))]
+                if not part:
+                    continue
+                lengths = np.array([len(full[m]) for m in part])
+                flat = np.concatenate([full[m] for m in part])
+                at_ = np.minimum(np.searchsorted(full[q], flat), len(full[q]) - 1)
+                both = np.add.reduceat((full[q][at_] == flat).astype(np.int64), np.cumsum(np.append(0, lengths[:-1])))
+                for k in np.flatnonzero(100 * both >= PERCENT * (lengths + len(full[q]) - both)):
+                    if sets.join(int(labels[q]), int(labels[part[k]])):
+                        out.append((int(ids[q]), int(ids[part[k]])))
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = None, []
+
+        def found() -> pa.RecordBatch:
+            links = compare(held)
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                ids, label, query = np.array(row[0]), np.array(row[1]), np.array(row[2], bool)
-                x = np.frombuffer(b"".join(row[3]), np.uint8).reshape(-1, COORDS)
-                rest = np.flatnonzero(~query)
-                for q in np.flatnonzero(query):
-                    same = (x[rest] == x[q]).sum(axis=1)
-                    hit = rest[(same >= EQUAL) & (label[rest] != label[q])]
-                    if len(hit):
-                        yield _ordered(ids[hit], np.full(len(hit), ids[q]), same[(same >= EQUAL) & (label[rest] != label[q])])
-
-    return blocks.mapInArrow(run, PAIRS).groupBy("a", "b").agg(F.max("equal").alias("equal"))
-
-
-def link(pairs: DataFrame, dense: DataFrame | None, texts: DataFrame) -> tuple[DataFrame | None, int]:
-    """Confirm pairs in rounds, and give the components' labels and their rows.
-
-    First each class is tried with the least and the likeliest of those before it. With the components that
-    gives, the dense groups add their pairs, and each class is tried with the likeliest ones in every other
-    component that it has pairs with; then all pairs that are still between components are. Pairs
-    inside one component need no trial.
+            for own, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if own != block and held:
+                    yield found()
+                    held = []
+                block = own
+                held.append(tuple(row))
+        if held:
+            yield found()
+
+    return placed.repartition("block").sortWithinPartitions("block").mapInArrow(run, "a long, b long")
+
+
+def link(pairs: DataFrame, dense: DataFrame, texts: DataFrame, given: DataFrame | None) -> tuple[DataFrame, int]:
+    """Confirm pairs in rounds, and give the components' labels and their rows; given: links that need no trial.
+
+    First each class is tried with the likeliest on either side of it, then all pairs that lie between
+    components, then dense groups that are not whole. Pairs inside one component need no trial.
     """
-    links, labels, n = None, None, 0
-    pairs, left = stored(pairs, "open")
+    labels, n = components(given if given is not None else pairs.select("a", "b").limit(0))
     for round_ in range(3):
-        if round_:
-            if round_ == 1 and dense is not None:
-                known = labels if labels is not None else pairs.select(F.col("a").alias("cid"), F.col("b").alias("label")).limit(0)
-                pairs = unlike(pairs.unionByName(dense_pairs(dense, known, n).join(side(tried, n_tried["rows"]), ["a", "b"], "left_anti")))
-            if labels is not None:
-                pairs = across(pairs, labels, n)
-            else:
-                pairs = pairs.withColumns({"la": F.col("a"), "lb": F.col("b")})
-            pairs, left = stored(pairs, "open")
-        if not left["rows"] and (round_ or dense is None):
-            break
         if round_ == 0:
-            tried = pairs.groupBy("b").agg(F.min("a").alias("a"), F.max_by("a", F.struct("equal", -F.col("a"))).alias("near"))
-            tried = tried.select("b", F.explode(F.array_distinct(F.array("a", "near"))).alias("a"))
+            near = lambda k, to: pairs.groupBy(F.col(k).alias("k")).agg(F.max_by(to, F.struct("equal", -F.col(to))).alias("to"))
+            tried = near("b", "a").select(F.col("to").alias("a"), F.col("k").alias("b")).union(near("a", "b").select(F.col("k").alias("a"), F.col("to").alias("b"))).distinct()
         elif round_ == 1:
-            place = F.row_number().over(Window.partitionBy("b", "la").orderBy(F.desc("equal"), "a"))
-            tried = pairs.withColumn("place", place).where(F.col("place") <= FIRST)
-        else:
-            tried = pairs
-        tried, n_tried = stored(tried.select("a", "b"), "tried")
-        good, n_good = stored(confirm(tried, texts), "confirmed")
-        pairs = pairs.select("a", "b", "equal").join(side(tried, n_tried["rows"]), ["a", "b"], "left_anti")
-        if n_good["rows"]:
-            links = good if links is None else links.unionByName(good)
-            labels, n = components(links)
+            tried = across(pairs.select("a", "b").join(side(tried, n_tried["rows"]), ["a", "b"], "left_anti"), labels, n)
+        good = settled(dense, labels, n, texts) if round_ == 2 else None
+        if round_ < 2:
+            tried, n_tried = stored(tried, "tried")
+            good = confirm(tried, texts) if n_tried["rows"] else None
+        if good is not None:
+            labels, n = components(labels.where("cid != label").select(F.col("label").alias("a"), F.col("cid").alias("b")).unionByName(good))
     return labels, n
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of docs."""
     signed = written(signatures(docs), "signatures")
-    grouped = signed.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("cid"), F.max(F.struct("mini", "roots")).alias("s"))
-    classes = written(grouped.select("digest", "cid", "s.mini", "s.roots"), "classes")
+    sets = signed.where("n_shingles > 0 and doc_id is not null")
+    grouped = sets.groupBy("digest").agg(F.min(F.struct("doc_id", "version")).alias("least"), F.max(F.struct("mini", "roots")).alias("s"))
+    # ids of classes are free of documents' ids, of which one may have several texts
+    classes = written(grouped.select(F.monotonically_increasing_id().alias("cid"), F.col("least.doc_id").alias("least"), F.col("least.version").alias("version"), "digest", "s.mini", "s.roots"), "classes")
     pairs, dense = chosen_paths(classes)
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("cid"))
-    ids, n_ids = stored((ends if dense is None else ends.unionByName(dense.select("cid"))).distinct(), "paired")
-    texts = written(docs.select(F.col("doc_id").cast("long").alias("cid"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(side(ids, n_ids["rows"]), "cid"), "texts")
-    labels, n = link(pairs, dense, texts)
-    if labels is None:
-        labels = classes.select("cid", F.col("cid").alias("label")).limit(0)
-    of_class = classes.join(side(labels, n), "cid", "left").select("digest", F.coalesce("label", "cid").alias("label"))
+    pairs = written(pairs, "pairs")
+    several = sets.groupBy("doc_id").agg(F.min("digest").alias("one"), F.max("digest").alias("other")).where("one != other").select("doc_id")
+    several, n_several = stored(several, "ids-of-several-texts")
+    given = None
+    if n_several["rows"]:
+        of = sets.join(side(several, n_several["rows"]), "doc_id").select("doc_id", "digest").distinct().join(classes.select("digest", "cid"), "digest")
+        first = of.groupBy("doc_id").agg(F.min("cid").alias("a"))
+        given = of.join(first, "doc_id").select("a", F.col("cid").alias("b")).where("a != b")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("cid")).unionByName(dense.select("cid")).distinct()
+    ids, n_ids = stored(classes.select("cid", "least", "version").join(ends, "cid"), "paired")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("least"), version(), text.alias("text"), F.octet_length(text).cast("long").alias("bytes"))
+    texts, n_texts = stored(rows.join(side(ids, n_ids["rows"]), ["least", "version"]).select("cid", "text", "bytes"), "texts")
+    if n_texts["rows"] > n_ids["rows"]:  # rows that repeat
+        texts = written(texts.dropDuplicates(["cid"]), "texts-once")
+    labels, n = link(pairs, dense, texts, given)
+    known = classes.select("cid", "digest", "least").join(side(labels, n), "cid", "left")
+    least = known.where("label is not null").groupBy("label").agg(F.min("least").alias("component"))
+    of_class = known.join(side(least, n), "label", "left").select("digest", F.coalesce("component", "least").alias("component"))
     out = signed.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
-    own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("label")).otherwise(F.col("doc_id"))
+    own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """docs without the rows whose component has a document of a lesser id; of rows that share an id one stays."""
+    """docs without the rows whose component has a document of a lesser id.
+
+    Of rows that share an id the first by all their columns, as JSON, stays. Rows without an id all stay.
+    A null or empty text is linked with nothing, so its row stays. Other columns may have any names.
+    """
     judged = near_duplicates(docs)
-    gone, n = stored(judged.where("not kept").select(F.col("doc_id").alias("__id")).distinct(), "dropped")
-    left = docs.join(side(gone, n["rows"]), docs["doc_id"].cast("long") == F.col("__id"), "left_anti")
-    again, n = stored(docs.groupBy(F.col("doc_id").cast("long").alias("__id")).count().where("count > 1 and __id is not null").select("__id"), "repeated")
-    if not n["rows"]:
-        return left
-    same = left["doc_id"].cast("long") == F.col("__id")
-    return left.join(side(again, n["rows"]), same, "left_anti").unionByName(left.join(side(again, n["rows"]), same, "left_semi").dropDuplicates(["doc_id"]))
+    key = unused(docs, "key")
+    gone, n = stored(judged.where("not kept").select(F.col("doc_id").alias(key)).distinct(), "dropped")
+    keyed = docs.withColumn(key, F.col("doc_id").cast("long"))
+    left = keyed.join(side(gone, n["rows"]), key, "left_anti")
+    again, n = stored(keyed.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key), "repeated")
+    if n["rows"]:
+        place = unused(docs, "place")
+        order = Window.partitionBy(key).orderBy(F.to_json(F.struct(*docs.columns)))
+        once = left.join(side(again, n["rows"]), key, "left_semi").withColumn(place, F.row_number().over(order)).where(F.col(place) == 1)
+        left = left.join(side(again, n["rows"]), key, "left_anti").unionByName(once.drop(place))
+    return left.select(*docs.columns)
