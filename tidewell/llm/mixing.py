@@ -8,88 +8,153 @@ many of each source among them is a multivariate-hypergeometric draw, so the cou
 exactly. A leaf's shard takes the next blocks of each source's order, disjoint from all others,
 and is shuffled by itself.
 
+Nothing here goes through the driver but figures of partitions and of rounds: sources are ranked and
+filled in tables, and tasks draw the tree's parts, ``PART`` shards each, from nodes' own
+seeds. Sources are split together in groups of ``GROUP``, so a task's memory is bounded too.
+
 Defined results: a document's size is its number of words; null or empty texts have size 0 and
 are taken like others where their block is. Null is a source, last in the order of weights. Rows
-that share an id are dealt together and taken each. Draws depend on ids, sources and the seed only.
+that share an id are dealt together; where one block is cut they come by size, then by a hash of
+the text. Rows without an id are dealt by their text. Draws depend on ids, texts, sources and the
+seed only. An empty table gives no rows. Other columns may have any names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.session import written
+from tidewell.session import stored, written
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2
 BLOCKS = 4096
-#: Words of the mix for each output shard, and the most shards, which bounds the driver's plan.
-SHARD_WORDS, MOST_SHARDS = 4_000_000, 1 << 14
-#: Sources whose totals the driver plans with; beyond it the plan is refused rather than cut.
-MOST_SOURCES = 100_000
+#: Words of the mix for each output shard.
+SHARD_WORDS = 4_000_000
+#: Shards of one part of the tree, and sources that one tree splits.
+PART, GROUP = 64, 10_000
+#: Rows of under 64 bytes up to which a side is broadcast.
+BROADCAST_ROWS = 200_000
 
 
 def sizes(docs: DataFrame, seed: int = 0, keep: bool = False) -> DataFrame:
-    """doc_id, source, size (words), block and key (its place in the block); with keep also ``row``, all of docs' columns."""
-    words = F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    dealt = F.xxhash64(F.lit(seed), F.col("doc_id"))
+    """doc_id, source, size (words), version (a hash of the text), block and key (its place in the block); with keep also ``row``, all of docs' columns."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    words = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+    version = F.xxhash64(text)
+    dealt = F.when(F.col("doc_id").isNull(), version).otherwise(F.col("doc_id").cast("long"))
     rest = [F.struct(*docs.columns).alias("row")] if keep else []
-    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), words.alias("size"), F.pmod(dealt, F.lit(BLOCKS)).cast("int").alias("block"), F.xxhash64(F.lit(seed + 1), F.col("doc_id")).alias("key"), *rest)
-
-
-def water_fill(totals: list[int], weights: list[float], share: float = SHARE, most: float = MOST) -> list[float]:
-    """Targets in proportion to the weights that sum to share of the totals, none above most times its total."""
-    left, open_, target = share * sum(totals), [i for i in range(len(totals))], [0.0] * len(totals)
-    while open_:
-        unit = left / sum(weights[i] for i in open_)
-        full = [i for i in open_ if unit * weights[i] >= most * totals[i]]
-        for i in full or open_:
-            target[i] = float(most * totals[i]) if full else unit * weights[i]
-        if not full:
+    block = F.pmod(F.xxhash64(F.lit(seed), dealt), F.lit(BLOCKS)).cast("int")
+    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), words.alias("size"), version.alias("version"), block.alias("block"), F.xxhash64(F.lit(seed + 1), dealt).alias("key"), *rest)
+
+
+def side(df: DataFrame, rows: int) -> DataFrame:
+    """A side of a join whose rows were counted: broadcast if few, else left to the planner."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def ranked(sources: DataFrame) -> DataFrame:
+    """sources (a row each) with ``at``, its place by code point from 0, null last: ordered in ranges, whose counts alone are gathered."""
+    n = max(1, int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    order = F.col("source").asc_nulls_last()
+    placed = written(sources.repartitionByRange(n, order).withColumn("part", F.spark_partition_id()), "mix-ranges")
+    counts = sorted(placed.groupBy("part").count().collect())  # a row a partition
+    before = {p: sum(c for q, c in counts if q < p) for p, _ in counts}
+    inside = F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1
+    start = F.element_at(F.create_map(*[F.lit(x) for p, b in before.items() for x in (p, b)]), F.col("part")) if before else F.lit(0)
+    return placed.withColumn("at", (inside + start).cast("long")).drop("part")
+
+
+def water_fill(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """sources (at, total) with ``target``: in proportion to the weights, share of all totals together, none above most times its own.
+
+    Sources over their bound are full, and the rest is shared again; each round is one aggregation, until none is above.
+    """
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("at") % len(weights) + 1).cast("int"))
+    level, n_full = 0.0, -1
+    while True:
+        full = level * weight >= most * F.col("total")
+        rows = sources.agg(F.sum("total").alias("all"), F.sum(F.when(full, F.col("total"))).alias("full"), F.sum(F.when(~full, weight)).alias("open"), F.count_if(full).alias("n")).first()
+        if rows["n"] == n_full or not rows["open"]:
+            level = level if rows["open"] else float("inf")
             break
-        left -= sum(target[i] for i in full)
-        open_ = [i for i in open_ if i not in set(full)]
-    return target
+        n_full, level = rows["n"], (share * rows["all"] - most * (rows["full"] or 0)) / rows["open"]
+    bound = (most * F.col("total")).cast("double")
+    return sources.withColumn("target", F.least(F.lit(level) * weight, bound))
 
 
-def split_tree(quotas: np.ndarray, shards: int, seed: int = 0) -> np.ndarray:
-    """Blocks of each source for each shard (shards, sources); columns sum to quotas exactly."""
-    out = np.zeros((shards, len(quotas)), np.int64)
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many of n draws without return from good + bad are good, for numbers of any size.
+
+    Inversion over the places within 12 standard deviations of the mode, by the ratios of neighbours.
+    """
+    low, high = max(0, n - bad), min(n, good)
+    if low == high:
+        return low
+    total = good + bad
+    mode = min(max((n + 1) * (good + 1) // (total + 2), low), high)
+    spread = 12 * (1 + int((n * good / total * (bad / total) * ((total - n) / max(total - 1, 1))) ** 0.5))
+    low, high = max(low, mode - spread), min(high, mode + spread)
+    k = np.arange(low, high, dtype=np.float64)
+    steps = np.log(good - k) + np.log(n - k) - np.log(k + 1) - np.log(bad - n + k + 1)
+    weights = np.concatenate([[0.0], np.cumsum(steps)])
+    chances = np.cumsum(np.exp(weights - weights.max()))
+    return low + int(np.searchsorted(chances, rng.random() * chances[-1], side="right"))
+
+
+def drawn_counts(rng: np.random.Generator, has: np.ndarray, n: int) -> np.ndarray:
+    """A multivariate-hypergeometric draw of n from the counts has: by halves of the kinds, each a hypergeometric draw."""
+    if len(has) == 1:
+        return np.array([n], np.int64)
+    middle = len(has) // 2
+    left = hypergeometric(rng, int(has[:middle].sum()), int(has[middle:].sum()), n)
+    return np.concatenate([drawn_counts(rng, has[:middle], left), drawn_counts(rng, has[middle:], n - left)])
+
+
+def split_tree(quotas: np.ndarray, shards: int, seed: int = 0, first: int = 0, last: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, counts) of each source's blocks for the shards first..last (shards, sources); over all shards counts add up to quotas exactly.
+
+    A node's generator is made from the node, so any part of the tree is drawn again alone, with the same result.
+    """
+    last = shards if last is None else last
+    counts = np.zeros((last - first, len(quotas)), np.int64)
+    starts = np.zeros_like(counts)
 
-    def split(low: int, high: int, has: np.ndarray) -> None:
+    def split(low: int, high: int, start: np.ndarray, has: np.ndarray) -> None:
+        if high <= first or low >= last:
+            return
         if high - low == 1:
-            out[low] = has
+            starts[low - first], counts[low - first] = start, has
             return
         middle = (low + high) // 2
         n = int(has.sum()) * (middle - low) // (high - low)
-        # the generator is made from the node, so a subtree can be drawn again alone
-        left = np.random.default_rng([seed, low, high]).multivariate_hypergeometric(has, n, method="marginals") if len(has) and has.sum() < 10**9 else has * (middle - low) // (high - low)
-        split(low, middle, left)
-        split(middle, high, has - left)
+        left = drawn_counts(np.random.default_rng([seed, low, high]), has, n) if len(has) else has
+        split(low, middle, start, left)
+        split(middle, high, start + left, has - left)
 
-    split(0, shards, np.asarray(quotas, np.int64))
-    return out
+    split(0, shards, np.zeros(len(quotas), np.int64), np.asarray(quotas, np.int64))
+    return starts, counts
 
 
 def plan(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 0) -> DataFrame:
-    """How often each block is taken: source, block, rank (place in the source's order), passes (whole
+    """How often each block is taken: source, at (the source's place), block, rank (place in the source's order), passes (whole
     times it is taken), rest (words of it that are taken once more; null: none, -1: all), source_size, target."""
-    spark = sized.sparkSession
-    blocks = written(sized.groupBy("source", "block").agg(F.sum("size").alias("words"), F.count("*").alias("docs")), "mix-blocks")  # BLOCKS rows a source at most
-    rows = blocks.groupBy("source").agg(F.sum("words").alias("total"), F.count("*").alias("blocks")).limit(MOST_SOURCES + 1).collect()
-    if len(rows) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    rows = sorted(rows, key=lambda r: (r[0] is None, (r[0] or "").encode("utf-32-be")))
-    targets = water_fill([r[1] for r in rows], [weights[i % len(weights)] for i in range(len(rows))], share, most)
-    planned = [(r[0], int(r[1]), float(t), int(t // r[1]) if r[1] else 0, int(round(t - t // r[1] * r[1])) if r[1] else 0) for r, t in zip(rows, targets, strict=True)]
-    sources = spark.createDataFrame(planned, "source string, source_size long, target double, passes int, more long")
-    order = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed + 2), "source", "block"), "block")
-    placed = blocks.join(F.broadcast(sources.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    blocks = written(sized.groupBy("source", "block").agg(F.sum("size").alias("words")), "mix-blocks")  # BLOCKS rows a source at most
+    totals = ranked(blocks.groupBy("source").agg(F.sum("words").alias("total")))
+    sources, n = stored(water_fill(written(totals, "mix-totals"), weights, share, most), "mix-sources")
+    passes = F.when(F.col("total") > 0, F.floor(F.col("target") / F.col("total"))).otherwise(0).cast("int")
+    sources = sources.select(F.col("source").alias("s"), "at", F.col("total").cast("long").alias("source_size"), "target", passes.alias("passes"))
+    sources = sources.withColumn("more", F.round(F.col("target") - F.col("passes") * F.col("source_size")).cast("long"))
+    order = Window.partitionBy("at").orderBy(F.xxhash64(F.lit(seed + 2), "source", "block"), "block")
+    placed = blocks.join(side(sources, n["rows"]), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     placed = placed.withColumn("rank", F.row_number().over(order) - 1).withColumn("upto", F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     rest = F.when(F.col("upto") <= F.col("more"), F.lit(-1)).when(F.col("upto") - F.col("words") < F.col("more"), F.col("more") - (F.col("upto") - F.col("words")))
     placed = placed.withColumn("rest", rest.cast("long"))
-    return placed.select("source", "block", "rank", "passes", "rest", "source_size", "target")
+    return placed.select("source", "at", "block", "rank", "passes", "rest", "source_size", "target")
 
 
 def take(sized: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -98,10 +163,9 @@ def take(sized: DataFrame, blocks: DataFrame) -> DataFrame:
     Where a block is cut, its rows in hashed order are taken while the middle of a row lies before
     the rest's end, so a source ends within half a document of its target.
     """
-    small = blocks.count() <= 200_000  # rows of under 64 bytes
     named = blocks.withColumnsRenamed({"source": "s", "block": "b"})
-    joined = sized.join(F.broadcast(named) if small else named, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))).drop("s", "b")
-    before = F.sum("size").over(Window.partitionBy("source", "block").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+    joined = sized.join(side(named, blocks.count()), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))).drop("s", "b")
+    before = F.sum("size").over(Window.partitionBy("source", "block").orderBy("key", "doc_id", "size", "version").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     cut = joined.where("rest >= 0").withColumn("more", (before + F.col("size") / 2 <= F.col("rest")).cast("int"))  # a block a source at most
     whole = joined.where("rest is null or rest < 0").withColumn("more", F.coalesce((F.col("rest") < 0).cast("int"), F.lit(0)))
     return whole.unionByName(cut).withColumn("copies", F.col("passes") + F.col("more")).drop("more")
@@ -114,40 +178,47 @@ def mix(docs: DataFrame, seed: int = 0, **how) -> DataFrame:
     return take(sized, blocks).select("doc_id", "source", "size", "source_size", "target", "copies")
 
 
-def shard_table(blocks: DataFrame, shards: int, seed: int) -> list[tuple]:
-    """(source, shard, low, high, blocks in the source): which draws of each source go to which shard.
+def shard_table(blocks: DataFrame, shards: int, seed: int = 0) -> DataFrame:
+    """at, shard, low, high, in_source (the source's blocks): which draws of each source go to which shard.
 
-    A source's draws are numbered: pass by pass, in each pass by the order of its blocks.
+    A source's draws are numbered: pass by pass, in each pass by the order of its blocks. The tree is drawn
+    in parts, each by a task for a group of sources.
     """
     drawn = F.col("passes") + F.when(F.col("rest").isNotNull(), 1).otherwise(0)
-    rows = blocks.groupBy("source").agg(F.sum(drawn).alias("n"), F.count("*").alias("blocks")).collect()
-    rows = sorted(rows, key=lambda r: (r[0] is None, (r[0] or "").encode("utf-32-be")))
-    counts = split_tree(np.array([r[1] for r in rows], np.int64), shards, seed)
-    ends = counts.cumsum(axis=0)
-    return [(r[0], s, int(ends[s, k] - counts[s, k]), int(ends[s, k]), r[2]) for k, r in enumerate(rows) for s in range(shards) if counts[s, k]]
+    quotas = blocks.groupBy("at").agg(F.sum(drawn).alias("n"), F.count("*").alias("in_source"))
+    groups = quotas.groupBy((F.col("at") / GROUP).cast("long").alias("group")).agg(F.array_sort(F.collect_list(F.struct("at", "n", "in_source"))).alias("q"))  # GROUP sources at most
+    parts = groups.select("group", "q.at", "q.n", "q.in_source", F.explode(F.sequence(F.lit(0), F.lit(shards - 1), F.lit(PART))).alias("first"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for group, at, n, in_source, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                starts, counts = split_tree(np.array(n, np.int64), shards, seed + 7919 * group, first, min(first + PART, shards))
+                shard, source = np.nonzero(counts)
+                low = starts[shard, source]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in ((np.array(at)[source], pa.int64()), (shard + first, pa.int32()), (low, pa.int64()), (low + counts[shard, source], pa.int64()), (np.array(in_source)[source], pa.int64()))], ["at", "shard", "low", "high", "in_source"])
+
+    return parts.repartition("group", "first").mapInArrow(run, "at long, shard int, low long, high long, in_source long")
 
 
 def deal(docs: DataFrame, blocks: DataFrame, shards: int | None, seed: int) -> tuple[DataFrame, int]:
-    """(rows, shards): a row for each time a row of docs is taken: doc_id, source, size, docs' columns as ``row``, shard, and place (its shuffled order there)."""
-    spark = docs.sparkSession
+    """(rows, shards): a row for each time a row of docs is taken: doc_id, source, size, version, docs' columns as ``row``, shard, and place (its shuffled order there)."""
     if shards is None:
-        words = blocks.select("source", "target").distinct().agg(F.sum("target")).first()[0] or 0
-        shards = min(MOST_SHARDS, 1 << max(0, int(words / SHARD_WORDS)).bit_length())
-    ranges = spark.createDataFrame(shard_table(blocks, shards, seed), "s string, shard int, low long, high long, in_source long")  # shards rows a source at most
-    turns = ranges.where("high > low").select("s", "in_source", "shard", F.explode(F.sequence("low", F.col("high") - 1)).alias("draw"))
+        words = blocks.groupBy("at").agg(F.first("target").alias("t")).agg(F.sum("t")).first()[0] or 0
+        shards = 1 << max(0, int(words / SHARD_WORDS)).bit_length()
+    ranges = shard_table(blocks, shards, seed)
+    turns = ranges.select("at", "in_source", "shard", F.explode(F.sequence("low", F.col("high") - 1)).alias("draw"))
     # a row for each draw of a block: what a source's order says of (rank, pass), by equality
-    turns = turns.select("s", "shard", (F.col("draw") % F.col("in_source")).alias("r"), F.floor(F.col("draw") / F.col("in_source")).cast("int").alias("pass"))
-    by_block = turns.groupBy("s", "r").agg(F.map_from_entries(F.collect_list(F.struct("pass", "shard"))).alias("shards"))  # passes are bounded by MOST
-    placed = blocks.join(by_block, F.col("source").eqNullSafe(F.col("s")) & (F.col("rank") == F.col("r"))).drop("s", "r")
-    taken = take(sizes(docs, seed, keep=True), written(placed, "mix-turns")).where("copies > 0")
+    turns = turns.select("at", "shard", (F.col("draw") % F.col("in_source")).cast("int").alias("rank"), F.floor(F.col("draw") / F.col("in_source")).cast("int").alias("pass"))
+    by_block = turns.groupBy("at", "rank").agg(F.map_from_entries(F.collect_list(F.struct("pass", "shard"))).alias("shards"))  # passes are bounded by MOST
+    taken = take(sizes(docs, seed, keep=True), written(blocks.join(by_block, ["at", "rank"]), "mix-turns")).where("copies > 0")
     taken = taken.withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     shard = F.element_at("shards", F.col("pass")).alias("shard")
-    return taken.select("doc_id", "source", "size", "row", shard, F.xxhash64(F.lit(seed + 3), "doc_id", "pass").alias("place")), shards
+    return taken.select("doc_id", "source", "size", "version", "row", shard, F.xxhash64(F.lit(seed + 3), "doc_id", "pass", "version").alias("place")), shards
 
 
 def shuffled(rows: DataFrame, shards: int) -> DataFrame:
     """Rows of deal(): each partition is a shard, in its shuffled order."""
-    return rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("place")
+    return rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "place", "doc_id", "version")
 
 
 def draws(docs: DataFrame, shards: int | None = None, seed: int = 0, **how) -> tuple[DataFrame, int]:
@@ -167,16 +238,16 @@ def drawn(docs: DataFrame, shards: int | None = None, seed: int = 0, **how) -> D
     """doc_id, source, size, source_size, target and copies of every row of docs, counted in the mix itself.
 
     The mix is made whole, documents in shuffled shards, and stored; a row's copies are the draws found
-    there. Rows of one id, source and size are one another's equals here, and share their draws out.
+    there. Rows of one id, source and text are one another's equals here, and share their draws out.
     """
     sized = written(sizes(docs, seed), "mix-sizes")
     blocks = written(plan(sized, seed=seed, **how), "mix-plan")
     rows, shards = deal(docs, blocks, shards, seed)
     mixed = written(shuffled(rows, shards), "mix-shards", compression="zstd")
-    key = ["doc_id", "source", "size"]
+    key = ["doc_id", "source", "size", "version"]
     both = sized.select(*key, F.lit(1).alias("n"), F.lit(0).alias("d")).unionByName(mixed.select(*key, F.lit(0).alias("n"), F.lit(1).alias("d")))
     counted = both.groupBy(*key).agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
     each = counted.select(*key, "n", "d", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
     copies = (F.floor(F.col("d") / F.col("n")) + (F.col("i") < F.col("d") % F.col("n")).cast("int")).cast("int")
     sources = blocks.select(F.col("source").alias("s"), "source_size", "target").distinct()
-    return each.select(*key, copies.alias("copies")).join(sources, F.col("source").eqNullSafe(F.col("s"))).select(*key, "source_size", "target", "copies")
+    return each.select(*key, copies.alias("copies")).join(sources, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "size", "source_size", "target", "copies")
