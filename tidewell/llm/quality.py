@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tidewell.llm.rules import counts
 from tidewell.session import written
 
-FEATURES = ("log_words", "word_length", "upper", "digit", "punct", "space", "other", "symbols", "dup_lines", "repeat_words", "distinct", "again", "common", "log_lines")
+FEATURES = ("log_words", "word_length", "upper", "digit", "punct", "space", "other", "symbols", "dup_lines", "repeat_words", "distinct", "again", "short", "log_chars")
 SAMPLE = 20_000
 BINS, PAIR_BINS, PAIRS = 32, 8, 6
 THRESHOLD = 0.7
@@ -35,11 +35,10 @@ def held_out(doc_id):
 
 def features(docs: DataFrame) -> DataFrame:
     """doc_id and x, an array by FEATURES, for every row of docs."""
-    c = counts(docs.select("doc_id", "text"))
+    c = counts(docs.select("doc_id", "text"), more=True)
     words, chars = F.greatest("n_words", F.lit(1)), F.greatest("n_chars", F.lit(1))
     kind = lambda i: F.get("classes", F.lit(i)) / chars
-    common = F.aggregate("common", F.lit(0).cast("long"), lambda a, x: a + x)
-    x = [F.log1p("n_words"), F.col("word_chars") / words, kind(1), kind(2), kind(3), kind(4), kind(5), F.col("n_symbols") / chars, F.log1p("n_dup_lines"), F.col("n_repeat_words") / words, F.col("n_distinct") / words, F.col("n_again") / words, common / words, F.log1p("n_chars")]
+    x = [F.log1p("n_words"), F.col("word_chars") / words, kind(1), kind(2), kind(3), kind(4), kind(5), F.col("n_symbols") / chars, F.log1p("n_dup_lines"), F.col("n_repeat_words") / words, F.col("n_distinct") / words, F.col("n_again") / words, F.col("n_short") / words, F.log1p("n_chars")]
     return c.select("doc_id", F.array(*[v.cast("double") for v in x]).alias("x"))
 
 

@@ -1,85 +1,111 @@
 """Operator 7, quality rules: divergence of a text's histograms from language references.
 
-Two histograms of each document, of character classes and of a language's common words, are
-compared with the same histograms of all sound documents of each language, by Jensen-Shannon
-distance; the nearest language counts. How far words may be is taken from the corpus: short texts
-scatter more, so sound documents of about one length (a power of two of words) give a limit
-(the upper quartile plus FENCE times the span of the quartiles). A text with none of the nearest
-language's common words is always beyond it. Very short texts, whose histograms are noise, pass.
-All of it is DataFrame functions; the texts are read once, and the counts are stored.
+Two histograms of each document, of character classes and of its language's common words, are
+compared by Jensen-Shannon distance with the same histograms of all sound documents of that
+language. The languages and their ``COMMON`` most frequent words are those of the corpus. How far
+words may be is taken from the corpus too: short texts scatter more, so sound documents of about
+one length (a power of two of words) give a limit (the upper quartile plus FENCE times the span of
+the quartiles). A text with none of its language's common words is always beyond it. Very short
+texts, whose histograms are noise, pass. All of it is DataFrame functions; the texts are read
+twice, for the words and for the counts, and the counts are stored.
 
 Defined results: null text has no words and fails the base rules, like any text under 50 words.
-A language without ``REFERENCE_WORDS`` words of sound text gives no reference; with none at all,
-what passes the base rules is kept. Rows that repeat, or share an id, are judged each.
+A language without ``REFERENCE_WORDS`` words of text, or of sound text, gives no reference; what has no
+reference, or no language, is kept if it passes the base rules. Rows that repeat, or share an id, are judged each.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.session import written
+from tidewell.session import stored, written
 
 SPACE = r"[\x20\x09-\x0D]+"
-#: Common words of each language, with which a text's words are compared in lower case.
-COMMON = {
-    "en": "the and of to in a is that for it as was with on be by".split(),
-    "fr": "le la de et les des en un une du que est pour dans sur il".split(),
-    "de": "der die und in den von zu das mit sich auf ist im dem nicht ein".split(),
-    "es": "de la que el en y a los se del las un por con no una".split(),
-}
-WORDS = sorted({w for ws in COMMON.values() for w in ws})
+#: Common words of a language: the most frequent ones, as they are written.
+COMMON = 20
 CLASSES = ("lower", "upper", "digit", "punct", "space", "other")
 #: Words and characters under which a histogram is not compared.
 LEAST_WORDS, LEAST_CHARS = 50, 200
 REFERENCE_WORDS = 1000
-#: Largest distance (0 to 1) of a kept text's classes from its nearest reference; of its words, see word_limits().
+#: Largest distance (0 to 1) of a kept text's classes from its reference; of its words, see word_limits().
 MOST_CLASSES, FENCE = 0.26, 1.5
 #: Sound documents of a length under which the limit of the next shorter length holds.
 LEAST_BAND = 50
+#: Bits of a window's place beside its hash, in texts of under 2**20 words and in others.
+PLACE_BITS = (20, 30)
+#: Languages up to which their references are broadcast (about 1 kB each).
+BROADCAST_LANGS = 10_000
+
+
+def side(df: DataFrame, rows: int) -> DataFrame:
+    """A side of a join whose rows were counted: broadcast if few, else left to the planner."""
+    return F.broadcast(df) if rows <= BROADCAST_LANGS else df
+
+
+def text_of(docs: DataFrame) -> Column:
+    return F.coalesce(F.col("text").cast("string"), F.lit(""))
+
+
+def common_words(docs: DataFrame) -> DataFrame:
+    """lang, words (the COMMON most frequent of each language with REFERENCE_WORDS words) and their hashes."""
+    words = docs.where("lang is not null").select(F.col("lang").cast("string"), F.explode(F.split(text_of(docs), SPACE, -1)).alias("word")).where("word != ''")
+    counted = words.groupBy("lang", "word").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    counted = written(counted, "quality-words")
+    enough = counted.groupBy("lang").agg(F.sum("n").alias("total")).where(F.col("total") >= REFERENCE_WORDS).select("lang")
+    top = counted.withColumn("place", place).where(F.col("place") <= COMMON).join(enough, "lang")
+    words = top.groupBy("lang").agg(F.array_sort(F.collect_list("word")).alias("words"))  # COMMON a language
+    return words.withColumn("hashes", F.transform("words", lambda x: F.xxhash64(x)))
 
 
-def counts(docs: DataFrame, *keep: str) -> DataFrame:
-    """Counts of every text: doc_id, keep, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    n_chars, n_distinct (words), n_again (words equal to the one before), classes and common
-    (arrays by CLASSES and WORDS)."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base = docs.select(F.col("doc_id").cast("long"), *keep, text.alias("t"))
+def counts(docs: DataFrame, *keep: str, more: bool = False) -> DataFrame:
+    """Counts of every text: doc_id, keep, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_chars, classes (an array by CLASSES).
+
+    With more: n_distinct (words), n_again (words equal to the one before) and n_short (words of up to three characters).
+    With a column ``hashes`` among keep: common, how often the word of each of these hashes is in the text, in its place.
+    """
+    base = docs.select(F.col("doc_id").cast("long"), *keep, text_of(docs).alias("t"))
     cut = base.select("doc_id", *keep, "t", F.array_remove(F.split("t", SPACE, -1), "").alias("w"), F.split("t", "\n", -1).alias("lines"))
-    cut = cut.withColumn("n", F.size("w")).withColumn("lw", F.transform("w", F.lower))
+    hashed = F.transform("w", lambda x: F.xxhash64(x))
+    cut = cut.withColumn("n", F.size("w")).withColumn("hw", hashed).withColumn("s", F.concat(F.lit(" "), F.array_join("w", "  "), F.lit(" ")))
     lines = F.filter("lines", lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))
-    windows = F.when(F.col("n") >= 3, F.transform(F.arrays_zip(F.expr("slice(w, 1, n - 2)").alias("a"), F.expr("slice(w, 2, n - 2)").alias("b"), F.expr("slice(w, 3, n - 2)").alias("c")), lambda x: F.xxhash64(x["a"], x["b"], x["c"])))
+    windows = F.expr("if(n >= 3, transform(slice(hw, 1, n - 2), (x, i) -> xxhash64(x, get(hw, i + 1), get(hw, i + 2))), null)")
     upper, digit, punct, beyond = (F.regexp_count("t", F.lit(p)) for p in ("[A-Z]", "[0-9]", r"[!-/:-@\[-`{-~]", r"[^\x00-\x7F]"))
+    extra = []
+    if more:
+        extra = [F.size(F.array_distinct(F.split(F.lower(F.array_join("w", " ")), " ", -1))).alias("n_distinct"), F.expr("size(filter(hw, (x, i) -> x = get(hw, i - 1)))").alias("n_again"), F.size(F.filter("w", lambda x: F.length(x) <= 3)).alias("n_short")]
     step = cut.select(
-        "doc_id", *keep, "n", "w", "lines",
-        F.length(F.array_join("w", "")).alias("word_chars"), F.length("t").alias("n_chars"),
-        F.regexp_count("t", F.lit("[#*$%&|<>]")).alias("n_symbols"),
-        lines.alias("full"), windows.alias("h"), F.size(F.array_distinct("lw")).alias("n_distinct"),
-        F.when(F.col("n") >= 2, F.size(F.filter(F.arrays_zip(F.expr("slice(w, 1, n - 1)").alias("a"), F.expr("slice(w, 2, n - 1)").alias("b")), lambda x: x["a"] == x["b"]))).otherwise(0).alias("n_again"),
-        F.filter("lw", lambda x: x.isin(WORDS)).alias("cw"),
-        upper.alias("upper"), digit.alias("digit"), punct.alias("punct"), beyond.alias("other"),
+        "doc_id", *keep, "n", "w", "hw", (F.length("s") - F.greatest(2 * F.col("n"), F.lit(2))).alias("word_chars"), F.length("t").alias("n_chars"),
+        F.regexp_count("t", F.lit("[#*$%&|<>]")).alias("n_symbols"), lines.alias("full"), windows.alias("h"),
+        upper.alias("upper"), digit.alias("digit"), punct.alias("punct"), beyond.alias("other"), *extra,
     )
-    # Windows found again: their hashes, packed with their places into sorted numbers, are neighbours.
+    # Windows found again: part of their hashes, packed with their places into sorted numbers, are neighbours.
     again = F.coalesce(F.size(F.array_distinct("h")) < F.size("h"), F.lit(False))
-    bits = F.when(F.col("n") < (1 << 20), 20).otherwise(30)
-    step = step.withColumn("bits", bits).withColumn("s", F.when(again, F.expr("sort_array(transform(h, (x, i) -> shiftleft(x, bits) | cast(i as bigint)))")))
-    same = """shiftright(x, bits) = shiftright(get(s, {j}), bits)
-        and get(w, cast(x & (shiftleft(1L, bits) - 1) as int)) = get(w, cast(get(s, {j}) & (shiftleft(1L, bits) - 1) as int))
-        and get(w, cast(x & (shiftleft(1L, bits) - 1) as int) + 1) = get(w, cast(get(s, {j}) & (shiftleft(1L, bits) - 1) as int) + 1)
-        and get(w, cast(x & (shiftleft(1L, bits) - 1) as int) + 2) = get(w, cast(get(s, {j}) & (shiftleft(1L, bits) - 1) as int) + 2)"""
-    step = step.withColumn("r", F.expr(f"sort_array(transform(filter(s, (x, i) -> coalesce({same.format(j='i - 1')}, false) or coalesce({same.format(j='i + 1')}, false)), x -> x & (shiftleft(1L, bits) - 1)))"))
-    covered = F.expr("aggregate(transform(r, (x, i) -> if(i = 0, 3L, least(3L, x - get(r, i - 1)))), 0L, (a, x) -> a + x)")
-    n_common = F.array(*[(F.size("cw") - F.size(F.array_remove("cw", x))) for x in WORDS])
+    step = step.withColumn("bits", F.when(F.col("n") < (1 << 20), PLACE_BITS[0]).otherwise(PLACE_BITS[1]))
+    step = step.withColumn("p", F.when(again, F.expr("sort_array(transform(h, (x, i) -> shiftleft(x, bits) | cast(i as bigint)))")))
+    step = step.withColumn("c", F.expr("filter(p, (x, i) -> coalesce(shiftright(x, bits) = shiftright(get(p, i - 1), bits), false) or coalesce(shiftright(x, bits) = shiftright(get(p, i + 1), bits), false))"))
+    place = "cast({0} & (shiftleft(1L, bits) - 1) as int)"
+    own, after = place.format("x"), place.format("get(c, i + 1)")
+    equal = " and ".join(f"get(w, {own} + {k}) = get(w, {after} + {k})" for k in range(3))
+    # different windows beside each other share only part of their hashes: then the words themselves are sorted
+    step = step.withColumn("mixed", F.expr(f"exists(transform(c, (x, i) -> coalesce(shiftright(x, bits) = shiftright(get(c, i + 1), bits) and not ({equal}), false)), x -> x)"))
+    by_words = f"sort_array(transform(c, x -> struct(get(w, {own}) as a, get(w, {own} + 1) as b, get(w, {own} + 2) as c, {own} as at)))"
+    alike = lambda j: f"coalesce(x.a = get(v, {j}).a and x.b = get(v, {j}).b and x.c = get(v, {j}).c, false)"
+    step = step.withColumn("v", F.expr(f"if(mixed, {by_words}, null)"))
+    step = step.withColumn("r", F.expr(f"if(mixed, sort_array(transform(filter(v, (x, i) -> {alike('i - 1')} or {alike('i + 1')}), x -> x.at)), sort_array(transform(c, x -> {own})))"))
+    covered = F.expr("aggregate(transform(r, (x, i) -> if(i = 0, 3, least(3, x - get(r, i - 1)))), 0L, (a, x) -> a + x)")
     space = F.col("n_chars") - F.col("word_chars")
     low = F.col("word_chars") - F.col("upper") - F.col("digit") - F.col("punct") - F.col("other")
     whole = lambda c, name: c.cast("long").alias(name)
+    found = [whole(F.col(c), c) for c in ("n_distinct", "n_again", "n_short") if more]
+    if "hashes" in keep:  # written out, as removing from an array of numbers is compiled
+        each = [F.when(F.size("hashes") > i, F.col("n") - F.size(F.array_remove("hw", F.get("hashes", F.lit(i))))) for i in range(COMMON)]
+        found.append(F.when(F.col("hashes").isNotNull(), F.array_compact(F.array(*each)).cast("array<long>")).alias("common"))
     return step.select(
-        "doc_id", *keep, whole(F.col("n"), "n_words"), whole(F.col("word_chars"), "word_chars"), whole(F.col("n_symbols"), "n_symbols"),
+        "doc_id", *[k for k in keep if k != "hashes"], whole(F.col("n"), "n_words"), whole(F.col("word_chars"), "word_chars"), whole(F.col("n_symbols"), "n_symbols"),
         whole(F.size("full") - F.size(F.array_distinct("full")), "n_dup_lines"), whole(F.coalesce(covered, F.lit(0)), "n_repeat_words"), whole(F.col("n_chars"), "n_chars"),
-        whole(F.col("n_distinct"), "n_distinct"), whole(F.col("n_again"), "n_again"),
-        F.array(low, "upper", "digit", "punct", space, "other").cast("array<long>").alias("classes"), n_common.cast("array<long>").alias("common"),
+        F.array(low, "upper", "digit", "punct", space, "other").cast("array<long>").alias("classes"), *found,
     )
 
 
@@ -87,42 +113,29 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def word_histogram(lang: str) -> list[Column]:
-    """Counts of a language's common words, and of all others."""
-    own = [F.get("common", F.lit(WORDS.index(w))) for w in COMMON[lang]]
-    rest = F.col("n_words")
-    for c in own:
-        rest = rest - c
-    return [*own, rest]
-
-
-def references(counted: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
-    """Histograms of all sound documents of each language with common words: a row a language."""
-    sound = counted.where(F.col("lang").isin(*COMMON) & ~base_failed() & (F.col("n_chars") >= LEAST_CHARS))
-    sums = [F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES))] + [F.sum(F.get("common", F.lit(i))).alias(f"w{i}") for i in range(len(WORDS))]
-    out = {}
-    for r in sound.groupBy("lang").agg(F.sum("n_words").alias("n"), *sums).collect():
-        if r["n"] >= REFERENCE_WORDS:
-            classes, own = [r[f"c{i}"] for i in range(len(CLASSES))], [r[f"w{WORDS.index(w)}"] for w in COMMON[r["lang"]]]
-            own.append(r["n"] - sum(own))
-            out[r["lang"]] = ([x / sum(classes) for x in classes], [x / sum(own) for x in own])
-    return out
+def word_histogram() -> Column:
+    """Counts of all other words, and of the language's common ones; a language has COMMON at most."""
+    own = F.aggregate("common", F.lit(0).cast("long"), lambda a, x: a + x)
+    return F.concat(F.array(F.col("n_words") - own), "common")
 
 
-def distance(histogram: list[Column], total: Column, reference: list[float]) -> Column:
-    """Jensen-Shannon distance: the root of the divergence in bits, 0 to 1.
+def references(counted: DataFrame) -> DataFrame:
+    """lang, by_class and by_word: shares of all sound documents of each language with common words."""
+    sound = counted.where(F.col("common").isNotNull() & ~base_failed() & (F.col("n_chars") >= LEAST_CHARS)).withColumn("by", word_histogram())
+    bins = [f"sum(get(classes, {i}))" for i in range(len(CLASSES))], [f"sum(get(by, {i}))" for i in range(COMMON + 1)]
+    sums = sound.groupBy("lang").agg(F.sum("n_words").alias("n"), F.sum("n_chars").alias("chars"), *[F.expr(f"array({', '.join(b)})").alias(k) for k, b in zip("cw", bins, strict=True)])
+    share = lambda of, all_: F.transform(F.array_compact(of), lambda x: x / F.col(all_))
+    return sums.where(F.col("n") >= REFERENCE_WORDS).select("lang", share("c", "chars").alias("by_class"), share("w", "n").alias("by_word"))
 
-    Written out bin by bin, so that it is compiled; an array function would call into each bin.
-    """
+
+def distance(histogram: Column, total: Column, reference: Column) -> Column:
+    """Jensen-Shannon distance of counts from shares: the root of the divergence in bits, 0 to 1."""
 
     def half(p: Column, q: Column) -> Column:
         return F.when(p > 0, p * F.log2(2 * p / (p + q))).otherwise(0.0)
 
-    parts = F.lit(0.0)
-    for count, share in zip(histogram, reference, strict=True):
-        p, q = count / total, F.lit(float(share))
-        parts = parts + (half(p, q) + half(q, p)) / 2
-    return F.sqrt(F.greatest(parts, F.lit(0.0)))
+    parts = F.zip_with(F.transform(histogram, lambda x: x / total), reference, lambda p, q: (half(p, q) + half(q, p)) / 2)
+    return F.sqrt(F.greatest(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x), F.lit(0.0)))
 
 
 def band() -> Column:
@@ -132,8 +145,8 @@ def band() -> Column:
 
 def word_limits(judged: DataFrame, most_classes: float) -> dict[int, float]:
     """Largest word distance of kept texts by band(), from the distances of sound documents: a row a band."""
-    sound = judged.where(F.col("lang").isin(*COMMON) & ~F.col("base_failed") & (F.col("best.c") <= most_classes))
-    rows = sound.groupBy(band().alias("band")).agg(F.count("*").alias("n"), F.percentile_approx("best.w", [0.25, 0.75], F.lit(10_000)).alias("q")).collect()
+    sound = judged.where(~F.col("base_failed") & (F.col("class_distance") <= most_classes))
+    rows = sound.groupBy(band().alias("band")).agg(F.count("*").alias("n"), F.percentile_approx("word_distance", [0.25, 0.75], F.lit(10_000)).alias("q")).collect()
     out, limit = {}, None
     for r in sorted(rows, key=lambda r: r["band"]):
         if r["n"] >= LEAST_BAND:
@@ -143,34 +156,22 @@ def word_limits(judged: DataFrame, most_classes: float) -> dict[int, float]:
     return out
 
 
-def without_common(reference: list[float]) -> float:
-    """The word distance of a text that has none of the common words."""
-    rest = reference[-1]
-    parts = sum(reference[:-1]) + rest * (math.log2(2 * rest / (1 + rest)) if rest else 0.0) + math.log2(2 / (1 + rest))
-    return math.sqrt(max(parts / 2, 0.0))
-
-
 def quality_rules(docs: DataFrame, most_classes: float = MOST_CLASSES, most_words: float | None = None) -> DataFrame:
     """The counts, base_failed, both distances (null if guarded) and kept of every row of docs; most_words in place of word_limits()."""
-    counted = written(counts(docs.select("doc_id", "text", "lang"), "lang"), "quality-counts")
-    refs = references(counted)
-    enough = (F.col("n_words") >= LEAST_WORDS) & (F.col("n_chars") >= LEAST_CHARS)
-    chars, words = F.greatest("n_chars", F.lit(1)), F.greatest("n_words", F.lit(1))
-    near = {}
-    for k, (by_class, by_word) in sorted(refs.items()):
-        near[f"c_{k}"] = F.when(enough, distance([F.get("classes", F.lit(i)) for i in range(len(CLASSES))], chars, by_class))
-        near[f"w_{k}"] = F.when(enough, distance(word_histogram(k), words, by_word))
-    judged = counted.withColumns(near | {"base_failed": base_failed()})
-    if refs:
-        each = [F.struct((F.col(f"c_{k}") + F.col(f"w_{k}")).alias("d"), F.col(f"c_{k}").alias("c"), F.col(f"w_{k}").alias("w"), F.lit(without_common(refs[k][1])).alias("none")) for k in sorted(refs)]
-        best = F.when(enough, F.array_min(F.array(*each)))
-    else:
-        best = F.lit(None).cast("struct<d:double,c:double,w:double,none:double>")
-    figures = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    judged = written(judged.select(*figures, "lang", best.alias("best")), "quality-judged")
-    most, limits = F.lit(most_words).cast("double"), word_limits(judged, most_classes) if most_words is None and refs else {}
+    docs = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
+    words, n = stored(common_words(docs), "quality-common")
+    counted = written(counts(docs.join(side(words.drop("words"), n["rows"]), "lang", "left"), "lang", "hashes"), "quality-counts")
+    refs, n = stored(references(counted), "quality-references")
+    enough = (F.col("n_words") >= LEAST_WORDS) & (F.col("n_chars") >= LEAST_CHARS) & F.col("by_class").isNotNull()
+    chars, n_words = F.greatest("n_chars", F.lit(1)), F.greatest("n_words", F.lit(1))
+    judged = counted.join(side(refs, n["rows"]), "lang", "left").withColumn("base_failed", base_failed())
+    judged = judged.withColumn("class_distance", F.when(enough, distance(F.col("classes"), chars, F.col("by_class"))))
+    judged = judged.withColumn("word_distance", F.when(enough, distance(word_histogram(), n_words, F.col("by_word"))))
+    figures = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance"]
+    bare = F.coalesce(enough & (F.get(word_histogram(), F.lit(0)) == F.col("n_words")), F.lit(False))
+    judged = written(judged.select(*figures, bare.alias("bare")), "quality-judged")
+    most, limits = F.lit(most_words).cast("double"), word_limits(judged, most_classes) if most_words is None else {}
     for k in sorted(limits):  # bands are powers of two, some dozens at most
         most = F.when(band() >= k, F.lit(limits[k])).otherwise(most)
-    bare = F.col("best.w") >= F.col("best.none") - 1e-9
-    divergent = F.coalesce(F.col("best.c") > most_classes, F.lit(False)) | F.coalesce(F.col("best.w") > most, F.lit(False)) | F.coalesce(bare, F.lit(False))
-    return judged.select(*figures, (~F.col("base_failed") & ~divergent).alias("kept"), F.col("best.c").alias("class_distance"), F.col("best.w").alias("word_distance"))
+    divergent = F.coalesce(F.col("class_distance") > most_classes, F.lit(False)) | F.coalesce(F.col("word_distance") > most, F.lit(False)) | F.col("bare")
+    return judged.select(*figures[:-2], (~F.col("base_failed") & ~divergent).alias("kept"), "class_distance", "word_distance")
