@@ -52,6 +52,8 @@ CLOSE, BORDER = 52, 20
 FEW_PAIRS = 276
 #: Rows of ids up to which a side is broadcast (16 bytes each, 3 MB).
 BROADCAST_ROWS = 200_000
+#: Links that one task joins (16 bytes each).
+LINKS = 1_000_000
 #: Classes and bytes of text of one block of a group.
 BLOCK, BLOCK_BYTES = 2048, 16_000_000
 _RNG = np.random.default_rng(97)
@@ -313,7 +315,7 @@ class Union:
 
 
 def joined_here(links: DataFrame) -> DataFrame:
-    """Links with the same components and at most one a class from each task: the tasks' own components as stars."""
+    """(cid, label): the components of the links that each task holds; the ends' least number is the label."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, seen = Union(), set()
@@ -321,22 +323,26 @@ def joined_here(links: DataFrame) -> DataFrame:
             for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 sets.join(a, b)
                 seen.update((a, b))
-        ends = [(sets.of(x), x) for x in seen if sets.of(x) != x]
-        yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in ends], pa.int64()) for k in (0, 1)], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array([sets.of(x) for x in seen], pa.int64())], ["cid", "label"])
 
-    return links.select("a", "b").mapInArrow(run, "a long, b long")
+    return links.select("a", "b").mapInArrow(run, "cid long, label long")
 
 
-def components(links: DataFrame) -> tuple[DataFrame, int]:
-    """((cid, label), rows) of the ends of links: the least id that each reaches.
+def components(links: DataFrame, n_links: int) -> tuple[DataFrame, int]:
+    """((cid, label), rows) of the ends of links: the least number that each reaches.
 
-    Each task first joins what it holds. Labels then spread along links and jump to their own
-    labels, so long chains shorten by half and more in each round; ends when nothing changes.
+    Tasks of about LINKS links each join what they hold. Between several tasks' results labels
+    spread along what is left and jump to their own labels, so long chains shorten by half and
+    more in each round; ends when nothing changes.
     """
-    links = joined_here(links)
-    both = written(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).select(F.col("a").alias("x"), F.col("b").alias("y")), "links")
+    tasks = -(-n_links // LINKS) or 1
+    labels, n = stored(joined_here(links.coalesce(tasks)), "labels")
+    if tasks == 1:
+        return labels, n["rows"]
+    links = labels.where("cid != label").select(F.col("label").alias("x"), F.col("cid").alias("y"))
+    both = written(links.unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y"))), "links")
     labels, n = stored(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("label")).withColumnRenamed("x", "cid"), "labels")
-    while n["rows"]:
+    while True:
         of = side(labels, n["rows"])
         seen = both.join(of.withColumnsRenamed({"cid": "y", "label": "far"}), "y").groupBy("x").agg(F.min("far").alias("far"))
         spread = seen.join(of.withColumnRenamed("cid", "x"), "x").select("x", "label", F.least("label", "far").alias("next"))
@@ -345,8 +351,7 @@ def components(links: DataFrame) -> tuple[DataFrame, int]:
         labels, n = stored(jump.select(F.col("x").alias("cid"), label.alias("label"), (label < F.col("label")).alias("changed")), "labels", changed=F.count_if("changed"))
         labels = labels.select("cid", "label")
         if not n["changed"]:
-            break
-    return labels, n["rows"]
+            return labels, n["rows"]
 
 
 def across(pairs: DataFrame, labels: DataFrame, n: int) -> DataFrame:
@@ -431,7 +436,10 @@ def link(pairs: DataFrame, dense: DataFrame, texts: DataFrame, given: DataFrame
     First each class is tried with the likeliest on either side of it, then all pairs that lie between
     components, then dense groups that are not whole. Pairs inside one component need no trial.
     """
-    labels, n = components(given if given is not None else pairs.select("a", "b").limit(0))
+    labels, n = pairs.select(F.col("a").alias("cid"), F.col("b").alias("label")).limit(0), 0
+    if given is not None:
+        given, n_given = stored(given, "same-id")
+        labels, n = components(given, n_given["rows"])
     for round_ in range(3):
         if round_ == 0:
             near = lambda k, to: pairs.groupBy(F.col(k).alias("k")).agg(F.max_by(to, F.struct("equal", -F.col(to))).alias("to"))
@@ -443,7 +451,9 @@ def link(pairs: DataFrame, dense: DataFrame, texts: DataFrame, given: DataFrame
             tried, n_tried = stored(tried, "tried")
             good = confirm(tried, texts) if n_tried["rows"] else None
         if good is not None:
-            labels, n = components(labels.where("cid != label").select(F.col("label").alias("a"), F.col("cid").alias("b")).unionByName(good))
+            good, n_good = stored(good, "confirmed")
+            if n_good["rows"]:
+                labels, n = components(labels.select(F.col("label").alias("a"), F.col("cid").alias("b")).unionByName(good), n + n_good["rows"])
     return labels, n
 
 
