@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tidewell.llm import langid, mixing, neardup, pack, parsing, quality, rules, secretscan, shingles, tokenbin, tokencount, vocab
@@ -170,12 +171,75 @@ def test_language_is_learned_from_the_training_part(docs, odd, none):
 # 5 -----------------------------------------------------------------------------------------------
 
 
-def test_water_fill_and_split_tree():
-    assert mixing.water_fill([100, 100, 1], [5, 2, 1]) == pytest.approx([200, 99.5, 2])
+def test_water_fill_and_split_tree(spark):
+    rows = spark.createDataFrame([(0, 100), (1, 100), (2, 1), (3, 0)], "at long, total long")
+    targets = {r.at: r.target for r in mixing.water_fill(rows).collect()}
+    assert targets == {0: pytest.approx(200), 1: pytest.approx(99.5), 2: pytest.approx(2), 3: 0}
+    assert mixing.water_fill(rows.limit(0)).count() == 0 and [r.target for r in mixing.water_fill(rows.where("total = 0")).collect()] == [0.0]
     quotas = np.array([1000, 3, 0, 77])
-    tree = mixing.split_tree(quotas, 13, seed=5)
+    starts, tree = mixing.split_tree(quotas, 13, seed=5)
     assert (tree.sum(axis=0) == quotas).all() and tree.sum(axis=1).max() - tree.sum(axis=1).min() <= 4
-    assert (tree == mixing.split_tree(quotas, 13, seed=5)).all()
+    assert (starts == np.cumsum(tree, axis=0) - tree).all()
+    for first, last in ((0, 4), (4, 9), (12, 13)):  # a part of the tree is drawn again as in the whole
+        part = mixing.split_tree(quotas, 13, 5, first, last)
+        assert (part[0] == starts[first:last]).all() and (part[1] == tree[first:last]).all()
+
+
+def test_hypergeometric_draws():
+    rng = np.random.default_rng(4)
+    for good, bad, n in ((7, 5, 6), (3000, 9000, 500), (40, 2, 41)):
+        got = np.array([mixing.hypergeometric(rng, good, bad, n) for _ in range(3000)])
+        want = np.random.default_rng(1).hypergeometric(good, bad, n, 3000)
+        assert abs(got.mean() - want.mean()) < 5 * want.std() / 50 + 1e-9 and got.std() == pytest.approx(want.std(), rel=0.1, abs=1e-9)
+        assert got.min() >= max(0, n - bad) and got.max() <= min(n, good)
+    big = np.array([mixing.hypergeometric(rng, 6 * 10**10, 3 * 10**10, 10**10) for _ in range(20)])  # beyond numpy's own
+    assert abs(big / (2 / 3 * 10**10) - 1).max() < 1e-4 and 10**4 < big.std() < 10**5
+    has = np.array([5 * 10**9, 10**9, 0, 7])
+    part = mixing.drawn_counts(rng, has, 3 * 10**9)
+    assert part.sum() == 3 * 10**9 and (part <= has).all() and (part >= 0).all()
+
+
+def spark_hash(*values):
+    """Spark's xxhash64 of (value, bytes) pairs; text as None bytes."""
+    h = 42
+    for v, size in values:
+        h = xxhash.xxh64(v.encode() if size is None else int(v).to_bytes(size, "little", signed=True), seed=h).intdigest()
+    return h - (1 << 64) if h >> 63 else h
+
+
+def test_taken_matches_brute_force(docs):
+    rows = [(r.doc_id, r.source, r.text or "") for r in docs.collect()] * 2 + [(7, "src1", f"two {k} texts of one id " * k) for k in range(5)]
+    by = defaultdict(list)
+    for doc, source, text in rows:
+        by[source].append((spark_hash((1, 4), (doc, 8)), doc, len(WORD.findall(text)), spark_hash((text, None)), spark_hash((0, 4), (doc, 8)) % mixing.BLOCKS))
+    totals = {s: sum(r[2] for r in v) for s, v in by.items()}
+    names, target, full = sorted(totals), {}, set()
+    while True:
+        weights = {s: (5, 2, 1)[names.index(s) % 3] for s in names}
+        unit = (1.5 * sum(totals.values()) - 2 * sum(totals[s] for s in full)) / sum(w for s, w in weights.items() if s not in full)
+        target = {s: 2 * totals[s] if s in full else unit * weights[s] for s in names}
+        over = {s for s in names if target[s] > 2 * totals[s]}
+        if not over:
+            break
+        full |= over
+    want = Counter()
+    for s, each in by.items():
+        passes = int(target[s] // totals[s])
+        left = round(target[s] - passes * totals[s])
+        for block in sorted({r[4] for r in each}, key=lambda b: spark_hash((2, 4), (s, None), (b, 4))):
+            inside = sorted(r for r in each if r[4] == block)
+            words, at = sum(r[2] for r in inside), 0
+            for _, doc, n, version, _ in inside:
+                more = left >= words or (left > 0 and at + n / 2 <= left)
+                want[(doc, s, n, version)] += n * (passes + more)
+                at += n
+            left -= min(left, words)
+    table_ = docs.sparkSession.createDataFrame(rows, "doc_id long, source string, text string")
+    mixed = mixing.drawn(table_, shards=4).groupBy("doc_id", "source", "size").agg(F.sum(F.col("size") * F.col("copies")).alias("taken")).collect()
+    coarse = Counter()
+    for (doc, s, n, _), v in want.items():
+        coarse[(doc, s, n)] += v
+    assert {(r.doc_id, r.source, r["size"]): r.taken for r in mixed} == dict(coarse)
 
 
 def test_mix_meets_targets(docs, odd, none):
@@ -198,7 +262,7 @@ def test_op5_counts_the_mix_itself(spark, sf, docs, odd, none, monkeypatch):
         assert Counter(map(tuple, mixing.drawn(rows, shards=4).select(key).collect())) == Counter(map(tuple, mixing.mix(rows).select(key).collect()))
     assert mixing.drawn(none).count() == 0
     table_of = mixing.shard_table
-    monkeypatch.setattr(mixing, "shard_table", lambda *a: [(s, k, 0, 0, n) for s, k, _, _, n in table_of(*a)])  # shards that take nothing
+    monkeypatch.setattr(mixing, "shard_table", lambda *a: table_of(*a).where("false"))  # a tree that gives no shard anything
     assert {r.taken for r in llm_queries.op5_source_mixing(spark, sf).collect()} == {0}
 
 
@@ -312,37 +376,69 @@ def test_rule_counts_match_brute_force(odd, docs, none):
     assert rules.quality_rules(none).count() == 0
 
 
-def test_divergent_text_goes_and_clean_text_stays(spark, docs):
-    clean = docs.where("lang = 'en' and n_chars > 1000").select("doc_id", "text", "lang")
-    shouted = clean.select((F.col("doc_id") + 10**6).alias("doc_id"), F.upper(F.regexp_replace("text", "(\\s)", "!!$1")).alias("text"), F.lit(None).cast("string").alias("lang"))
-    got = rules.quality_rules(clean.unionByName(shouted)).where("not base_failed").toPandas()
-    assert not got.kept[got.doc_id >= 10**6].any() and got.kept[got.doc_id < 10**6].mean() > 0.9
+def test_window_hashes_that_clash(spark, monkeypatch):
+    """Where windows share the kept part of their hashes, the words decide: here two bits of a hash are kept."""
+    rng = random.Random(3)
+    rows = [(k, " ".join(rng.choice("abcd") for _ in range(n))) for k, n in enumerate((3, 8, 20, 50, 300))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(rules, "PLACE_BITS", (62, 62))
+    got = {r.doc_id: r.n_repeat_words for r in rules.counts(docs).collect()}
+    for k, text in rows:
+        w = text.split()
+        n = Counter(zip(w, w[1:], w[2:], strict=False))
+        assert got[k] == len({i + j for i in range(len(w) - 2) if n[tuple(w[i : i + 3])] > 1 for j in range(3)})
 
 
-# 8 -----------------------------------------------------------------------------------------------
+def brute_distance(p, q):
+    js = 0.0
+    for x, y in zip(p, q, strict=True):
+        js += (x * np.log2(2 * x / (x + y)) if x else 0.0) / 2 + (y * np.log2(2 * y / (x + y)) if y else 0.0) / 2
+    return max(js, 0.0) ** 0.5
 
 
-def test_pieces_count_as_the_library_does():
-    rng = random.Random(8)
-    alphabet = ["a", "B", " ", "  ", "\n", "\n\n", "'s", "1", "é", "ß", "<|endoftext|>", "\t", "İ", "中", "🙂", "é", "́", "don't", "_", "...", "\x0b", "\x1c", "Σ", "ς", "«", "-", "'ll", " ", " "]
-    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
-        own = vocab.encoder(vocab.default_path(name))
-        for _ in range(1500):
-            text = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 9)))
-            assert own.packed(text) == np.array(own.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
-
-
-def test_counts_are_cached_by_digest(spark, odd, docs, none):
-    cache = tokencount.fresh_cache(spark)
-    own = vocab.encoder(vocab.default_path("byte_bpe_50k.json"))
-    want = Counter((r.doc_id, len((r.text or "").encode()), n := len(own.tokenizer.encode(r.text or "", add_special_tokens=False).ids), n > 512) for r in odd.collect())
-    assert Counter(map(tuple, tokencount.token_counts(odd, cache).collect())) == want
-    stored = spark.read.parquet(cache)
-    assert stored.count() == len({t or "" for _, t, _ in ROWS})
-    assert Counter(map(tuple, tokencount.token_counts(odd, cache).collect())) == want and spark.read.parquet(cache).count() == stored.count()
-    tokencount.token_counts(docs.limit(20), cache)
-    assert spark.read.parquet(cache).count() > stored.count()
-    assert tokencount.token_counts(none, cache).count() == 0
+def test_distances_match_brute_force(spark, docs):
+    rng = random.Random(2)
+    prose = lambda n: " ".join(rng.choice("и в не на я".split()) if rng.random() < 0.3 else "".join(rng.choice("абвгдежзиклмнопрст") for _ in range(6)) for _ in range(n))
+    more = spark.createDataFrame([(10**7 + k, prose(70), "ru") for k in range(60)] + [(10**8, "x y z " * 40, "xx"), (10**8 + 1, prose(80), None)], "doc_id long, text string, lang string")
+    every = docs.select("doc_id", "text", "lang").unionByName(more)
+    got = {r.doc_id: r for r in rules.quality_rules(every, most_words=0.4).collect()}
+    rows = [(r.doc_id, r.text or "", r.lang) for r in every.collect()]
+    words = defaultdict(Counter)
+    for _, text, lang in rows:
+        words[lang].update(WORD.findall(text))
+    common = {k: sorted(w for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[: rules.COMMON]) for k, c in words.items() if k and sum(c.values()) >= rules.REFERENCE_WORDS}
+    punct = set("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+
+    def bins(text, lang):
+        n = [sum("A" <= c <= "Z" for c in text), sum("0" <= c <= "9" for c in text), sum(c in punct for c in text), sum(c in " \t\n\x0b\x0c\r" for c in text), sum(ord(c) > 127 for c in text)]
+        w = Counter(WORD.findall(text))
+        own = [w[x] for x in common[lang]] + [0] * (rules.COMMON - len(common[lang]))
+        return np.array([len(text) - sum(n), *n], float), np.array([*own, sum(w.values()) - sum(own)], float)
+
+    sums = {}
+    for doc, text, lang in rows:
+        if lang in common and not got[doc].base_failed and len(text) >= rules.LEAST_CHARS:
+            c, w = bins(text, lang)
+            old = sums.get(lang, (0, 0))
+            sums[lang] = (old[0] + c, old[1] + w)
+    assert set(sums) == {"en", "fr", "de", "es", "ru"}
+    for doc, text, lang in rows:
+        r = got[doc]
+        if lang not in sums or r.n_words < rules.LEAST_WORDS or len(text) < rules.LEAST_CHARS:
+            assert r.class_distance is None and r.kept == (not r.base_failed)
+            continue
+        c, w = bins(text, lang)
+        dc, dw = brute_distance(c / len(text), sums[lang][0] / sums[lang][0].sum()), brute_distance(w / w.sum(), sums[lang][1] / sums[lang][1].sum())
+        assert r.class_distance == pytest.approx(dc, abs=1e-9) and r.word_distance == pytest.approx(dw, abs=1e-9)
+        assert r.kept == (not r.base_failed and dc <= rules.MOST_CLASSES and dw <= 0.4 and w[-1] < w.sum())
+    assert all(got[10**7 + k].kept for k in range(60)) and got[10**8 + 1].kept
+
+
+def test_divergent_text_goes_and_clean_text_stays(spark, docs):
+    clean = docs.where("lang = 'en' and n_chars > 1000").select("doc_id", "text", "lang")
+    shouted = clean.where("doc_id % 10 = 0").select((F.col("doc_id") + 10**6).alias("doc_id"), F.upper(F.regexp_replace("text", "(\\s)", "!!$1")).alias("text"), "lang")
+    got = rules.quality_rules(clean.unionByName(shouted)).where("not base_failed").toPandas()
+    assert not got.kept[got.doc_id >= 10**6].any() and got.kept[got.doc_id < 10**6].mean() > 0.9
 
 
 # 9 -----------------------------------------------------------------------------------------------
@@ -426,3 +522,44 @@ def test_shingles_do_not_depend_on_the_batch():
     texts = [b"a b c d e f", b"", b"\xc3\xa9 A b", b"x" * 100 + b" y z", b"a b c d e f g"]
     together = shingles.shingle_sets(texts)
     assert all((x == shingles.shingle_sets([t])[0]).all() for x, t in zip(together, texts, strict=True)) and [len(x) for x in together] == [2, 0, 1, 1, 3]
+
+
+def test_one_id_with_several_texts(spark):
+    """Such rows are one document to components: their texts' classes join, whatever the order of the rows."""
+    rng = random.Random(5)
+    base = [[f"w{rng.randrange(4000)}" for _ in range(60)] for _ in range(12)]
+    rows = [(k, " ".join(w)) for k, w in enumerate(base)]
+    rows += [(k, edits(rng, base[(k + 1) % 12], 1)) for k in (0, 4, 8)] + [(20 + k, edits(rng, base[k], 1)) for k in range(12)]
+    rows += [(0, rows[0][1]), (9, None)]
+    want = {k: k for k in range(12)} | {1: 0, 5: 4, 9: 8}
+    for seed in range(2):
+        random.Random(seed).shuffle(rows)
+        got = {(r.doc_id, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == {(k, want[k % 20]) for k in [*range(12), *range(20, 32)]} | {(9, 9)}  # the row without a text
+
+
+def test_deep_nodes_find_pairs(spark, monkeypatch):
+    """Thousands of texts share a passage, so that roots branch several times; links in there are found all the same."""
+    monkeypatch.setattr(neardup, "SMALL", 16)
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    passage, rows = [word() for _ in range(60)], []
+    for k in range(600):
+        own = [word() for _ in range(60)]
+        rows.append((2 * k, " ".join(passage + own)))
+        if k % 2:
+            rows.append((2 * k + 1, " ".join(passage + own[:-6] + [word() for _ in range(6)])))
+    want = brute_components(rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    linked = [k for k, (_, c) in want.items() if c != k]
+    assert len(linked) > 250 and sum(got[k] == want[k] for k in linked) / len(linked) > 0.99
+    assert all(got[k] == want[k] for k in want if k not in linked)
+
+
+def test_keep_first_with_clashing_columns(spark):
+    rows = [(1, "a b c d e f g", "x", 5), (2, "a b c d e f g", "y", 6), (3, "z", None, 7), (3, "z", "b", 8), (3, "q", "b", 8), (None, "z", "n", 9)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, __key string, label int")
+    got = neardup.keep_first(docs)
+    assert got.columns == docs.columns and got.schema == docs.schema
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([rows[0], (3, "q", "b", 8), rows[5]], key=str)
+    assert neardup.keep_first(docs.limit(0)).count() == 0

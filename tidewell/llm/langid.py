@@ -26,8 +26,8 @@ HIDDEN = 12
 #: Bounds of the training sample: passages for each language and characters in each.
 SAMPLE_PER_LANG = 700
 SAMPLE_CHARS = 400
-#: The most frequent languages that are learned; bounds the sample and the model.
-MAX_LANGS = 200
+#: Bound of all passages together: with many languages each has fewer, but every one is learned.
+SAMPLE = 140_000
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
@@ -37,21 +37,27 @@ def held_out(doc_id):
 
 
 def training_sample(docs: DataFrame) -> list[tuple[str, str]]:
-    """At most about SAMPLE_PER_LANG passages of each language, drawn by a hash of the id.
+    """About SAMPLE_PER_LANG passages of each language, drawn by a hash of the id; SAMPLE in all at most, but one of each language.
 
     A passage starts at a hashed place of its text. Only rows outside the held-out part with a
-    language count. The bound makes the collected sample the same size for any input.
+    language count. The bounds make the collected sample the same size for any input.
     """
     rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}  # a row a language
     if not counts:
         return []
-    share = F.create_map(*[F.lit(x) for k, v in counts.items() for x in (k, min(1.0, SAMPLE_PER_LANG / v))])
+    each = max(1, min(SAMPLE_PER_LANG, SAMPLE // len(counts)))
+    share = F.create_map(*[F.lit(x) for k, v in counts.items() for x in (k, min(1.0, each / v))])
     draw = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 20)) / float(1 << 20)
     span = F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS)
     start = 1 + F.pmod(F.xxhash64("doc_id", F.lit("start")), span)
     kept = rows.where(draw < share[F.col("lang")]).select("lang", F.col("text").substr(start.cast("int"), F.lit(SAMPLE_CHARS)).alias("passage"), "doc_id")
-    return [(r[0], r[1]) for r in kept.orderBy("doc_id", "passage").limit(2 * SAMPLE_PER_LANG * len(counts)).collect()]
+    got = [(r[0], r[1]) for r in kept.orderBy("doc_id", "passage").limit(2 * each * len(counts)).collect()]
+    missed = sorted(set(counts) - {lang for lang, _ in got})
+    if missed:  # of which no row was drawn
+        one = rows.where(F.col("lang").isin(missed)).groupBy("lang").agg(F.min_by(F.substring("text", 1, SAMPLE_CHARS), F.xxhash64("doc_id", F.lit("langid"))).alias("passage"))
+        got += [(r[0], r[1]) for r in one.orderBy("lang").collect()]
+    return got
 
 
 class ByteGru:

@@ -57,7 +57,7 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tokenbin.token_rows(table(spark, sf_dir, "documents"))
-    return rows.select("sequence_id", "n_tokens", "n_segments", F.crc32("ids").alias("ids_crc32"), "cu_seqlens", "position_resets", "doc_ids", "starts")
+    return rows.select("sequence_id", "n_tokens", "n_segments", "ids", F.crc32("ids").alias("ids_crc32"), "cu_seqlens", "position_resets", "doc_ids", "starts")
 
 
 def _spans_sql(order: int, rule: secretscan.Rule) -> str:

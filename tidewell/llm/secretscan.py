@@ -21,6 +21,7 @@ from re import _parser as regex_parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.llm.names import unused
 from tidewell.session import written
 
 
@@ -146,23 +147,24 @@ def spans(text: Column, rule: Rule, order: int) -> Column:
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, text and found (all spans: start, order of the rule, end; sorted) for every row of docs."""
-    return scan_kept(docs.select("doc_id", "text"), rules, broadcast_rows)
+    return scan_kept(docs.select("doc_id", "text"), "found", rules, broadcast_rows)
 
 
-def scan_kept(docs: DataFrame, rules: tuple[Rule, ...] = RULES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """All columns of docs and ``found``."""
-    hits = written(candidates(postings(docs, rules), rules), "secret-candidates").withColumnRenamed("doc_id", "__id")
+def scan_kept(docs: DataFrame, into: str, rules: tuple[Rule, ...] = RULES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """All columns of docs and the spans in the new column ``into``."""
+    id_, bits, text = (unused(docs, c) for c in ("id", "bits", "text"))
+    hits = written(candidates(postings(docs, rules), rules), "secret-candidates").withColumnsRenamed({"doc_id": id_, "bits": bits})
     hits = F.broadcast(hits) if hits.count() <= broadcast_rows else hits
-    joined = docs.join(hits, docs["doc_id"].cast("long") == F.col("__id"), "left").withColumn("__text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    joined = docs.join(hits, docs["doc_id"].cast("long") == F.col(id_), "left").withColumn(text, F.coalesce(docs["text"].cast("string"), F.lit("")))
     empty = F.expr("cast(array() as array<struct<start:int,order:int,end:int>>)")
     each = []
     for k, rule in enumerate(rules):
-        found = spans(F.col("__text"), rule, k)
+        found = spans(F.col(text), rule, k)
         if trigram_query(rule.regex) is not None:
-            listed = F.col("doc_id").isNull() | (F.coalesce(F.col("bits"), F.lit(0)).bitwiseAND(1 << k) != 0)
+            listed = F.col("doc_id").isNull() | (F.coalesce(F.col(bits), F.lit(0)).bitwiseAND(1 << k) != 0)
             found = F.when(listed, found).otherwise(empty)
         each.append(found)
-    return joined.withColumn("found", F.sort_array(F.concat(*each))).drop("__id", "bits", "__text")
+    return joined.withColumn(into, F.sort_array(F.concat(*each))).select(*docs.columns, into)
 
 
 def joined_spans(found: Column, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -172,8 +174,12 @@ def joined_spans(found: Column, rules: tuple[Rule, ...] = RULES) -> Column:
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]") -> DataFrame:
-    """docs with every span (overlapping ones as one) replaced by mark; n_chars follows the new text."""
-    found = scan_kept(docs, rules)
+    """docs with every span (overlapping ones as one) replaced by mark; n_chars follows the new text.
+
+    Rows without spans, null texts among them, stay as they are. Other columns may have any names.
+    """
+    spans_ = unused(docs, "found")
+    found = scan_kept(docs, spans_, rules)
 
     def step(acc: Column, s: Column) -> Column:
         inside = s["start"] < acc["at"]
@@ -181,8 +187,8 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRE
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], gap, F.lit(mark))).alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate("found", start, step, lambda acc: F.concat(acc["out"], F.col("text").substr(acc["at"] + 1, F.length("text"))))
-    has = F.size("found") > 0
+    clean = F.aggregate(spans_, start, step, lambda acc: F.concat(acc["out"], F.col("text").substr(acc["at"] + 1, F.length("text"))))
+    has = F.size(spans_) > 0
     out = found.withColumn("text", F.when(has, clean).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(has, F.length("text").cast("long")).otherwise(F.col("n_chars")))

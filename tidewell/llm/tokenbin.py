@@ -10,7 +10,8 @@ A row holds ``ids`` (capacity unsigned little-endian numbers, the rest filled up
 first id, where positions start from its ``starts`` again), ``doc_ids`` and ``starts``.
 
 Defined results: a null or empty text is one segment with the closing id alone; repeated rows
-are packed each; a null id is kept; an empty table gives no rows.
+are packed each; a null id is kept; an empty table gives no rows. A dtype that can't hold every id of
+the vocabulary is refused. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -85,6 +86,9 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> list[list[int]]:
 def token_rows(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, close: int = 50256, fill: int = 0, dtype: str = "<u2", block: int = BLOCK) -> DataFrame:
     """Packed rows of docs' token ids; dtype must hold every id of the vocabulary."""
     path = tokenizer or vocab.default_path("byte_bpe_50k.json")
+    most = max(vocab.encoder(path).tokenizer.get_vocab_size(with_added_tokens=True) - 1, close, fill)
+    if most > np.iinfo(dtype).max:
+        raise ValueError(f"{dtype} does not hold the id {most}")
 
     def rows_of(held: list[tuple], first: int) -> pa.RecordBatch:
         columns: list[list] = [[] for _ in range(8)]
