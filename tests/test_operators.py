@@ -193,9 +193,119 @@ def test_file_tree_and_catalog(spark, tmp_path):
     for i in range(5):
         c.write("p_docs", spark.range(i + 1))
     assert c.read("p_docs").count() == 5 and len(c.prune("p_docs", 3)) == 2 and c.collections("p_") == ["p_docs"]
-    c.alias("docs_now", "p_docs", c.versions("p_docs")[0])
-    assert spark.table("docs_now").count() == 3
+    c.swap("docs_now", "p_docs", c.versions("p_docs")[0])
+    assert c.read_alias("docs_now").count() == 3
+    c.swap("docs_now", "p_docs")
+    assert c.read_alias("docs_now").count() == 5 and c.orphans() == []
     c.clear("p_docs")
     assert c.read("p_docs").count() == 0
     c.drop("p_docs")
-    assert c.collections() == []
+    assert c.collections() == [] and c.repair() == ["docs_now"] and c.aliases().count() == 0
+    with pytest.raises(KeyError):
+        c.read_alias("docs_now")
+
+
+def test_phrases(spark):
+    """Expected values by hand, with the apostrophes and case that people type."""
+    said = {"Please remember this: tabs": (True, False), "запамʼятай це": (True, False), "запам`ятай": (True, False), "No, that one": (False, True), "That’s  wrong": (False, True), "not wrong, no": (False, False), "  Actually, keep in mind": (True, True), "remembered": (False, False)}
+    rows = spark.createDataFrame([(t,) for t in said], "t string")
+    assert {r.t: (r.s, r.c) for r in rows.select("t", T.saves(F.col("t")).alias("s"), T.corrects(F.col("t")).alias("c")).collect()} == said
+
+
+def test_routes_and_fact_types(spark):
+    at = lambda *a: value(spark, models.routes(*a))
+    assert at(F.lit("Fix the login bug")) == ["code_search", "memory", "graph"]
+    assert at(F.lit("hello")) == ["code_search"] and at(F.lit("hello"), F.array(F.lit("a.ts"))) == ["code_search", "graph"]
+    assert at(F.lit("explain it"), None, F.lit("architecture")) == ["code_search", "docs", "memory", "patterns", "adrs"]
+    assert at(F.lit("hello"), None, F.lit("review")) == ["code_search", "patterns", "adrs"]
+    kind = lambda t, tool="": value(spark, T.fact_type(F.lit(t), F.lit(tool)))
+    assert [kind("x", "get_patterns"), kind("a Decision"), kind("requires y"), kind("TODO"), kind("plain")] == ["pattern", "pattern", "dependency", "issue", "finding"]
+
+
+def test_layers_services_anchors_and_entities(spark):
+    layer = lambda p: value(spark, T.layer_of(F.lit(p)))
+    assert [layer("src\\Routes\\a.ts"), layer("services/x.ts"), layer("src/entities/u.ts"), layer("a/b.ts")] == ["api", "service", "model", "other"]
+    of = lambda *xs: value(spark, T.service_of(F.array(*[F.lit(x) for x in xs])))
+    assert of("A1", "memoryStore", "Thing") == "memoryStore" and of("x", "Thing") == "Thing" and of("x") is None
+    got = value(spark, T.anchors(F.lit("see src/a.ts and b.py, UserStore"), F.array(F.lit("src/a.ts"), F.lit("none"))))
+    assert [(r["type"], r["path"], r["name"]) for r in got] == [("file", "src/a.ts", None), ("file", "b.py", None), ("symbol", "", "UserStore")]
+    e = T.entities(F.lit("import { A1, Bc as D } from 'x'; @Injectable class UserStore { const y = 1 }"))
+    assert value(spark, e["functions"]) == ["UserStore", "A1", "Bc"] and value(spark, e["concepts"]) == ["Injectable", "UserStore"]
+
+
+def test_observed_facts(spark):
+    text = "[1] src/a.ts (score: 0.91)\nan error here\n[2] b.py (score: 3)\n   \n[3] c.go (score: 0.5) " + "y" * 600 + "\nimport x from 'lib'"
+    got = value(spark, T.observed_facts(F.lit(text), F.lit("search")))
+    assert [(r["file"], r["type"], r["confidence"]) for r in got] == [("src/a.ts", "issue", 0.91), ("c.go", "finding", 0.5), ("lib", "dependency", 0.8)]
+    assert got[0]["content"] == "src/a.ts: an error here" and got[1]["content"] == "c.go: " + "y" * 300
+
+
+def test_edges_take_over_the_better_target(spark):
+    schema = "from_symbol string, edge_type string, to_file string, to_symbol string, confidence string, descriptor string"
+    old = spark.createDataFrame([("f", "calls", "a", "x", "tree-sitter", None), ("f", "calls", "a", "z", "lsp", None), ("g", "calls", "a", "y", None, None), ("h", "extends", "a", "k", "heuristic", None)], schema)
+    new = spark.createDataFrame([("f", "calls", "b", "x1", "heuristic", "d0", 1), ("f", "calls", "b", "x2", "scip", "d1", 2), ("g", "calls", "c", "w", "unheard", "d2", 3), ("n", "calls", "c", "w", "scip", "d3", 4)], schema + ", at int")
+    got = sorted(map(tuple, G.merge_edges(old, new, "at").collect()), key=str)
+    assert got == sorted([("f", "calls", "b", "x2", "scip", "d1"), ("f", "calls", "a", "z", "lsp", None), ("g", "calls", "a", "y", None, None), ("h", "extends", "a", "k", "heuristic", None), ("g", "calls", "c", "w", "unheard", "d2"), ("n", "calls", "c", "w", "scip", "d3")], key=str)
+
+
+def test_batch_search_in_blocks_with_ties(spark):
+    rng = np.random.default_rng(7)
+    x = rng.integers(-1, 2, (150, 3)).astype(float)  # many equal directions, so many ties
+    points = spark.createDataFrame([(i, v.tolist(), f"g{i % 4}") for i, v in enumerate(x)], "id long, vector array<double>, g string").repartition(3)
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    score = unit @ unit.T
+    for same in (None, "g"):
+        want = set()
+        for i in range(150):
+            others = [j for j in range(150) if j != i and score[i, j] >= 0.2 and (same is None or j % 4 == i % 4)]
+            want |= {(i, j) for j in sorted(others, key=lambda j: (-round(score[i, j], 9), j))[:5]}
+        for block in (1000, 40):
+            got = {(r.query_id, r.id) for r in S.batch_search(points, points, 5, 0.2, same=same, block=block).collect()}
+            missing = want ^ got
+            assert all(any(abs(score[i, j] - score[i, k]) < 1e-9 for a, k in want if a == i) for i, j in missing) and len(missing) < 10
+
+
+def test_bm25_matches_brute_force(spark):
+    rng = random.Random(1)
+    texts = [" ".join(rng.choice(["from", "From,", "this-one", "with", "w2", "a", "fromage", "th", "x_from"]) for _ in range(rng.randrange(0, 30))) for _ in range(80)]
+    import math
+    import re
+
+    words = [[w for w in re.split("[^A-Za-z0-9_]+", t.lower()) if len(w) > 2] for t in texts]
+    mean, want = sum(map(len, words)) / len(words), {}
+    for i, w in enumerate(words):
+        for q in ("from", "with"):
+            df, tf = sum(q in v for v in words), w.count(q)
+            want[i] = want.get(i, 0) + math.log(1 + (80 - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / mean))
+    got = {r.id: r.score for r in S.bm25(spark.createDataFrame(list(enumerate(texts)), "id long, t string"), F.col("t"), ["from", "WITH"], 100).collect()}
+    assert got == pytest.approx({k: v for k, v in want.items() if v > 0})
+
+
+def test_embedding_matches_plain_python(spark, sf):
+    import zlib
+
+    for r in models.embed(table(spark, sf, "benchmark"), "text").limit(20).collect():
+        v = np.zeros(64)
+        for w in r.text.lower().split():
+            v[zlib.crc32(w.encode()) % 64] += 1 if zlib.crc32(w.encode()) & (1 << 20) else -1
+        assert np.allclose(r.vector, v / (np.linalg.norm(v) or 1), atol=1e-6)
+
+
+def test_filters_and_redaction(spark):
+    rows = spark.createDataFrame([(1, "p", "x", None), (2, "p2", "", 0.4), (3, "p", None, 0.9)], "id int, project string, superseded_by string, confidence double")
+    ids = lambda d: {r.id for r in d.collect()}
+    assert ids(S.in_project(rows, "p")) == {1, 3} and ids(S.sure_enough(rows, 0.5)) == {1, 3} and ids(M.standing(rows)) == {2, 3}
+    assert ids(rows.where(S.must(S.should(F.col("id") == 1, F.col("id") == 2), None, S.must_not(F.col("confidence") < 0.5)))) == {1}
+    log = spark.createDataFrame([("m", 1, "created", "h", "text", "tag"), ("m", 2, "modified", "h2", "text2", None)], "memory_id string, seq int, op string, content_hash string, content string, tags string")
+    got = M.redact(M.redact(log, log.where("seq = 1")), log.where("seq = 1")).orderBy("seq").collect()
+    assert (got[0].content, got[0].tags, got[0].content_hash, got[0].redacted) == (None, None, "h", True) and got[1].content == "text2" and not got[1].redacted
+
+
+def test_golden_queries_and_key_values(spark, tmp_path):
+    (tmp_path / "g.json").write_text('[{"id": "a", "query": "q", "expectedFiles": ["f"], "category": "c"}, {"id": "b", "query": "r", "k": 5}]')
+    got = {r.id: (r.expected, r.k) for r in files.golden_queries(spark, f"file://{tmp_path}/g.json").collect()}
+    assert got == {"a": (["f"], 10), "b": ([], 5)}
+    path = f"file://{tmp_path}/kv"
+    for v in ("1", "2"):
+        files.key_values(spark.createDataFrame([("k", v)], "k string, v string"), F.col("k"), F.col("v"), path)
+    assert [tuple(r) for r in files.last_values(spark, path).collect()] == [("k", "2")]

@@ -51,6 +51,12 @@ def sparse_counts(text: Column, dim: int = 1 << 18) -> Column:
     return F.map_from_entries(F.transform(F.array_distinct(hashed), lambda h: F.struct(h, F.size(hashed) - F.size(F.array_remove(hashed, h)))))
 
 
+def sparse_terms(df: DataFrame, id_: str, text: str) -> DataFrame:
+    """(id, term, n) of the words between white space, in lower case; sparse_counts() has them hashed."""
+    words = F.explode(F.split(F.lower(F.col(text)), r"\s+"))
+    return df.select(id_, words.alias("term")).where("term <> ''").groupBy(id_, "term").agg(F.count("*").alias("n"))
+
+
 def merged_text(texts: Column) -> Column:
     """P4's stand-in for a merge: distinct trimmed texts, joined."""
     return F.array_join(F.array_distinct(F.transform(texts, F.trim)), " | ")
@@ -66,12 +72,27 @@ def valid_relations(answer: Column, known: Column, least: float = 0.5) -> Column
     return F.filter(rows, lambda r: F.array_contains(known, r["targetId"]) & r["type"].isin(*RELATIONS) & (r["confidence"] >= least))
 
 
-#: Lookups that a question's words call for.
-ROUTES = (("memory", "remember|recall|decided|decision|previous"), ("code", "function|class|method|implement|code|file"), ("docs", "document|readme|guide|explain"), ("graph", "depend|import|call|uses|impact"), ("patterns", "pattern|convention|style"))
-
-
-def routes(question: Column) -> Column:
-    """The lookups for a question by its words; memory and code where none fits."""
-    low = F.lower(question)
-    hits = F.array_compact(F.array(*[F.when(F.rlike(low, F.lit(words)), F.lit(name)) for name, words in ROUTES]))
-    return F.when(F.size(hits) == 0, F.array(F.lit("memory"), F.lit("code"))).otherwise(hits)
+#: Words of a task and the lookups that they call for, in order; the code is always searched.
+ROUTES = (
+    (r"fix|bug|debug|error|broken|issue|wrong|fail", ("memory", "graph")),
+    (r"refactor|restructur|architect|design|pattern|approach", ("patterns", "adrs")),
+    (r"add|implement|create|build|feature|new", ("patterns", "adrs")),
+)
+LATER_ROUTES = (
+    (r"understand|explain|how does|what is|document", ("docs", "memory")),
+    (r"review|check|validate|verify", ("patterns", "adrs")),
+)
+
+
+def routes(task: Column, files: Column | None = None, intent: Column | None = None) -> Column:
+    """The lookups for a task by its words, its files (an array) and its intent, distinct and in order."""
+    low = F.lower(task)
+    intent = F.lit("") if intent is None else F.coalesce(intent, F.lit(""))
+    when = lambda test, names: F.when(test, F.array(*[F.lit(n) for n in names])).otherwise(F.array().cast("array<string>"))
+    parts = [F.array(F.lit("code_search"))] + [when(F.rlike(low, F.lit(words)), names) for words, names in ROUTES]
+    if files is not None:
+        parts.append(when(F.coalesce(F.size(files), F.lit(0)) > 0, ("graph",)))
+    for words, names in LATER_ROUTES:
+        parts.append(when(F.rlike(low, F.lit(words)) | ((intent == "review") & F.lit("review" in words)), names))
+    parts.append(when(intent == "architecture", ("patterns", "adrs", "memory")))
+    return F.array_distinct(F.concat(*parts))

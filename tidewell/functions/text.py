@@ -27,7 +27,7 @@ def long_words(text: Column) -> Column:
 
 def normalised(text: Column) -> Column:
     """I4: plain apostrophes, lower case, single spaces."""
-    return F.trim(F.regexp_replace(F.lower(F.translate(text, "’ʼ`´", "''''")), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.lower(F.translate(text, "’ʼ‘`", "''''")), r"\s+", " "))
 
 
 def snippet(text: Column, n: int = 160) -> Column:
@@ -93,6 +93,87 @@ def glob_regex(pattern: str) -> str:
     return f"^{out}$"
 
 
+#: Phrases that ask to save a statement, anywhere in it.
+SAVE_PHRASES = (
+    "remember this",
+    "remember that",
+    "note for the future",
+    "keep in mind",
+    "запам'ятай",
+    "запамятай",
+    "збережи в пам'ять",
+    "збережи це",
+    "на майбутнє врахуй",
+)
+#: How a correction begins.
+CORRECTION_PREFIXES = (
+    "no,",
+    "no -",
+    "that's wrong",
+    "that is wrong",
+    "wrong,",
+    "actually,",
+    "incorrect",
+    "ні,",
+    "ні.",
+    "не так",
+    "неправильно",
+    "невірно",
+    "насправді",
+)
+
+
+def any_of(tests: list[Column]) -> Column:
+    out = F.lit(False)
+    for t in tests:
+        out = out | t
+    return out
+
+
+def saves(text: Column) -> Column:
+    """Whether a statement asks to be remembered; apostrophes of any kind, or none, are one."""
+    plain = normalised(text)
+    bare = F.replace(plain, F.lit("'"), F.lit(""))
+    return any_of([F.contains(plain, F.lit(p)) | F.contains(bare, F.lit(p.replace("'", ""))) for p in SAVE_PHRASES])
+
+
+def corrects(text: Column) -> Column:
+    """Whether a statement begins as a correction."""
+    plain = normalised(text)
+    return any_of([F.startswith(plain, F.lit(p)) for p in CORRECTION_PREFIXES])
+
+
+#: Layers by words of a lower-case path; the first that fits counts.
+LAYERS = (
+    ("api", r"\broutes?\b|\bcontrollers?\b"),
+    ("service", r"\bservices?\b"),
+    ("util", r"\butils?\b|\bhelpers?\b|\blib\b"),
+    ("model", r"\bmodels?\b|\bentit"),
+    ("middleware", r"\bmiddleware\b"),
+    ("test", r"\b__tests__\b|\btest\b|\bspec\b"),
+    ("parser", r"\bparsers?\b"),
+    ("types", r"\btypes?\b|\binterfaces?\b"),
+    ("config", r"\bconfig\b"),
+)
+#: Parts of the names of services.
+SERVICE_WORDS = "Service|Store|Parser|Builder|Handler|Controller|Manager"
+
+
+def layer_of(path: Column) -> Column:
+    """The layer of a path, else other."""
+    low = F.translate(F.lower(path), "\\", "/")
+    out = F.lit("other")
+    for name, words in reversed(LAYERS):
+        out = F.when(F.rlike(low, F.lit(words)), name).otherwise(out)
+    return out
+
+
+def service_of(symbols: Column) -> Column:
+    """The first symbol that is named like a service, else the first like a class, else null."""
+    like = lambda p: F.get(F.filter(symbols, lambda x: F.rlike(x, F.lit(p))), F.lit(0))
+    return F.coalesce(like(f"(?i){SERVICE_WORDS}"), like("^[A-Z][a-zA-Z]+$"))
+
+
 #: Languages by file extension.
 EXTENSIONS = {"ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "py": "python", "go": "go", "rs": "rust", "java": "java", "md": "markdown", "json": "json", "yaml": "yaml", "yml": "yaml", "html": "html", "css": "css", "sql": "sql", "sh": "shell"}
 
@@ -115,17 +196,68 @@ def decision_section(text: Column) -> Column:
     return F.trim(F.regexp_extract(text, r"(?si)#+\s*decision\s*\n(.*?)(?=\n#|\z)", 1))
 
 
-def entities(text: Column) -> dict[str, Column]:
-    """Files, calls and class names that a text mentions, distinct and in order."""
-    found = lambda p, g=1: F.array_distinct(F.regexp_extract_all(text, F.lit(p), F.lit(g)))
-    return {"files": found(r"([A-Za-z0-9_/.-]+\.(?:ts|js|py|go|java|md|json|html))"), "calls": found(r"\b([a-z][A-Za-z0-9_]*)\("), "classes": found(r"\b([A-Z][a-z]+(?:[A-Z][a-z]+)+)\b")}
+#: How a text names files, and code the things it declares.
+FILE_NAME = r"(?:[\w/@.-]+/)?[\w.-]+\.(ts|js|tsx|jsx|py|go|rs|vue|json|yaml|yml|md)"
+ANCHOR_FILE = r"(?:[\w@/.-]+/)?[\w.-]+\.(ts|js|tsx|jsx|py|go|rs|vue|json|yaml|yml)"
+DECLARED = r"(?:function|const|let|var|class|interface|type|enum|def|func)\s+(\w+)"
+PASCAL = r"\b([A-Z][a-z]+(?:[A-Z][a-z]+)+)\b"
+
+
+def entities(text: Column, functions: int = 30, concepts: int = 15) -> dict[str, Column]:
+    """Files, declared and imported names, and concepts (decorators, names in Pascal case) that a text mentions, distinct and in order."""
+    found = lambda p, g=1: F.regexp_extract_all(text, F.lit(p), F.lit(g))
+    names = F.flatten(F.transform(found(r"import\s+\{([^}]+)\}"), lambda x: F.transform(F.split(x, ","), lambda y: F.get(F.split(F.trim(y), r"\s+as\s+"), F.lit(0)))))
+    long = lambda xs: F.filter(xs, lambda x: F.length(x) > 1)
+    marks = F.filter(found(r"@(\w+)"), lambda x: (F.length(x) > 2) & (F.substring(x, 1, 1) == F.upper(F.substring(x, 1, 1))))
+    return {
+        "files": F.array_distinct(found(FILE_NAME, 0)),
+        "functions": F.slice(F.array_distinct(F.concat(long(found(DECLARED)), long(names))), 1, functions),
+        "concepts": F.slice(F.array_distinct(F.concat(marks, found(PASCAL))), 1, concepts),
+    }
+
+
+def anchors(text: Column, files: Column, most: int = 20, symbols: int = 5) -> Column:
+    """I8: what a memory points at: (type, path, name) of its files, of files and of the first symbols in its text."""
+    own = F.filter(files, lambda f: F.contains(f, F.lit("/")) | F.contains(f, F.lit(".")))
+    named = F.array_distinct(F.regexp_extract_all(text, F.lit(ANCHOR_FILE), F.lit(0)))
+    as_file = lambda xs: F.transform(xs, lambda f: F.struct(F.lit("file").alias("type"), f.alias("path"), F.lit(None).cast("string").alias("name")))
+    as_symbol = F.transform(F.slice(F.regexp_extract_all(text, F.lit(PASCAL), F.lit(1)), 1, symbols), lambda s: F.struct(F.lit("symbol").alias("type"), F.lit("").alias("path"), s.alias("name")))
+    return F.slice(F.concat(as_file(own), as_file(F.filter(named, lambda f: ~F.array_contains(own, f))), as_symbol), 1, most)
+
+
+def fact_type(text: Column, tool: Column | None = None) -> Column:
+    """A fact's kind by the tool that gave it and by what its text holds, the first rule that fits."""
+    low, tool = F.lower(text), F.lit("") if tool is None else F.coalesce(tool, F.lit(""))
+    has = lambda *ws: any_of([F.contains(low, F.lit(w)) for w in ws])
+    return (
+        F.when((tool == "get_patterns") | has("pattern"), "pattern")
+        .when((tool == "get_adrs") | has("decision"), "pattern")
+        .when(has("import", "require", "dependency"), "dependency")
+        .when(has("error", "bug", "issue", "todo"), "issue")
+        .otherwise("finding")
+    )
 
 
-def fact_type(text: Column) -> Column:
-    """A fact's kind by the words in it."""
-    low = F.lower(text)
-    has = lambda *ws: F.lit(False) if not ws else F.rlike(low, F.lit("|".join(ws)))
-    return F.when(has("prefer", "like", "favorite"), "preference").when(has("decided", "chose", "will use"), "decision").when(has("meeting", "event", "happened"), "event").when(has("works at", "lives in", "is a"), "profile").otherwise("general")
+def observed_facts(text: Column, tool: Column) -> Column:
+    """Facts of a tool's answer: (content, file, type, confidence), distinct by content and in order.
+
+    A file is named on a line of its own as ``[n] path (score: x)``; what follows up to the next such
+    bracket, or 500 characters of it, is its fact, cut to 300. Imports are facts by themselves.
+    """
+    line = r"\[\d+\]\s+([\w./-]+\.\w+)\s*\(score:\s*([\d.]+)\)"
+    part = lambda g: F.regexp_extract_all(text, F.lit(line), F.lit(g))
+    after = F.slice(F.split(text, line, -1), 2, F.size(part(1)))
+    last = lambda i: i == F.size(part(1)) - 1
+    upto = lambda x: F.regexp_extract(x, r"(?s)^(.*?)(?=\n\[|\z)", 1)
+    block = lambda x, i: F.substring(F.regexp_replace(F.when(~last(i) | F.contains(x, F.lit("\n[")), upto(x)).otherwise(F.substring(x, 1, 500)), r"^\s+|\s+$", ""), 1, 300)
+    rows = F.transform(F.arrays_zip(part(1).alias("file"), part(2).alias("score"), after.alias("after")), lambda x, i: F.struct(x["file"].alias("file"), F.least(x["score"].try_cast("double"), F.lit(1.0)).alias("confidence"), block(x["after"], i).alias("block")))
+    seen = F.transform(F.filter(rows, lambda x: x["block"] != ""), lambda x: F.struct(F.concat(x["file"], F.lit(": "), x["block"]).alias("content"), x["file"].alias("file"), fact_type(x["block"], tool).alias("type"), x["confidence"].alias("confidence")))
+    imports = r"import\s+.*from\s+['\"]([^'\"]+)['\"]"
+    pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(imports), F.lit(0)).alias("whole"), F.regexp_extract_all(text, F.lit(imports), F.lit(1)).alias("file"))
+    needs = F.transform(pairs, lambda x: F.struct(F.concat(F.lit("Dependency: "), x["whole"]).alias("content"), x["file"].alias("file"), F.lit("dependency").alias("type"), F.lit(0.8).alias("confidence")))
+    every = F.concat(seen, needs)
+    contents = F.transform(every, lambda x: x["content"])
+    return F.filter(every, lambda x, i: F.array_position(contents, x["content"]) == i + 1)
 
 
 def fnv1a32(text: Column) -> Column:

@@ -15,6 +15,39 @@ def facet(df: DataFrame, field: str, values: list | None = None) -> DataFrame:
     return rows.groupBy(F.col(field).alias("value")).agg(F.count("*").alias("n"))
 
 
+#: Languages that a collection's statistics count.
+LANGUAGES = (
+    "typescript",
+    "javascript",
+    "python",
+    "vue",
+    "html",
+    "css",
+    "scss",
+    "json",
+    "yaml",
+    "markdown",
+    "sql",
+    "shell",
+    "dockerfile",
+    "go",
+    "java",
+    "rust",
+    "c",
+    "cpp",
+    "csharp",
+    "php",
+    "ruby",
+    "swift",
+    "kotlin",
+)
+
+
+def language_facet(df: DataFrame, field: str = "language") -> DataFrame:
+    """(value, n) of the languages that are known; those that no row has are left out."""
+    return facet(df, field, list(LANGUAGES))
+
+
 def collection_stats(df: DataFrame, file: str, at: Column, dim: int) -> DataFrame:
     """Rows, distinct files, newest time, and estimates of memory and disk bytes."""
     n = F.count("*")
@@ -133,5 +166,22 @@ def profile(events: DataFrame, fields: list[str]) -> DataFrame:
     return events.select(F.inline(pairs)).where("value is not null").groupBy("field", "value").agg(F.count("*").alias("n"))
 
 
+def frequent_files(events: DataFrame, file: Column, files: Column, n: int = 20) -> DataFrame:
+    """(file, n) of the files that calls name, one by one (``file``) or as an array."""
+    every = F.concat(F.when(file.isNotNull() & (file != ""), F.array(file)).otherwise(F.array().cast("array<string>")), F.coalesce(files, F.array().cast("array<string>")))
+    return top(events.select(F.explode(every).alias("file")), "file", n=n)
+
+
+def common_patterns(events: DataFrame, summary: Column, least: int = 3, n: int = 10, cut: int = 60) -> DataFrame:
+    """(pattern, n) of inputs that begin alike, in lower case, at least so often."""
+    rows = events.where(summary.isNotNull() & (summary != "")).select(F.substring(F.trim(F.lower(summary)), 1, cut).alias("pattern"))
+    return rows.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "pattern").limit(n)
+
+
+def recent(events: DataFrame, at: str, now: Column, days: int = 30) -> DataFrame:
+    """Events of the last days."""
+    return events.where(F.col(at).cast("timestamp") >= now - F.make_dt_interval(F.lit(days)))
+
+
 def all_of(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)

@@ -14,8 +14,8 @@ from tidewell.session import written
 
 #: Edge types by how much activation they carry; others 0.3.
 EDGE_WEIGHTS = {"supersedes": 0.9, "caused_by": 0.8, "follow_up": 0.7, "refines": 0.7, "extends": 0.7, "contradicts": 0.6, "alternative_to": 0.5, "relates_to": 0.3}
-#: Confidence of an edge's origin, highest last.
-RANKS = ("consolidation", "heuristic", "tree-sitter", "scip", "lsp")
+#: Confidence of an edge's origin, highest last; others are below all.
+RANKS = ("heuristic", "tree-sitter", "scip", "lsp")
 
 
 def both_ways(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -157,26 +157,29 @@ def co_recall(events: DataFrame, event: str, item: str, least: int = 3) -> DataF
 
 
 def rank_of(confidence: Column) -> Column:
-    return F.array_position(F.array(*[F.lit(r) for r in RANKS]), confidence)
+    return F.coalesce(F.array_position(F.array(*[F.lit(r) for r in RANKS]), confidence), F.lit(0))
 
 
-def merge_edges(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Old edges of a file raised to the incoming confidence, and the incoming ones that raised none.
+def merge_edges(old: DataFrame, new: DataFrame, order: str) -> DataFrame:
+    """Old edges of a file raised to what comes in, and the incoming ones whose key raised none.
 
-    Keys are (from_symbol, edge_type). Of incoming edges with one key the last by to_symbol counts for
-    raising; an incoming edge that outranks nothing stands beside the old. Exact doubles are dropped.
+    Keys are (from_symbol, edge_type). Of incoming edges with one key the last by ``order`` counts for
+    raising: an old edge of lower confidence takes over its target, confidence and descriptor. An incoming edge
+    whose key raises nothing stands beside the old ones. Nothing is made distinct.
     """
-    best = new.groupBy("from_symbol", "edge_type").agg(F.max(F.struct("to_symbol", "confidence"))["confidence"].alias("incoming"))
-    joined = old.join(best, ["from_symbol", "edge_type"], "left").withColumn("raised", F.coalesce(rank_of(F.col("incoming")) > rank_of(F.col("confidence")), F.lit(False)))
-    kept = joined.withColumn("confidence", F.when(F.col("raised"), F.col("incoming")).otherwise(F.col("confidence"))).select(*old.columns)
-    used = joined.where("raised").select("from_symbol", "edge_type").distinct()
-    return kept.unionByName(new.join(used, ["from_symbol", "edge_type"], "left_anti").select(*old.columns)).distinct()
+    taken = [c for c in old.columns if c not in ("from_symbol", "edge_type")]
+    best = new.groupBy("from_symbol", "edge_type").agg(F.max_by(F.struct(*taken), order).alias("__in"))
+    raised = F.coalesce(rank_of(F.col("__in.confidence")) > rank_of(F.col("confidence")), F.lit(False))
+    joined = old.join(best, ["from_symbol", "edge_type"], "left").withColumn("__raised", raised)
+    kept = joined.select(*[F.when(F.col("__raised"), F.col("__in")[c]).otherwise(F.col(c)).alias(c) if c in taken else F.col(c) for c in old.columns])
+    used = joined.where("__raised").select("from_symbol", "edge_type").distinct()
+    return kept.unionByName(new.join(used, ["from_symbol", "edge_type"], "left_anti").select(*old.columns))
 
 
-def overlay(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """One edge for each key, of the highest confidence; the incoming one of equals."""
+def overlay(old: DataFrame, new: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """One edge for each key, of the highest confidence; of equals the incoming one, then the first by ``order``."""
     rows = old.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
-    best = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(rank_of(F.col("confidence"))), F.desc("__new")))
+    best = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(rank_of(F.col("confidence"))), F.desc("__new"), *order))
     return rows.withColumn("__r", best).where("__r = 1").drop("__r", "__new")
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions import scoring
+from tidewell.operators.search import rerank
 
 
 def upsert(table: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:
@@ -43,9 +45,14 @@ def durable_and_long_term(durable: DataFrame, long_term: DataFrame, k: int) -> D
     return durable.unionByName(long_term.join(durable.select("id"), "id", "left_anti")).orderBy(F.desc("score"), "id").limit(k)
 
 
+def standing(rows: DataFrame) -> DataFrame:
+    """Rows that nothing supersedes; an empty pointer is none."""
+    return rows.where(F.coalesce(F.col("superseded_by").cast("string"), F.lit("")) == "")
+
+
 def long_term_recall(rows: DataFrame, now: Column, k: int, least: float = 0.1) -> DataFrame:
     """the best by score times retention; superseded and forgotten rows are left out."""
-    kept = rows.where(F.col("superseded_by").isNull()).withColumn("retention", scoring.retention(scoring.days_before(now, F.col("last_accessed")), F.col("stability"), F.col("access_count")))
+    kept = standing(rows).withColumn("retention", scoring.retention(scoring.days_before(now, F.col("last_accessed")), F.col("stability"), F.col("access_count")))
     return kept.where(F.col("retention") >= least).withColumn("score", F.col("score") * F.col("retention")).orderBy(F.desc("score"), "id").limit(k)
 
 
@@ -61,10 +68,11 @@ def temporal_list(rows: DataFrame, op: str, low: str | None, high: str | None, k
     return rows.orderBy(at.asc() if op == "first" else at.desc(), "id").limit(2 * k)
 
 
-def recall(lists: list[DataFrame], facts: DataFrame, now: Column, k: int = 10, boost: float = 0.3) -> DataFrame:
-    """several ranked lists (id, score) fused, then aged and blended with recency; facts: id, created_at, exempt, superseded_by.
+def recall(lists: list[DataFrame], facts: DataFrame, now: Column, k: int = 10, boost: float = 0.3, scorer: Callable | None = None, trigger: Callable | None = None) -> DataFrame:
+    """several ranked lists (id, score) fused, then aged, blended with recency, reranked and raised by triggers; facts: id, created_at, exempt, superseded_by.
 
-    Empty lists don't count; with one list its scores stay.
+    Empty lists don't count; with one list its scores stay. scorer: a function of facts' ``content`` for F3's rerank of the
+    first 3 * k; trigger: one of (score, facts' ``trigger``) for F7's boost. Without them these steps are left out.
     """
     full = [d for d in lists if d.take(1)]
     if not full:
@@ -75,9 +83,14 @@ def recall(lists: list[DataFrame], facts: DataFrame, now: Column, k: int = 10, b
         ranked = [d.select("id", (1.0 / (60 + F.row_number().over(Window.orderBy(F.desc("score"), "id")))).alias("score")) for d in full]  # each a top-k
         fused = reduce(DataFrame.unionByName, ranked).groupBy("id").agg(F.sum("score").alias("score"))
     days = scoring.days_before(now, F.col("created_at"))
-    rows = fused.join(facts, "id").where(F.col("superseded_by").isNull())
+    rows = standing(fused.join(facts, "id"))
     aged = F.col("score") * scoring.aging(days, F.col("exempt"))
-    return rows.select("id", scoring.recency_blend(aged, days, boost).alias("score")).orderBy(F.desc("score"), "id").limit(k)
+    rows = rows.withColumn("score", scoring.recency_blend(aged, days, boost))
+    if scorer:
+        rows = rerank(rows.orderBy(F.desc("score"), "id").limit(3 * k), F.col("content"), scorer, 3 * k)
+    if trigger:
+        rows = rows.withColumn("score", trigger(F.col("score"), F.col("trigger")))
+    return rows.select("id", "score").orderBy(F.desc("score"), "id").limit(k)
 
 
 def digest(rows: DataFrame, now: Column, limits: dict[str, int], lines: int = 200) -> DataFrame:
@@ -142,6 +155,18 @@ def versions_of(log: DataFrame) -> DataFrame:
     return last.where("v.op <> 'deleted'").select("memory_id", "seq", F.col("v.op").alias("op"), F.col("v.content").alias("content"), "n_versions")
 
 
+def redact(log: DataFrame, gone: DataFrame) -> DataFrame:
+    """Versions that are taken back lose what they hold, and keep their place, operation and hash; gone: memory_id, seq.
+
+    Columns of the log besides memory_id, seq, op, content_hash, actor and at are cleared, and ``redacted`` is set. Redacting again changes nothing.
+    """
+    stays = ("memory_id", "seq", "op", "content_hash", "actor", "at", "redacted")
+    out = log.join(gone.select("memory_id", "seq", F.lit(True).alias("__gone")), ["memory_id", "seq"], "left").withColumn("__gone", F.col("__gone").isNotNull())
+    kept = [F.col(c) if c in stays else F.when(~F.col("__gone"), F.col(c)).alias(c) for c in log.columns if c != "redacted"]
+    was = F.coalesce("redacted", F.lit(False)) if "redacted" in log.columns else F.lit(False)
+    return out.select(*kept, (was | F.col("__gone")).alias("redacted"))
+
+
 def rollback(live: DataFrame, snapshot: DataFrame, overrides: DataFrame, key: str = "id") -> DataFrame:
     """Fields from the overrides, else the snapshot, else the live row; of keys with a snapshot."""
     fields = [c for c in live.columns if c != key]
@@ -159,6 +184,25 @@ def stale(rows: DataFrame, now: Column) -> DataFrame:
     return rows.withColumn("rule", rule).where(F.col("rule").isNotNull())
 
 
+def fading(rows: DataFrame, now: Column, least: float = 0.1) -> DataFrame:
+    """N12, second part: long-term memories that were never read and of which less than a tenth is retained; rows: created_at, stability, access_count."""
+    access, stability = F.coalesce("access_count", F.lit(0)), F.coalesce("stability", F.lit(7.0))
+    kept = scoring.retention(scoring.days_before(now, F.col("created_at")), stability, access)
+    return rows.withColumn("retention", kept).where(F.col("created_at").isNotNull() & (access == 0) & (F.col("retention") < least))
+
+
+#: Where memories of a type move to, and the subtype of semantic ones.
+LONG_TERM = {"conversation": "episodic", "context": "episodic", "note": "episodic", "decision": "semantic", "insight": "semantic", "procedure": "semantic", "todo": "episodic"}
+SUBTYPES = ("decision", "insight", "procedure")
+
+
+def migrated(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Memories that are not in the long-term store yet, with ``target`` and ``subtype``; types without a target stay behind."""
+    targets = F.create_map(*[F.lit(x) for k, v in LONG_TERM.items() for x in (k, v)])
+    out = rows.join(known.select("id"), "id", "left_anti").withColumn("target", F.try_element_at(targets, F.col("type")))
+    return out.where(F.col("target").isNotNull()).withColumn("subtype", F.when(F.col("type").isin(*SUBTYPES), F.col("type")))
+
+
 def strengthen(rows: DataFrame, hits: DataFrame) -> DataFrame:
     """Each recall adds an access and stretches stability by half; hits: id, n."""
     out = rows.join(hits, "id", "left").withColumn("n", F.coalesce("n", F.lit(0)))

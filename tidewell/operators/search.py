@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -11,18 +12,43 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions import vectors
-from tidewell.session import written
+from tidewell.session import stored, written
 
-#: Query vectors of one batch search; they are sent to every task.
-MOST_QUERIES = 100_000
-#: Queries of one block where every point is a query.
+#: Queries of one block of a batch search; their vectors are sent to every task.
 QUERY_BLOCK = 8192
 
 
+def must(*parts: Column | None) -> Column | None:
+    """All of the parts; parts that ask nothing (None) are left out."""
+    given = [p for p in parts if p is not None]
+    return reduce(lambda a, b: a & b, given) if given else None
+
+
+def should(*parts: Column | None) -> Column | None:
+    """Any of the parts."""
+    given = [p for p in parts if p is not None]
+    return reduce(lambda a, b: a | b, given) if given else None
+
+
+def must_not(*parts: Column | None) -> Column | None:
+    """None of the parts; a part that is null of a row does not hold for it."""
+    any_ = should(*parts)
+    return None if any_ is None else ~F.coalesce(any_, F.lit(False))
+
+
 def build_filter(**fields: str | list | None) -> Column | None:
     """All given fields equal (or in a list); None where nothing is asked."""
-    parts = [F.col(k).isin(v) if isinstance(v, list) else F.col(k) == v for k, v in fields.items() if v is not None]
-    return reduce(lambda a, b: a & b, parts) if parts else None
+    return must(*[F.col(k).isin(v) if isinstance(v, list) else F.col(k) == v for k, v in fields.items() if v is not None])
+
+
+def in_project(df: DataFrame, project: str, column: str = "project") -> DataFrame:
+    """The rows of one project; names that begin alike are other projects."""
+    return df.where(F.col(column) == project)
+
+
+def sure_enough(df: DataFrame, least: float, column: str = "confidence") -> DataFrame:
+    """Rows of at least that confidence; a row without one counts as sure."""
+    return df.where(F.coalesce(F.col(column), F.lit(1.0)) >= least)
 
 
 def search(points: DataFrame, vector: list[float], k: int = 10, where: Column | None = None, least: float | None = None, id_: str = "id", vec: str = "vector") -> DataFrame:
@@ -34,17 +60,24 @@ def search(points: DataFrame, vector: list[float], k: int = 10, where: Column |
     return scored.orderBy(F.desc("score"), id_).limit(k)
 
 
-def batch_search(points: DataFrame, queries: DataFrame, k: int = 10, least: float = -1.0, id_: str = "id", vec: str = "vector", keep_self: bool = False, same: str | None = None) -> DataFrame:
+def batch_search(points: DataFrame, queries: DataFrame, k: int = 10, least: float = -1.0, id_: str = "id", vec: str = "vector", keep_self: bool = False, same: str | None = None, block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, id, score, rank): the k nearest points of every query; with same, of those of its
     value in that column (a query without one searches all).
 
-    The queries' matrix goes to every task and meets the points in blocks; a task keeps k rows a
-    query, so what is shuffled grows with tasks and queries and not with their product with points.
+    Queries go in blocks of about ``block``, whatever their number: a block is what the driver and a task hold at a time. Its
+    matrix goes to every task and meets the points in parts; a task keeps k rows a query, so what is
+    shuffled grows with tasks and queries and not with their product with points.
     """
+    blocks = max(1, -(-queries.count() // block))
+    if blocks == 1:
+        return _block_search(points, queries, k, least, id_, vec, keep_self, same)
+    part = F.pmod(F.xxhash64(id_), F.lit(blocks))
+    return reduce(DataFrame.unionByName, [written(_block_search(points, queries.where(part == i), k, least, id_, vec, keep_self, same), "nearest") for i in range(blocks)])
+
+
+def _block_search(points: DataFrame, queries: DataFrame, k: int, least: float, id_: str, vec: str, keep_self: bool, same: str | None) -> DataFrame:
     kind = F.col(same).cast("string") if same else F.lit(None).cast("string")
-    rows = queries.select(F.col(id_), F.col(vec), kind).orderBy(id_).limit(MOST_QUERIES + 1).collect()
-    if len(rows) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries")
+    rows = queries.select(F.col(id_), F.col(vec), kind).orderBy(id_).collect()
     schema = "query_id long, id long, score double"
     if not rows:
         return points.sparkSession.createDataFrame([], schema + ", rank int")
@@ -53,26 +86,42 @@ def batch_search(points: DataFrame, queries: DataFrame, k: int = 10, least: floa
     codes = {x: i for i, x in enumerate(sorted({r[2] for r in rows if r[2] is not None}))}
     asked = np.array([codes.get(r[2], -1) for r in rows])
 
+    def best(query: np.ndarray, point: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The first k of each query by score, then id."""
+        order = np.lexsort((point, -score, query))
+        query, point, score = query[order], point[order], score[order]
+        first = np.searchsorted(query, query, side="left")
+        top = np.arange(len(query)) - first < k
+        return query[top], point[top], score[top]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best_s, best_i = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
+        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        least_of = np.full(len(ids), least)  # a score under it is not among a query's first k
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
                 p = part.column(0).to_numpy()
                 x = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(p), -1)
                 x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                s = q @ x.T
-                if not keep_self:
-                    s[ids[:, None] == p[None, :]] = -np.inf
-                if codes:
-                    own = np.array([codes.get(x, -1) for x in part.column(2).to_pylist()])
-                    s[(asked[:, None] >= 0) & (asked[:, None] != own[None, :])] = -np.inf
-                s[s < least] = -np.inf
-                all_s, all_i = np.hstack([best_s, s]), np.hstack([best_i, np.broadcast_to(p, s.shape)])
-                order = np.lexsort((all_i, -all_s), axis=1)[:, :k]
-                best_s, best_i = np.take_along_axis(all_s, order, 1), np.take_along_axis(all_i, order, 1)
-        hit = np.isfinite(best_s)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, k)[hit.ravel()]), pa.array(best_i[hit]), pa.array(best_s[hit])], ["query_id", "id", "score"])
+                own = np.array([codes.get(c, -1) for c in part.column(2).to_pylist()]) if codes else None
+                found = [held]
+                for low in range(0, len(ids), 1024):
+                    rows_ = slice(low, low + 1024)
+                    s = q[rows_] @ x.T
+                    if not keep_self:
+                        s[ids[rows_, None] == p[None, :]] = -np.inf
+                    if codes:
+                        s[(asked[rows_, None] >= 0) & (asked[rows_, None] != own[None, :])] = -np.inf
+                    bound = least_of[rows_]
+                    if s.shape[1] > k:
+                        bound = np.maximum(bound, np.partition(s, -k, axis=1)[:, -k])
+                    i, j = np.nonzero((s >= bound[:, None]) & np.isfinite(s))
+                    found.append((i + low, p[j], s[i, j]))
+                held = best(*(np.concatenate(c) for c in zip(*found, strict=True)))
+                query, n = np.unique(held[0], return_counts=True)
+                full = query[n == k]
+                least_of[full] = held[2][np.searchsorted(held[0], full, side="right") - 1]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[held[0]]), pa.array(held[1]), pa.array(held[2])], ["query_id", "id", "score"])
 
     near = points.select(F.col(id_).alias("id"), F.col(vec), kind).mapInArrow(run, schema)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
@@ -80,14 +129,8 @@ def batch_search(points: DataFrame, queries: DataFrame, k: int = 10, least: floa
 
 
 def nearest_of_all(points: DataFrame, k: int = 10, least: float = -1.0, id_: str = "id", vec: str = "vector", same: str | None = None, block: int = QUERY_BLOCK) -> DataFrame:
-    """batch_search() with every point as a query, in blocks of about so many queries, whatever their number.
-
-    A block is what the driver and a task hold at a time; its result is stored before the next.
-    """
-    blocks = -(-points.count() // block)
-    part = F.pmod(F.xxhash64(id_), F.lit(max(blocks, 1)))
-    parts = [written(batch_search(points, points.where(part == i), k, least, id_, vec, same=same), "nearest") for i in range(max(blocks, 1))]
-    return reduce(DataFrame.unionByName, parts)
+    """batch_search() with every point as a query, stored."""
+    return written(batch_search(points, points, k, least, id_, vec, same=same, block=block), "nearest-of-all")
 
 
 def search_groups(scored: DataFrame, group: str, groups: int = 5, size: int = 3, id_: str = "id") -> DataFrame:
@@ -127,18 +170,22 @@ def term_counts(docs: DataFrame, words: Column, id_: str = "id") -> DataFrame:
     return docs.select(F.col(id_).alias("id"), F.explode(words).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
-def bm25(docs: DataFrame, words: Column, query: list[str], k: int = 10, id_: str = "id", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """BM25 of a query's words. One pass keeps, for each text, its length and the query words' counts."""
-    query = sorted(set(query))
-    counts = F.array(*[F.size(words) - F.size(F.array_remove(words, t)) for t in query])
-    rows = docs.select(F.col(id_).alias("id"), F.size(words).alias("n"), counts.alias("tf"))
-    stats = rows.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"), *[F.count_if(F.get("tf", F.lit(i)) > 0).alias(f"df{i}") for i in range(len(query))]).first()
-    score = F.lit(0.0)
+def bm25(docs: DataFrame, text: Column, query: list[str], k: int = 10, id_: str = "id", k1: float = 1.2, b: float = 0.75, least: int = 3) -> DataFrame:
+    """BM25 of a query's words; words are runs of at least so many letters, digits and underscores, in lower case.
+
+    One pass over the texts stores each one's length and the query words' counts, and sums them up.
+    """
+    query, low = sorted({q.lower() for q in query}), F.lower(text)
+    counts = [F.regexp_count(low, F.lit(rf"(?<![a-z0-9_A-Z]){re.escape(t)}(?![a-z0-9_A-Z])")).alias(f"tf{i}") for i, t in enumerate(query)]
+    rows = docs.select(F.col(id_).alias("id"), F.regexp_count(low, F.lit(f"[A-Za-z0-9_]{{{least},}}")).alias("n"), *counts)
+    rows, seen = stored(rows, "bm25", mean=F.avg("n"), **{f"df{i}": F.count_if(F.col(f"tf{i}") > 0) for i in range(len(query))})
+    score, any_ = F.lit(0.0), F.lit(False)
     for i in range(len(query)):
-        df, tf = stats[f"df{i}"], F.get("tf", F.lit(i))
-        idf = float(np.log(1 + (stats["docs"] - df + 0.5) / (df + 0.5)))
-        score = score + F.lit(idf) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("n") / F.lit(stats["mean"] or 1.0)))
-    return rows.where(F.aggregate("tf", F.lit(0), lambda s, x: s + x) > 0).select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(k)
+        df, tf = seen[f"df{i}"], F.col(f"tf{i}")
+        idf = float(np.log(1 + (seen["rows"] - df + 0.5) / (df + 0.5)))
+        score = score + F.lit(idf) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("n") / F.lit(seen["mean"] or 1.0)))
+        any_ = any_ | (tf > 0)
+    return rows.where(any_).select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
 def keyword_search(docs: DataFrame, text: Column, words: list[str], k: int = 10, id_: str = "id") -> DataFrame:
@@ -159,10 +206,10 @@ def fuse(lists: list[DataFrame], k: int = 10, constant: int = 60, id_: str = "id
 
 
 def merge_semantic_keyword(semantic: DataFrame, keyword: DataFrame, w: float = 0.7) -> DataFrame:
-    """Full outer by id; both: weighted sum; semantic alone: its weight; keyword alone: half its score."""
+    """Full outer by id: the weighted sum of both scores; a row that only the keywords found has half its score for the semantic one."""
     s, q = semantic.select("id", F.col("score").alias("s")), keyword.select("id", F.col("score").alias("q"))
     both = s.join(q, "id", "full_outer")
-    score = F.when(F.col("s").isNull(), F.col("q") * 0.5).otherwise(F.col("s") * w + F.coalesce("q", F.lit(0.0)) * (1 - w))
+    score = F.coalesce(F.col("s"), F.col("q") * 0.5) * w + F.coalesce("q", F.lit(0.0)) * (1 - w)
     return both.select("id", score.alias("score"))
 
 

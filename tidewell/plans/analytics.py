@@ -106,6 +106,30 @@ def e14_profile(spark, sf):
     return counted.withColumn("r", r).where("r <= 15").drop("r")
 
 
+E14_RECENT = "e AS (SELECT * FROM events WHERE ts >= TIMESTAMP '2024-01-31' - INTERVAL 10 DAY)"
+
+
+@query(f"""WITH {E14_RECENT}, f AS (SELECT 'u' || user_id AS file FROM e WHERE event_type <> 'error' UNION ALL SELECT unnest(['t' || event_type, 'u' || (user_id % 7)]) FROM e WHERE event_id % 2 = 0) SELECT file, count(*) AS n FROM f GROUP BY 1 ORDER BY n DESC, file LIMIT 20""")
+def e14_frequent_files(spark, sf):
+    e = A.recent(usage(spark, sf), "ts", F.expr("TIMESTAMP '2024-01-31 00:00:00'"), 10)
+    one = F.when(F.col("tool") != "error", F.concat(F.lit("u"), "session"))
+    many = F.when(F.col("event_id") % 2 == 0, F.array(F.concat(F.lit("t"), "tool"), F.concat(F.lit("u"), F.col("session") % 7)))
+    return A.frequent_files(e, one, many)
+
+
+@query(f"""WITH {E14_RECENT} SELECT substr(trim(lower(' ' || event_type || ' ' || props)), 1, 60) AS pattern, count(*) AS n FROM e GROUP BY 1 HAVING count(*) >= 3 ORDER BY n DESC, pattern LIMIT 10""")
+def e14_common_patterns(spark, sf):
+    e = A.recent(usage(spark, sf), "ts", F.expr("TIMESTAMP '2024-01-31 00:00:00'"), 10)
+    return A.common_patterns(e, F.concat(F.lit(" "), F.upper("tool"), F.lit(" "), "props"))
+
+
+@query("SELECT CASE doc_id % 4 WHEN 0 THEN 'python' WHEN 1 THEN 'go' ELSE 'kotlin' END AS value, count(*) AS n FROM documents WHERE doc_id % 4 < 3 GROUP BY 1")
+def e4_language_facet(spark, sf):
+    k = F.col("doc_id") % 4
+    d = table(spark, sf, "documents").withColumn("language", F.when(k == 0, "python").when(k == 1, "go").when(k == 2, "kotlin").otherwise(F.col("lang")))
+    return A.language_facet(d)
+
+
 @query("""WITH p AS (SELECT * FROM (VALUES ('1-URGENT', 3.0, 15.0), ('2-HIGH', 5.0, 25.0), ('3-MEDIUM', 1.0, 5.0)) t(model, i, o)),
 c AS (SELECT o_orderpriority AS model, l_quantity AS prompt, l_linenumber AS completion FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
 SELECT c.model, count(*) AS calls, sum(prompt) AS prompt, sum(completion)::BIGINT AS completion, round(sum((prompt * coalesce(i, 0) + completion * coalesce(o, 0)) / 1000000), 6)::DOUBLE AS cost FROM c LEFT JOIN p USING (model) GROUP BY ROLLUP (c.model)""")
@@ -178,11 +202,11 @@ def e23_capture_funnel(spark, sf):
     return A.funnel(d, "source", F.lit(True), q == 1, q == 0, q.isNull() & (F.col("doc_id") % 365 <= 7))
 
 
-@query("""SELECT role, string_agg(cast(conv_id AS VARCHAR) || '.' || turn, ',' ORDER BY conv_id, turn) AS turns FROM conversations WHERE conv_id < 20 GROUP BY role""")
+@query("""SELECT conv_id, role, string_agg(cast(conv_id AS VARCHAR) || '.' || turn, ',' ORDER BY conv_id, turn) AS turns FROM conversations GROUP BY conv_id, role""")
 def e26_category_lists(spark, sf):
-    c = table(spark, sf, "conversations").where("conv_id < 20")
+    c = table(spark, sf, "conversations")
     rows = F.array_sort(F.collect_list(F.struct("conv_id", "turn")))
-    return c.groupBy("role").agg(F.array_join(F.transform(rows, lambda x: F.concat_ws(".", x["conv_id"], x["turn"])), ",").alias("turns"))
+    return c.groupBy("conv_id", "role").agg(F.array_join(F.transform(rows, lambda x: F.concat_ws(".", x["conv_id"], x["turn"])), ",").alias("turns"))
 
 
 @query("""WITH c AS (SELECT lang, count(*) AS n, count(*) FILTER (quality = 1) AS h FROM documents JOIN labels USING (doc_id) GROUP BY 1) SELECT round(sum(h) / sum(n), 6)::DOUBLE AS micro, round(avg(h / n), 6)::DOUBLE AS macro FROM c""")

@@ -14,13 +14,13 @@ KIND = "CASE l_returnflag WHEN 'A' THEN 'supersedes' WHEN 'N' THEN 'caused_by' E
 
 
 def edges(spark, sf) -> DataFrame:
-    """Suppliers and the parts of every seventh line as a graph."""
-    li = table(spark, sf, "lineitem").where("l_orderkey % 7 = 0")
+    """Suppliers and the parts of their lines as a graph."""
+    li = table(spark, sf, "lineitem")
     kind = F.when(F.col("l_returnflag") == "A", "supersedes").when(F.col("l_returnflag") == "N", "caused_by").otherwise("relates_to")
     return li.select((F.col("l_suppkey") + 1_000_000).alias("src"), F.col("l_partkey").alias("dst"), kind.alias("type")).distinct()
 
 
-EDGES = f"e AS (SELECT DISTINCT l_suppkey + 1000000 AS src, l_partkey AS dst, {KIND} AS type FROM lineitem WHERE l_orderkey % 7 = 0), u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e)"
+EDGES = f"e AS (SELECT DISTINCT l_suppkey + 1000000 AS src, l_partkey AS dst, {KIND} AS type FROM lineitem), u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e)"
 
 
 def nodes(spark, ids: list[int]) -> DataFrame:
@@ -70,16 +70,16 @@ def g7_activation_merge(spark, sf):
     return G.merge_activated(hits, active, 12).withColumn("score", F.round("score", 6))
 
 
-@query(f"""WITH {EDGES}, b AS (SELECT DISTINCT dst FROM e WHERE src IN (1000001, 1000002)) SELECT count(*) AS affected, count(*) > 20 AS blocked FROM b""")
+@query(f"""WITH {EDGES}, b AS (SELECT DISTINCT src FROM e WHERE dst IN (1, 2)) SELECT count(*) AS affected, count(*) > 20 AS blocked FROM b""")
 def g8_blast_gate(spark, sf):
-    e = edges(spark, sf).where("src in (1000001, 1000002)")
-    return e.agg(F.count_distinct("dst").alias("affected")).withColumn("blocked", F.col("affected") > 20)
+    hit = G.blast_radius(edges(spark, sf).select("src", "dst"), nodes(spark, [1, 2]))  # parts have no dependents beyond their suppliers
+    return hit.select(F.col("files").alias("affected"), (F.col("files") > 20).alias("blocked"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT o_custkey AS a, o_custkey + 3 AS b FROM orders WHERE o_orderkey % 5 = 0), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+@query("""WITH RECURSIVE e AS (SELECT o_custkey AS a, o_custkey + 3 AS b FROM orders), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r(x, y) AS (SELECT a, a FROM u UNION SELECT r.x, u.b FROM r JOIN u ON u.a = r.y) SELECT x AS node, min(y) AS component FROM r GROUP BY x""")
 def g9_components(spark, sf):
-    e = table(spark, sf, "orders").where("o_orderkey % 5 = 0").select(F.col("o_custkey").alias("src"), (F.col("o_custkey") + 3).alias("dst"))
+    e = table(spark, sf, "orders").select(F.col("o_custkey").alias("src"), (F.col("o_custkey") + 3).alias("dst"))
     return G.components(e)
 
 
@@ -94,29 +94,34 @@ def g11_d14_co_recall(spark, sf):
     return G.co_recall(table(spark, sf, "lineitem"), "l_orderkey", "l_suppkey", 3)
 
 
-def made_edges(spark, sf, part: str, new: bool) -> DataFrame:
-    conf = "lsp" if new else "heuristic"
-    li = table(spark, sf, "lineitem").where(part)
-    rank = F.when(F.col("l_linenumber") % 2 == 0, conf).otherwise("tree-sitter")
-    return li.select(F.col("l_suppkey").alias("from_symbol"), F.col("l_returnflag").alias("edge_type"), F.col("l_partkey").alias("to_symbol"), rank.alias("confidence")).dropDuplicates(["from_symbol", "edge_type", "to_symbol", "confidence"])
+def made_edges(spark, sf, new: bool) -> DataFrame:
+    """The first three lines of each order as edges that are known, the others as incoming ones."""
+    li = table(spark, sf, "lineitem").where("l_linenumber > 3" if new else "l_linenumber <= 3")
+    rank = F.when(F.col("l_linenumber") % 2 == 0, "lsp" if new else "heuristic").otherwise("tree-sitter")
+    return li.select(
+        F.col("l_suppkey").alias("from_symbol"), F.col("l_returnflag").alias("edge_type"), F.concat(F.lit("f"), F.col("l_partkey") % 10).alias("to_file"), F.col("l_partkey").alias("to_symbol"),
+        rank.alias("confidence"), F.concat(F.lit("d"), "l_orderkey").alias("descriptor"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("at"),
+    )
 
 
-MADE = """o AS (SELECT DISTINCT l_suppkey AS from_symbol, l_returnflag AS edge_type, l_partkey AS to_symbol, CASE WHEN l_linenumber % 2 = 0 THEN 'heuristic' ELSE 'tree-sitter' END AS confidence FROM lineitem WHERE l_orderkey % 11 = 0),
-n AS (SELECT DISTINCT l_suppkey AS from_symbol, l_returnflag AS edge_type, l_partkey AS to_symbol, CASE WHEN l_linenumber % 2 = 0 THEN 'lsp' ELSE 'tree-sitter' END AS confidence FROM lineitem WHERE l_orderkey % 13 = 0)"""
-RANK = "list_position(['consolidation', 'heuristic', 'tree-sitter', 'scip', 'lsp'], {0})"
+MADE = """l AS (SELECT l_suppkey AS from_symbol, l_returnflag AS edge_type, 'f' || (l_partkey % 10) AS to_file, l_partkey AS to_symbol, l_linenumber AS no, 'd' || l_orderkey AS descriptor, l_orderkey * 10 + l_linenumber AS ord FROM lineitem),
+o AS (SELECT * EXCLUDE (no), CASE WHEN no % 2 = 0 THEN 'heuristic' ELSE 'tree-sitter' END AS confidence FROM l WHERE no <= 3), n AS (SELECT * EXCLUDE (no), CASE WHEN no % 2 = 0 THEN 'lsp' ELSE 'tree-sitter' END AS confidence FROM l WHERE no > 3)"""
+RANK = "coalesce(list_position(['heuristic', 'tree-sitter', 'scip', 'lsp'], {0}), 0)"
 
 
-@query(f"""WITH {MADE}, x AS (SELECT o.*, {RANK.format("o.confidence")} AS r, 0 AS fresh FROM o UNION ALL SELECT n.*, {RANK.format("n.confidence")}, 1 FROM n)
-SELECT from_symbol, edge_type, to_symbol, confidence FROM x QUALIFY row_number() OVER (PARTITION BY from_symbol, edge_type, to_symbol ORDER BY r DESC, fresh DESC) = 1""")
+@query(f"""WITH {MADE}, x AS (SELECT from_symbol, edge_type, to_symbol, confidence, ord, {RANK.format("confidence")} AS r, 0 AS fresh FROM o UNION ALL SELECT from_symbol, edge_type, to_symbol, confidence, ord, {RANK.format("confidence")}, 1 FROM n)
+SELECT from_symbol, edge_type, to_symbol, confidence FROM x QUALIFY row_number() OVER (PARTITION BY from_symbol, edge_type, to_symbol ORDER BY r DESC, fresh DESC, ord) = 1""")
 def d8_d9_edge_overlay(spark, sf):
-    return G.overlay(made_edges(spark, sf, "l_orderkey % 11 = 0", False), made_edges(spark, sf, "l_orderkey % 13 = 0", True), ["from_symbol", "edge_type", "to_symbol"])
+    merged = G.overlay(made_edges(spark, sf, False), made_edges(spark, sf, True), ["from_symbol", "edge_type", "to_symbol"], "at")
+    return merged.select("from_symbol", "edge_type", "to_symbol", "confidence")
 
 
-@query(f"""WITH {MADE}, m AS (SELECT from_symbol, edge_type, max(to_symbol) AS t FROM n GROUP BY ALL), b AS (SELECT from_symbol, edge_type, max(confidence) AS incoming FROM n JOIN m USING (from_symbol, edge_type) WHERE to_symbol = t GROUP BY ALL),
-j AS (SELECT o.*, coalesce({RANK.format("incoming")} > {RANK.format("confidence")}, false) AS raised, incoming FROM o LEFT JOIN b USING (from_symbol, edge_type))
-SELECT from_symbol, edge_type, to_symbol, CASE WHEN raised THEN incoming ELSE confidence END AS confidence FROM j UNION SELECT from_symbol, edge_type, to_symbol, confidence FROM n WHERE NOT EXISTS (SELECT 1 FROM j WHERE raised AND j.from_symbol = n.from_symbol AND j.edge_type = n.edge_type)""")
+@query(f"""WITH {MADE}, b AS (SELECT from_symbol, edge_type, arg_max(struct_pack(f := to_file, s := to_symbol, c := confidence, d := descriptor), ord) AS i FROM n GROUP BY ALL),
+j AS (SELECT o.*, i, i IS NOT NULL AND {RANK.format("i.c")} > {RANK.format("confidence")} AS raised FROM o LEFT JOIN b USING (from_symbol, edge_type))
+SELECT from_symbol, edge_type, CASE WHEN raised THEN i.f ELSE to_file END AS to_file, CASE WHEN raised THEN i.s ELSE to_symbol END AS to_symbol, CASE WHEN raised THEN i.c ELSE confidence END AS confidence, CASE WHEN raised THEN i.d ELSE descriptor END AS descriptor FROM j
+UNION ALL SELECT from_symbol, edge_type, to_file, to_symbol, confidence, descriptor FROM n WHERE NOT EXISTS (SELECT 1 FROM j WHERE raised AND j.from_symbol = n.from_symbol AND j.edge_type = n.edge_type)""")
 def d7_edge_merge(spark, sf):
-    return G.merge_edges(made_edges(spark, sf, "l_orderkey % 11 = 0", False), made_edges(spark, sf, "l_orderkey % 13 = 0", True))
+    return G.merge_edges(made_edges(spark, sf, False).drop("at"), made_edges(spark, sf, True), "at")
 
 
 @query(f"""WITH {EDGES}, h AS (SELECT 1000001 AS file UNION ALL SELECT 2), n AS (SELECT DISTINCT u.dst AS file FROM u JOIN h ON u.src = h.file WHERE u.dst NOT IN (SELECT file FROM h)),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import scoring
 from tidewell.operators import memory as M
+from tidewell.operators.search import token_overlap
 from tidewell.plans.registry import query
 from tidewell.session import table
 
@@ -20,14 +21,14 @@ def memories(spark, sf) -> DataFrame:
     d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
     i = F.col("doc_id")
     return d.select(
-        i.alias("id"), F.substring("text", 1, 60).alias("content"), F.when(i % 4 == 0, "note").when(i % 4 == 1, "decision").otherwise("insight").alias("type"),
+        i.alias("id"), F.col("text").alias("content"), F.when(i % 4 == 0, "note").when(i % 4 == 1, "decision").otherwise("insight").alias("type"),
         F.when(i % 3 == 0, "manual").otherwise("auto_conversation").alias("source"), ((i % 100) / 100).alias("confidence"), (F.col("quality") == 1).alias("validated"),
         (now() - F.make_dt_interval((i % 400).cast("int"))).alias("created_at"), F.when(i % 17 == 0, (i + 1).cast("string")).alias("superseded_by"),
         F.when(i % 10 == 0, "all").when(i % 10 == 1, "repo").alias("pin"), F.array(F.col("lang"), F.col("source")).alias("tags"), F.when(i % 6 == 0, F.concat(F.lit("t"), i)).alias("trigger"),
     )
 
 
-MEM = """m AS (SELECT doc_id AS id, substr(text, 1, 60) AS content, CASE WHEN doc_id % 4 = 0 THEN 'note' WHEN doc_id % 4 = 1 THEN 'decision' ELSE 'insight' END AS type,
+MEM = """m AS (SELECT doc_id AS id, text AS content, CASE WHEN doc_id % 4 = 0 THEN 'note' WHEN doc_id % 4 = 1 THEN 'decision' ELSE 'insight' END AS type,
 CASE WHEN doc_id % 3 = 0 THEN 'manual' ELSE 'auto_conversation' END AS source, (doc_id % 100) / 100.0::DOUBLE AS confidence, quality = 1 AS validated, (doc_id % 400) AS days,
 CASE WHEN doc_id % 17 = 0 THEN cast(doc_id + 1 AS VARCHAR) END AS superseded_by, CASE WHEN doc_id % 10 = 0 THEN 'all' WHEN doc_id % 10 = 1 THEN 'repo' END AS pin,
 [lang, d.source] AS tags, CASE WHEN doc_id % 6 = 0 THEN 't' || doc_id END AS trigger FROM documents d LEFT JOIN labels USING (doc_id))"""
@@ -186,19 +187,57 @@ def n12_stale(spark, sf):
     return M.stale(memories(spark, sf), now()).select("id", "rule")
 
 
-@query("""WITH h AS (SELECT event_id % 50 AS id, count(*) AS n FROM events WHERE event_type = 'view' AND event_id % 50 < 20 AND event_id < 500 GROUP BY 1)
-SELECT c.i AS id, coalesce(n, 0) AS access_count, round(7 * power(1.5, coalesce(n, 0)), 4)::DOUBLE AS stability FROM (SELECT unnest(range(0, 30)) AS i) c LEFT JOIN h ON c.i = h.id""")
+@query("""SELECT user_id AS id, count(*) FILTER (event_type = 'view') AS access_count, round(7 * power(1.5, count(*) FILTER (event_type = 'view')), 4)::DOUBLE AS stability FROM events GROUP BY 1""")
 def n13_strengthen(spark, sf):
-    hits = table(spark, sf, "events").where("event_type = 'view' and event_id % 50 < 20 and event_id < 500").groupBy((F.col("event_id") % 50).alias("id")).agg(F.count("*").alias("n"))
-    rows = spark.range(30).select("id", F.lit(0).cast("long").alias("access_count"), F.lit(7.0).alias("stability"))
+    e = table(spark, sf, "events")
+    hits = e.where("event_type = 'view'").groupBy(F.col("user_id").alias("id")).agg(F.count("*").alias("n"))
+    rows = e.select(F.col("user_id").alias("id"), F.lit(0).cast("long").alias("access_count"), F.lit(7.0).alias("stability")).distinct()
     return M.strengthen(rows, hits).withColumn("stability", F.round("stability", 4))
 
 
-@query(f"WITH {MEM} SELECT CASE type WHEN 'note' THEN 'episodic' ELSE 'semantic' END AS target, type, count(*) AS n FROM m WHERE id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY ALL")
+@query(f"""WITH {MEM}, t AS (SELECT id, CASE id % 9 WHEN 0 THEN 'todo' WHEN 1 THEN 'procedure' WHEN 2 THEN 'context' WHEN 3 THEN 'odd' ELSE type END AS type FROM m)
+SELECT CASE WHEN type IN ('note', 'todo', 'context') THEN 'episodic' ELSE 'semantic' END AS target, CASE WHEN type IN ('decision', 'insight', 'procedure') THEN type END AS subtype, type, count(*) AS n FROM t WHERE type <> 'odd' AND id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY ALL""")
 def n14_migrate(spark, sf):
     known = table(spark, sf, "labels").where("toxic = 1").select(F.col("doc_id").alias("id"))
-    rows = memories(spark, sf).join(known, "id", "left_anti")
-    return rows.groupBy(F.when(F.col("type") == "note", "episodic").otherwise("semantic").alias("target"), "type").agg(F.count("*").alias("n"))
+    k = F.col("id") % 9
+    rows = memories(spark, sf).withColumn("type", F.when(k == 0, "todo").when(k == 1, "procedure").when(k == 2, "context").when(k == 3, "odd").otherwise(F.col("type")))
+    return M.migrated(rows, known).groupBy("target", "subtype", "type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id AS seq, event_type AS op, sha256(props) AS content_hash, CASE WHEN event_id % 5 <> 0 THEN props END AS content, event_id % 5 = 0 AS redacted FROM events")
+def n11_redact(spark, sf):
+    log = table(spark, sf, "events").select(F.col("user_id").alias("memory_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("op"), F.sha2("props", 256).alias("content_hash"), F.col("props").alias("content"))
+    gone = log.where("seq % 5 = 0").select("memory_id", "seq")
+    return M.redact(M.redact(log, gone), gone).drop("memory_id")
+
+
+@query(f"""WITH {MEM} SELECT id, round(exp(-days / 30.0::DOUBLE), 6) AS retention FROM m WHERE id % 3 = 0 AND exp(-days / 30.0::DOUBLE) < 0.1""")
+def n12_fading(spark, sf):
+    m = memories(spark, sf).withColumns({"stability": F.lit(30.0), "access_count": F.when(F.col("id") % 3 > 0, F.col("id") % 3)})
+    return M.fading(m, now()).select("id", F.round("retention", 6).alias("retention"))
+
+
+@query(f"WITH {MEM} SELECT id FROM m WHERE superseded_by IS NULL OR id % 2 = 0")
+def b10_standing(spark, sf):
+    """Half of the pointers are made empty strings, which point at nothing."""
+    m = memories(spark, sf).withColumn("superseded_by", F.when((F.col("id") % 2 == 0) & F.col("superseded_by").isNotNull(), "").otherwise(F.col("superseded_by")))
+    return M.standing(m).select("id")
+
+
+@query(f"""WITH {MEM}, a AS (SELECT id, row_number() OVER (ORDER BY confidence DESC, id) AS r FROM m WHERE type = 'note' QUALIFY r <= 30), b AS (SELECT id, row_number() OVER (ORDER BY days, id) AS r FROM m WHERE source = 'manual' QUALIFY r <= 30),
+f AS (SELECT id, sum(1.0::DOUBLE / (60 + r)) AS s FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY id),
+g AS (SELECT id, trigger, content, s * CASE WHEN days > 30 AND NOT coalesce(validated, false) THEN 1 - least(0.5, (floor(days / 30) - 1) * 0.1) ELSE 1 END * 0.7 + exp(-days / 30) * 0.3 AS score FROM f JOIN m USING (id) WHERE superseded_by IS NULL),
+t AS (SELECT *, list_distinct(list_filter(regexp_split_to_array(lower(substr(content, 1, 800)), '\\s+'), lambda w: w <> '')) AS w FROM g ORDER BY score DESC, id LIMIT 30),
+j AS (SELECT id, len(list_intersect(w, ['of', 'the', 'und'])) / (len(w) + 3 - len(list_intersect(w, ['of', 'the', 'und'])))::DOUBLE * 0.6 + score * 0.4 + CASE WHEN trigger IS NOT NULL THEN 0.3 ELSE 0 END AS s FROM t)
+SELECT id, round(s, 6) AS score FROM j ORDER BY s DESC, id LIMIT 10""")
+def f12_recall_reranked(spark, sf):
+    """The whole chain: fusion, aging, recency, rerank and triggers (of which each that is there counts in full)."""
+    m = memories(spark, sf)
+    a = m.where("type = 'note'").select("id", F.col("confidence").alias("score")).orderBy(F.desc("score"), "id").limit(30)
+    b = m.where("source = 'manual'").select("id", (-scoring.days_before(now(), F.col("created_at"))).alias("score")).orderBy(F.desc("score"), "id").limit(30)
+    facts = m.select("id", "created_at", F.coalesce("validated", F.lit(False)).alias("exempt"), "superseded_by", "content", "trigger")
+    raised = lambda score, trigger: score + F.when(trigger.isNotNull(), 0.3).otherwise(0.0)
+    return M.recall([a, b], facts, now(), scorer=token_overlap("of the und"), trigger=raised).withColumn("score", F.round("score", 6))
 
 
 @query(f"WITH {MEM} SELECT id, confidence FROM m WHERE source LIKE 'auto%' AND validated IS NULL ORDER BY confidence DESC, id LIMIT 25")

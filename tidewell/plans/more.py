@@ -17,11 +17,11 @@ from tidewell.session import table
 from tidewell.sources import files as files_
 
 
-@query("SELECT t.id, t.term, coalesce(n.w, t.w) AS weight FROM (SELECT l_orderkey AS id, 't' || l_linenumber AS term, max(l_quantity) AS w FROM lineitem WHERE l_orderkey < 200 GROUP BY ALL) t LEFT JOIN (SELECT l_orderkey AS id, 't' || l_linenumber AS term, 0.5::DOUBLE AS w FROM lineitem WHERE l_orderkey < 50 GROUP BY ALL) n USING (id, term)")
+@query("SELECT t.id, t.term, coalesce(n.w, t.w) AS weight FROM (SELECT l_orderkey AS id, 't' || l_linenumber AS term, max(l_quantity) AS w FROM lineitem GROUP BY ALL) t LEFT JOIN (SELECT l_orderkey AS id, 't' || l_linenumber AS term, 0.5::DOUBLE AS w FROM lineitem WHERE l_orderkey < 50 GROUP BY ALL) n USING (id, term)")
 def a6_upsert_sparse(spark, sf):
     from tidewell.operators.memory import upsert
 
-    rows = table(spark, sf, "lineitem").where("l_orderkey < 200").groupBy(F.col("l_orderkey").alias("id"), F.concat(F.lit("t"), "l_linenumber").alias("term")).agg(F.max("l_quantity").alias("weight"))
+    rows = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("id"), F.concat(F.lit("t"), "l_linenumber").alias("term")).agg(F.max("l_quantity").alias("weight"))
     keyed = rows.withColumn("key", F.struct("id", "term"))
     return upsert(keyed, keyed.where("id < 50").withColumn("weight", F.lit(0.5)), "key").select("id", "term", "weight")
 
@@ -58,10 +58,10 @@ def d6_memory_links(spark, sf):
     return V.memory_links(files, edges, o.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("id")))
 
 
-@query("""WITH t AS (SELECT label AS session, vec_id AS turn, embedding::DOUBLE[] AS v, 10 + vec_id % 50 AS n FROM embeddings WHERE vec_id < 300)
+@query("""WITH t AS (SELECT vec_id // 25 AS session, vec_id AS turn, embedding::DOUBLE[] AS v, 10 + vec_id % 50 AS n FROM embeddings)
 SELECT a.session, a.turn AS a, b.turn AS b, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM t a JOIN t b ON a.session = b.session AND a.turn < b.turn WHERE greatest(a.n, b.n) <= 4 * least(a.n, b.n) AND list_cosine_similarity(a.v, b.v) >= 0.3""")
 def d15_similar_turns(spark, sf):
-    t = points(spark, sf).where("id < 300").select(F.col("label").alias("session"), F.col("id").alias("turn"), "vector", (10 + F.col("id") % 50).alias("n_chars"))
+    t = points(spark, sf).select(F.floor(F.col("id") / 25).alias("session"), F.col("id").alias("turn"), "vector", (10 + F.col("id") % 50).alias("n_chars"))
     return V.similar_turns(t, 0.3).withColumn("score", F.round("score", 6))
 
 
@@ -78,9 +78,9 @@ def d20_top_signature(spark, sf):
     return table(spark, sf, "orders").join(first, F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf, "part"), F.col("p_partkey") == F.col("p")).select(F.col("o_orderkey").alias("id"), F.col("p_name").alias("signature"))
 
 
-@query("SELECT DISTINCT least(l_suppkey, l_partkey) AS a, greatest(l_suppkey, l_partkey) AS b FROM lineitem WHERE l_orderkey < 500")
+@query("SELECT DISTINCT least(l_suppkey, l_partkey) AS a, greatest(l_suppkey, l_partkey) AS b FROM lineitem")
 def d21_link_union(spark, sf):
-    li = table(spark, sf, "lineitem").where("l_orderkey < 500")
+    li = table(spark, sf, "lineitem")
     return li.select(F.least("l_suppkey", "l_partkey").alias("a"), F.greatest("l_suppkey", "l_partkey").alias("b")).dropDuplicates()
 
 
@@ -122,24 +122,43 @@ def i22_decision_section(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.decision_section(text).alias("decision"))
 
 
-@query("SELECT doc_id, 'a' AS heading FROM documents WHERE doc_id < 5 UNION ALL SELECT doc_id, 'b' FROM documents WHERE doc_id < 5")
+@query("SELECT doc_id, 'Title ' || doc_id AS heading, length('Title ' || doc_id || chr(10) || '=====' || chr(10) || translate(text, chr(10), ' '))::BIGINT AS n FROM documents UNION ALL SELECT doc_id, 'Second', length('Second' || chr(10) || '---------' || chr(10) || lang || ' ' || source)::BIGINT FROM documents")
 def k3_rst_sections(spark, sf):
-    f = table(spark, sf, "documents").where("doc_id < 5").select(F.col("doc_id").cast("string").alias("path"), F.lit("a\n===\nbody of a\nb\n---\nbody of b").alias("content"))
-    return K.rst(f).select(F.col("path").cast("long").alias("doc_id"), F.substring("content", 1, 1).alias("heading"))
+    """Each text as the first of two sections."""
+    content = F.concat(F.lit("Title "), "doc_id", F.lit("\n=====\n"), F.translate("text", "\n", " "), F.lit("\nSecond\n---------\n"), "lang", F.lit(" "), "source")
+    f = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), content.alias("content"))
+    return K.rst(f).select(F.col("path").cast("long").alias("doc_id"), F.substring_index("content", "\n", 1).alias("heading"), F.length("content").cast("long").alias("n"))
 
 
-@query("SELECT * FROM (VALUES ('a'), ('b-c')) t(key)")
+@query("SELECT c_custkey AS id, 'name' AS key, 1 AS start_line FROM customer UNION ALL SELECT c_custkey, 'market-segment', 2 FROM customer UNION ALL SELECT c_custkey, 'k' || c_custkey, 4 FROM customer")
 def k5_yaml_keys(spark, sf):
-    return K.yaml_blocks(files_.uploaded(spark, [("f.yaml", "a: 1\nb-c:\n  d: 2\n  e: 3")])).select("key")
+    content = F.concat(F.lit("name: "), "c_name", F.lit("\nmarket-segment:\n  of: "), "c_mktsegment", F.lit("\nk"), "c_custkey", F.lit(": 3"))
+    f = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("path"), content.alias("content"))
+    return K.yaml_blocks(f).select(F.col("path").cast("long").alias("id"), "key", "start_line")
+
+
+@query("SELECT c_custkey AS id, 'NAME=' || c_name || chr(10) || 'X=1' AS content FROM customer UNION ALL SELECT c_custkey, 'SEGMENT=' || c_mktsegment FROM customer")
+def k5_env_blocks(spark, sf):
+    content = F.concat(F.lit("NAME="), "c_name", F.lit("\nX=1\n \nSEGMENT="), "c_mktsegment", F.lit("\n\n"))
+    f = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("path"), content.alias("content"))
+    return K.env_blocks(f).select(F.col("path").cast("long").alias("id"), "content")
 
 
-@query("SELECT * FROM (VALUES ('message', 'Foo', 2), ('service', 'Bar', 5)) t(kind, name, start_line)")
+@query("SELECT p_partkey AS id, 'message' AS kind, 'Part' || p_partkey AS name, 2 AS start_line FROM part UNION ALL SELECT p_partkey, 'enum', 'Size', 5 FROM part UNION ALL SELECT p_partkey, 'service', 'Brand' || p_size, 8 FROM part")
 def k6_contract_blocks(spark, sf):
-    text = 'syntax = "p";\nmessage Foo {\n  int32 a = 1;\n}\nservice Bar {\n}'
-    return K.contract_blocks(files_.uploaded(spark, [("f.proto", text)])).select("kind", "name", "start_line")
+    content = F.concat(F.lit('syntax = "p";\nmessage Part'), "p_partkey", F.lit(" {\n  int32 a = 1;\n}\nenum Size {\n  A = 0;\n}\nservice Brand"), "p_size", F.lit(" {\n}"))
+    f = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("path"), content.alias("content"))
+    return K.contract_blocks(f).select(F.col("path").cast("long").alias("id"), "kind", "name", "start_line")
+
+
+@query("SELECT p_partkey AS id, '/parts/' || p_partkey AS route, 'get,post' AS methods FROM part UNION ALL SELECT p_partkey, '/brands', 'delete' FROM part")
+def k6_openapi_paths(spark, sf):
+    content = F.concat(F.lit("openapi: 3.0.0\npaths:\n  /parts/"), "p_partkey", F.lit(":\n    get:\n      summary: one\n    post:\n      summary: two\n  /brands:\n    delete:\n      summary: get it\ncomponents:\n  /not:\n    get: 1"))
+    f = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("path"), content.alias("content"))
+    return K.openapi_paths(f).select(F.col("path").cast("long").alias("id"), "route", F.array_join("methods", ",").alias("methods"))
 
 
-@query("SELECT doc_id AS memory_id, 'created' AS op, sha256(substr(text, 1, 60)) AS content_hash FROM documents")
+@query("SELECT doc_id AS memory_id, 'created' AS op, sha256(text) AS content_hash FROM documents")
 def n1_remember(spark, sf):
     m = memories(spark, sf).select("id", "content")
     log = spark.createDataFrame([], "memory_id long, op string, content_hash string, at timestamp")
@@ -179,11 +198,15 @@ def p6_event_summary(spark, sf):
     return V.event_summary(table(spark, sf, "events"), "user_id", ["ts", "event_id"], F.concat_ws(" ", "event_type", "event_id"))
 
 
-@query("SELECT * FROM (VALUES ('a.yaml', 2), ('b.md', 1), ('c.txt', 1)) t(path, n)")
+@query("SELECT CASE doc_id % 3 WHEN 0 THEN 'd' || doc_id || '.yaml' WHEN 1 THEN 'd' || doc_id || '.md' ELSE 'd' || doc_id || '.txt' END AS path, CASE doc_id % 3 WHEN 0 THEN 2 WHEN 1 THEN 3 ELSE 1 END AS n FROM documents")
 def p7_parsers(spark, sf):
+    """Each document as a file of one of three kinds."""
     p = V.Parsers()
     p.register(r"\.ya?ml$", K.yaml_blocks)
     p.register(r"\.md$", lambda f: K.markdown(f, 0))
     p.register(".*", K.size_chunks)
-    f = files_.uploaded(spark, [("a.yaml", "a: 1\nb: 2"), ("b.md", "# One\ntext"), ("c.txt", "plain")])
-    return p.parse(f).groupBy("path").agg(F.count("*").alias("n"))
+    k, i = F.col("doc_id") % 3, F.col("doc_id")
+    path = F.concat(F.lit("d"), i, F.when(k == 0, ".yaml").when(k == 1, ".md").otherwise(".txt"))
+    content = F.when(k == 0, F.concat(F.lit("a: 1\nlang: "), "lang")).when(k == 1, F.concat(F.lit("# One\n"), F.translate("text", "\n#", "  "), F.lit("\n## Two\n\n# Three"))).otherwise(F.concat(F.lit("plain "), "lang"))
+    f = table(spark, sf, "documents").select(path.alias("path"), content.alias("content"))
+    return p.parse(f).groupBy("path").agg(F.count("*").cast("int").alias("n"))

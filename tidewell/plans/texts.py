@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,15 +31,15 @@ def i2_i15_words_and_tokens(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.size(T.long_words(F.col("text"))).cast("long").alias("n_words"), T.token_estimate(F.col("text")).alias("tokens"))
 
 
-QUESTIONS = ["what was the first decision", "before January 2024", "in 2023", "before 2024-03", "after 2023-11", "on 2024-01-05", "latest notes in 2023", "February 2024 plans", "nothing", "what do we do now", "after March 2022"]
-
-
-@query("""SELECT * FROM (VALUES ('what was the first decision', 'first', 'asc', NULL, NULL), ('before January 2024', 'between', NULL, '2024-01-01T00:00:00.000Z', '2024-01-31T23:59:59.999Z'),
-('in 2023', 'between', NULL, '2023-01-01T00:00:00.000Z', '2023-12-31T23:59:59.999Z'), ('before 2024-03', 'before', NULL, '2024-03-01T00:00:00.000Z', NULL), ('after 2023-11', 'after', NULL, '2023-11-01T00:00:00.000Z', NULL),
-('on 2024-01-05', 'between', NULL, '2024-01-05T00:00:00.000Z', '2024-01-05T23:59:59.999Z'), ('latest notes in 2023', 'last', 'desc', NULL, NULL), ('February 2024 plans', 'between', NULL, '2024-02-01T00:00:00.000Z', '2024-02-29T23:59:59.999Z'),
-('nothing', 'none', NULL, NULL, NULL), ('what do we do now', 'current', 'desc', NULL, NULL), ('after March 2022', 'between', NULL, '2022-03-01T00:00:00.000Z', '2022-03-31T23:59:59.999Z')) t(q, op, "order", date_from, date_to)""")
+@query("""WITH q AS (SELECT o_orderkey AS id, o_orderkey % 7 AS k, o_orderdate AS d FROM orders) SELECT id, CASE k WHEN 0 THEN 'first' WHEN 1 THEN 'last' WHEN 2 THEN 'current' WHEN 5 THEN 'before' WHEN 6 THEN 'none' ELSE 'between' END AS op,
+CASE k WHEN 0 THEN 'asc' WHEN 1 THEN 'desc' WHEN 2 THEN 'desc' END AS "order", CASE k WHEN 3 THEN strftime(d, '%Y-01-01T00:00:00.000Z') WHEN 4 THEN strftime(d, '%Y-%m-01T00:00:00.000Z') WHEN 5 THEN strftime(d, '%Y-%m-01T00:00:00.000Z') END AS date_from,
+CASE k WHEN 3 THEN strftime(d, '%Y-12-31T23:59:59.999Z') WHEN 4 THEN strftime(last_day(d), '%Y-%m-%dT23:59:59.999Z') END AS date_to FROM q""")
 def i3_temporal(spark, sf):
-    return spark.createDataFrame([(q,) for q in QUESTIONS], "q string").select("q", T.temporal(F.col("q")).alias("t")).select("q", "t.*")
+    """Questions made from the orders' dates, of each kind in turn."""
+    d, k = F.col("o_orderdate"), F.col("o_orderkey") % 7
+    q = F.when(k == 0, "what was the first order").when(k == 1, "the latest one").when(k == 2, "what do we do now").when(k == 3, F.concat(F.lit("orders in "), F.date_format(d, "yyyy")))
+    q = q.when(k == 4, F.concat(F.date_format(d, "MMMM yyyy"), F.lit(" plans"))).when(k == 5, F.concat(F.lit("Before "), F.date_format(d, "yyyy-MM"))).otherwise("nothing")
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), T.temporal(q).alias("t")).select("id", "t.*")
 
 
 @query(r"SELECT doc_id, md5(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) AS normal, sha256(text) AS sha, md5(substr(trim(lower(text)), 1, 100) || '|' || array_to_string(list_sort([lang, source]), ',')) AS fingerprint FROM documents")
@@ -46,45 +48,96 @@ def i4_i13_i14_hashes(spark, sf):
     return d.select("doc_id", F.md5(T.normalised(F.col("text"))).alias("normal"), F.sha2("text", 256).alias("sha"), T.fingerprint(F.col("text"), F.array("lang", "source")).alias("fingerprint"))
 
 
-@query("SELECT doc_id, starts_with(lower(text), 'the') AS corrects, contains(lower(text), 'and') OR contains(lower(text), 'und') AS saves FROM documents")
+SAID = "CASE turn % 6 WHEN 0 THEN 'No,  ' || text WHEN 1 THEN text || ' Please REMEMBER ' || chr(10) || ' this.' WHEN 2 THEN 'Actually, ' || text WHEN 3 THEN text || ' запамʼятай' WHEN 4 THEN '  That’s wrong. ' || text ELSE text END"
+PLAIN = f"trim(regexp_replace(lower(translate({SAID}, '’ʼ‘`', repeat(chr(39), 4))), '\\s+', ' ', 'g'))"
+HOLDS = " OR ".join(f"""contains(s, '{p.replace("'", "''")}') OR contains(replace(s, chr(39), ''), '{p.replace("'", "")}')""" for p in T.SAVE_PHRASES)
+BEGINS = " OR ".join(f"""starts_with(s, '{p.replace("'", "''")}')""" for p in T.CORRECTION_PREFIXES)
+
+
+@query(f"SELECT conv_id, turn, {BEGINS} AS corrects, {HOLDS} AS saves FROM (SELECT conv_id, turn, {PLAIN} AS s FROM conversations)")
 def i5_phrases(spark, sf):
-    low = F.lower("text")
-    return table(spark, sf, "documents").select("doc_id", F.startswith(low, F.lit("the")).alias("corrects"), (F.contains(low, F.lit("and")) | F.contains(low, F.lit("und"))).alias("saves"))
+    """Turns of the conversations, most of them with a phrase put in."""
+    k, text = F.col("turn") % 6, F.col("text")
+    said = F.when(k == 0, F.concat(F.lit("No,  "), text)).when(k == 1, F.concat(text, F.lit(" Please REMEMBER \n this."))).when(k == 2, F.concat(F.lit("Actually, "), text))
+    said = said.when(k == 3, F.concat(text, F.lit(" запамʼятай"))).when(k == 4, F.concat(F.lit("  That’s wrong. "), text)).otherwise(text)
+    return table(spark, sf, "conversations").select("conv_id", "turn", T.corrects(said).alias("corrects"), T.saves(said).alias("saves"))
 
 
-@query(r"""SELECT page_id, array_to_string(list_sort(list_distinct(regexp_extract_all(html, '([A-Za-z0-9_/.-]+\.(?:ts|js|py|go|java|md|json|html))', 1))), ',') AS files, len(list_distinct(regexp_extract_all(html, '\b([A-Z][a-z]+(?:[A-Z][a-z]+)+)\b', 1))) AS n_classes FROM pages""")
+CODE_LINE = "html || ' import { Store as S, q' || page_id || ' } from ''lib/x.json''; @Injectable class Page' || page_id || 'View uses src/api/page' || page_id || '.tsx'"
+IN_ORDER = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
+
+
+def _with_code(spark, sf) -> DataFrame:
+    i = F.col("page_id")
+    code = F.concat("html", F.lit(" import { Store as S, q"), i, F.lit(" } from 'lib/x.json'; @Injectable class Page"), i, F.lit("View uses src/api/page"), i, F.lit(".tsx"))
+    return table(spark, sf, "pages").select("page_id", code.alias("t"))
+
+
+@query(rf"""WITH p AS (SELECT page_id, {CODE_LINE} AS t FROM pages),
+f AS (SELECT page_id, regexp_extract_all(t, '{T.FILE_NAME}', 0) AS files, list_concat(list_filter(regexp_extract_all(t, '{T.DECLARED}', 1), lambda x: length(x) > 1), ['Store', 'q' || page_id]) AS functions,
+list_concat(list_filter(regexp_extract_all(t, '@(\w+)', 1), lambda x: length(x) > 2 AND substr(x, 1, 1) = upper(substr(x, 1, 1))), regexp_extract_all(t, '{T.PASCAL}', 1)) AS concepts FROM p)
+SELECT page_id, array_to_string({IN_ORDER.format("files")}, ',') AS files, array_to_string({IN_ORDER.format("functions")}[1:30], ',') AS functions, array_to_string({IN_ORDER.format("concepts")}[1:15], ',') AS concepts FROM f""")
 def i7_entities(spark, sf):
-    e = T.entities(F.col("html"))
-    return table(spark, sf, "pages").select("page_id", F.array_join(F.array_sort(e["files"]), ",").alias("files"), F.size(e["classes"]).cast("long").alias("n_classes"))
+    e = T.entities(F.col("t"))
+    return _with_code(spark, sf).select("page_id", *[F.array_join(c, ",").alias(k) for k, c in e.items()])
+
 
+@query(rf"""WITH p AS (SELECT page_id, {CODE_LINE} AS t, list_filter(['d/x', 'plain', 'n.md'], lambda x: contains(x, '/') OR contains(x, '.')) AS own FROM pages),
+f AS (SELECT page_id, own, {IN_ORDER.format(f"regexp_extract_all(t, '{T.ANCHOR_FILE}', 0)")} AS named, regexp_extract_all(t, '{T.PASCAL}', 1)[1:5] AS names FROM p)
+SELECT page_id, array_to_string(list_concat(list_concat(list_transform(own, lambda x: 'file:' || x), list_transform(list_filter(named, lambda x: NOT list_contains(own, x)), lambda x: 'file:' || x)), list_transform(names, lambda x: 'symbol:' || x))[1:20], ',') AS anchors FROM f""")
+def i8_anchors(spark, sf):
+    a = T.anchors(F.col("t"), F.array(F.lit("d/x"), F.lit("plain"), F.lit("n.md")))
+    return _with_code(spark, sf).select("page_id", F.array_join(F.transform(a, lambda x: F.concat_ws(":", x["type"], F.coalesce(x["name"], x["path"]))), ",").alias("anchors"))
 
-@query("SELECT * FROM (VALUES ('a/b.ts', 'typescript', 'code'), ('x.py', 'python', 'code'), ('r/README.md', 'markdown', 'docs'), ('k.proto', 'unknown', 'contract'), ('c.yaml', 'yaml', 'config'), ('noext', 'unknown', 'code')) t(path, language, kind)")
+
+DIRS = ("src/routes", "Services", "lib", "app/models", "middleware", "x/__tests__", "parsers", "types", "config", "other")
+ENDS = ("ts", "py", "md", "proto", "yaml", "go", "env", "")
+PATH = f"{list(DIRS)}[cast(doc_id % {len(DIRS)} AS INTEGER) + 1] || '/F' || doc_id || CASE WHEN {list(ENDS)}[cast(doc_id % {len(ENDS)} AS INTEGER) + 1] = '' THEN '' ELSE '.' || {list(ENDS)}[cast(doc_id % {len(ENDS)} AS INTEGER) + 1] END"
+
+
+@query(f"""WITH p AS (SELECT doc_id, {PATH} AS path FROM documents) SELECT path,
+['typescript', 'python', 'markdown', 'unknown', 'yaml', 'go', 'unknown', 'unknown'][cast(doc_id % 8 AS INTEGER) + 1] AS language, ['code', 'code', 'docs', 'contract', 'config', 'code', 'config', 'code'][cast(doc_id % 8 AS INTEGER) + 1] AS kind,
+['api', 'service', 'util', 'model', 'middleware', 'test', 'parser', 'types', 'config', 'other'][cast(doc_id % 10 AS INTEGER) + 1] AS layer, CASE WHEN doc_id % 3 = 0 THEN 'userstore' WHEN doc_id % 3 = 1 THEN 'Page' END AS service FROM p""")
 def i9_i10_classify_paths(spark, sf):
-    p = spark.createDataFrame([(x,) for x in ("a/b.ts", "x.py", "r/README.md", "k.proto", "c.yaml", "noext")], "path string")
-    return p.select("path", T.language_of(F.col("path")).alias("language"), K.kind_of(F.col("path")).alias("kind"))
+    i = F.col("doc_id")
+    pick = lambda xs: F.get(F.array(*[F.lit(x) for x in xs]), (i % len(xs)).cast("int"))
+    end = pick(ENDS)
+    path = F.concat(pick(DIRS), F.lit("/F"), i, F.when(end == "", "").otherwise(F.concat(F.lit("."), end)))
+    symbols = F.when(i % 3 == 0, F.array(F.lit("Page"), F.lit("userstore"))).when(i % 3 == 1, F.array(F.lit("page"), F.lit("Page")))
+    p = table(spark, sf, "documents").select(path.alias("path"), symbols.alias("symbols"))
+    return p.select("path", T.language_of(F.col("path")).alias("language"), K.kind_of(F.col("path")).alias("kind"), T.layer_of(F.col("path")).alias("layer"), T.service_of(F.col("symbols")).alias("service"))
 
 
-@query(r"SELECT url FROM pages WHERE regexp_matches(url, '^https?://.*/[^/]*1[^/]*$') AND NOT regexp_matches(url, '^.*7[^/]*$')")
+@query("SELECT 'd' || (doc_id % 3) || '/f' || (doc_id % 100) || '.md' AS path, count(*) AS n FROM documents WHERE doc_id % 3 < 2 AND doc_id % 100 <> 7 GROUP BY 1")
 def i12_a16_globs(spark, sf):
-    p = table(spark, sf, "pages").select(F.col("url").alias("path"))
-    return S.select_paths(p, ["http*://**/*1*"], ["**7*"]).where("path rlike '^https?://.*/[^/]*1[^/]*$'").where("not path rlike '^.*7[^/]*$'").select(F.col("path").alias("url"))
+    """A tree of files, written by id and walked again with globs."""
+    import uuid
+
+    root = f"{shared_dir(spark)}/tree-{uuid.uuid4().hex}"
+    path = F.concat(F.lit("d"), F.col("doc_id") % 3, F.lit("/f"), F.col("doc_id") % 100, F.lit(".md"))
+    table(spark, sf, "documents").groupBy(path.alias("file")).agg(F.count("*").cast("string").alias("value")).write.partitionBy("file").text(root)
+    walked = S.file_tree(spark, root, ["**/file=d[01]%2F*/*".replace("[01]", d) for d in "01"], ["**/*f7.md/**"])
+    return walked.select(F.url_decode(F.regexp_extract("path", "file=([^/]*)", 1)).alias("path"), F.trim(F.translate("content", "\n", "")).cast("long").alias("n"))
 
 
-@query("SELECT * FROM (VALUES ('', 2166136261), ('a', 3826002220), ('foobar', 3214735720)) t(s, h)")
+@query("SELECT c_custkey AS id, list_reduce(list_transform(range(1, length(c_name) + 1), lambda i: ascii(substr(c_name, i, 1))::BIGINT), lambda h, b: (xor(h, b) * 16777619) & 4294967295, 2166136261::BIGINT) AS h FROM customer")
 def i13_fnv(spark, sf):
-    return spark.createDataFrame([("",), ("a",), ("foobar",)], "s string").select("s", T.fnv1a32(F.col("s")).alias("h"))
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), T.fnv1a32(F.col("c_name")).alias("h"))
 
 
-@query("""SELECT a.o_orderkey AS id, true AS matches FROM orders a WHERE a.o_orderkey % 100 = 0""")
+@query("""WITH p AS (SELECT o_orderkey AS id, 'src/x' || o_orderkey || '.ts' AS a, CASE o_orderkey % 4 WHEN 0 THEN 'x' || o_orderkey || '.ts' WHEN 1 THEN o_orderkey || '.ts' WHEN 2 THEN 'lib/src/x' || o_orderkey || '.ts' ELSE 'src/x' || o_orderkey || '.ts' END AS b FROM orders)
+SELECT id, a = b OR ends_with(a, '/' || b) OR ends_with(b, '/' || a) AS matches FROM p""")
 def i16_path_suffix(spark, sf):
-    o = table(spark, sf, "orders").where("o_orderkey % 100 = 0").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("src/x"), "o_orderkey", F.lit(".ts")).alias("a"), F.concat(F.lit("x"), "o_orderkey", F.lit(".ts")).alias("b"))
-    return o.select("id", (T.path_matches(F.col("a"), F.col("b")) & ~T.path_matches(F.col("a"), F.substring("b", 2, 99))).alias("matches"))
+    i = F.col("o_orderkey")
+    k, name = i % 4, F.concat("o_orderkey", F.lit(".ts"))
+    b = F.when(k == 0, F.concat(F.lit("x"), name)).when(k == 1, name).when(k == 2, F.concat(F.lit("lib/src/x"), name)).otherwise(F.concat(F.lit("src/x"), name))
+    return table(spark, sf, "orders").select(i.alias("id"), T.path_matches(F.concat(F.lit("src/x"), name), b).alias("matches"))
 
 
-@query("""SELECT event_id, cast(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE event_id % 10 = 0""")
+@query("""SELECT event_id, cast(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events""")
 def i17_json_salvage(spark, sf):
-    e = table(spark, sf, "events").where("event_id % 10 = 0")
-    answer = F.when(F.col("event_id") % 20 == 0, F.concat(F.lit("Sure:\n```json\n"), "props", F.lit("\n```"))).otherwise(F.concat(F.lit("here "), "props", F.lit(" done")))
+    e = table(spark, sf, "events")
+    answer = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("Sure:\n```json\n"), "props", F.lit("\n```"))).otherwise(F.concat(F.lit("here "), "props", F.lit(" done")))
     return e.select("event_id", F.try_variant_get(T.json_object(answer), "$.k", "bigint").alias("k"))
 
 
@@ -95,23 +148,57 @@ def i18_dates(spark, sf):
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_quantity > 40 THEN 1.0 WHEN l_quantity > 30 THEN 0.7 WHEN l_quantity > 20 THEN 0.5 ELSE 0.3 END::DOUBLE AS emotion,
-round((l_quantity * 3 + l_linenumber * 15 + l_quantity * 3 * 1.25 + l_linenumber * 3 * 0.1) / 1000000 * CASE WHEN l_returnflag = 'R' THEN 0.5 ELSE 1 END, 9)::DOUBLE AS cost FROM lineitem WHERE l_orderkey % 50 = 0""")
+round((l_quantity * 3 + l_linenumber * 15 + l_quantity * 3 * 1.25 + l_linenumber * 3 * 0.1) / 1000000 * CASE WHEN l_returnflag = 'R' THEN 0.5 ELSE 1 END, 9)::DOUBLE AS cost FROM lineitem""")
 def i23_i24_cost_and_emotion(spark, sf):
-    li = table(spark, sf, "lineitem").where("l_orderkey % 50 = 0")
+    li = table(spark, sf, "lineitem")
     q, n = F.col("l_quantity"), F.col("l_linenumber")
     cost = scoring.cost(q, n, q, n, F.lit(3.0), F.lit(15.0), F.col("l_returnflag") == "R")
     ms = F.when(q > 30, 10_001).when(q > 20, 5_001).otherwise(0)
     return li.select("l_orderkey", "l_linenumber", "l_partkey", scoring.emotion(q <= 40, ms).alias("emotion"), F.round(cost, 9).alias("cost"))
 
 
-@query("SELECT doc_id, CASE WHEN regexp_matches(lower(text), 'prefer|like|favorite') THEN 'preference' WHEN regexp_matches(lower(text), 'decided|chose|will use') THEN 'decision' WHEN regexp_matches(lower(text), 'meeting|event|happened') THEN 'event' WHEN regexp_matches(lower(text), 'works at|lives in|is a') THEN 'profile' ELSE 'general' END AS kind FROM documents")
+TOOL = "CASE turn % 5 WHEN 0 THEN 'get_patterns' WHEN 1 THEN 'get_adrs' ELSE 'search' END"
+KIND = """CASE WHEN tool = 'get_patterns' OR contains({0}, 'pattern') THEN 'pattern' WHEN tool = 'get_adrs' OR contains({0}, 'decision') THEN 'pattern' WHEN contains({0}, 'import') OR contains({0}, 'require') OR contains({0}, 'dependency') THEN 'dependency'
+WHEN contains({0}, 'error') OR contains({0}, 'bug') OR contains({0}, 'issue') OR contains({0}, 'todo') THEN 'issue' ELSE 'finding' END"""
+
+
+def _turns(spark, sf) -> DataFrame:
+    """Turns with a tool, and with words that rules look for in some."""
+    k, text = F.col("turn") % 9, F.col("text")
+    said = F.when(k == 2, F.concat(text, F.lit(" a Pattern"))).when(k == 3, F.concat(text, F.lit(" please FIX the bug"))).when(k == 4, F.concat(F.lit("Explain "), text)).when(k == 5, F.concat(F.lit("review the import of "), text)).when(k == 6, F.concat(F.lit("implement "), text)).otherwise(text)
+    tool = F.when(F.col("turn") % 5 == 0, "get_patterns").when(F.col("turn") % 5 == 1, "get_adrs").otherwise("search")
+    return table(spark, sf, "conversations").select("conv_id", "turn", said.alias("t"), tool.alias("tool"))
+
+
+TURNS = f"""t AS (SELECT conv_id, turn, {TOOL} AS tool, lower(CASE turn % 9 WHEN 2 THEN text || ' a Pattern' WHEN 3 THEN text || ' please FIX the bug' WHEN 4 THEN 'Explain ' || text WHEN 5 THEN 'review the import of ' || text WHEN 6 THEN 'implement ' || text ELSE text END) AS t FROM conversations)"""
+
+
+@query(f"WITH {TURNS} SELECT conv_id, turn, {KIND.format('t')} AS kind FROM t")
 def i25_fact_type(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", T.fact_type(F.col("text")).alias("kind"))
+    return _turns(spark, sf).select("conv_id", "turn", T.fact_type(F.col("t"), F.col("tool")).alias("kind"))
+
+
+@query(rf"""WITH t AS (SELECT conv_id, turn, {TOOL} AS tool, substr(regexp_replace(text, '^\s+|\s+$', '', 'g'), 1, 300) AS a, text FROM conversations), f AS (SELECT conv_id, turn, tool, 'src/f' || turn || '.ts' AS file, a, 0.9::DOUBLE AS c FROM t UNION ALL SELECT conv_id, turn, tool, 'lib/g.py', substr(regexp_replace(substr('todo ' || text, 1, 500), '^\s+|\s+$', '', 'g'), 1, 300), 1.0::DOUBLE FROM t)
+SELECT conv_id, turn, file || ': ' || a AS content, {KIND.format("lower(a)")} AS type, c AS confidence FROM f WHERE a <> '' UNION ALL SELECT conv_id, turn, 'Dependency: import a from "m' || turn || '"', 'dependency', 0.8 FROM t""")
+def i26_observed_facts(spark, sf):
+    """Answers that name two files, with a turn's text below each, and an import before them."""
+    t = table(spark, sf, "conversations")
+    tool = F.when(F.col("turn") % 5 == 0, "get_patterns").when(F.col("turn") % 5 == 1, "get_adrs").otherwise("search")
+    answer = F.concat(F.lit('import a from "m'), "turn", F.lit('"\n[1] src/f'), "turn", F.lit(".ts (score: 0.90)\n"), "text", F.lit("\n[2] lib/g.py (score: 1.7)todo "), "text")
+    facts = t.select("conv_id", "turn", F.inline(T.observed_facts(answer, tool)))
+    return facts.select("conv_id", "turn", "content", "type", "confidence")
 
 
-@query("SELECT conv_id, turn, array_to_string(CASE WHEN len(r) = 0 THEN ['memory', 'code'] ELSE r END, ',') AS routes FROM (SELECT conv_id, turn, list_filter([CASE WHEN regexp_matches(lower(text), 'remember|recall|decided|decision|previous') THEN 'memory' END, CASE WHEN regexp_matches(lower(text), 'function|class|method|implement|code|file') THEN 'code' END, CASE WHEN regexp_matches(lower(text), 'document|readme|guide|explain') THEN 'docs' END, CASE WHEN regexp_matches(lower(text), 'depend|import|call|uses|impact') THEN 'graph' END, CASE WHEN regexp_matches(lower(text), 'pattern|convention|style') THEN 'patterns' END], lambda x: x IS NOT NULL) AS r FROM conversations)")
+FIX, BUILD, LEARN, CHECK = (T_ for T_ in (models.ROUTES[0][0], models.ROUTES[2][0], models.LATER_ROUTES[0][0], models.LATER_ROUTES[1][0]))
+
+
+@query(rf"""WITH {TURNS}, r AS (SELECT conv_id, turn, list_concat(list_concat(['code_search'], CASE WHEN regexp_matches(t, '{FIX}') THEN ['memory', 'graph'] ELSE [] END), list_concat(CASE WHEN regexp_matches(t, '{models.ROUTES[1][0]}') OR regexp_matches(t, '{BUILD}') OR regexp_matches(t, '{CHECK}') OR turn % 4 = 1 THEN ['patterns', 'adrs'] ELSE [] END,
+list_concat(CASE WHEN turn % 2 = 0 THEN ['graph'] ELSE [] END, list_concat(CASE WHEN regexp_matches(t, '{LEARN}') THEN ['docs', 'memory'] ELSE [] END, CASE WHEN turn % 4 = 3 THEN ['patterns', 'adrs', 'memory'] ELSE [] END)))) AS r FROM t) SELECT conv_id, turn, array_to_string(list_sort(list_distinct(r)), ',') AS routes FROM r""")
 def i28_routes(spark, sf):
-    return table(spark, sf, "conversations").select("conv_id", "turn", F.array_join(models.routes(F.col("text")), ",").alias("routes"))
+    turn = F.col("turn")
+    intent = F.when(turn % 4 == 1, "review").when(turn % 4 == 3, "architecture")
+    files = F.when(turn % 2 == 0, F.array(F.lit("a.ts")))
+    return _turns(spark, sf).select("conv_id", "turn", F.array_join(F.array_sort(models.routes(F.col("t"), files, intent)), ",").alias("routes"))
 
 
 # --- chunks ---------------------------------------------------------------------------------------
@@ -130,28 +217,33 @@ def k2_markdown_sections(spark, sf):
     return K.markdown(as_files(spark, sf)).drop("heading")
 
 
-@query("SELECT 'e/' || event_id AS path, 'k' AS key, json_extract_string(props, '$.k') AS content FROM events WHERE event_id % 9 = 0")
+@query("SELECT 'e/' || event_id AS path, 'k' AS key, json_extract_string(props, '$.k') AS content FROM events")
 def k4_json_keys(spark, sf):
-    e = table(spark, sf, "events").where("event_id % 9 = 0")
+    e = table(spark, sf, "events")
     return K.json_keys(e.select(F.concat(F.lit("e/"), "event_id").alias("path"), F.col("props").alias("content")))
 
 
-CODE = "import a from 'lib/a'\nfrom os.path import join\n\nclass Shop(Base):\n    def sell(self):\n        return 1\n\n\n\nfunction pay() {\n  return 2\n}\n// end\n"
+def code_files(spark, sf) -> DataFrame:
+    """A source file for each order."""
+    i = F.col("o_orderkey")
+    lines = ("import a from 'lib/a", "'\nfrom os.path import join\nimport java.util.List;\n\nclass Shop", "(Base):\n    def sell", "(self):\n        return 1\n\n\n\nexport const pay", " = async (x) => {\n  return 2\n}\n// end\n//\n//\npub fn run() {}\n")
+    parts = [x for k, line in enumerate(lines) for x in (F.lit(line), i)][:-1]
+    return table(spark, sf, "orders").select(F.concat(F.lit("f"), i, F.lit(".ts")).alias("path"), F.concat(*parts).alias("content"))
 
 
-@query()
+@query("""SELECT 'f' || o_orderkey || '.ts' AS path, c.chunk, c.a AS start_line, c.b AS end_line FROM orders, (VALUES (0, 1, 5), (1, 6, 10), (2, 11, 16), (3, 17, 18)) c(chunk, a, b)""")
 def k7_code_chunks(spark, sf):
-    return K.code(S.uploaded(spark, [(f"f{i}.ts", CODE * (i + 1)) for i in range(5)]))
+    return K.code(code_files(spark, sf)).drop("content")
 
 
-@query("SELECT * FROM (VALUES ('f.ts', 'lib/a', 'imports'), ('f.ts', 'os.path', 'imports'), ('f.ts', 'Base', 'extends')) t(path, target, edge_type)")
+@query("""WITH o AS (SELECT o_orderkey AS i FROM orders) SELECT 'f' || i || '.ts' AS path, 'lib/a' || i AS target, 'imports' AS edge_type FROM o UNION ALL SELECT 'f' || i || '.ts', 'os.path', 'imports' FROM o UNION ALL SELECT 'f' || i || '.ts', 'java.util.List', 'imports' FROM o UNION ALL SELECT 'f' || i || '.ts', 'Base', 'extends' FROM o""")
 def k9_code_edges(spark, sf):
-    return K.code_edges(S.uploaded(spark, [("f.ts", CODE)]))
+    return K.code_edges(code_files(spark, sf))
 
 
-@query("SELECT * FROM (VALUES ('f.ts', 'function', 'sell'), ('f.ts', 'function', 'pay'), ('f.ts', 'class', 'Shop')) t(path, kind, name)")
+@query("WITH o AS (SELECT o_orderkey AS i FROM orders) SELECT 'f' || i || '.ts' AS path, 'function' AS kind, 'sell' || i AS name FROM o UNION ALL SELECT 'f' || i || '.ts', 'function', 'pay' || i FROM o UNION ALL SELECT 'f' || i || '.ts', 'function', 'run' FROM o UNION ALL SELECT 'f' || i || '.ts', 'class', 'Shop' || i FROM o")
 def i27_symbols(spark, sf):
-    return K.symbols(S.uploaded(spark, [("f.ts", CODE)]))
+    return K.symbols(code_files(spark, sf))
 
 
 @query("SELECT page_id, length(html) AS n FROM pages WHERE length(trim(html)) >= 10 AND length(html) <= 4000")
@@ -180,11 +272,15 @@ def a23_exposition(spark, sf):
     return S.exposition(e, "calls", "n", ["tool", "ok"])
 
 
-@query("SELECT n_nationkey AS id, n_name AS name FROM nation WHERE n_nationkey % 2 = 0")
-def a13_a15_versions(spark, sf):
+def _catalog(spark) -> S.Catalog:
     import uuid
 
-    catalog = S.Catalog(spark, f"{shared_dir(spark)}/catalog-{uuid.uuid4().hex}")
+    return S.Catalog(spark, f"{shared_dir(spark)}/catalog-{uuid.uuid4().hex}")
+
+
+@query("SELECT n_nationkey AS id, n_name AS name FROM nation WHERE n_nationkey % 2 = 0")
+def a13_a15_versions(spark, sf):
+    catalog = _catalog(spark)
     n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
     first = catalog.write("p_nation", n.where("id % 2 = 0"))
     catalog.write("p_nation", n)
@@ -192,20 +288,61 @@ def a13_a15_versions(spark, sf):
     return catalog.read("p_nation")
 
 
+@query("SELECT 'live' AS alias, n_nationkey AS id FROM nation UNION ALL SELECT 'old', n_nationkey FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT 'lost', n_nationkey FROM nation")
+def a13_aliases(spark, sf):
+    """An alias that is swapped, one that stays, one that is taken away, and one whose version is pruned and that is repaired."""
+    catalog = _catalog(spark)
+    n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"))
+    old = catalog.write("p_nation", n.where("id % 2 = 0"))
+    catalog.swap("live", "p_nation", old)
+    catalog.swap("old", "p_nation", old)
+    catalog.swap("gone", "p_nation", old)
+    catalog.swap("live", "p_nation", catalog.write("p_nation", n))
+    catalog.unalias("gone")
+    catalog.swap("lost", "q_nation", catalog.write("q_nation", n.limit(0)))
+    catalog.write("q_nation", n)
+    catalog.prune("q_nation", 1)
+    catalog.repair()
+    names = [r["alias"] for r in catalog.aliases().orderBy("alias").collect()]
+    return reduce(DataFrame.unionByName, [catalog.read_alias(a).select(F.lit(a).alias("alias"), "id") for a in names])
+
+
+@query("SELECT item_id, 64 AS dim, true AS fresh FROM benchmark")
+def a24_re_embed(spark, sf):
+    catalog = _catalog(spark)
+    catalog.write("p_items", table(spark, sf, "benchmark").withColumn("vector", F.array(F.lit(0.0).cast("float"))))
+    S.re_embed(catalog, "items", "p_items", "text", "vector")
+    return catalog.read_alias("items").select("item_id", F.size("vector").alias("dim"), F.exists("vector", lambda x: x != 0).alias("fresh"))
+
+
+@query("SELECT o_orderkey AS query_id, count(*) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_linenumber > 2 GROUP BY 1")
+def a20_qrels(spark, sf):
+    """Judgements written as JSON lines and read again."""
+    import uuid
+
+    path = f"{shared_dir(spark)}/qrels-{uuid.uuid4().hex}"
+    li = table(spark, sf, "lineitem")
+    li.select(F.col("l_orderkey").cast("string").alias("query_id"), F.col("l_partkey").cast("string").alias("corpus_id"), (F.col("l_linenumber") - 2).cast("double").alias("score")).write.json(path)
+    return S.qrels(spark, path).where("score > 0").groupBy(F.col("query_id").cast("long").alias("query_id")).agg(F.count("*").alias("n"))
+
+
 @query()
 def p1_embed(spark, sf):
-    e = models.embed(table(spark, sf, "benchmark"), "text")
-    return e.select("item_id", F.size("vector").alias("dim"))
+    return models.embed(table(spark, sf, "benchmark"), "text").select("item_id", "vector")
 
 
-@query("SELECT item_id, len(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '')) AS n_words FROM benchmark".replace("\\\\", "\\"))
-def p2_sparse_counts(spark, sf):
-    counts = F.map_values(models.sparse_counts(F.col("text")))
-    return table(spark, sf, "benchmark").select("item_id", F.aggregate(counts, F.lit(0).cast("long"), lambda s, x: s + x).alias("n_words"))
+@query("SELECT item_id, term, count(*) AS n FROM (SELECT item_id, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '')) AS term FROM benchmark) GROUP BY ALL")
+def p2_sparse_terms(spark, sf):
+    return models.sparse_terms(table(spark, sf, "benchmark"), "item_id", "text")
 
 
-@query("SELECT * FROM (VALUES ('a', 'supersedes'), ('b', 'extends')) t(target, type)")
+@query("""SELECT o_orderkey AS id, 'c' || o_custkey AS target, CASE WHEN o_orderkey % 3 = 0 THEN 'supersedes' ELSE 'extends' END AS type FROM orders WHERE o_orderkey % 3 < 2 AND o_orderkey % 10 >= 5""")
 def p5_valid_relations(spark, sf):
-    answer = '[{"targetId":"a","type":"supersedes","confidence":0.9},{"targetId":"b","type":"extends","confidence":0.5},{"targetId":"c","type":"extends","confidence":0.9},{"targetId":"a","type":"odd","confidence":0.9},{"targetId":"b","type":"refines","confidence":0.2}]'
-    rows = spark.createDataFrame([(answer, ["a", "b"])], "answer string, known array<string>")
-    return rows.select(F.explode(models.valid_relations(F.col("answer"), F.col("known"))).alias("r")).select(F.col("r.targetId").alias("target"), F.col("r.type").alias("type"))
+    """Three relations an order, of which at most one has a known target, a known type and enough confidence."""
+    k = F.col("o_orderkey")
+    kind = F.when(k % 3 == 0, "supersedes").when(k % 3 == 1, "extends").otherwise("odd")
+    one = lambda target, type_, sure: F.struct(target.alias("targetId"), type_.alias("type"), sure.alias("confidence"))
+    known = F.concat(F.lit("c"), "o_custkey")
+    answer = F.to_json(F.array(one(known, kind, (k % 10) / 10), one(F.lit("unknown"), F.lit("extends"), F.lit(0.9)), one(known, F.lit("refines"), F.lit(0.2))))
+    rows = table(spark, sf, "orders").select(k.alias("id"), F.explode(models.valid_relations(answer, F.array(known))).alias("r"))
+    return rows.select("id", F.col("r.targetId").alias("target"), F.col("r.type").alias("type"))

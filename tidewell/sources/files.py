@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewell.functions.models import embed
 from tidewell.functions.text import glob_regex
 
 
@@ -50,8 +52,9 @@ def user_text(line: Column) -> Column:
 class Catalog:
     """Collections as versioned Parquet folders below one root, with aliases.
 
-    A version is a folder of its own; an alias is a small table that names the current one, so a new
-    version is written beside the old and swapped in at once. The newest row of the alias table counts.
+    A version is a folder of its own, so a new one is written beside the old. An alias is a row of a small
+    table beside them (alias, collection, version, at); a swap adds one row, so readers see the old
+    version or the new one. The newest row of an alias counts; one without a collection takes the alias away.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -96,9 +99,79 @@ class Catalog:
         """An older version is current again, as a new one."""
         return self.write(name, self.read(name, version))
 
-    def alias(self, alias: str, name: str, version: str | None = None) -> None:
-        """From now on the view of that name reads that version."""
-        self.read(name, version).createOrReplaceTempView(alias)
+    def _say(self, alias: str, name: str | None, version: str | None) -> None:
+        row = self.spark.createDataFrame([(alias, name, version)], "alias string, collection string, version string")
+        row.withColumn("at", F.lit(len(self._names(f"{self.root}/_aliases")))).coalesce(1).write.mode("append").parquet(f"{self.root}/_aliases")
+
+    def aliases(self) -> DataFrame:
+        """(alias, collection, version) of all aliases."""
+        if not self._names(f"{self.root}/_aliases"):
+            return self.spark.createDataFrame([], "alias string, collection string, version string")
+        rows = self.spark.read.parquet(f"{self.root}/_aliases")
+        last = rows.groupBy("alias").agg(F.max_by(F.struct("collection", "version"), "at").alias("a"))
+        return last.where("a.collection is not null").select("alias", "a.*")
+
+    def swap(self, alias: str, name: str, version: str | None = None) -> str:
+        """From now on the alias reads that version, or the newest; creates it where there is none."""
+        version = version or self.versions(name)[-1]
+        self._say(alias, name, version)
+        return version
+
+    def unalias(self, alias: str) -> None:
+        self._say(alias, None, None)
+
+    def read_alias(self, alias: str) -> DataFrame:
+        row = self.aliases().where(F.col("alias") == alias).first()
+        if row is None:
+            raise KeyError(alias)
+        return self.read(row["collection"], row["version"])
+
+    def orphans(self) -> list[str]:
+        """Aliases whose version is no longer there; repair() takes them away or leads them to the newest version left."""
+        return sorted(r["alias"] for r in self.aliases().collect() if r["version"] not in self.versions(r["collection"]))
+
+    def repair(self) -> list[str]:
+        found = self.orphans()
+        of = {r["alias"]: r["collection"] for r in self.aliases().collect()}
+        for a in found:
+            left = self.versions(of[a])
+            self._say(a, of[a] if left else None, left[-1] if left else None)
+        return found
+
+    def create(self, name: str, schema: str) -> str:
+        """A1, A2: an empty collection, with whatever dense and sparse columns the schema names; an existing one stays."""
+        known = self.versions(name)
+        return known[-1] if known else self.write(name, self.spark.createDataFrame([], schema))
+
+
+def re_embed(catalog: Catalog, alias: str, name: str, text: str, vector: str, embedder: Callable | None = None) -> str:
+    """Read a collection, embed its texts anew, write them as a new version and swap the alias to it.
+
+    Until the swap readers keep the old version; a job that dies leaves it in place.
+    """
+    rows = catalog.read(name).drop(vector)
+    version = catalog.write(name, embed(rows, text, vector, embedder))
+    return catalog.swap(alias, name, version)
+
+
+def qrels(spark: SparkSession, path: str) -> DataFrame:
+    """(query_id, corpus_id, score) of a file of relevance judgements: JSON lines."""
+    return spark.read.schema("query_id string, corpus_id string, score double").json(path)
+
+
+def golden_queries(spark: SparkSession, path: str) -> DataFrame:
+    """(id, query, expected, category, k) of a file of questions with the files that answer them; k is 10 where it is not given."""
+    rows = spark.read.option("multiLine", "true").schema("id string, query string, expectedFiles array<string>, category string, k int").json(path)
+    return rows.select("id", "query", F.coalesce("expectedFiles", F.array().cast("array<string>")).alias("expected"), "category", F.coalesce("k", F.lit(10)).alias("k"))
+
+
+def key_values(df: DataFrame, key: Column, value: Column, path: str) -> None:
+    """A sink of (key, value, at) rows, appended; last_values() reads what is in force."""
+    df.select(key.cast("string").alias("key"), value.cast("string").alias("value"), F.current_timestamp().alias("at")).write.mode("append").parquet(path)
+
+
+def last_values(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("key string, value string, at timestamp").parquet(path).groupBy("key").agg(F.max_by("value", "at").alias("value"))
 
 
 def exposition(rows: DataFrame, name: str, value: str, labels: list[str]) -> DataFrame:

@@ -1,6 +1,7 @@
 """Stream processing (J1-J19): each operator works on a streaming DataFrame, and on a batch one for its twin.
 
-Event time drives all state: watermarks bound it, and nothing depends on the wall clock.
+Event time drives all state, and nothing depends on the wall clock. Watermarks bound windows, claims and
+the limiter's state; working memory keeps up to its capacity for each session.
 """
 
 from __future__ import annotations
@@ -19,27 +20,23 @@ CAPACITY = 20
 
 
 def replay(spark: SparkSession, path: str, schema, files: int = 1) -> DataFrame:
-    """A Parquet folder or file as a stream, so many files in a batch."""
-    folder, _, name = path.rstrip("/").rpartition("/")
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).option("pathGlobFilter", "*.parquet").parquet(path if not name.endswith(".parquet") or is_folder(spark, path) else folder + "/" + name)
+    """A Parquet folder as a stream, so many files in a batch."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
-def is_folder(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
+def run_to_table(df: DataFrame, path: str, mode: str = "append") -> DataFrame:
+    """Drive a stream over all its input into Parquet below path, and give the result.
 
+    Each batch has a folder of its own, which a batch that is run again writes anew; of a complete
+    result the last batch's is read.
+    """
+
+    def put(batch: DataFrame, i: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/" + ("last" if mode == "complete" else f"batch={i}"))
 
-def run_to_memory(df: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Drive a stream over all its input and give the result's table."""
-    writer = df.writeStream.format("memory").queryName(name).outputMode(mode)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    q = writer.start()
-    try:
-        q.processAllAvailable()
-    finally:
-        q.stop()
-    return df.sparkSession.table(name)
+    df.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    rows = df.sparkSession.read.schema(df.schema)
+    return rows.parquet(f"{path}/rows/last") if mode == "complete" else rows.option("basePath", f"{path}/rows").parquet(f"{path}/rows/*").select(*df.columns)
 
 
 def append_log(df: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
@@ -98,8 +95,9 @@ def admitted(times: list[int], recent: list[int], most: int, window: int) -> tup
 LIMITED = "key long, event_id long, ts timestamp, admitted boolean"
 
 
-def limit_rate(events: DataFrame, most: int, seconds: int) -> DataFrame:
-    """Events (key, event_id, ts) with admitted; state holds at most `most` times a key."""
+def limit_rate(events: DataFrame, most: int, seconds: int, late: str = "10 minutes") -> DataFrame:
+    """Events (key, event_id, ts) with admitted; state holds at most `most` times a key, and goes
+    once the watermark (the latest event less ``late``) is a window beyond the key's last event."""
 
     def step(pdf: pd.DataFrame, recent: list[int]) -> tuple[pd.DataFrame, list[int]]:
         pdf = pdf.sort_values(["ts", "event_id"])
@@ -110,14 +108,19 @@ def limit_rate(events: DataFrame, most: int, seconds: int) -> DataFrame:
         return events.groupBy("key").applyInPandas(lambda pdf: step(pdf, [])[0], LIMITED)
 
     def keyed(key: Any, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         recent = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(frames))
         if len(rows):
             out, recent = step(rows, recent)
             state.update((recent,))
+            last = int(rows["ts"].astype("datetime64[us]").astype("int64").max()) // 1000
+            state.setTimeoutTimestamp(max(last + 1000 * seconds, state.getCurrentWatermarkMs()) + 1)
             yield out
 
-    return events.groupBy("key").applyInPandasWithState(keyed, LIMITED, "recent array<long>", "append", GroupStateTimeout.NoTimeout)
+    return events.withWatermark("ts", late).groupBy("key").applyInPandasWithState(keyed, LIMITED, "recent array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 # --- working memory ---------------------------------------------------------------------------------
