@@ -8,7 +8,8 @@ Defined results: a text that is null or has no letter gives ``und`` with score 0
 labelled text to learn from, every row is ``und``; with one language, that language. Rows that
 repeat or share an id are scored each; columns other than the named ones are ignored. Invalid
 or rare bytes have table rows like any others; a text of any length is cut into windows, so
-memory depends on the Arrow batch and not on the longest text's recurrence.
+memory depends on the Arrow batch and not on the longest text's recurrence. Of languages with equal
+probability the first by code point is told.
 """
 
 from __future__ import annotations
@@ -18,9 +19,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.llm.names import unused
+from tidewell.session import written
+
 WINDOW = 64
 HIDDEN = 12
 #: Bounds of the training sample: passages for each language and characters in each.
@@ -267,18 +271,41 @@ def language_id(docs: DataFrame, model: ByteGru | None = None, fit: dict | None
     return docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
 
 
-#: Pooled probability under which a document's language counts as unknown; far below what mixed texts get.
-LEAST_SCORE = 0.3
+def least_score(scored: DataFrame, right: Column, score: Column) -> float:
+    """The score under which predictions are wrong more often than right; scored: labelled rows outside the training part.
+
+    Counted in hundredths of the score, so a hundred rows are gathered. 0.0 without such rows.
+    """
+    rows = scored.groupBy(F.floor(score * 100).cast("int").alias("part")).agg(F.count("*").alias("n"), F.count_if(right).alias("right")).collect()
+    least, n, hits = 0.0, 0, 0
+    for r in sorted(rows, key=lambda r: r["part"]):
+        n, hits = n + r["n"], hits + r["right"]
+        if 2 * hits < n:
+            least = (r["part"] + 1) / 100
+    return least
+
 
+def known_language(docs: DataFrame, keep: list[str] | None = None, model: ByteGru | None = None, least: float | None = None) -> DataFrame:
+    """The rows of docs, unchanged, whose text is in one of the languages to keep (all that are learned).
 
-def known_language(docs: DataFrame, least: float = LEAST_SCORE, model: ByteGru | None = None) -> DataFrame:
-    """The rows of docs, unchanged, whose text has a language with at least that score."""
+    A row goes if its text is null or has no letter, if its language is not kept, or if its score is under ``least``;
+    that comes from the held-out part by least_score(), where it is not given. Rows that repeat or share an id are judged
+    each; a very long text is read whole; an empty table gives no rows. Other columns may have any names.
+    """
     if model is None:
         model = train(training_sample(docs))
 
-    @F.pandas_udf("double")
-    def certainty(texts: pd.Series) -> pd.Series:
+    @F.pandas_udf("lang string, score double")
+    def scores(texts: pd.Series) -> pd.DataFrame:
         got = [g for at in range(0, len(texts), 512) for g in score_texts(model, list(texts.iloc[at : at + 512]))]
-        return pd.Series([0.0 if lang == "und" else score for lang, score in got], dtype=float)
-
-    return docs.where(certainty(F.col("text").cast("string")) >= least)
+        return pd.DataFrame(got, columns=["lang", "score"]) if got else pd.DataFrame({"lang": pd.Series(dtype=str), "score": pd.Series(dtype=float)})
+
+    told = unused(docs, "told")
+    scored = written(docs.withColumn(told, scores(F.col("text").cast("string"))), "languages")
+    lang, score = F.col(f"{told}.lang"), F.col(f"{told}.score")
+    known = lang != "und"
+    if least is None:
+        labelled = scored.where(known & F.col("lang").isNotNull() & held_out(F.col("doc_id"))) if "lang" in docs.columns else scored.limit(0)
+        least = least_score(labelled, lang == labelled["lang"].cast("string"), score) if "lang" in docs.columns else 0.0
+    known = known & (score >= least)
+    return scored.where(known if keep is None else known & lang.isin(keep)).select(*docs.columns)
