@@ -13,27 +13,36 @@ from tidewell.session import table, written
 
 
 def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the network can tell; the rest go."""
+    """Documents whose language the network can tell; the rest go: null, empty and letterless texts, and those
+    that score so low that such predictions are wrong more often than right. Texts are read whole, repeated rows
+    are judged each, an empty table stays empty, and other columns may have any names."""
     return langid.known_language(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each group of near duplicates."""
+    """One document, that of the least id, of each group of near duplicates; of rows that share an id one stays.
+    Null and empty texts are duplicates of nothing; rows without an id all stay; texts are compared whole; an empty
+    table stays empty, and other columns may have any names."""
     return neardup.keep_first(docs)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets replaced by a mark."""
+    """All documents, with secrets replaced by a mark and n_chars following. Null and empty texts, and all texts without
+    secrets, stay as they are; texts are searched whole; repeated rows and rows without an id are searched each; an
+    empty table stays empty, and other columns may have any names."""
     return secretscan.redact(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, in shuffled shards."""
+    """Documents as often as the mix takes them, in shuffled shards. Null and empty texts have size 0 and are taken like
+    others of their block; null is a source; repeated rows are taken each, in an order that ids and texts settle; an empty table stays empty,
+    and other columns may have any names."""
     return mixing.mixed_documents(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their sequence and place in it."""
+    """Pieces of documents with their sequence and place in it. A null or empty text is one piece with the closing id
+    alone; long texts are cut without loss; repeated rows are packed each; an empty table gives no rows."""
     return pack.best_fit_packing(docs)
 
 
