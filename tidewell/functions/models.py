@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.functions.text import keywords
+
 
 def hashed_words(dim: int = 64) -> Callable[[pd.Series], list]:
     """P1's stand-in: words hashed with signs into a vector of length 1."""
@@ -62,6 +64,11 @@ def merged_text(texts: Column) -> Column:
     return F.array_join(F.array_distinct(F.transform(texts, F.trim)), " | ")
 
 
+def reformulated(question: Column, most: int = 8) -> Column:
+    """P4's stand-in for a reformulation: the question's first keywords, each once."""
+    return F.array_join(F.slice(F.array_distinct(keywords(question)), 1, most), " ")
+
+
 #: Relation types that a classifier may answer.
 RELATIONS = ("supersedes", "relates_to", "contradicts", "extends", "caused_by", "follow_up", "refines", "alternative_to")
 

@@ -265,3 +265,8 @@ def fnv1a32(text: Column) -> Column:
     raw = F.transform(F.sequence(F.lit(1), F.greatest(F.octet_length(text), F.lit(1))), lambda i: F.conv(F.substring(F.hex(text), 2 * i - 1, F.lit(2)), 16, 10).cast("long"))
     step = lambda h, b: (h.bitwiseXOR(b) * 16777619).bitwiseAND((1 << 32) - 1)
     return F.when(F.octet_length(text) == 0, F.lit(2166136261)).otherwise(F.aggregate(raw, F.lit(2166136261).cast("long"), step))
+
+
+def with_entries(map_: Column, patch: Column) -> Column:
+    """A map with the entries of another, which win."""
+    return F.map_concat(F.map_filter(map_, lambda k, v: ~F.map_contains_key(patch, k)), patch)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions import scoring
+from tidewell.functions.models import merged_text
 from tidewell.operators.search import rerank
 
 
@@ -123,8 +124,8 @@ def expired(rows: DataFrame, now: Column, days: float, at: str = "created_at") -
     return rows.where(scoring.days_before(now, F.col(at)) > days)
 
 
-def merge_clusters(rows: DataFrame, cluster: str = "cluster") -> DataFrame:
-    """One memory for each cluster: distinct texts in order of ids, newest time, any validation, highest confidence,
+def merge_clusters(rows: DataFrame, cluster: str = "cluster", merger: Callable[[Column], Column] = merged_text) -> DataFrame:
+    """One memory for each cluster: its texts in order of ids as ``merger`` makes one of them, newest time, any validation, highest confidence,
     strongest pin, all tags, a manual source first, relations without doubles, the newest trigger."""
     pins = F.create_map(F.lit("all"), F.lit(2), F.lit("repo"), F.lit(1))
     pin = F.coalesce(F.try_element_at(pins, F.col("pin")), F.lit(0))
@@ -136,7 +137,7 @@ def merge_clusters(rows: DataFrame, cluster: str = "cluster") -> DataFrame:
     )
     sources = F.filter(F.transform("m", lambda x: x["source"]), lambda x: x.isNotNull())
     return out.select(
-        cluster, F.array_join(F.array_distinct(F.transform("m", lambda x: F.trim(x["content"]))), " | ").alias("content"), F.array_distinct(F.flatten(F.transform("m", lambda x: x["tags"]))).alias("tags"),
+        cluster, merger(F.transform("m", lambda x: x["content"])).alias("content"), F.array_distinct(F.flatten(F.transform("m", lambda x: x["tags"]))).alias("tags"),
         F.when(F.array_contains(sources, "manual"), "manual").otherwise(F.get(sources, F.lit(0))).alias("source"), "created_at", "validated", "confidence", "pin", "trigger", "n",
         F.transform("m", lambda x: x["id"]).alias("merged_from"),
     )

@@ -51,6 +51,14 @@ def sure_enough(df: DataFrame, least: float, column: str = "confidence") -> Data
     return df.where(F.coalesce(F.col(column), F.lit(1.0)) >= least)
 
 
+def faults(rules: dict[str, tuple[Column, Column]]) -> Column:
+    """An array of the names of the rules that a row breaks; a rule is (whether it is asked of the row, whether it holds).
+
+    A value that is null breaks what is asked of it.
+    """
+    return F.array_compact(F.array(*[F.when(asked & ~F.coalesce(holds, F.lit(False)), F.lit(name)) for name, (asked, holds) in rules.items()]))
+
+
 def search(points: DataFrame, vector: list[float], k: int = 10, where: Column | None = None, least: float | None = None, id_: str = "id", vec: str = "vector") -> DataFrame:
     """The k rows of largest cosine, ties by id; filters and the threshold go before the top-k."""
     rows = points if where is None else points.where(where)
@@ -195,6 +203,13 @@ def keyword_search(docs: DataFrame, text: Column, words: list[str], k: int = 10,
     return docs.withColumn("score", hits / len(words)).where(F.col("score") > 0).orderBy(F.desc("score"), id_).limit(k)
 
 
+def similar_queries(history: DataFrame, vector: list[float], k: int = 5, least: float = 0.8) -> DataFrame:
+    """Past questions near a new one that had results, each wording once, as it was asked last; history: id, query, vector, n_results, at."""
+    asked = history.where((F.col("n_results") > 0) & (F.trim("query") != ""))
+    last = asked.groupBy(F.lower(F.trim("query")).alias("wording")).agg(F.max_by(F.struct("id", "query", "vector", "n_results"), F.struct("at", "id")).alias("q"))
+    return search(last.select("q.*"), vector, k, None, least).drop("vector")
+
+
 # --- fusion ---------------------------------------------------------------------------------------
 
 
