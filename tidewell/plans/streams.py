@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,21 +20,24 @@ def events(spark, sf) -> DataFrame:
     return table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def stream(spark, sf, parts: int = 4) -> DataFrame:
-    """The events table as a stream of several batches in order of time, written below the shared folder."""
+def streamed(spark, sf, run: Callable[[DataFrame], object], parts: int = 4):
+    """What run gives at last for the events table as a stream that grows by parts in order of time; run goes over what is new each time."""
     path = f"{shared_dir(spark)}/events-{uuid.uuid4().hex}"
     rows = events(spark, sf)
-    at = F.unix_micros("ts")
+    at, out = F.unix_micros("ts"), None
     cuts = rows.agg(F.percentile_approx(at, [i / parts for i in range(1, parts)])).first()[0] or []
     bounds = [None, *cuts, None]
-    for low, high in zip(bounds[:-1], bounds[1:], strict=True):  # a file source takes files in order of their age
+    for low, high in zip(bounds[:-1], bounds[1:], strict=True):
         part = rows if low is None else rows.where(at > low)
-        (part if high is None else part.where(at <= high)).coalesce(1).write.mode("append").parquet(path)
-    return J.replay(spark, path, rows.schema)
+        (part if high is None else part.where(at <= high)).write.mode("append").parquet(path)
+        out = run(J.replay(spark, path, rows.schema))
+    return out
 
 
-def gathered(spark, df: DataFrame, mode: str = "append") -> DataFrame:
-    return J.run_to_table(df, f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}", mode)
+def gathered(spark, sf, operator: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
+    """An operator's result over the streamed events."""
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    return streamed(spark, sf, lambda s: J.run_to_table(operator(s), at, mode))
 
 
 SAL = "CASE WHEN event_type = 'error' THEN 0.9 WHEN event_type = 'purchase' THEN 0.85 WHEN event_type = 'signup' THEN 0.7 WHEN event_type = 'click' THEN 0.2 ELSE 0.3 END"
@@ -42,7 +46,7 @@ SAL = "CASE WHEN event_type = 'error' THEN 0.9 WHEN event_type = 'purchase' THEN
 @query("SELECT event_id, user_id FROM events")
 def j1_append_log(spark, sf):
     at = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"
-    J.append_log(stream(spark, sf).select("event_id", "user_id"), at, at + "-checkpoint").awaitTermination()
+    streamed(spark, sf, lambda s: J.append_log(s.select("event_id", "user_id"), at, at + "-checkpoint").awaitTermination())
     return spark.read.parquet(at)
 
 
@@ -54,7 +58,7 @@ def j2_read_since(spark, sf):
 
 @query(f"SELECT event_id, ({SAL})::DOUBLE AS salience FROM events WHERE {SAL} >= 0.5")
 def j3_attention_stream(spark, sf):
-    return gathered(spark, J.attended(stream(spark, sf), "event_type", F.col("event_type") != "error", 0.5, TABLE).select("event_id", "salience"))
+    return gathered(spark, sf, lambda s: J.attended(s, "event_type", F.col("event_type") != "error", 0.5, TABLE).select("event_id", "salience"))
 
 
 def slots_input(df: DataFrame) -> DataFrame:
@@ -69,7 +73,7 @@ def j4_working_memory(spark, sf):
 
 @query()
 def j4_working_memory_stream(spark, sf):
-    return gathered(spark, J.working_memory(slots_input(stream(spark, sf))), "update")
+    return gathered(spark, sf, lambda s: J.working_memory(slots_input(s)), "update")
 
 
 @query("""WITH g AS (SELECT *, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 2 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
@@ -101,14 +105,12 @@ def j8_rate_limiter(spark, sf):
 
 @query()
 def j8_rate_limiter_stream(spark, sf):
-    e = stream(spark, sf).select(F.col("user_id").alias("key"), "event_id", "ts")
-    return gathered(spark, J.limit_rate(e, 3, 7200))
+    return gathered(spark, sf, lambda s: J.limit_rate(s.select(F.col("user_id").alias("key"), "event_id", "ts"), 3, 7200))
 
 
 @query("SELECT user_id, event_type FROM events GROUP BY ALL")
 def j9_claim_once(spark, sf):
-    rows = stream(spark, sf).select("user_id", "event_type", "ts")
-    return gathered(spark, J.once(rows, ["user_id", "event_type"], "ts", "60 days").select("user_id", "event_type"))
+    return gathered(spark, sf, lambda s: J.once(s.select("user_id", "event_type", "ts"), ["user_id", "event_type"], "ts", "60 days").select("user_id", "event_type"))
 
 
 @query("""WITH g AS (SELECT *, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
@@ -126,8 +128,7 @@ def j11_co_recall_counts(spark, sf):
 
 @query("SELECT epoch_us(date_trunc('hour', ts)) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def j17_hourly_stream(spark, sf):
-    w = J.tumbling(stream(spark, sf), "ts", "1 hour", "event_type")
-    return gathered(spark, w, "complete").select(F.unix_micros("start").alias("start"), "event_type", "n")
+    return gathered(spark, sf, lambda s: J.tumbling(s, "ts", "1 hour", "event_type"), "complete").select(F.unix_micros("start").alias("start"), "event_type", "n")
 
 
 @query("""SELECT epoch_us(date_trunc('hour', ts) - (i * 3600) * INTERVAL 1 SECOND) AS start, count(*) AS n FROM events, (SELECT unnest([0, 1]) AS i) GROUP BY 1""")

@@ -19,13 +19,14 @@ from tidewell.functions import scoring
 CAPACITY = 20
 
 
-def replay(spark: SparkSession, path: str, schema, files: int = 1) -> DataFrame:
-    """A Parquet folder as a stream, so many files in a batch."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+def replay(spark: SparkSession, path: str, schema, files: int | None = None) -> DataFrame:
+    """A Parquet folder as a stream, so many files in a batch, or all that are new."""
+    reader = spark.readStream.schema(schema)
+    return (reader if files is None else reader.option("maxFilesPerTrigger", files)).parquet(path)
 
 
 def run_to_table(df: DataFrame, path: str, mode: str = "append") -> DataFrame:
-    """Drive a stream over all its input into Parquet below path, and give the result.
+    """Drive a stream over all its new input into Parquet below path, and give the result of this and earlier runs there.
 
     Each batch has a folder of its own, which a batch that is run again writes anew; of a complete
     result the last batch's is read.
