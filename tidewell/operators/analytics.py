@@ -93,7 +93,7 @@ def knowledge_gaps(events: DataFrame, key: Column, results: Column, success: Col
 
 def usage_cost(calls: DataFrame, prices: DataFrame) -> DataFrame:
     """Calls, tokens and cost by model, with a row (null model) for all; prices: model, input_price, output_price."""
-    c = calls.join(F.broadcast(prices), "model", "left")  # a price list
+    c = calls.join(prices, "model", "left")
     cost = (F.col("prompt") * F.coalesce("input_price", F.lit(0.0)) + F.col("completion") * F.coalesce("output_price", F.lit(0.0))) / 1_000_000
     return c.withColumn("cost", cost).rollup("model").agg(F.count("*").alias("calls"), F.sum("prompt").alias("prompt"), F.sum("completion").alias("completion"), F.round(F.sum("cost"), 6).alias("cost"))
 
