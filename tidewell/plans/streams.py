@@ -126,6 +126,20 @@ def j11_co_recall_counts(spark, sf):
     return J.co_recall_counts(rows, "l_orderkey", "items")
 
 
+@query("SELECT count(*) AS n, count(*) >= 1 AS flushed, true AS bounded FROM events")
+def j13_flush(spark, sf):
+    """Rows of the log, and whether no flush had more than 50."""
+    at = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"
+    streamed(spark, sf, lambda s: J.append_log(s.select("event_id"), at, at + "-checkpoint", most=50).awaitTermination())
+    flushes = spark.read.parquet(at).groupBy(F.input_file_name().alias("file")).agg(F.count("*").alias("n"))
+    return flushes.agg(F.sum("n").alias("n"), (F.count("*") >= 1).alias("flushed"), (F.max("n") <= 50).alias("bounded"))
+
+
+@query("SELECT user_id AS key, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events")
+def j14_mailboxes_stream(spark, sf):
+    return gathered(spark, sf, lambda s: J.mailboxes(s.select(F.col("user_id").alias("key"), "event_id", "ts"))).select("key", "event_id", "seq")
+
+
 @query("SELECT epoch_us(date_trunc('hour', ts)) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def j17_hourly_stream(spark, sf):
     return gathered(spark, sf, lambda s: J.tumbling(s, "ts", "1 hour", "event_type"), "complete").select(F.unix_micros("start").alias("start"), "event_type", "n")

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -40,9 +40,13 @@ def run_to_table(df: DataFrame, path: str, mode: str = "append") -> DataFrame:
     return rows.parquet(f"{path}/rows/last") if mode == "complete" else rows.option("basePath", f"{path}/rows").parquet(f"{path}/rows/*").select(*df.columns)
 
 
-def append_log(df: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
-    """Append a stream to a Parquet folder; the checkpoint makes it exactly once."""
+def append_log(df: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, most: int | None = None):
+    """Append a stream to a Parquet folder; the checkpoint makes it exactly once.
+
+    A buffer that is flushed every 30 seconds or 50 rows is trigger={"processingTime": "30 seconds"} and most=50: rows of a file.
+    """
     writer = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+    writer = writer if most is None else writer.option("maxRecordsPerFile", most)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
@@ -79,6 +83,21 @@ def co_recall_counts(events: DataFrame, event: str, items: str) -> DataFrame:
     return events.select(event, F.inline(pairs)).groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
+def mailboxes(events: DataFrame) -> DataFrame:
+    """Events (key, event_id, ts) with ``seq``, their place in the key's mailbox from 1 on: one after another inside a
+    key, keys side by side. A stream keeps a number a key, and numbers what comes in each batch by time."""
+    if not events.isStreaming:
+        return events.withColumn("seq", F.row_number().over(Window.partitionBy("key").orderBy("ts", "event_id")).cast("long"))
+
+    def keyed(key: Any, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        before = state.get[0] if state.exists else 0
+        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+        state.update((before + len(rows),))
+        yield rows.assign(seq=range(before + 1, before + len(rows) + 1))[["key", "event_id", "ts", "seq"]]
+
+    return events.groupBy("key").applyInPandasWithState(keyed, "key long, event_id long, ts timestamp, seq long", "n long", "append", GroupStateTimeout.NoTimeout)
+
+
 # --- the limiter ----------------------------------------------------------------------------------
 
 
