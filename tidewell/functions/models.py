@@ -61,7 +61,7 @@ def sparse_terms(df: DataFrame, id_: str, text: str) -> DataFrame:
 
 def merged_text(texts: Column) -> Column:
     """P4's stand-in for a merge: distinct trimmed texts, joined."""
-    return F.array_join(F.array_distinct(F.transform(texts, F.trim)), " | ")
+    return F.array_join(F.array_distinct(F.transform(texts, lambda x: F.trim(x))), " | ")
 
 
 def reformulated(question: Column, most: int = 8) -> Column:
