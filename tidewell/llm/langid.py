@@ -17,10 +17,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from tidewell.llm.names import unused
 from tidewell.session import written
@@ -295,14 +295,20 @@ def known_language(docs: DataFrame, keep: list[str] | None = None, model: ByteGr
     if model is None:
         model = train(training_sample(docs))
 
-    @F.pandas_udf("lang string, score double")
-    def scores(texts: pd.Series) -> pd.DataFrame:
-        got = [g for at in range(0, len(texts), 512) for g in score_texts(model, list(texts.iloc[at : at + 512]))]
-        return pd.DataFrame(got, columns=["lang", "score"]) if got else pd.DataFrame({"lang": pd.Series(dtype=str), "score": pd.Series(dtype=float)})
+    told, sure = unused(docs, "told"), unused(docs, "sure")
+    at_text = docs.columns.index("text")
 
-    told = unused(docs, "told")
-    scored = written(docs.withColumn(told, scores(F.col("text").cast("string"))), "languages")
-    lang, score = F.col(f"{told}.lang"), F.col(f"{told}.score")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                got = score_texts(model, part.column(at_text).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*part.schema.names, told, sure])
+
+    plain = docs.withColumn("text", F.col("text").cast("string"))
+    schema = StructType([*plain.schema.fields, StructField(told, StringType()), StructField(sure, DoubleType())])
+    scored = written(plain.mapInArrow(run, schema), "languages")
+    lang, score = F.col(told), F.col(sure)
     known = lang != "und"
     if least is None:
         labelled = scored.where(known & F.col("lang").isNotNull() & held_out(F.col("doc_id"))) if "lang" in docs.columns else scored.limit(0)

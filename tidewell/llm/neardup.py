@@ -55,7 +55,7 @@ BROADCAST_ROWS = 200_000
 #: Links that one task joins (16 bytes each).
 LINKS = 1_000_000
 #: Classes and bytes of text of one block of a group.
-BLOCK, BLOCK_BYTES = 2048, 16_000_000
+BLOCK, BLOCK_BYTES = 2048, 8_000_000
 _RNG = np.random.default_rng(97)
 _A = _RNG.integers(0, 1 << 31, COORDS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _RNG.integers(0, 1 << 32, COORDS, dtype=np.uint32)
@@ -67,7 +67,7 @@ def encoded(texts: list[str | None]) -> list[bytes]:
     return [(t or "").encode("utf-8", "surrogatepass") for t in texts]
 
 
-def runs(column: pa.Array, most: int = 1_000_000) -> Iterator[tuple[int, int]]:
+def runs(column: pa.Array, most: int = 300_000) -> Iterator[tuple[int, int]]:
     """Cuts a batch so that each part holds about ``most`` characters at most, or one text."""
     lengths = [len(x) if x else 0 for x in column.to_pylist()]
     low, held = 0, 0
@@ -155,11 +155,15 @@ def compare_nodes(rows: DataFrame) -> DataFrame:
 
     def whole(node: int, ids: np.ndarray, x: np.ndarray, out: list[list]) -> None:
         same = equal_bytes(x, x)
-        i, j = np.nonzero(np.triu(same >= EQUAL, 1))
-        if not len(i):
+        near = same >= EQUAL
+        np.fill_diagonal(near, False)
+        n = int(np.count_nonzero(near)) // 2
+        if not n:
             return
-        if len(i) > max(FEW_PAIRS, 4 * len(ids)):
-            paired = np.unique(np.concatenate([i, j]))
+        if n <= max(FEW_PAIRS, 4 * len(ids)):
+            i, j = np.nonzero(np.triu(near))
+        else:
+            paired = np.flatnonzero(near.any(axis=1))
             i, j = spanning(same, EQUAL)
             for c, v in zip(out, (ids[paired], [None] * len(paired), [None] * len(paired), [node] * len(paired), [x[k].tobytes() for k in paired]), strict=True):
                 c.extend(v)

@@ -15,7 +15,7 @@ import struct
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces kept in a memo before it is emptied; a few hundred bytes each.
-MEMO = 400_000
+MEMO = 200_000
 #: White space other than the six ASCII characters, and control characters that some define as such.
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‍    ⁠　﻿]")
 _PIECES = re.compile(rb"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
