@@ -93,7 +93,7 @@ def test_score_that_predictions_need(spark):
     assert langid.least_score(scored, F.col("right"), F.col("score")) == pytest.approx(0.51)
     assert langid.least_score(scored.limit(0), F.col("right"), F.col("score")) == 0.0
     docs = spark.createDataFrame([(1, "the cat and the dog", "en"), (2, "le chat et le chien", "fr")], "doc_id long, text string, lang string")
-    model = langid.train([("the cat and the dog is on the mat", "en"), ("le chat et le chien est dans la maison", "fr")] * 20, steps=60)
+    model = langid.train([("en", "the cat and the dog is on the mat"), ("fr", "le chat et le chien est dans la maison")] * 20, steps=60)
     assert {r.doc_id for r in langid.known_language(docs, ["fr"], model, 0.0).collect()} == {2}
     assert langid.known_language(docs, None, model, 1.1).count() == 0
 
