@@ -8,6 +8,7 @@ through the library whole, so results are always those of the library.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -21,19 +22,21 @@ _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‍    ⁠　﻿]")
 _PIECES = re.compile(rb"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
 #: Texts of these characters alone are split into pre-tokens here: no normaliser changes them but for case.
 _SIMPLE = re.compile("[\x00-\x1b -\x7fÀ-ÖØ-öø-ÿ]*")
+#: Fixed value: the word vocabulary's own splitter, as its file states it.
+WORD_SPLITTER = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
 _SPLIT_WORDS = re.compile(f"{_ENDINGS}|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿ]+")
 _SPLIT_BYTES = re.compile(f"{_ENDINGS}| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\\sA-Za-z0-9À-ÖØ-öø-ÿ]+|\\s+(?!\\S)|\\s+")
 
 
-def _byte_letters() -> dict[int, int]:
+def byte_letters() -> dict[int, int]:
     """The code point that stands for each byte in byte-level vocabularies: printable ones stand for themselves."""
     own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     rest = [b for b in range(256) if b not in own]
     return {b: b for b in own} | {b: 256 + i for i, b in enumerate(rest)}
 
 
-_BYTE_LETTERS = _byte_letters()
+_BYTE_LETTERS = byte_letters()
 
 
 def default_path(name: str) -> str:
@@ -59,13 +62,35 @@ class Memo(dict):
         return value
 
 
+def byte_pieces(text: str) -> list | None:
+    """Pieces of a text without special strings that a byte-level splitter treats independently (str: a pre-token, bytes: text); None: it must be split whole."""
+    if _SIMPLE.fullmatch(text):
+        return _SPLIT_BYTES.findall(text)
+    return None if _ODD_SPACE.search(text) else _PIECES.findall(text.encode("utf-8"))
+
+
+def known_splitter(path: str) -> str | None:
+    """"words" or "bytes" for the two kinds of files whose pieces are known to be independent; None for all others."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    cut = spec["pre_tokenizer"] or {}
+    if spec["normalizer"] is None and cut.get("type") == "ByteLevel" and cut["use_regex"] and not cut["add_prefix_space"]:
+        return "bytes"
+    steps = [s.get("type") for s in (spec["normalizer"] or {}).get("normalizers", [])]
+    cuts = cut.get("pretokenizers", [])
+    if steps == ["NFC", "Replace", "Lowercase"] and [c["type"] for c in cuts] == ["Split", "ByteLevel"] and cuts[0]["pattern"].get("Regex") == WORD_SPLITTER and not cuts[1]["use_regex"]:
+        return "words"
+    return None
+
+
 class Encoder:
     """Packed ids of whole texts for one tokenizer file.
 
     Where pieces are independent: a vocabulary of words (white space is dropped before anything
     can span it) is cut at ASCII white space; a byte-level vocabulary is cut in front of each run
     of ASCII white space, since no pattern of its splitter crosses from other characters into a
-    white-space run, and each run is kept whole with what follows it.
+    white-space run, and each run is kept whole with what follows it. Files of any other splitter
+    or normaliser encode their texts whole.
     """
 
     def __init__(self, path: str):
@@ -73,7 +98,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words = self.tokenizer.normalizer is not None
+        self.known = known_splitter(path)
+        self.words = self.known == "words"
         self.memo = Memo(self._piece)
 
     def _whole(self, text: str) -> bytes:
@@ -89,14 +115,13 @@ class Encoder:
 
     def pieces(self, text: str) -> list | None:
         """Independent pieces (str: a pre-token, bytes: text), or None if the text must be encoded whole."""
-        if any(s in text for s in self.specials) or (self.words and "<|" in text):
+        if self.known is None or any(s in text for s in self.specials) or (self.words and "<|" in text):
             return None
+        if not self.words:
+            return byte_pieces(text)
         if _SIMPLE.fullmatch(text):
-            return _SPLIT_WORDS.findall(text.lower()) if self.words else _SPLIT_BYTES.findall(text)
-        if _ODD_SPACE.search(text):
-            return None
-        raw = text.encode("utf-8")
-        return raw.lower().split() if self.words else _PIECES.findall(raw)
+            return _SPLIT_WORDS.findall(text.lower())
+        return None if _ODD_SPACE.search(text) else text.encode("utf-8").lower().split()
 
     def packed(self, text: str) -> bytes:
         """All ids of a text, four little-endian bytes each."""
