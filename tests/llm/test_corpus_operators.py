@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 
@@ -401,37 +402,59 @@ def test_distances_match_brute_force(spark, docs):
     prose = lambda n: " ".join(rng.choice("и в не на я".split()) if rng.random() < 0.3 else "".join(rng.choice("абвгдежзиклмнопрст") for _ in range(6)) for _ in range(n))
     more = spark.createDataFrame([(10**7 + k, prose(70), "ru") for k in range(60)] + [(10**8, "x y z " * 40, "xx"), (10**8 + 1, prose(80), None)], "doc_id long, text string, lang string")
     every = docs.select("doc_id", "text", "lang").unionByName(more)
-    got = {r.doc_id: r for r in rules.quality_rules(every, most_words=0.4).collect()}
+    got = {r.doc_id: r for r in rules.quality_rules(every).collect()}
     rows = [(r.doc_id, r.text or "", r.lang) for r in every.collect()]
-    words = defaultdict(Counter)
+    folded = lambda text: [x for x in (regex.sub(r"^[^\p{L}]+|[^\p{L}]+$", "", w) for w in WORD.findall(text.lower())) if x]
+    holds = defaultdict(Counter)
     for _, text, lang in rows:
-        words[lang].update(WORD.findall(text))
-    common = {k: sorted(w for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[: rules.COMMON]) for k, c in words.items() if k and sum(c.values()) >= rules.REFERENCE_WORDS}
+        holds[lang].update(set(folded(text)))
+    common = {k: sorted(w for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[: rules.COMMON]) for k, c in holds.items() if k}
     punct = set("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 
     def bins(text, lang):
         n = [sum("A" <= c <= "Z" for c in text), sum("0" <= c <= "9" for c in text), sum(c in punct for c in text), sum(c in " \t\n\x0b\x0c\r" for c in text), sum(ord(c) > 127 for c in text)]
-        w = Counter(WORD.findall(text))
+        w, words = Counter(folded(text)), len(WORD.findall(text))
         own = [w[x] for x in common[lang]] + [0] * (rules.COMMON - len(common[lang]))
-        return np.array([len(text) - sum(n), *n], float), np.array([*own, sum(w.values()) - sum(own)], float)
+        return [len(text) - sum(n), *n], [words - sum(own), *own]
 
-    sums = {}
+    sums, n_words = defaultdict(lambda: np.zeros(len(rules.CLASSES) + rules.COMMON + 1, np.int64)), Counter()
     for doc, text, lang in rows:
         if lang in common and not got[doc].base_failed and len(text) >= rules.LEAST_CHARS:
             c, w = bins(text, lang)
-            old = sums.get(lang, (0, 0))
-            sums[lang] = (old[0] + c, old[1] + w)
-    assert set(sums) == {"en", "fr", "de", "es", "ru"}
+            n_words[lang] += sum(w)
+            sums[lang] += np.array([x * 10**6 // len(text) for x in c] + [x * 10**6 // sum(w) for x in w])
+    k = len(rules.CLASSES)
+    refs = {lang: (v[:k] / v[:k].sum(), v[k:] / v[k:].sum()) for lang, v in sums.items() if n_words[lang] >= rules.REFERENCE_WORDS}
+    assert set(refs) == {"en", "fr", "de", "es", "ru"}
+    want = {}
     for doc, text, lang in rows:
         r = got[doc]
-        if lang not in sums or r.n_words < rules.LEAST_WORDS or len(text) < rules.LEAST_CHARS:
-            assert r.class_distance is None and r.kept == (not r.base_failed)
+        if lang not in refs or r.n_words < rules.LEAST_WORDS or len(text) < rules.LEAST_CHARS:
+            assert r.class_distance is None and r.share_distance is None and r.kept == (not r.base_failed)
             continue
-        c, w = bins(text, lang)
-        dc, dw = brute_distance(c / len(text), sums[lang][0] / sums[lang][0].sum()), brute_distance(w / w.sum(), sums[lang][1] / sums[lang][1].sum())
-        assert r.class_distance == pytest.approx(dc, abs=1e-9) and r.word_distance == pytest.approx(dw, abs=1e-9)
-        assert r.kept == (not r.base_failed and dc <= rules.MOST_CLASSES and dw <= 0.4 and w[-1] < w.sum())
-    assert all(got[10**7 + k].kept for k in range(60)) and got[10**8 + 1].kept
+        (c, w), (by_class, by_word) = bins(text, lang), refs[lang]
+        shares = np.array([w[0], sum(w[1:])]) / sum(w)
+        few = shares[1] < 1 - by_word[0]
+        want[doc] = brute_distance(np.array(c) / len(text), by_class), brute_distance(np.array(w) / sum(w), by_word), brute_distance(shares, [by_word[0], 1 - by_word[0]]) if few else 0.0, sum(w[1:]) == 0
+        assert (r.class_distance, r.word_distance, r.share_distance) == pytest.approx(want[doc][:3], abs=1e-7)
+    limits = {}
+    for at, fence, least in ((1, rules.FENCE, 0), (2, rules.FAR_FENCE, rules.LEAST_SHARE)):
+        bands, limit = defaultdict(list), None
+        for doc, x in want.items():
+            if not got[doc].base_failed and x[0] <= rules.MOST_CLASSES:
+                bands[got[doc].n_words.bit_length() - 1].append(int((got[doc].word_distance if at == 1 else got[doc].share_distance) * 10_000))
+        for band in range(64):
+            if len(bands[band]) >= rules.LEAST_BAND:
+                low, high = (sorted(bands[band])[-(-q * len(bands[band]) // 4) - 1] for q in (1, 3))
+                limit = max(least, (high + 1 + fence * (high - low)) / 10_000)
+            limits[at, band] = limit
+        first = next((limits[at, band] for band in range(64) if limits[at, band] is not None), None)
+        limits |= {(at, band): first for band in range(64) if limits[at, band] is None}
+    for doc, (c, w, together, bare) in want.items():
+        band = got[doc].n_words.bit_length() - 1
+        over = [x > limits[k, band] for k, x in ((1, w), (2, together)) if limits[k, band] is not None]
+        assert got[doc].kept == (not got[doc].base_failed and c <= rules.MOST_CLASSES and not any(over) and not bare)
+    assert sum(got[10**7 + k].kept for k in range(60)) >= 57 and got[10**8 + 1].kept
 
 
 def test_divergent_text_goes_and_clean_text_stays(spark, docs):
