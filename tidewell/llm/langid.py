@@ -8,7 +8,7 @@ Defined results: a text that is null or has no letter gives ``und`` with score 0
 labelled text to learn from, every row is ``und``; with one language, that language. Rows that
 repeat or share an id are scored each; columns other than the named ones are ignored. Invalid
 or rare bytes have table rows like any others; a text of any length is cut into windows, so
-memory depends on the Arrow batch and not on the longest text's recurrence. Of languages with equal
+memory depends on the Arrow batch and not on the longest text's recurrence. An empty table gives no rows. Of languages with equal
 probability the first by code point is told.
 """
 
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
@@ -56,7 +56,9 @@ def training_sample(docs: DataFrame) -> list[tuple[str, str]]:
     span = F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS)
     start = 1 + F.pmod(F.xxhash64("doc_id", F.lit("start")), span)
     kept = rows.where(draw < share[F.col("lang")]).select("lang", F.col("text").substr(start.cast("int"), F.lit(SAMPLE_CHARS)).alias("passage"), "doc_id")
-    got = [(r[0], r[1]) for r in kept.orderBy("doc_id", "passage").limit(2 * each * len(counts)).collect()]
+    own = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit("langid")), F.xxhash64("passage"))  # ids may repeat: then a draw has more rows
+    kept = kept.withColumn("place", F.row_number().over(own)).where(F.col("place") <= 2 * each)
+    got = [(r[0], r[1]) for r in kept.orderBy("doc_id", "passage").select("lang", "passage").collect()]  # 2 * each rows a language
     missed = sorted(set(counts) - {lang for lang, _ in got})
     if missed:  # of which no row was drawn
         one = rows.where(F.col("lang").isin(missed)).groupBy("lang").agg(F.min_by(F.substring("text", 1, SAMPLE_CHARS), F.xxhash64("doc_id", F.lit("langid"))).alias("passage"))

@@ -1,7 +1,7 @@
 """Operator 5, mixing sources to target weights: a multivariate-hypergeometric splitting tree.
 
-Each source's documents are dealt into ``BLOCKS`` blocks by a hash of their ids, and its blocks put into
-a hashed order. The source's target fixes how many blocks the mix takes (whole passes over the
+Each source's documents are dealt into blocks by a hash of their ids (``BLOCKS``, or more where a block would have over
+``BLOCK_ROWS`` of all rows), and its blocks put into a hashed order. The source's target fixes how many blocks the mix takes (whole passes over the
 source, then a part of one; the block at the end is cut at a document). The splitting tree then
 halves the set of output shards again and again: each half gets its share of all blocks, and how
 many of each source among them is a multivariate-hypergeometric draw, so the counts add up
@@ -14,8 +14,9 @@ seeds. Sources are split together in groups of ``GROUP``, so a task's memory is
 
 Defined results: a document's size is its number of words; null or empty texts have size 0 and
 are taken like others where their block is. Null is a source, last in the order of weights. Rows
-that share an id are dealt together; where one block is cut they come by size, then by a hash of
-the text. Rows without an id are dealt by their text. Draws depend on ids, texts, sources and the
+that share an id are dealt together; where one block is cut they come by a hash of
+the text, and rows of one id, source and text are taken together. Rows without an id are dealt by their text. Very long texts
+are counted whole and taken whole. Draws depend on ids, texts, sources and the
 seed only. An empty table gives no rows. Other columns may have any names.
 """
 
@@ -32,7 +33,8 @@ from tidewell.session import stored, written
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2
-BLOCKS = 4096
+#: Blocks of a source at least, and rows that a block has on average at most.
+BLOCKS, BLOCK_ROWS = 4096, 1000
 #: Words of the mix for each output shard.
 SHARD_WORDS = 4_000_000
 #: Shards of one part of the tree, and sources that one tree splits.
@@ -41,15 +43,23 @@ PART, GROUP = 64, 10_000
 BROADCAST_ROWS = 200_000
 
 
-def sizes(docs: DataFrame, seed: int = 0, keep: bool = False) -> DataFrame:
-    """doc_id, source, size (words), version (a hash of the text), block and key (its place in the block); with keep also ``row``, all of docs' columns."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    words = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    version = F.xxhash64(text)
-    dealt = F.when(F.col("doc_id").isNull(), version).otherwise(F.col("doc_id").cast("long"))
-    rest = [F.struct(*docs.columns).alias("row")] if keep else []
-    block = F.pmod(F.xxhash64(F.lit(seed), dealt), F.lit(BLOCKS)).cast("int")
-    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), words.alias("size"), version.alias("version"), block.alias("block"), F.xxhash64(F.lit(seed + 1), dealt).alias("key"), *rest)
+def keyed(docs: DataFrame, seed: int = 0, *more) -> DataFrame:
+    """doc_id, source, version (a hash of the text), dealt (a hash by which rows are put into blocks) and key (their place there)."""
+    version = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    by = F.when(F.col("doc_id").isNull(), version).otherwise(F.col("doc_id").cast("long"))
+    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), version.alias("version"), F.xxhash64(F.lit(seed), by).alias("dealt"), F.xxhash64(F.lit(seed + 1), by).alias("key"), *more)
+
+
+def in_blocks(rows: DataFrame, blocks: int) -> DataFrame:
+    return rows.withColumn("block", F.pmod(F.col("dealt"), F.lit(blocks)).cast("int")).drop("dealt")
+
+
+def sizes(docs: DataFrame, seed: int = 0) -> tuple[DataFrame, int]:
+    """(doc_id, source, version, key, size in words and block of every row, stored; number of a source's blocks)."""
+    words = F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+    sized, n = stored(keyed(docs, seed, words.alias("size")), "mix-sizes")
+    blocks = max(BLOCKS, 1 << max(0, n["rows"] // BLOCK_ROWS).bit_length())
+    return in_blocks(sized, blocks), blocks
 
 
 def side(df: DataFrame, rows: int) -> DataFrame:
@@ -142,8 +152,9 @@ def split_tree(quotas: np.ndarray, shards: int, seed: int = 0, first: int = 0, l
 
 def plan(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 0) -> DataFrame:
     """How often each block is taken: source, at (the source's place), block, rank (place in the source's order), passes (whole
-    times it is taken), rest (words of it that are taken once more; null: none, -1: all), source_size, target."""
-    blocks = written(sized.groupBy("source", "block").agg(F.sum("size").alias("words")), "mix-blocks")  # BLOCKS rows a source at most
+    times it is taken), rest (words of it that are taken once more; null: none, -1: all), upto (in the source's one block that is cut, the
+    last key and version that are taken once more), source_size, target."""
+    blocks = written(sized.groupBy("source", "block").agg(F.sum("size").alias("words")), "mix-blocks")
     totals = ranked(blocks.groupBy("source").agg(F.sum("words").alias("total")))
     sources, n = stored(water_fill(written(totals, "mix-totals"), weights, share, most), "mix-sources")
     passes = F.when(F.col("total") > 0, F.floor(F.col("target") / F.col("total"))).otherwise(0).cast("int")
@@ -153,27 +164,32 @@ def plan(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float =
     placed = blocks.join(side(sources, n["rows"]), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     placed = placed.withColumn("rank", F.row_number().over(order) - 1).withColumn("upto", F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     rest = F.when(F.col("upto") <= F.col("more"), F.lit(-1)).when(F.col("upto") - F.col("words") < F.col("more"), F.col("more") - (F.col("upto") - F.col("words")))
-    placed = placed.withColumn("rest", rest.cast("long"))
-    return placed.select("source", "at", "block", "rank", "passes", "rest", "source_size", "target")
-
-
-def take(sized: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Rows of sized with their block's columns and copies, the times a row is taken.
-
-    Where a block is cut, its rows in hashed order are taken while the middle of a row lies before
-    the rest's end, so a source ends within half a document of its target.
+    placed = written(placed.withColumn("rest", rest.cast("long")).drop("upto", "words", "more", "total"), "mix-places")
+    cut, n = stored(placed.where("rest >= 0").select(F.col("source").alias("s"), F.col("block").alias("b"), "rest"), "mix-cut")  # a row a source
+    rows = sized.join(side(cut, n["rows"]), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
+    rows = rows.groupBy("s", "b", "rest", "key", "version").agg(F.sum("size").alias("size"))
+    before = F.sum("size").over(Window.partitionBy("s", "b").orderBy("key", "version")) - F.col("size")
+    taken = rows.withColumn("before", before).where(F.col("before") + F.col("size") / 2 <= F.col("rest"))
+    ends = taken.groupBy("s", "b").agg(F.max(F.struct("key", "version")).alias("upto"))
+    placed = placed.join(side(ends, n["rows"]), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")), "left")
+    return placed.select("source", "at", "block", "rank", "passes", "rest", "upto", "source_size", "target")
+
+
+def take(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Rows with their block's columns and copies, the times a row is taken.
+
+    In the block that is cut, rows in hashed order are taken while their middle lies before
+    the rest's end, so a source ends within half a document (or half of the rows equal to it) of its target.
     """
     named = blocks.withColumnsRenamed({"source": "s", "block": "b"})
-    joined = sized.join(side(named, blocks.count()), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))).drop("s", "b")
-    before = F.sum("size").over(Window.partitionBy("source", "block").orderBy("key", "doc_id", "size", "version").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    cut = joined.where("rest >= 0").withColumn("more", (before + F.col("size") / 2 <= F.col("rest")).cast("int"))  # a block a source at most
-    whole = joined.where("rest is null or rest < 0").withColumn("more", F.coalesce((F.col("rest") < 0).cast("int"), F.lit(0)))
-    return whole.unionByName(cut).withColumn("copies", F.col("passes") + F.col("more")).drop("more")
+    joined = rows.join(side(named, blocks.count()), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))).drop("s", "b")
+    more = F.coalesce((F.col("rest") < 0) | (F.struct("key", "version") <= F.col("upto")), F.lit(False))
+    return joined.withColumn("copies", F.col("passes") + more.cast("int")).drop("upto")
 
 
 def mix(docs: DataFrame, seed: int = 0, **how) -> DataFrame:
     """doc_id, source, size, source_size, target and copies of every row of docs."""
-    sized = written(sizes(docs, seed), "mix-sizes")
+    sized, _ = sizes(docs, seed)
     blocks = written(plan(sized, seed=seed, **how), "mix-plan")
     return take(sized, blocks).select("doc_id", "source", "size", "source_size", "target", "copies")
 
@@ -200,8 +216,8 @@ def shard_table(blocks: DataFrame, shards: int, seed: int = 0) -> DataFrame:
     return parts.repartition("group", "first").mapInArrow(run, "at long, shard int, low long, high long, in_source long")
 
 
-def deal(docs: DataFrame, blocks: DataFrame, shards: int | None, seed: int) -> tuple[DataFrame, int]:
-    """(rows, shards): a row for each time a row of docs is taken: doc_id, source, size, version, docs' columns as ``row``, shard, and place (its shuffled order there)."""
+def deal(docs: DataFrame, blocks: DataFrame, in_source: int, shards: int | None, seed: int) -> tuple[DataFrame, int]:
+    """(rows, shards): a row for each time a row of docs is taken: doc_id, source, version, docs' columns as ``row``, shard, and place (its shuffled order there)."""
     if shards is None:
         words = blocks.groupBy("at").agg(F.first("target").alias("t")).agg(F.sum("t")).first()[0] or 0
         shards = 1 << max(0, int(words / SHARD_WORDS)).bit_length()
@@ -210,10 +226,11 @@ def deal(docs: DataFrame, blocks: DataFrame, shards: int | None, seed: int) -> t
     # a row for each draw of a block: what a source's order says of (rank, pass), by equality
     turns = turns.select("at", "shard", (F.col("draw") % F.col("in_source")).cast("int").alias("rank"), F.floor(F.col("draw") / F.col("in_source")).cast("int").alias("pass"))
     by_block = turns.groupBy("at", "rank").agg(F.map_from_entries(F.collect_list(F.struct("pass", "shard"))).alias("shards"))  # passes are bounded by MOST
-    taken = take(sizes(docs, seed, keep=True), written(blocks.join(by_block, ["at", "rank"]), "mix-turns")).where("copies > 0")
+    rows = in_blocks(keyed(docs, seed, F.struct(*docs.columns).alias("row")), in_source)
+    taken = take(rows, written(blocks.join(by_block, ["at", "rank"]), "mix-turns")).where("copies > 0")
     taken = taken.withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     shard = F.element_at("shards", F.col("pass")).alias("shard")
-    return taken.select("doc_id", "source", "size", "version", "row", shard, F.xxhash64(F.lit(seed + 3), "doc_id", "pass", "version").alias("place")), shards
+    return taken.select("doc_id", "source", "version", "row", shard, F.xxhash64(F.lit(seed + 3), "doc_id", "pass", "version").alias("place")), shards
 
 
 def shuffled(rows: DataFrame, shards: int) -> DataFrame:
@@ -223,8 +240,9 @@ def shuffled(rows: DataFrame, shards: int) -> DataFrame:
 
 def draws(docs: DataFrame, shards: int | None = None, seed: int = 0, **how) -> tuple[DataFrame, int]:
     """(rows, shards): a row for each time a row of docs is taken: docs' columns as ``row``, shard, and place (its shuffled order there)."""
-    blocks = written(plan(written(sizes(docs, seed), "mix-sizes"), seed=seed, **how), "mix-plan")
-    rows, shards = deal(docs, blocks, shards, seed)
+    sized, in_source = sizes(docs, seed)
+    blocks = written(plan(sized, seed=seed, **how), "mix-plan")
+    rows, shards = deal(docs, blocks, in_source, shards, seed)
     return rows.select("row", "shard", "place"), shards
 
 
@@ -240,14 +258,14 @@ def drawn(docs: DataFrame, shards: int | None = None, seed: int = 0, **how) -> D
     The mix is made whole, documents in shuffled shards, and stored; a row's copies are the draws found
     there. Rows of one id, source and text are one another's equals here, and share their draws out.
     """
-    sized = written(sizes(docs, seed), "mix-sizes")
+    sized, in_source = sizes(docs, seed)
     blocks = written(plan(sized, seed=seed, **how), "mix-plan")
-    rows, shards = deal(docs, blocks, shards, seed)
+    rows, shards = deal(docs, blocks, in_source, shards, seed)
     mixed = written(shuffled(rows, shards), "mix-shards", compression="zstd")
-    key = ["doc_id", "source", "size", "version"]
-    both = sized.select(*key, F.lit(1).alias("n"), F.lit(0).alias("d")).unionByName(mixed.select(*key, F.lit(0).alias("n"), F.lit(1).alias("d")))
-    counted = both.groupBy(*key).agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
-    each = counted.select(*key, "n", "d", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
+    key = ["doc_id", "source", "version"]
+    both = sized.select(*key, "size", F.lit(1).alias("n"), F.lit(0).alias("d")).unionByName(mixed.select(*key, F.lit(0).cast("long").alias("size"), F.lit(0).alias("n"), F.lit(1).alias("d")))
+    counted = both.groupBy(*key).agg(F.max("size").alias("size"), F.sum("n").alias("n"), F.sum("d").alias("d"))
+    each = counted.select(*key, "size", "n", "d", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
     copies = (F.floor(F.col("d") / F.col("n")) + (F.col("i") < F.col("d") % F.col("n")).cast("int")).cast("int")
     sources = blocks.select(F.col("source").alias("s"), "source_size", "target").distinct()
-    return each.select(*key, copies.alias("copies")).join(sources, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "size", "source_size", "target", "copies")
+    return each.select(*key, "size", copies.alias("copies")).join(sources, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "size", "source_size", "target", "copies")
