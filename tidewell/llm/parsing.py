@@ -17,13 +17,14 @@ by the names of all levels instead, code points included.
 Defined results: null text is the empty text; two empty texts are alike (1.0), an empty and a
 non-empty one are not (0.0). Documents follow by (doc_id, hash of the text), null ids first, so
 repeated ids have a defined order; the last is followed by the first; a single document follows
-itself.
+itself. Very long texts are parsed whole; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -34,6 +35,8 @@ from pyspark.sql import functions as F
 KEEP, LEVEL = 64, 3
 #: Names of the high levels under which a text goes by all levels; code points for each name at most.
 FEW, SPARSE = 8, 200
+#: Rows of a slice of the id order, on average at most.
+SLICE_ROWS = 100_000
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 _M1, _M2, _M3 = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
 
@@ -196,27 +199,47 @@ def bucket(c: Column, edges: list[int]) -> Column:
     return F.when(c.isNull(), F.lit(0)).otherwise(coarse * step + upto(F.get(F.lit(parts), coarse)))
 
 
+def slice_of(id_: Column, version: Column, edges: list[int], split: dict[int, int]) -> Column:
+    """The slice of a row by its id and, for ids that are ``split`` (into how many slices), by the hash of its text.
+
+    A slice begins at each edge; an id that is split is an edge, and has slices of equal ranges of the hash, of which the
+    last goes on to the next edge.
+    """
+    at, more = bucket(id_, edges), F.lit(0)
+    for e, n in split.items():  # each holds one slice's share of all rows or more, so there are no more than slices
+        share = F.floor((F.shiftright(version, 32) + (1 << 31)) * n / (1 << 32)).cast("int")
+        more = more + F.when(id_ > e, n - 1).when(id_ == e, share).otherwise(0)
+    return (at + more).cast("int")
+
+
 def in_order(docs: DataFrame, slices: int) -> DataFrame:
-    """Ids and texts in slices of the order by id: slice, own, doc_id, text.
+    """Ids and texts in slices of the order by id and hash of the text: slice, own, doc_id, text.
 
-    Slices are cut at quantiles of the ids. A slice's first rows also stand at the end of the slice
+    Slices are cut at quantiles of the ids; an id that fills several is cut by the hashes. A slice's first rows also stand at the end of the slice
     before (own = false), the first slice's at the end of the last, so every row's follower is in
-    its slice. Only ids are read for the plan, which has a row a slice; texts move once.
+    its slice. Only ids (and the hashes, where an id is cut) are read for the plan, which has a row a slice; texts move once.
     """
     least = -(1 << 63)
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    at = ids.agg(F.percentile_approx("doc_id", [i / slices for i in range(1, slices)], F.lit(10_000))).first()[0] if slices > 1 else []
-    edges = sorted(set(at or []))
-    firsts = ids.groupBy(bucket(F.col("doc_id"), edges).alias("slice")).agg(F.min(F.coalesce("doc_id", F.lit(least))).alias("first")).orderBy("slice").collect()
-    firsts = firsts or [{"slice": 0, "first": least}]
-    low, prior = {r["slice"]: r["first"] for r in firsts}, {r["slice"]: firsts[i - 1]["slice"] for i, r in enumerate(firsts)}
-    lows, before = (F.lit([of.get(k, 0) for k in range(len(edges) + 1)]) for of in (low, prior))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(least)).alias("id"), text.alias("text"))
+    at = ids.agg(F.percentile_approx("id", [i / slices for i in range(1, slices)], F.lit(max(10_000, 4 * slices)))).first()[0] if slices > 1 else []
+    often = Counter(at or [])
+    edges, split = sorted(often), {e: n for e, n in sorted(often.items()) if n > 1}
+    version = F.xxhash64("text") if split else F.lit(0).cast("long")
+    placed = ids.withColumn("version", version).select("id", "version", slice_of(F.col("id"), F.col("version"), edges, split).alias("slice"))
+    firsts = placed.groupBy("slice").agg(F.min(F.struct("id", "version")).alias("first")).orderBy("slice").collect()
+    low = {r["slice"]: r["first"] for r in firsts}
+    order = [r["slice"] for r in firsts]
+    prior = {k: order[i - 1] for i, k in enumerate(order)}
+    places = max(order, default=0) + 1
+    low_id, low_version = (F.lit([(low[k][c] if k in low else 0) for k in range(places)]) for c in ("id", "version"))
+    before = F.lit([prior.get(k, 0) for k in range(places)])
     own = F.struct(F.col("s").alias("slice"), F.lit(True).alias("own"))
     lent = F.struct(F.get(before, F.col("s")).cast("int").alias("slice"), F.lit(False).alias("own"))
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("s", bucket(F.col("doc_id"), edges))
-    places = F.when(F.coalesce("doc_id", F.lit(least)) == F.get(lows, F.col("s")), F.array(own, lent)).otherwise(F.array(own))
-    return rows.select("doc_id", "text", F.inline(places))
+    rows = docs.select(F.col("doc_id").cast("long"), text.alias("text")).withColumns({"id": F.coalesce("doc_id", F.lit(least)), "version": version})
+    rows = rows.withColumn("s", slice_of(F.col("id"), F.col("version"), edges, split))
+    first = (F.col("id") == F.get(low_id, F.col("s"))) & (F.col("version") == F.get(low_version, F.col("s")))
+    return rows.select("doc_id", "text", F.inline(F.when(first, F.array(own, lent)).otherwise(F.array(own))))
 
 
 def fingerprint_edits(docs: DataFrame, keep: int = KEEP, level: int = LEVEL, chars: int = 1_000_000) -> DataFrame:
@@ -224,7 +247,8 @@ def fingerprint_edits(docs: DataFrame, keep: int = KEEP, level: int = LEVEL, cha
 
     A task walks its slice in order and holds about ``chars`` characters of texts at a time.
     """
-    slices = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slices = max(1, least, -(-docs.count() // SLICE_ROWS))
     placed = in_order(docs, slices).repartitionById(slices, F.col("slice")).sortWithinPartitions(F.desc("own"), F.asc_nulls_first("doc_id"), F.xxhash64("text"))
 
     def rows_of(held: list[tuple[int, str]], after: str) -> pa.RecordBatch:

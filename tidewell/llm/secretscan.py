@@ -15,8 +15,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from itertools import product
-from re import _constants as op
-from re import _parser as regex_parser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,36 +55,107 @@ BROADCAST_ROWS = 1_000_000
 # --- from a regex to a Boolean query of trigrams -------------------------------------------------
 
 
-def _texts(tree, fold: bool, most: int = 32) -> list[list[str | None]]:
-    """The ways through a parsed regex, each a list of literal characters with None for anything else."""
-    ways: list[list[str | None]] = [[]]
-    for kind, value in tree:
-        if kind is op.LITERAL:
-            step = [[chr(value).lower()]]
-        elif kind is op.SUBPATTERN:
-            step = _texts(value[3], fold)
-        elif kind is op.BRANCH:
-            step = [w for branch in value[1] for w in _texts(branch, fold)]
-        elif kind is op.IN and all(k is op.LITERAL for k, _ in value) and len(value) <= 6:
-            step = [[chr(v).lower()] for _, v in value]
-        elif kind in (op.MAX_REPEAT, op.MIN_REPEAT, op.POSSESSIVE_REPEAT):
-            low, high, inner = value
-            once = _texts(inner, fold)
-            step = [[], *once] if (low, high) == (0, 1) and len(once) * 2 <= 6 else [w + [None] for w in once] if low else [[None]]
-        elif kind is op.AT:
-            step = [[]]
+Ways = list[list[str | None]]
+#: What an escaped letter stands for; classes (\\w, \\d, …) and anchors are read as "anything".
+_ESCAPES = {"t": "\t", "n": "\n", "r": "\r", "f": "\f", "v": "\v"}
+
+
+class _Reader:
+    """The ways through a regex: each a list of lower-case literal characters, with None where anything may stand, in or between.
+
+    It reads literals, escapes, classes, groups, alternatives and quantifiers; of other groups (lookarounds, back references)
+    it says so, as a clause must hold for every match.
+    """
+
+    def __init__(self, regex: str, most: int = 32):
+        self.regex, self.at, self.most = regex, 0, most
+
+    def peek(self) -> str:
+        return self.regex[self.at : self.at + 1]
+
+    def take(self, n: int = 1) -> str:
+        self.at += n
+        return self.regex[self.at - n : self.at]
+
+    def joined(self, ways: Ways, step: Ways) -> Ways:
+        return [a + b for a, b in product(ways, step if len(ways) * len(step) <= self.most else [[None]])]
+
+    def alternatives(self) -> Ways:
+        out = self.sequence()
+        while self.peek() == "|":
+            self.take()
+            out = out + self.sequence()
+        return out
+
+    def sequence(self) -> Ways:
+        ways: Ways = [[]]
+        while self.peek() and self.peek() not in "|)":
+            ways = self.joined(ways, self.repeated(self.atom()))
+        return ways
+
+    def repeated(self, once: Ways) -> Ways:
+        """What a quantifier, if there is one, makes of an atom."""
+        least, most = 1, 1
+        c = self.peek()
+        if c in ("?", "*", "+"):
+            self.take()
+            least, most = (0, 1) if c == "?" else (0, None) if c == "*" else (1, None)
+        elif c == "{" and (close := self.regex.find("}", self.at)) > 0 and self.regex[self.at + 1 : close].replace(",", "").isdigit():
+            low, _, high = self.take(close + 1 - self.at)[1:-1].partition(",")
+            least, most = int(low or 0), int(high) if high else None if _ else int(low)
         else:
-            step = [[None]]
-        if len(ways) * len(step) > most:
-            step = [[None]]
-        ways = [a + b for a, b in product(ways, step)]
-    return ways
+            return once
+        if self.peek() in ("?", "+"):  # lazy or possessive
+            self.take()
+        if (least, most) == (0, 1):
+            return [[], *once] if len(once) <= 3 else [[None]]
+        return once if (least, most) == (1, 1) else [w + [None] for w in once] if least else [[None]]
+
+    def atom(self) -> Ways:
+        c = self.take()
+        if c == "(":
+            return self.group()
+        if c == "[":
+            return self.one_of()
+        if c == "\\":
+            return [[x] if (x := self.escaped()) else [None]]
+        return [[None]] if c == "." else [[]] if c in "^$" else [[c.lower()]]
+
+    def escaped(self) -> str | None:
+        """The character behind a backslash; None for a class or an anchor."""
+        c = self.take()
+        if c in "xu":
+            return chr(int(self.take(2 if c == "x" else 4), 16)).lower()
+        return _ESCAPES.get(c) if c.isalnum() else c
+
+    def group(self) -> Ways:
+        if self.peek() == "?":
+            head = self.regex[self.at : self.regex.find(":", self.at) + 1]
+            if not head or any(c in head for c in "=!<>P#("):
+                raise ValueError(f"{self.regex}: no trigrams can be derived from a group (?{self.regex[self.at + 1]}")
+            self.take(len(head))
+        inner = self.alternatives()
+        self.take()
+        return inner
+
+    def one_of(self) -> Ways:
+        """A class of up to six single characters is that many ways; any other stands for anything."""
+        found: list[str | None] = [None] if self.peek() == "^" else []
+        self.take(len(found))
+        while self.peek() and (self.peek() != "]" or not found):
+            c = self.take()
+            found.append(self.escaped() if c == "\\" else c.lower())
+            if self.peek() == "-" and self.regex[self.at + 1 : self.at + 2] not in ("]", ""):
+                self.take(2)
+                found.append(None)
+        self.take()
+        return [[None]] if None in found or len(found) > 6 else [[c] for c in found]
 
 
 def trigram_query(regex: str) -> list[list[str]] | None:
     """Clauses of trigrams: a match holds all of one clause. None: a match may hold none."""
     clauses = set()
-    for way in _texts(regex_parser.parse(regex), True):
+    for way in _Reader(regex).alternatives():
         grams = [way[i] + way[i + 1] + way[i + 2] for i in range(len(way) - 2) if None not in way[i : i + 3]]
         grams = [g for g in dict.fromkeys(grams) if g.isascii()]
         if not grams:
