@@ -86,11 +86,22 @@ def temporal(query: Column) -> Column:
 
 
 def glob_regex(pattern: str) -> str:
-    """A path glob (** any path, * inside a part, ? one character) as a regex."""
-    out = ""
-    for part in re.split(r"(\*\*/|\*\*|\*|\?)", pattern):
-        out += {"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}.get(part, re.escape(part))
-    return f"^{out}$"
+    """A path pattern as a regex that is searched for anywhere in a path: ** is anything, * anything inside a part, a dot itself; the rest is regex."""
+    return "".join({"**": ".*", "*": "[^/]*", ".": r"\."}.get(part, part) for part in re.split(r"(\*\*|\*|\.)", pattern))
+
+
+def plain_path(path: Column) -> Column:
+    """A path with slashes only."""
+    return F.translate(path, "\\", "/")
+
+
+#: White space that text is stripped of: Unicode's spaces, tabs, line ends and the byte order mark.
+WHITE = "\t\n\x0b\x0c\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
+def stripped(text: Column) -> Column:
+    """A text without white space at its ends, line ends included (trim() takes spaces only)."""
+    return F.btrim(text, F.lit(WHITE))
 
 
 #: Phrases that ask to save a statement, anywhere in it.
@@ -174,14 +185,16 @@ def service_of(symbols: Column) -> Column:
     return F.coalesce(like(f"(?i){SERVICE_WORDS}"), like("^[A-Z][a-zA-Z]+$"))
 
 
-#: Languages by file extension.
-EXTENSIONS = {"ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "py": "python", "go": "go", "rs": "rust", "java": "java", "md": "markdown", "json": "json", "yaml": "yaml", "yml": "yaml", "html": "html", "css": "css", "sql": "sql", "sh": "shell"}
+#: Languages by file extension; files named Dockerfile have one of their own.
+EXTENSIONS = {"ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "vue": "vue", "py": "python", "go": "go", "rs": "rust", "java": "java", "sql": "sql", "md": "markdown", "json": "json", "yaml": "yaml", "yml": "yaml"}
 
 
 def language_of(path: Column) -> Column:
-    """The language of a path's extension, else unknown."""
+    """Dockerfile by the name, else the language of a path's extension, else unknown; a name that begins with its only dot has no extension."""
     known = F.create_map(*[F.lit(x) for k, v in EXTENSIONS.items() for x in (k, v)])
-    return F.coalesce(F.try_element_at(known, F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))), F.lit("unknown"))
+    name = F.substring_index(path, "/", -1)
+    by_end = F.try_element_at(known, F.lower(F.regexp_extract(name, r"^.+\.([^.]+)$", 1)))
+    return F.when((name == "Dockerfile") | F.startswith(name, F.lit("Dockerfile.")), "dockerfile").otherwise(F.coalesce(by_end, F.lit("unknown")))
 
 
 def json_object(text: Column) -> Column:

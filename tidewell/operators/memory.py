@@ -70,10 +70,10 @@ def temporal_list(rows: DataFrame, op: str, low: str | None, high: str | None, k
 
 
 def recall(lists: list[DataFrame], facts: DataFrame, now: Column, k: int = 10, boost: float = 0.3, scorer: Callable | None = None, trigger: Callable | None = None) -> DataFrame:
-    """several ranked lists (id, score) fused, then aged, blended with recency, reranked and raised by triggers; facts: id, created_at, exempt, superseded_by.
+    """several ranked lists (id, score) fused, then reranked, raised by triggers, rid of superseded rows, aged and blended with recency; facts: id, created_at, exempt, superseded_by.
 
-    Empty lists don't count; with one list its scores stay. scorer: a function of facts' ``content`` for F3's rerank of the
-    first 3 * k; trigger: one of (score, facts' ``trigger``) for F7's boost. Without them these steps are left out.
+    Empty lists don't count; with one list its scores stay. The first 3 * k of the fused rows go on. scorer: a function of facts' ``content`` for F3's rerank, which keeps
+    2 * k; trigger: one of (score, facts' ``trigger``) for F7's boost. Without them these steps are left out.
     """
     full = [d for d in lists if d.take(1)]
     if not full:
@@ -83,14 +83,14 @@ def recall(lists: list[DataFrame], facts: DataFrame, now: Column, k: int = 10, b
     else:
         ranked = [d.select("id", (1.0 / (60 + F.row_number().over(Window.orderBy(F.desc("score"), "id")))).alias("score")) for d in full]  # each a top-k
         fused = reduce(DataFrame.unionByName, ranked).groupBy("id").agg(F.sum("score").alias("score"))
-    days = scoring.days_before(now, F.col("created_at"))
-    rows = standing(fused.join(facts, "id"))
-    aged = F.col("score") * scoring.aging(days, F.col("exempt"))
-    rows = rows.withColumn("score", scoring.recency_blend(aged, days, boost))
+    rows = fused.orderBy(F.desc("score"), "id").limit(3 * k).join(facts, "id")
     if scorer:
-        rows = rerank(rows.orderBy(F.desc("score"), "id").limit(3 * k), F.col("content"), scorer, 3 * k)
+        rows = rerank(rows, F.col("content"), scorer, 2 * k)
     if trigger:
         rows = rows.withColumn("score", trigger(F.col("score"), F.col("trigger")))
+    days = scoring.days_before(now, F.col("created_at"))
+    aged = F.col("score") * scoring.aging(days, F.col("exempt"))
+    rows = standing(rows).withColumn("score", scoring.recency_blend(aged, days, boost))
     return rows.select("id", "score").orderBy(F.desc("score"), "id").limit(k)
 
 
@@ -177,11 +177,15 @@ def rollback(live: DataFrame, snapshot: DataFrame, overrides: DataFrame, key: st
     return rows.select(key, *[pick(c).alias(c) for c in fields])
 
 
+#: Fixed value: confidence under which an automatic memory is stale.
+LOW_CONFIDENCE = 0.4
+
+
 def stale(rows: DataFrame, now: Column) -> DataFrame:
     """The first rule that a memory meets: superseded; old and automatic; of low confidence; an old note."""
     days = scoring.days_before(now, F.col("created_at"))
     auto = (F.col("source") == "auto_conversation") & ~F.coalesce("validated", F.lit(False))
-    rule = F.when(F.coalesce("superseded_by", F.lit("")) != "", "superseded").when((days > 30) & auto, "unvalidated").when(auto & (F.col("confidence") < 0.5), "low_confidence").when((days > 90) & (F.col("type") == "note"), "old_note")
+    rule = F.when(F.coalesce("superseded_by", F.lit("")) != "", "superseded").when((days > 30) & auto, "unvalidated").when(auto & (F.col("confidence") < LOW_CONFIDENCE), "low_confidence").when((days > 90) & (F.col("type") == "note"), "old_note")
     return rows.withColumn("rule", rule).where(F.col("rule").isNotNull())
 
 

@@ -108,7 +108,7 @@ def f11_long_term_recall(spark, sf):
 
 
 @query(f"""WITH {MEM}, a AS (SELECT id, row_number() OVER (ORDER BY confidence DESC, id) AS r FROM m WHERE type = 'note' QUALIFY r <= 30), b AS (SELECT id, row_number() OVER (ORDER BY days, id) AS r FROM m WHERE source = 'manual' QUALIFY r <= 30),
-f AS (SELECT id, sum(1.0::DOUBLE / (60 + r)) AS s FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY id)
+f AS (SELECT id, sum(1.0::DOUBLE / (60 + r)) AS s FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY id ORDER BY s DESC, id LIMIT 30)
 SELECT id, round(s * CASE WHEN days > 30 AND NOT coalesce(validated, false) THEN 1 - least(0.5, (floor(days / 30) - 1) * 0.1) ELSE 1 END * 0.7 + exp(-days / 30) * 0.3, 6) AS score FROM f JOIN m USING (id) WHERE superseded_by IS NULL
 ORDER BY s * CASE WHEN days > 30 AND NOT coalesce(validated, false) THEN 1 - least(0.5, (floor(days / 30) - 1) * 0.1) ELSE 1 END * 0.7 + exp(-days / 30) * 0.3 DESC, id LIMIT 10""")
 def f12_multi_strategy_recall(spark, sf):
@@ -182,7 +182,7 @@ def n11_versions(spark, sf):
 
 
 @query(f"""WITH {MEM}, r AS (SELECT id, CASE WHEN superseded_by <> '' THEN 'superseded' WHEN days > 30 AND source = 'auto_conversation' AND NOT coalesce(validated, false) THEN 'unvalidated'
-WHEN source = 'auto_conversation' AND NOT coalesce(validated, false) AND confidence < 0.5 THEN 'low_confidence' WHEN days > 90 AND type = 'note' THEN 'old_note' END AS rule FROM m) SELECT * FROM r WHERE rule IS NOT NULL""")
+WHEN source = 'auto_conversation' AND NOT coalesce(validated, false) AND confidence < 0.4 THEN 'low_confidence' WHEN days > 90 AND type = 'note' THEN 'old_note' END AS rule FROM m) SELECT * FROM r WHERE rule IS NOT NULL""")
 def n12_stale(spark, sf):
     return M.stale(memories(spark, sf), now()).select("id", "rule")
 
@@ -225,13 +225,13 @@ def b10_standing(spark, sf):
 
 
 @query(f"""WITH {MEM}, a AS (SELECT id, row_number() OVER (ORDER BY confidence DESC, id) AS r FROM m WHERE type = 'note' QUALIFY r <= 30), b AS (SELECT id, row_number() OVER (ORDER BY days, id) AS r FROM m WHERE source = 'manual' QUALIFY r <= 30),
-f AS (SELECT id, sum(1.0::DOUBLE / (60 + r)) AS s FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY id),
-g AS (SELECT id, trigger, content, s * CASE WHEN days > 30 AND NOT coalesce(validated, false) THEN 1 - least(0.5, (floor(days / 30) - 1) * 0.1) ELSE 1 END * 0.7 + exp(-days / 30) * 0.3 AS score FROM f JOIN m USING (id) WHERE superseded_by IS NULL),
-t AS (SELECT *, list_distinct(list_filter(regexp_split_to_array(lower(substr(content, 1, 800)), '\\s+'), lambda w: w <> '')) AS w FROM g ORDER BY score DESC, id LIMIT 30),
-j AS (SELECT id, len(list_intersect(w, ['of', 'the', 'und'])) / (len(w) + 3 - len(list_intersect(w, ['of', 'the', 'und'])))::DOUBLE * 0.6 + score * 0.4 + CASE WHEN trigger IS NOT NULL THEN 0.3 ELSE 0 END AS s FROM t)
-SELECT id, round(s, 6) AS score FROM j ORDER BY s DESC, id LIMIT 10""")
+f AS (SELECT id, sum(1.0::DOUBLE / (60 + r)) AS s FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY id ORDER BY s DESC, id LIMIT 30),
+t AS (SELECT *, list_distinct(list_filter(regexp_split_to_array(lower(substr(content, 1, 800)), '\\s+'), lambda w: w <> '')) AS w FROM f JOIN m USING (id)),
+j AS (SELECT *, len(list_intersect(w, ['of', 'the', 'und'])) / (len(w) + 3 - len(list_intersect(w, ['of', 'the', 'und'])))::DOUBLE * 0.6 + s * 0.4 AS reranked FROM t ORDER BY reranked DESC, id LIMIT 20),
+g AS (SELECT id, (reranked + CASE WHEN trigger IS NOT NULL THEN 0.3 ELSE 0 END) * CASE WHEN days > 30 AND NOT coalesce(validated, false) THEN 1 - least(0.5, (floor(days / 30) - 1) * 0.1) ELSE 1 END * 0.7 + exp(-days / 30) * 0.3 AS score FROM j WHERE superseded_by IS NULL)
+SELECT id, round(score, 6) AS score FROM g ORDER BY g.score DESC, id LIMIT 10""")
 def f12_recall_reranked(spark, sf):
-    """The whole chain: fusion, aging, recency, rerank and triggers (of which each that is there counts in full)."""
+    """The whole chain: fusion, rerank, triggers (of which each that is there counts in full), superseded rows, aging, recency."""
     m = memories(spark, sf)
     a = m.where("type = 'note'").select("id", F.col("confidence").alias("score")).orderBy(F.desc("score"), "id").limit(30)
     b = m.where("source = 'manual'").select("id", (-scoring.days_before(now(), F.col("created_at"))).alias("score")).orderBy(F.desc("score"), "id").limit(30)

@@ -111,9 +111,15 @@ def f14_working_score(spark, sf):
     return e.select("event_id", F.round(scoring.working_score(F.col("event_id") % 10 / 10, F.col("user_id") % 5 / 5, F.col("user_id"), emotion), 6).alias("score"))
 
 
-@query("SELECT 'file: d/' || doc_id || ' | lang: ' || lang || ' | type: docs' AS header FROM documents")
+@query("""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '#' ELSE '//' END AS c FROM documents)
+SELECT doc_id, c || ' File: d/' || doc_id || ' [docs]' || CASE doc_id % 3 WHEN 0 THEN chr(10) || c || ' Layer: api | Service: Store' || doc_id WHEN 1 THEN chr(10) || c || ' Service: Store' || doc_id ELSE '' END
+|| CASE WHEN doc_id % 7 > 0 THEN chr(10) || c || ' Defines: ' || array_to_string(list_transform(range(0, least(doc_id % 7, 5)), lambda i: 's' || i), ', ') ELSE '' END || CASE WHEN doc_id % 2 = 0 THEN chr(10) || c || ' Imports: lib/x' ELSE '' END AS header FROM d""")
 def i11_anchor_header(spark, sf):
-    return table(spark, sf, "documents").select(K.anchor_header(F.concat(F.lit("d/"), "doc_id"), F.col("lang"), F.lit("docs")).alias("header"))
+    i = F.col("doc_id")
+    language = F.get(F.array(*[F.lit(x) for x in ("markdown", "typescript", "yaml", "go")]), (i % 4).cast("int"))
+    symbols = F.when(i % 7 > 0, F.transform(F.sequence(F.lit(0), (i % 7 - 1).cast("int")), lambda x: F.concat(F.lit("s"), x)))
+    header = K.anchor_header(F.concat(F.lit("d/"), i), language, F.lit("docs"), F.when(i % 3 == 0, "api"), F.when(i % 3 < 2, F.concat(F.lit("Store"), i)).otherwise(""), symbols, F.when(i % 2 == 0, F.array(F.lit("lib/x"))))
+    return table(spark, sf, "documents").select("doc_id", header.alias("header"))
 
 
 @query("SELECT doc_id, 'We use ' || source || '.' AS decision FROM documents")

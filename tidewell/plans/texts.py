@@ -91,33 +91,43 @@ def i8_anchors(spark, sf):
 
 
 DIRS = ("src/routes", "Services", "lib", "app/models", "middleware", "x/__tests__", "parsers", "types", "config", "other")
-ENDS = ("ts", "py", "md", "proto", "yaml", "go", "env", "")
-PATH = f"{list(DIRS)}[cast(doc_id % {len(DIRS)} AS INTEGER) + 1] || '/F' || doc_id || CASE WHEN {list(ENDS)}[cast(doc_id % {len(ENDS)} AS INTEGER) + 1] = '' THEN '' ELSE '.' || {list(ENDS)}[cast(doc_id % {len(ENDS)} AS INTEGER) + 1] END"
+NAMES = ("F.ts", "F.py", "F.md", "F.proto", "F.yaml", "F.go", ".env", "F", "F.vue", "Dockerfile", "Dockerfile.dev", "F.html", "F.css", "F.sh", "F.SQL", ".ts", "F.x.TSX")
+PATH = f"{list(DIRS)}[cast(doc_id % {len(DIRS)} AS INTEGER) + 1] || '/' || doc_id || '/' || {list(NAMES)}[cast(doc_id % {len(NAMES)} AS INTEGER) + 1]"
 
 
 @query(f"""WITH p AS (SELECT doc_id, {PATH} AS path FROM documents) SELECT path,
-['typescript', 'python', 'markdown', 'unknown', 'yaml', 'go', 'unknown', 'unknown'][cast(doc_id % 8 AS INTEGER) + 1] AS language, ['code', 'code', 'docs', 'contract', 'config', 'code', 'config', 'code'][cast(doc_id % 8 AS INTEGER) + 1] AS kind,
+['typescript', 'python', 'markdown', 'unknown', 'yaml', 'go', 'unknown', 'unknown', 'vue', 'dockerfile', 'dockerfile', 'unknown', 'unknown', 'unknown', 'sql', 'unknown', 'typescript'][cast(doc_id % 17 AS INTEGER) + 1] AS language,
+['code', 'code', 'docs', 'contract', 'config', 'code', 'config', 'code', 'code', 'code', 'code', 'code', 'code', 'code', 'code', 'code', 'code'][cast(doc_id % 17 AS INTEGER) + 1] AS kind,
 ['api', 'service', 'util', 'model', 'middleware', 'test', 'parser', 'types', 'config', 'other'][cast(doc_id % 10 AS INTEGER) + 1] AS layer, CASE WHEN doc_id % 3 = 0 THEN 'userstore' WHEN doc_id % 3 = 1 THEN 'Page' END AS service FROM p""")
 def i9_i10_classify_paths(spark, sf):
     i = F.col("doc_id")
     pick = lambda xs: F.get(F.array(*[F.lit(x) for x in xs]), (i % len(xs)).cast("int"))
-    end = pick(ENDS)
-    path = F.concat(pick(DIRS), F.lit("/F"), i, F.when(end == "", "").otherwise(F.concat(F.lit("."), end)))
+    path = F.concat(pick(DIRS), F.lit("/"), i, F.lit("/"), pick(NAMES))
     symbols = F.when(i % 3 == 0, F.array(F.lit("Page"), F.lit("userstore"))).when(i % 3 == 1, F.array(F.lit("page"), F.lit("Page")))
     p = table(spark, sf, "documents").select(path.alias("path"), symbols.alias("symbols"))
     return p.select("path", T.language_of(F.col("path")).alias("language"), K.kind_of(F.col("path")).alias("kind"), T.layer_of(F.col("path")).alias("layer"), T.service_of(F.col("symbols")).alias("service"))
 
 
-@query("SELECT 'd' || (doc_id % 3) || '/f' || (doc_id % 100) || '.md' AS path, count(*) AS n FROM documents WHERE doc_id % 3 < 2 AND doc_id % 100 <> 7 GROUP BY 1")
+TREE = "list_value('src', 'docs', 'node_modules/src', 'x/src/lib')[cast(doc_id % 4 AS INTEGER) + 1] || '/f' || (doc_id % 100) || list_value('.md', '.mdx', '.ts')[cast(doc_id % 3 AS INTEGER) + 1]"
+
+
+@query(rf"""WITH f AS (SELECT {TREE} AS path, count(*) AS n FROM documents GROUP BY 1)
+SELECT * FROM f WHERE regexp_matches('/' || path, '/src/.*[^/]*\.md|/docs/[^/]*7\.') AND NOT regexp_matches('/' || path, '/node_modules/.*|f1[^/]*\.mdx')""")
 def i12_a16_globs(spark, sf):
-    """A tree of files, written by id and walked again with globs."""
+    """A tree of files, one for each path, written by Spark and walked again with patterns, which are searched for anywhere in a path."""
     import uuid
 
+    i = F.col("doc_id")
+    pick = lambda *xs: F.get(F.array(*[F.lit(x) for x in xs]), (i % len(xs)).cast("int"))
+    path = F.concat(pick("src", "docs", "node_modules/src", "x/src/lib"), F.lit("/f"), i % 100, pick(".md", ".mdx", ".ts"))
+    files = table(spark, sf, "documents").groupBy(path.alias("path")).agg(F.count("*").cast("string").alias("value"))
     root = f"{shared_dir(spark)}/tree-{uuid.uuid4().hex}"
-    path = F.concat(F.lit("d"), F.col("doc_id") % 3, F.lit("/f"), F.col("doc_id") % 100, F.lit(".md"))
-    table(spark, sf, "documents").groupBy(path.alias("file")).agg(F.count("*").cast("string").alias("value")).write.partitionBy("file").text(root)
-    walked = S.file_tree(spark, root, ["**/file=d[01]%2F*/*".replace("[01]", d) for d in "01"], ["**/*f7.md/**"])
-    return walked.select(F.url_decode(F.regexp_extract("path", "file=([^/]*)", 1)).alias("path"), F.trim(F.translate("content", "\n", "")).cast("long").alias("n"))
+    parts = F.split("path", "/")
+    folder = lambda k: F.when(F.size(parts) > k + 1, F.get(parts, F.lit(k))).otherwise("-").alias(f"d{k}")
+    files.select("value", folder(0), folder(1), folder(2), F.element_at(parts, -1).alias("file")).write.partitionBy("d0", "d1", "d2", "file").text(root)  # d0=src/d1=-/d2=-/file=f1.md/part-…
+    walked = S.file_tree(spark, root, ["=src/**/file=*.md", "d0=docs/**/file=*7."], ["=node_modules/**", "=f1*.mdx"])
+    whole = F.regexp_replace(F.regexp_replace(F.substring_index("path", "/", 4), "/?(d[0-2]|file)=", "/"), "/-(?=/)", "")
+    return walked.select(F.substring(whole, 2, 1000).alias("path"), F.trim(F.translate("content", "\n", "")).cast("long").alias("n"))
 
 
 @query("SELECT c_custkey AS id, list_reduce(list_transform(range(1, length(c_name) + 1), lambda i: ascii(substr(c_name, i, 1))::BIGINT), lambda h, b: (xor(h, b) * 16777619) & 4294967295, 2166136261::BIGINT) AS h FROM customer")
@@ -209,12 +219,19 @@ def k1_size_chunks(spark, sf):
     return K.size_chunks(as_files(spark, sf))
 
 
-@query(r"""WITH f AS (SELECT 'd/' || doc_id || '.md' AS path, string_split(regexp_replace(text, '\. ', chr(10) || '# ', 'g'), chr(10)) AS l FROM documents),
-s AS (SELECT path, l, list_filter(list_transform(range(1, len(l) + 1), lambda i: CASE WHEN i = 1 OR regexp_matches(l[i], '^#{1,6}\s') THEN i ELSE 0 END), lambda n: n > 0) AS s FROM f),
-c AS (SELECT path, unnest(range(0, len(s))) AS chunk, l, s FROM s), e AS (SELECT path, chunk, s[chunk + 1] AS a, coalesce(s[chunk + 2] - 1, len(l)) AS b, l FROM c)
-SELECT path, cast(chunk AS INTEGER) AS chunk, cast(a AS INTEGER) AS start_line, cast(b AS INTEGER) AS end_line, array_to_string(l[a:b], chr(10)) AS content FROM e WHERE length(trim(array_to_string(l[a:b], chr(10)))) >= 10""")
+@query(r"""WITH f AS (SELECT 'd/' || doc_id || '.md' AS path, regexp_replace(CASE doc_id % 5 WHEN 0 THEN chr(10) || text || '  ' || chr(10) WHEN 1 THEN '# ' || chr(10) || text WHEN 2 THEN ' a ' || chr(10) || '## b' ELSE text END, '\. ', chr(10) || '# ', 'g') AS content FROM documents),
+g AS (SELECT path, content, string_split(content, chr(10)) AS l FROM f),
+s AS (SELECT path, l, list_filter(list_transform(range(1, len(l) + 1), lambda i: CASE WHEN i = 1 OR regexp_matches(l[i], '^#{1,6}\s+.+') THEN i ELSE 0 END), lambda n: n > 0) AS s FROM g),
+c AS (SELECT path, unnest(range(0, len(s))) AS chunk, l, s FROM s), e AS (SELECT path, chunk, l, s[chunk + 1] AS a, coalesce(s[chunk + 2] - 1, len(l)) AS b FROM c),
+k AS (SELECT path, cast(chunk AS INTEGER) AS chunk, cast(a AS INTEGER) AS start_line, cast(b AS INTEGER) AS end_line, trim(array_to_string(l[a:b], chr(10)), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS content,
+      CASE WHEN regexp_matches(l[a], '^#{1,6}\s+.+') THEN trim(regexp_replace(l[a], '^#{1,6}\s+', ''), ' ' || chr(9) || chr(13)) ELSE '' END AS heading FROM e),
+w AS (SELECT * FROM k WHERE length(content) >= 10)
+SELECT * FROM w UNION ALL SELECT path, 0, 1, cast(len(l) AS INTEGER), content, '' FROM g WHERE path NOT IN (SELECT path FROM w)""")
 def k2_markdown_sections(spark, sf):
-    return K.markdown(as_files(spark, sf)).drop("heading")
+    i, text = F.col("doc_id") % 5, F.col("text")
+    content = F.when(i == 0, F.concat(F.lit("\n"), text, F.lit("  \n"))).when(i == 1, F.concat(F.lit("# \n"), text)).when(i == 2, " a \n## b").otherwise(text)
+    files = table(spark, sf, "documents").select(F.concat(F.lit("d/"), "doc_id", F.lit(".md")).alias("path"), F.regexp_replace(content, r"\. ", "\n# ").alias("content"))
+    return K.markdown(files)
 
 
 @query("SELECT 'e/' || event_id AS path, 'k' AS key, json_extract_string(props, '$.k') AS content FROM events")
@@ -223,25 +240,55 @@ def k4_json_keys(spark, sf):
     return K.json_keys(e.select(F.concat(F.lit("e/"), "event_id").alias("path"), F.col("props").alias("content")))
 
 
+#: A source file's text by k, in SQL that both engines read: parts in several languages, of varying number, order and length; some files declare nothing.
+CODE = """concat('import { a } from ''lib/a', k, '''', chr(10), repeat(concat('// note', chr(10)), cast(k % 7 as int)),
+CASE WHEN k % 5 = 4 THEN repeat(concat('just a line of text number ', k, chr(10)), cast(3 + k % 40 as int)) ELSE concat(
+CASE WHEN k % 3 = 0 THEN concat('from os.path import join', chr(10), 'class Shop', k, '(Base', k % 11, '):', chr(10), '    def sell', k, '(self):', chr(10), repeat(concat('        x = 1', chr(10)), cast(k % 9 as int))) ELSE '' END,
+repeat(concat('export const pay', k, ' = async (x) => {', chr(10), '  return require(''./m', k % 13, ''')', chr(10), '}', chr(10)), cast(k % 4 as int)),
+CASE WHEN k % 2 = 0 THEN concat('  pub fn run', k % 17, '() {', chr(10), repeat(chr(10), cast(k % 6 as int)), '}', chr(10)) ELSE concat('public static int f', k, '(int a) {', chr(10), '}', chr(10), 'type T', k, ' struct', chr(10)) END,
+CASE WHEN k % 6 = 1 THEN concat('import java.util.List;', chr(10), 'export class Cart', k, ' extends Shop', k % 11, ' {', chr(10), '}', repeat(chr(10), cast(k % 8 as int))) ELSE '' END) END)"""
+
+
 def code_files(spark, sf) -> DataFrame:
     """A source file for each order."""
-    i = F.col("o_orderkey")
-    lines = ("import a from 'lib/a", "'\nfrom os.path import join\nimport java.util.List;\n\nclass Shop", "(Base):\n    def sell", "(self):\n        return 1\n\n\n\nexport const pay", " = async (x) => {\n  return 2\n}\n// end\n//\n//\npub fn run() {}\n")
-    parts = [x for k, line in enumerate(lines) for x in (F.lit(line), i)][:-1]
-    return table(spark, sf, "orders").select(F.concat(F.lit("f"), i, F.lit(".ts")).alias("path"), F.concat(*parts).alias("content"))
+    keys = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"))
+    return keys.select(F.concat(F.lit("f"), "k", F.lit(".ts")).alias("path"), F.expr(CODE).alias("content"))
+
+
+FILES = f"f AS (SELECT 'f' || k || '.ts' AS path, {CODE} AS content FROM (SELECT o_orderkey AS k FROM orders))"
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _found(patterns, least: int = 1, text: str = "content") -> str:
+    """SQL for the distinct names that patterns find in a text, in order."""
+    every = f"list_filter(flatten([{', '.join(f'regexp_extract_all({text}, {_quoted(p)}, 1)' for p in patterns)}]), lambda x: length(x) >= {least})"
+    return f"list_filter({every}, lambda x, i: list_position({every}, x) = i)"
 
 
-@query("""SELECT 'f' || o_orderkey || '.ts' AS path, c.chunk, c.a AS start_line, c.b AS end_line FROM orders, (VALUES (0, 1, 5), (1, 6, 10), (2, 11, 16), (3, 17, 18)) c(chunk, a, b)""")
+@query(f"""WITH {FILES}, l AS (SELECT path, content, string_split(content, chr(10)) AS l FROM f),
+t AS (SELECT *, list_filter(range(0, len(l)), lambda i: regexp_matches(ltrim(l[i + 1]), {_quoted("|".join(K.BOUNDARIES))})) AS t FROM l),
+b AS (SELECT *, list_reduce(list_transform(t, lambda i: [i]), lambda a, i: CASE WHEN i[1] - a[-1] >= 5 THEN a || i ELSE a END, [0::BIGINT]) AS b FROM t),
+r AS (SELECT *, list_reduce(list_transform(range(0, len(l)), lambda i: [i]), lambda a, i: CASE WHEN list_sum(list_transform(l[a[-1] + 1:i[1] + 1], lambda x: length(x))) + (i[1] - a[-1]) > 500 AND i[1] > a[-1] THEN a || i ELSE a END, [0::BIGINT]) AS r FROM b),
+c AS (SELECT path, content, l, len(b) >= 2 AS declared, CASE WHEN len(b) >= 2 THEN b ELSE r END AS b FROM r),
+e AS (SELECT *, unnest(range(1, len(b) + 1)) AS n FROM c),
+s AS (SELECT path, content AS whole, n, declared, b[n] + 1 AS start_line, coalesce(b[n + 1], len(l)) AS end_line, array_to_string(l[b[n] + 1:coalesce(b[n + 1], len(l))], chr(10)) AS content FROM e),
+k AS (SELECT * FROM s WHERE NOT declared OR length(trim(content, ' ' || chr(10))) >= 10)
+SELECT path, cast(row_number() OVER (PARTITION BY path ORDER BY n) - 1 AS INTEGER) AS chunk, cast(start_line AS INTEGER) AS start_line, cast(end_line AS INTEGER) AS end_line, content,
+array_to_string({_found(K.DECLARES, 2)}, ',') AS symbols, CASE WHEN start_line = 1 THEN array_to_string({_found(K.NEEDS, 1, 'whole')}, ',') END AS imports FROM k""")
 def k7_code_chunks(spark, sf):
-    return K.code(code_files(spark, sf)).drop("content")
+    return K.code(code_files(spark, sf)).withColumns({"symbols": F.array_join("symbols", ","), "imports": F.array_join("imports", ",")})
 
 
-@query("""WITH o AS (SELECT o_orderkey AS i FROM orders) SELECT 'f' || i || '.ts' AS path, 'lib/a' || i AS target, 'imports' AS edge_type FROM o UNION ALL SELECT 'f' || i || '.ts', 'os.path', 'imports' FROM o UNION ALL SELECT 'f' || i || '.ts', 'java.util.List', 'imports' FROM o UNION ALL SELECT 'f' || i || '.ts', 'Base', 'extends' FROM o""")
+@query(f"""WITH {FILES} SELECT path, unnest({_found(K.IMPORTS)}) AS target, 'imports' AS edge_type FROM f UNION ALL SELECT path, unnest({_found(K.EXTENDS)}), 'extends' FROM f""")
 def k9_code_edges(spark, sf):
     return K.code_edges(code_files(spark, sf))
 
 
-@query("WITH o AS (SELECT o_orderkey AS i FROM orders) SELECT 'f' || i || '.ts' AS path, 'function' AS kind, 'sell' || i AS name FROM o UNION ALL SELECT 'f' || i || '.ts', 'function', 'pay' || i FROM o UNION ALL SELECT 'f' || i || '.ts', 'function', 'run' FROM o UNION ALL SELECT 'f' || i || '.ts', 'class', 'Shop' || i FROM o")
+@query("""WITH o AS (SELECT o_orderkey AS k FROM orders), p AS (SELECT * FROM o WHERE k % 5 <> 4) SELECT 'f' || k || '.ts' AS path, 'function' AS kind, 'sell' || k AS name FROM p WHERE k % 3 = 0 UNION ALL SELECT 'f' || k || '.ts', 'function', 'pay' || k FROM p WHERE k % 4 > 0
+UNION ALL SELECT 'f' || k || '.ts', 'function', 'run' || (k % 17) FROM p WHERE k % 2 = 0 UNION ALL SELECT 'f' || k || '.ts', 'class', 'Shop' || k FROM p WHERE k % 3 = 0 UNION ALL SELECT 'f' || k || '.ts', 'class', 'Cart' || k FROM p WHERE k % 6 = 1""")
 def i27_symbols(spark, sf):
     return K.symbols(code_files(spark, sf))
 

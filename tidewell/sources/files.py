@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -9,23 +10,30 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.functions.models import embed
-from tidewell.functions.text import glob_regex
+from tidewell.functions.text import glob_regex, plain_path
 
 
 def file_tree(spark: SparkSession, root: str, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
-    """Path (below root), content and hash of the files under root that globs let through."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    """Path (below root), content and hash of the files under root that patterns let through.
+
+    The tree is listed by name alone first (as Spark lists it on the driver for any scan); only the files let through are opened.
+    """
+    binary = spark.read.format("binaryFile")
     at = root.rstrip("/").split("://")[-1].lstrip("/")
-    path = F.regexp_replace("path", f"^(?:[a-z]+:)?/+{at}/".replace(".", "\\."), "")
-    out = rows.select(path.alias("path"), F.col("content").cast("string").alias("content"), F.md5("content").alias("hash"))
-    return select_paths(out, include, exclude)
+    below = F.regexp_replace("path", "^(?:[a-z]+:)?/+" + re.escape(at) + "/", "").alias("path")
+    listed = binary.option("recursiveFileLookup", "true").load(root).select(F.col("path").alias("whole"), below)
+    wanted = [re.sub(r"([\\*?\[\]{}])", r"\\\1", r.whole) for r in select_paths(listed, include, exclude).select("whole").toLocalIterator()]
+    files = binary.load(wanted).select(below, "content") if wanted else spark.createDataFrame([], "path string, content binary")
+    return files.select("path", F.col("content").cast("string").alias("content"), F.md5("content").alias("hash"))
 
 
 def select_paths(files: DataFrame, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
+    """Rows whose path holds a match of one of the patterns to include (all without such), and of none to exclude."""
+    plain = plain_path(F.col("path"))
     if include:
-        files = files.where(F.rlike("path", F.lit("|".join(map(glob_regex, include)))))
+        files = files.where(F.rlike(plain, F.lit("|".join(map(glob_regex, include)))))
     if exclude:
-        files = files.where(~F.rlike("path", F.lit("|".join(map(glob_regex, exclude)))))
+        files = files.where(~F.rlike(plain, F.lit("|".join(map(glob_regex, exclude)))))
     return files
 
 
