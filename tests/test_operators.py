@@ -117,8 +117,10 @@ def test_parsers(spark):
     assert [r.content for r in K.rst(up("Title\n=====\nbody text\nNext\n----\nmore text")).orderBy("chunk").collect()] == ["Title\n=====\nbody text", "Next\n----\nmore text"]
     assert {r.key for r in K.yaml_blocks(up("a: 1\nb:\n  c: 2")).collect()} == {"a", "b"} and K.env_blocks(up("A=1\n\nB=2\n")).count() == 2
     assert {(r.kind, r.name) for r in K.contract_blocks(up('syntax = "p";\nmessage Foo {\n}\nservice Bar {\n}')).collect()} == {("message", "Foo"), ("service", "Bar")}
-    code = "import x\n\n\n\n\ndef a():\n    pass\ndef b():\n    pass\n\n\n\nclass C:\n    pass"
+    code = "import xyz\n\n\n\n\ndef a():\n    pass\ndef b():\n    pass\n\n\n\nclass C:\n    pass"
     assert [(r.start_line, r.end_line) for r in K.code(up(code)).orderBy("chunk").collect()] == [(1, 5), (6, 12), (13, 14)]
+    assert [r.chunk for r in K.code(up(code.replace("xyz", "x"))).collect()] == [0, 1]  # the first is under ten characters
+    assert [(r.symbols, r.imports) for r in K.code(up("from a.b import c\n" + "x = 1\n" * 6 + "def f1():\n  pass\ndef g():\n  pass")).orderBy("chunk").collect()] == [([], ["a.b"]), (["f1"], None)]
 
 
 def test_json_salvage(spark):

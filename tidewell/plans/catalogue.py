@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewell.plans import analytics, extras, further, graphs, memory, more, search, streams, texts  # noqa: F401  (each registers its queries)
+from tidewell.plans import analytics, extras, further, graphs, memory, more, ranges, search, streams, texts  # noqa: F401  (each registers its queries)
 from tidewell.plans.registry import ORACLE, QUERIES
 
 
