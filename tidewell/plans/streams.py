@@ -12,6 +12,7 @@ from tidewell.functions import scoring
 from tidewell.plans.registry import query
 from tidewell.session import shared_dir, table
 from tidewell.streaming import stateful as J
+from tidewell.streaming import timers
 
 TABLE = {"error": 0.6, "purchase": 0.85, "signup": 0.7, "click": 0.2}
 
@@ -149,3 +150,77 @@ def j17_hourly_stream(spark, sf):
 def j19_sliding_windows(spark, sf):
     w = J.tumbling(events(spark, sf), "ts", "2 hours", slide="1 hour")
     return w.select(F.unix_micros("start").alias("start"), "n")
+
+
+def in_turns(rows: DataFrame, turns: list, run: Callable[[DataFrame], object]):
+    """What run gives at last for rows that come by turns: each of ``turns`` says which rows are added before the next run."""
+    spark = rows.sparkSession
+    path, out = f"{shared_dir(spark)}/turns-{uuid.uuid4().hex}", None
+    for turn in turns:
+        rows.where(turn).coalesce(2).write.mode("append").parquet(path)
+        out = run(J.replay(spark, path, rows.schema))
+    return out
+
+
+def kept_from(rows: DataFrame, turns: list, operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    at = f"{shared_dir(rows.sparkSession)}/stream-{uuid.uuid4().hex}"
+    return in_turns(rows, turns, lambda s: J.run_to_table(operator(s), at))
+
+
+@query("""WITH g AS (SELECT user_id AS key, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS after, (SELECT max(ts) FROM events) - INTERVAL 1 HOUR AS mark FROM events)
+SELECT key, epoch_us(ts) AS last, epoch_us(ts + INTERVAL 1 DAY) AS stale_at FROM g WHERE coalesce(after > ts + INTERVAL 1 DAY, mark > ts + INTERVAL 1 DAY)""")
+def j16_stale_heartbeats(spark, sf):
+    """Users without an event for a day, told by the stream as the watermark passes; the last ones up to the last watermark."""
+    with timers.rocksdb_state(spark):
+        out = streamed_stale(spark, sf)
+    return out.select("key", F.unix_micros("last").alias("last"), F.unix_micros("stale_at").alias("stale_at"))
+
+
+def streamed_stale(spark, sf) -> DataFrame:
+    return gathered(spark, sf, lambda s: timers.stale_heartbeats(s.select(F.col("user_id").alias("key"), "ts"), 86_400, "1 hour"))
+
+
+@query("""WITH d AS (SELECT DISTINCT l_orderkey AS e, l_partkey AS p FROM lineitem), r AS (SELECT x.p AS a, y.p AS b, x.e AS event_id, o_orderdate::TIMESTAMP AS ts FROM d x JOIN d y USING (e) JOIN orders ON o_orderkey = x.e WHERE x.p <> y.p),
+g AS (SELECT *, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 30 DAY THEN 1 ELSE 0 END AS fresh FROM r WINDOW w AS (PARTITION BY a ORDER BY ts, event_id, b)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY a ORDER BY ts, event_id, b) AS life FROM g)
+SELECT a, b, event_id, row_number() OVER (PARTITION BY a, b, life ORDER BY ts, event_id) AS n FROM s""")
+def j11_lasting_counts_stream(spark, sf):
+    """Parts ordered together, counted on a stream in which a part's counts end 30 days after its last order."""
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("event_id"), F.col("l_partkey").alias("a")).distinct()
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("event_id"), F.col("o_orderdate").cast("timestamp").alias("ts"))
+    pairs = lines.join(lines.withColumnRenamed("a", "b"), "event_id").where("a <> b").join(orders, "event_id").select("a", "b", "event_id", "ts")
+    cuts = ["1994-01-01", "1996-01-01"]
+    turns = [f"ts < '{cuts[0]}'", f"ts >= '{cuts[0]}' and ts < '{cuts[1]}'", f"ts >= '{cuts[1]}'"]
+    with timers.rocksdb_state(spark):
+        return kept_from(pairs, turns, timers.lasting_counts).select("a", "b", "event_id", "n")
+
+
+#: Events come in four turns by day, a seventh of the early ones only in the last: those whose window the watermark has passed are late.
+TURNS = ["ts < '2024-01-08' and event_id % 7 > 0", "ts >= '2024-01-08' and ts < '2024-01-16' and event_id % 7 > 0", "ts >= '2024-01-16' and ts < '2024-01-24'", "ts >= '2024-01-24' or ts < '2024-01-16' and event_id % 7 = 0"]
+LATE = """t AS (SELECT *, CASE WHEN ts < TIMESTAMP '2024-01-08' AND event_id % 7 > 0 THEN 0 WHEN ts >= TIMESTAMP '2024-01-08' AND ts < TIMESTAMP '2024-01-16' AND event_id % 7 > 0 THEN 1 WHEN ts >= TIMESTAMP '2024-01-16' AND ts < TIMESTAMP '2024-01-24' THEN 2 ELSE 3 END AS turn FROM events),
+k AS (SELECT turn, max(max(ts)) OVER (ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 3 DAY AS mark FROM t GROUP BY turn), e AS (SELECT t.*, k.mark, (SELECT max(ts) - INTERVAL 3 DAY FROM t) AS last FROM t JOIN k USING (turn))"""
+
+
+@query(f"""WITH {LATE}, w AS (SELECT event_type, date_trunc('hour', ts) - (i * 3600) * INTERVAL 1 SECOND AS start, mark, last FROM e, (SELECT unnest([0, 1]) AS i))
+SELECT epoch_us(start) AS start, event_type, count(*) AS n FROM w WHERE (mark IS NULL OR start + INTERVAL 2 HOUR > mark) AND start + INTERVAL 2 HOUR <= last GROUP BY ALL""")
+def j19_late_rows_stream(spark, sf):
+    """Sliding windows of a stream, each given once when the watermark passes its end; rows for windows that are given are dropped."""
+    rows = events(spark, sf).select("event_id", "event_type", "ts")
+    w = kept_from(rows, TURNS, lambda s: J.tumbling(s.withWatermark("ts", "3 days"), "ts", "2 hours", "event_type", slide="1 hour"))
+    return w.select(F.unix_micros("start").alias("start"), "event_type", "n")
+
+
+@query("""WITH g AS (SELECT *, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 2 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS sid FROM g), x AS (SELECT user_id, min(ts) AS started, max(ts) + INTERVAL 2 HOUR AS ended, count(*) AS n FROM s GROUP BY user_id, sid)
+SELECT user_id, epoch_us(started) AS started, epoch_us(ended) AS ended, n FROM x WHERE ended <= (SELECT max(ts) - INTERVAL 3 DAY FROM events)""")
+def j5_sessions_stream(spark, sf):
+    """Sessions of a stream that comes in order; each is given once the watermark has passed its end."""
+    out = gathered(spark, sf, lambda s: J.sessions(s.withWatermark("ts", "3 days"), "user_id", "ts"))
+    return out.select("user_id", F.unix_micros("started").alias("started"), F.unix_micros("ended").alias("ended"), "n")
+
+
+@query("""WITH g AS (SELECT *, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS sid FROM g), x AS (SELECT user_id, min(ts) AS began, max(ts) AS upto, arg_max(event_type, ts) AS kind, count(*) AS n FROM s GROUP BY user_id, sid)
+SELECT user_id, epoch_us(began) AS at, kind, n FROM x WHERE upto + INTERVAL 30 MINUTE <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)""")
+def j10_debounce_stream(spark, sf):
+    out = gathered(spark, sf, lambda s: J.debounced(s.withWatermark("ts", "1 day"), "user_id", "ts", "event_type", "30 minutes"))
+    return out.select("user_id", F.unix_micros("at").alias("at"), "kind", "n")
