@@ -25,7 +25,7 @@ def both_ways(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame
 
 def expand(edges: DataFrame, seeds: DataFrame, hops: int, directed: bool = False) -> DataFrame:
     """(node, hop) of all nodes within hops of the seeds, seeds at hop 0; edges: src, dst."""
-    links = edges.select("src", "dst").distinct() if directed else both_ways(edges)
+    links = written(edges.select("src", "dst").distinct() if directed else both_ways(edges), "links")
     seen = written(seeds.select("node").distinct().withColumn("hop", F.lit(0)), "expand")
     for hop in range(1, hops + 1):
         new = seen.where(F.col("hop") == hop - 1).join(links, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
@@ -38,6 +38,7 @@ def expand(edges: DataFrame, seeds: DataFrame, hops: int, directed: bool = False
 
 def blast_radius(edges: DataFrame, start: DataFrame, depth: int = 3) -> DataFrame:
     """One row: files that depend on the start, levels tried, edges touched (each time they are)."""
+    edges = written(edges.select("src", "dst"), "links")
     seen = written(start.select("node").distinct(), "blast")
     frontier, files, touched, levels = seen, 0, 0, 0
     for _ in range(depth):
@@ -66,7 +67,7 @@ def activate(edges: DataFrame, seeds: DataFrame, hops: int = 2, decay: float = 0
     seeds: node, activation. An edge passes on activation * weight * decay; what falls under least
     is dropped. The hop is that of the strongest walk, the shortest of equal ones.
     """
-    weighted = edges.groupBy("src", "dst").agg(F.max(weight_of(F.col("type"))).alias("w"))
+    weighted = written(edges.groupBy("src", "dst").agg(F.max(weight_of(F.col("type"))).alias("w")), "links")
     best = written(seeds.groupBy("node").agg(F.max("activation").alias("activation")).withColumn("hop", F.lit(0)), "active")
     frontier = best
     for hop in range(1, hops + 1):

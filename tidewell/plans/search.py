@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions import scoring, text, vectors
 from tidewell.operators import graph as G
+from tidewell.operators import indexes as X
 from tidewell.operators import search as S
 from tidewell.plans.registry import query
-from tidewell.session import table
+from tidewell.session import shared_dir, table, written
 
 COS = "list_cosine_similarity(e.embedding::DOUBLE[], {q}::DOUBLE[])"
 SEED = "(SELECT embedding FROM embeddings WHERE vec_id = {i})"
@@ -99,9 +102,15 @@ WORDS_SQL = "list_filter(regexp_split_to_array(lower(text), '[^A-Za-z0-9_]+'), l
 @query(f"""WITH t AS (SELECT doc_id AS id, unnest({WORDS_SQL}) AS term FROM documents), f AS (SELECT id, term, count(*) AS tf FROM t GROUP BY ALL)
 SELECT id, sum(tf * CASE term WHEN 'the' THEN 0.5 WHEN 'and' THEN 1.5 ELSE 2.0 END)::DOUBLE AS score FROM f WHERE term IN ('the', 'and', 'with') GROUP BY id ORDER BY score DESC, id LIMIT 10""")
 def c9_sparse_search(spark, sf):
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
-    counts = S.term_counts(docs, F.filter(F.split(F.lower("text"), "[^A-Za-z0-9_]+"), lambda w: w.isin("the", "and", "with")))
-    return S.sparse_search(counts.withColumnRenamed("tf", "weight"), {"the": 0.5, "and": 1.5, "with": 2.0})
+    """Inner products over stored postings, in blocks of 64 documents."""
+    rows = postings_of(spark, sf)
+    return X.search_postings(rows, {"the": 0.5, "and": 1.5, "with": 2.0}, lambda weight, length: weight.cast("double"), 10)
+
+
+def postings_of(spark, sf, block: int = 64) -> DataFrame:
+    at = f"{shared_dir(spark)}/postings-{uuid.uuid4().hex}"
+    X.write_postings(table(spark, sf, "documents"), at, "doc_id", "text", block=block)
+    return spark.read.parquet(f"{at}/postings")
 
 
 @query(f"""WITH d AS (SELECT doc_id AS id, {WORDS_SQL} AS w FROM documents), s AS (SELECT id, len(w) AS n, unnest(['from', 'this', 'with']) AS t, w FROM d),
@@ -109,7 +118,20 @@ f AS (SELECT id, n, t, len(list_filter(w, lambda x: x = t)) AS tf FROM s), a AS
 i AS (SELECT t, ln(1 + ((SELECT docs FROM a) - count(*) FILTER (tf > 0) + 0.5) / (count(*) FILTER (tf > 0) + 0.5)) AS idf FROM f GROUP BY t)
 SELECT id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))), 6) AS score FROM f JOIN i USING (t), a GROUP BY id HAVING sum(tf) > 0 ORDER BY sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))) DESC, id LIMIT 10""")
 def c10_bm25(spark, sf):
-    return rounded(S.bm25(table(spark, sf, "documents"), F.col("text"), ["from", "with", "this"], 10, "doc_id"))
+    """Postings of all texts, stored, and a search of them."""
+    at = f"{shared_dir(spark)}/postings-{uuid.uuid4().hex}"
+    X.write_postings(table(spark, sf, "documents"), at, "doc_id", "text")
+    return rounded(X.bm25_search(spark, at, ["from", "with", "this"], 10))
+
+
+@query(f"""WITH a AS (SELECT doc_id AS id, {WORDS_SQL} AS w, len(w) AS n FROM documents), q AS (SELECT unnest(['the', 'und', 'para', 'nowhere9']) AS t), m AS (SELECT count(*) AS docs, avg(n) AS mean FROM a),
+f AS (SELECT id, n, t, len(list_filter(w, lambda x: x = t)) AS tf FROM a, q), i AS (SELECT t, ln(1 + ((SELECT docs FROM m) - count(*) FILTER (tf > 0) + 0.5) / (count(*) FILTER (tf > 0) + 0.5)) AS idf FROM f GROUP BY t HAVING count(*) FILTER (tf > 0) > 0)
+SELECT id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))), 6) AS score FROM f JOIN i USING (t), m GROUP BY id HAVING sum(tf) > 0 ORDER BY sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))) DESC, id LIMIT 5""")
+def c10_bm25_blocks(spark, sf):
+    """The same over small blocks, most of which the bounds pass over; a word that no text has adds nothing."""
+    at = f"{shared_dir(spark)}/postings-{uuid.uuid4().hex}"
+    X.write_postings(table(spark, sf, "documents"), at, "doc_id", "text", block=2)
+    return rounded(X.bm25_search(spark, at, ["the", "und", "para", "nowhere9"], 5))
 
 
 @query(f"""WITH a AS (SELECT vec_id AS id, row_number() OVER (ORDER BY {COS.format(q=SEED.format(i=0))} DESC, vec_id) AS r FROM embeddings e QUALIFY r <= 20),
@@ -206,3 +228,21 @@ def f8_to_f16_scores(spark, sf):
 def a14_quantized(spark, sf):
     q = S.quantized(points(spark, sf))
     return q.select("id", F.size("bytes").alias("dims"), F.aggregate("bytes", F.lit(0), lambda s, x: s + x).alias("total"), F.round("scale", 9).alias("scale"))
+
+
+@query(f"""SELECT vec_id AS id, round({COS.format(q=SEED.format(i=3))}, 6) AS score FROM embeddings e ORDER BY {COS.format(q=SEED.format(i=3))} DESC, vec_id LIMIT 10""")
+def a14_quantised_search(spark, sf):
+    """The ten nearest of all vectors, by bytes first."""
+    p = points(spark, sf)
+    return rounded(X.quantised_search(X.quantise(p), p, vector_of(spark, sf, 3), 10))
+
+
+@query("""SELECT vec_id AS query_id, true AS found_twin, true AS enough FROM embeddings""")
+def c2_cell_search(spark, sf):
+    """All points as queries of the cells: each finds its twin, which stands a million higher, first; and all together find nine of ten of their exact neighbours or more."""
+    p = points(spark, sf)
+    twins = written(p.unionByName(p.withColumn("id", F.col("id") + 10**6)), "twins")
+    near = written(X.cell_search(twins, p, 11), "cell-near")
+    enough = F.lit(X.recall_of(near, S.batch_search(twins, p, 11)) >= 0.9)
+    own = near.where((F.col("rank") == 1) & (F.col("id") == F.col("query_id") + 10**6))
+    return p.select(F.col("id").alias("query_id")).join(own.select("query_id", F.lit(True).alias("found_twin")), "query_id", "left").withColumn("enough", enough)
