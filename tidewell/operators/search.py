@@ -183,7 +183,7 @@ def bm25(docs: DataFrame, text: Column, query: list[str], k: int = 10, id_: str
 
     One pass over the texts stores each one's length and the query words' counts, and sums them up.
     """
-    query, low = sorted({q.lower() for q in query}), F.lower(text)
+    query, low = sorted({q.lower() for q in query}), F.lower(F.coalesce(text, F.lit("")))
     counts = [F.regexp_count(low, F.lit(rf"(?<![a-z0-9_A-Z]){re.escape(t)}(?![a-z0-9_A-Z])")).alias(f"tf{i}") for i, t in enumerate(query)]
     rows = docs.select(F.col(id_).alias("id"), F.regexp_count(low, F.lit(f"[A-Za-z0-9_]{{{least},}}")).alias("n"), *counts)
     rows, seen = stored(rows, "bm25", mean=F.avg("n"), **{f"df{i}": F.count_if(F.col(f"tf{i}") > 0) for i in range(len(query))})
