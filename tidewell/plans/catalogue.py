@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewell.plans import analytics, code, extras, further, graphs, memory, more, ranges, search, sinks, streams, texts  # noqa: F401  (each registers its queries)
+from tidewell.plans import aggregates, analytics, code, extras, further, graphs, memory, more, ranges, search, sinks, streams, texts  # noqa: F401  (each registers its queries)
 from tidewell.plans.registry import ORACLE, QUERIES
 
 
