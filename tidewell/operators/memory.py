@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import scoring
 from tidewell.functions.models import merged_text
-from tidewell.operators.search import rerank
+from tidewell.operators.search import batch_search, rerank
 
 
 def upsert(table: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:
@@ -150,6 +150,18 @@ def relation(score: Column, same_type: Column, text: Column) -> Column:
     return F.when((score > 0.85) & same_type, "supersedes").when((score > 0.8) & negated & same_type, "contradicts").when(score > 0.75, "relates_to")
 
 
+def relations(new: DataFrame, known: DataFrame, k: int = 5, least: float = 0.75) -> DataFrame:
+    """(id, target_id, score, relation) of new memories to the k nearest known ones of at least that cosine; both: id, vector, type, new also content.
+
+    All new memories are searched together. A known memory of the same id is itself, and left out.
+    """
+    near = batch_search(known, new, k, least)
+    mine = new.select(F.col("id").alias("query_id"), F.col("type").alias("__new"), "content")
+    theirs = known.select("id", F.col("type").alias("__known"))
+    rows = near.join(mine, "query_id").join(theirs, "id").withColumn("relation", relation(F.col("score"), F.col("__new") == F.col("__known"), F.col("content")))
+    return rows.where("relation is not null").select(F.col("query_id").alias("id"), F.col("id").alias("target_id"), "score", "relation")
+
+
 def versions_of(log: DataFrame) -> DataFrame:
     """The latest version of each memory; deleted ones have none. log: memory_id, seq, op, content."""
     last = log.groupBy("memory_id").agg(F.max_by(F.struct("op", "content"), "seq").alias("v"), F.count("*").alias("n_versions"), F.max("seq").alias("seq"))

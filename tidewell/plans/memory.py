@@ -167,9 +167,20 @@ def n7_merge_clusters(spark, sf):
     return out.select("cluster", F.array_join("merged_from", ",").alias("merged_from"), scoring.days_before(now(), F.col("created_at")).cast("long").alias("days"), F.coalesce("validated", F.lit(False)).alias("validated"), "confidence", "pin", "source", "trigger", F.size("tags").cast("long").alias("n_tags"))
 
 
-@query(f"""WITH {MEM} SELECT id, CASE WHEN confidence > 0.85 AND type = 'note' THEN 'supersedes' WHEN confidence > 0.8 AND type = 'note' AND regexp_matches(lower(content), 'not |instead|wrong') THEN 'contradicts' WHEN confidence > 0.75 THEN 'relates_to' END AS relation FROM m WHERE confidence > 0.7""")
+@query("""WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e, lead(embedding::DOUBLE[], 1, embedding::DOUBLE[]) OVER (ORDER BY vec_id) AS w FROM embeddings),
+q AS (SELECT id + 1000000 AS id, list_transform(range(1, len(e) + 1), lambda i: e[i] + (id % 10) * 0.11 * w[i]) AS e, id % 3 AS type, id % 2 = 0 AS negated FROM v),
+p AS (SELECT q.id, v.id AS target_id, list_cosine_similarity(q.e, v.e) AS score, type = v.id % 2 AS same, negated FROM q, v QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY list_cosine_similarity(q.e, v.e) DESC, v.id) <= 5)
+SELECT id, target_id, round(score, 6) AS score, CASE WHEN score > 0.85 AND same THEN 'supersedes' WHEN score > 0.8 AND negated AND same THEN 'contradicts' ELSE 'relates_to' END AS relation FROM p WHERE score > 0.75""")
 def n10_relations(spark, sf):
-    return memories(spark, sf).where("confidence > 0.7").select("id", M.relation(F.col("confidence"), F.col("type") == "note", F.col("content")).alias("relation"))
+    """A new memory beside each vector, moved towards the next one by steps, and how it relates to the five nearest."""
+    from pyspark.sql import Window
+
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
+    after = F.lead("vector").over(Window.orderBy("id"))  # the query's own making of its data
+    moved = F.zip_with("vector", F.coalesce(after, "vector"), lambda x, y: x + (F.col("id") % 10) * 0.11 * y)
+    new = e.select((F.col("id") + 1_000_000).alias("id"), moved.alias("vector"), (F.col("id") % 3).alias("type"), F.when(F.col("id") % 2 == 0, "use this instead").otherwise("use this").alias("content"))
+    found = M.relations(new, e.withColumn("type", F.col("id") % 2))
+    return found.withColumn("score", F.round("score", 6))
 
 
 @query("""WITH l AS (SELECT user_id AS memory_id, event_id AS seq, CASE event_type WHEN 'error' THEN 'deleted' WHEN 'signup' THEN 'created' ELSE 'modified' END AS op, sha256(props) AS content FROM events)

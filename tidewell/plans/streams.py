@@ -224,3 +224,14 @@ SELECT user_id, epoch_us(began) AS at, kind, n FROM x WHERE upto + INTERVAL 30 M
 def j10_debounce_stream(spark, sf):
     out = gathered(spark, sf, lambda s: J.debounced(s.withWatermark("ts", "1 day"), "user_id", "ts", "event_type", "30 minutes"))
     return out.select("user_id", F.unix_micros("at").alias("at"), "kind", "n")
+
+
+@query("""WITH RECURSIVE r AS (SELECT user_id AS key, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+b AS (SELECT key, event_id, ts, i, 1 AS flush, 1 AS n, ts AS first FROM r WHERE i = 1 UNION ALL
+SELECT r.key, r.event_id, r.ts, r.i, CASE WHEN b.n = 4 OR r.ts >= b.first + INTERVAL 3 DAY THEN b.flush + 1 ELSE b.flush END, CASE WHEN b.n = 4 OR r.ts >= b.first + INTERVAL 3 DAY THEN 1 ELSE b.n + 1 END, CASE WHEN b.n = 4 OR r.ts >= b.first + INTERVAL 3 DAY THEN r.ts ELSE b.first END FROM b JOIN r ON r.key = b.key AND r.i = b.i + 1)
+SELECT key, flush::BIGINT AS flush, event_id FROM b WINDOW w AS (PARTITION BY key, flush) QUALIFY max(n) OVER w = 4 OR max(first) OVER w + INTERVAL 3 DAY < (SELECT max(ts) - INTERVAL 1 HOUR FROM events) OR max(flush) OVER (PARTITION BY key) > flush""")
+def j13_flushed_stream(spark, sf):
+    """Buffers of users' events, flushed with the fourth or after three days."""
+    with timers.rocksdb_state(spark):
+        out = gathered(spark, sf, lambda s: timers.flushed(s.select(F.col("user_id").alias("key"), "event_id", "ts"), 4, 3 * 86_400, "1 hour"))
+    return out.select("key", "flush", "event_id")

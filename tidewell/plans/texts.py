@@ -393,3 +393,17 @@ def p5_valid_relations(spark, sf):
     answer = F.to_json(F.array(one(known, kind, (k % 10) / 10), one(F.lit("unknown"), F.lit("extends"), F.lit(0.9)), one(known, F.lit("refines"), F.lit(0.2))))
     rows = table(spark, sf, "orders").select(k.alias("id"), F.explode(models.valid_relations(answer, F.array(known))).alias("r"))
     return rows.select("id", F.col("r.targetId").alias("target"), F.col("r.type").alias("type"))
+
+
+@query("""SELECT c_custkey::VARCHAR AS id, 'where is ' || c_name AS query, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE array_to_string(list_transform(range(0, c_custkey % 4), lambda i: 'src/f' || i || '.ts'), ',') END AS expected, c_mktsegment AS category, CASE WHEN c_custkey % 2 = 0 THEN 5 ELSE 10 END AS k FROM customer""")
+def a20_golden_queries(spark, sf):
+    """A file of questions, written as JSON and read again; answers and k may lack."""
+    import uuid
+
+    i = F.col("c_custkey")
+    expected = F.when(i % 3 > 0, F.when(i % 4 > 0, F.transform(F.sequence(F.lit(0), (i % 4 - 1).cast("int")), lambda j: F.concat(F.lit("src/f"), j, F.lit(".ts")))).otherwise(F.array().cast("array<string>")))
+    rows = table(spark, sf, "customer").select(i.cast("string").alias("id"), F.concat(F.lit("where is "), "c_name").alias("query"), expected.alias("expectedFiles"), F.col("c_mktsegment").alias("category"), F.when(i % 2 == 0, 5).alias("k"))
+    at = f"{shared_dir(spark)}/golden-{uuid.uuid4().hex}"
+    rows.write.json(at)
+    read = S.golden_queries(spark, at, lines=True)
+    return read.select("id", "query", F.array_join("expected", ",").alias("expected"), "category", "k")

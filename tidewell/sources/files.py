@@ -167,9 +167,9 @@ def qrels(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("query_id string, corpus_id string, score double").json(path)
 
 
-def golden_queries(spark: SparkSession, path: str) -> DataFrame:
-    """(id, query, expected, category, k) of a file of questions with the files that answer them; k is 10 where it is not given."""
-    rows = spark.read.option("multiLine", "true").schema("id string, query string, expectedFiles array<string>, category string, k int").json(path)
+def golden_queries(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(id, query, expected, category, k) of a file of questions with the files that answer them, one JSON array or a line each; k is 10 where it is not given."""
+    rows = spark.read.option("multiLine", str(not lines).lower()).schema("id string, query string, expectedFiles array<string>, category string, k int").json(path)
     return rows.select("id", "query", F.coalesce("expectedFiles", F.array().cast("array<string>")).alias("expected"), "category", F.coalesce("k", F.lit(10)).alias("k"))
 
 

@@ -1,4 +1,4 @@
-"""Streams with timers of event time (J11, J16): state that ends by itself when its key stays silent.
+"""Streams with timers of event time (J11, J13, J16): state that ends by itself when its key stays silent.
 
 Both operators go by the events' own times alone: a gap is seen when the next event of the key comes, or when the watermark
 passes its end, whichever is first, so results don't depend on how events fall into batches. They need the RocksDB state store
@@ -79,6 +79,55 @@ def stale_heartbeats(beats: DataFrame, quiet_seconds: int = 120, late: str = "10
     return beats.withWatermark("ts", late).groupBy("key").transformWithStateInPandas(_Silence(quiet_seconds * 1_000_000), schema, "Append", "EventTime")
 
 
+class _Buffer(StatefulProcessor):
+    """Rows of a key that are not flushed yet, and a timer at the end of the first one's stay."""
+
+    def __init__(self, most: int, stay: int):
+        self.most, self.stay = most, stay
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        row = StructType([StructField("at", LongType()), StructField("event_id", LongType())])
+        self.held, self.flushes = handle.getListState("held", row), handle.getValueState("flushes", _TIME)
+
+    def _flush(self, key, rows: list[tuple[int, int]]) -> pd.DataFrame:
+        n = self.flushes.get()[0] + 1 if self.flushes.exists() else 1
+        self.flushes.update((n,))
+        return pd.DataFrame({"key": [key[0]] * len(rows), "flush": [n] * len(rows), "event_id": [i for _, i in rows], "ts": pd.to_datetime([at for at, _ in rows], unit="us")})
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = [tuple(r) for r in self.held.get()] if self.held.exists() else []
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
+        for new in sorted((at, i) for frame in rows for at, i in zip(_micros(frame["ts"]), frame["event_id"].tolist(), strict=True)):
+            if held and new[0] - held[0][0] >= self.stay:
+                yield self._flush(key, held)
+                held = []
+            held.append(new)
+            if len(held) >= self.most:
+                yield self._flush(key, held)
+                held = []
+        if held:
+            self.held.put(held)
+            self.handle.registerTimer((held[0][0] + self.stay) // 1000 + 1)
+        else:
+            self.held.clear()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = [tuple(r) for r in self.held.get()] if self.held.exists() else []
+        self.held.clear()
+        yield self._flush(key, held)
+
+    def close(self) -> None:
+        pass
+
+
+def flushed(events: DataFrame, most: int = 50, stay_seconds: int = 30, late: str = "10 seconds") -> DataFrame:
+    """Events (key, event_id, ts), a stream: each with the number of its key's flush. A buffer is flushed with its ``most``-th row, or when its first row has stayed so long, by the events' times."""
+    schema = "key long, flush long, event_id long, ts timestamp"
+    return events.withWatermark("ts", late).groupBy("key").transformWithStateInPandas(_Buffer(most, stay_seconds * 1_000_000), schema, "Append", "EventTime")
+
+
 class _Counters(StatefulProcessor):
     """Counts of a key's partners, which all end together when the key is silent for their life."""
 
