@@ -19,7 +19,7 @@ class BoundedSink:
 
     Each batch is a folder named by its number, so a batch that comes again writes the same folder anew and changes nothing; a batch costs what it holds, not
     what the sink holds. compact() stores what is in force after the newest batch, and the folders before are passed over from then on,
-    batches of old numbers that come again too. Rows: key, value, score, at, seq (breaks ties of at).
+    batches of old numbers that come again too; what is not in force then is gone until it comes again. Rows: key, value, score, at, seq (breaks ties of at).
     """
 
     def __init__(self, spark: SparkSession, path: str, kind: str = "list", most: int = 1000, life: int | None = None):
