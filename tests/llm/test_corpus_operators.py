@@ -408,7 +408,7 @@ def test_distances_match_brute_force(spark, docs):
     every = docs.select("doc_id", "text", "lang").unionByName(more)
     got = {r.doc_id: r for r in rules.quality_rules(every).collect()}
     rows = [(r.doc_id, r.text or "", r.lang) for r in every.collect()]
-    folded = lambda text: [x for x in (regex.sub(r"^[^\p{L}]+|[^\p{L}]+$", "", w) for w in WORD.findall(text.lower())) if x]
+    folded = lambda text: regex.findall(r"\p{L}+", text.lower())
     holds = defaultdict(Counter)
     for _, text, lang in rows:
         holds[lang].update(set(folded(text)))
@@ -417,7 +417,7 @@ def test_distances_match_brute_force(spark, docs):
 
     def bins(text, lang):
         n = [sum("A" <= c <= "Z" for c in text), sum("0" <= c <= "9" for c in text), sum(c in punct for c in text), sum(c in " \t\n\x0b\x0c\r" for c in text), sum(ord(c) > 127 for c in text)]
-        w, words = Counter(folded(text)), len(WORD.findall(text))
+        w, words = Counter(folded(text)), max(len(folded(text)), len(WORD.findall(text)))
         own = [w[x] for x in common[lang]] + [0] * (rules.COMMON - len(common[lang]))
         return [len(text) - sum(n), *n], [words - sum(own), *own]
 
@@ -425,7 +425,7 @@ def test_distances_match_brute_force(spark, docs):
     for doc, text, lang in rows:
         if lang in common and not got[doc].base_failed and len(text) >= rules.LEAST_CHARS:
             c, w = bins(text, lang)
-            n_words[lang] += sum(w)
+            n_words[lang] += got[doc].n_words
             sums[lang] += np.array([x * 10**6 // len(text) for x in c] + [x * 10**6 // sum(w) for x in w])
     k = len(rules.CLASSES)
     refs = {lang: (v[:k] / v[:k].sum(), v[k:] / v[k:].sum()) for lang, v in sums.items() if n_words[lang] >= rules.REFERENCE_WORDS}

@@ -2,8 +2,8 @@
 
 Three histograms of each document, of character classes, of its language's common words and of those
 words together, are compared by Jensen-Shannon distance with the mean shares of all sound documents of that
-language. Its ``COMMON`` common words are those that most of its documents hold, without
-case and outer punctuation. How far words may be is taken from the corpus too: short texts scatter more, so sound documents of about
+language. Its ``COMMON`` common words are those that most of its documents hold; words are runs of letters
+here, without case. How far words may be is taken from the corpus too: short texts scatter more, so sound documents of about
 one length (a power of two of words) give limits (the upper quartile plus a fence of spans of the
 quartiles). A short text's single words scatter as far as distances go, the common words together don't; so these
 have a distance of their own, which counts where they are fewer than in the language. A text with none of
@@ -28,8 +28,8 @@ from tidewell.session import stored, written
 SPACE = r"[\x20\x09-\x0D]+"
 #: Common words of a language: those that most of its documents hold.
 COMMON = 20
-#: Characters of a word's outside that are no letters, each run matched from its first character alone.
-OUTSIDE = r"(?<![^\p{L}\x20\x09-\x0D])[^\p{L}\x20\x09-\x0D]++(?![^\x20\x09-\x0D])|(?<![^\x20\x09-\x0D])[^\p{L}\x20\x09-\x0D]++"
+#: What lies between words as histograms see them: runs of letters.
+BETWEEN = r"[^\p{L}]+"
 CLASSES = ("lower", "upper", "digit", "punct", "space", "other")
 #: Words and characters under which a histogram is not compared.
 LEAST_WORDS, LEAST_CHARS = 50, 200
@@ -58,8 +58,8 @@ def text_of(docs: DataFrame) -> Column:
 
 
 def folded_words(text: Column) -> Column:
-    """The words of a text in lower case, without the non-letters around them; words without a letter are gone."""
-    return F.array_remove(F.split(F.regexp_replace(F.lower(text), OUTSIDE, ""), SPACE, -1), "")
+    """The runs of letters of a text, in lower case."""
+    return F.array_remove(F.split(F.lower(text), BETWEEN, -1), "")
 
 
 def common_words(docs: DataFrame) -> DataFrame:
@@ -75,7 +75,7 @@ def counts(docs: DataFrame, *keep: str, more: bool = False) -> DataFrame:
     """Counts of every text: doc_id, keep, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_chars, classes (an array by CLASSES).
 
     With more: n_distinct (words), n_again (words equal to the one before) and n_short (words of up to three characters).
-    With a column ``hashes`` among keep: common, how often the word of each of these hashes is among the text's folded words, in its place.
+    With a column ``hashes`` among keep: n_folded, the number of the text's words or folded words, whichever is greater, and common, how often the word of each of these hashes is among them, in its place.
     """
     base = docs.select(F.col("doc_id").cast("long"), *keep, text_of(docs).alias("t"))
     cut = base.select("doc_id", *keep, "t", F.array_remove(F.split("t", SPACE, -1), "").alias("w"), F.split("t", "\n", -1).alias("lines"))
@@ -115,7 +115,7 @@ def counts(docs: DataFrame, *keep: str, more: bool = False) -> DataFrame:
     found = [whole(F.col(c), c) for c in ("n_distinct", "n_again", "n_short") if more]
     if "hashes" in keep:  # written out, as removing from an array of numbers is compiled
         each = [F.when(F.size("hashes") > i, F.size("hf") - F.size(F.array_remove("hf", F.get("hashes", F.lit(i))))) for i in range(COMMON)]
-        found.append(F.when(F.col("hashes").isNotNull(), F.array_compact(F.array(*each)).cast("array<long>")).alias("common"))
+        found += [F.greatest(F.size("hf"), F.col("n")).cast("long").alias("n_folded"), F.when(F.col("hashes").isNotNull(), F.array_compact(F.array(*each)).cast("array<long>")).alias("common")]
     return step.select(
         "doc_id", *[k for k in keep if k != "hashes"], whole(F.col("n"), "n_words"), whole(F.col("word_chars"), "word_chars"), whole(F.col("n_symbols"), "n_symbols"),
         whole(F.size("full") - F.size(F.array_distinct("full")), "n_dup_lines"), whole(F.coalesce(covered, F.lit(0)), "n_repeat_words"), whole(F.col("n_chars"), "n_chars"),
@@ -134,14 +134,14 @@ def together() -> Column:
 
 def word_histogram() -> Column:
     """Counts of all other words, and of the language's common ones; a language has COMMON at most."""
-    return F.concat(F.array(F.col("n_words") - together()), "common")
+    return F.concat(F.array(F.col("n_folded") - together()), "common")
 
 
 def references(counted: DataFrame) -> DataFrame:
     """lang, by_class and by_word: mean shares over the sound documents of each language with common words, each document counting once."""
     sound = counted.where(F.col("common").isNotNull() & ~base_failed() & (F.col("n_chars") >= LEAST_CHARS))
     parts = lambda of, all_: F.expr(f"transform({of}, x -> x * {SHARES} div {all_})")
-    sound = sound.withColumn("by", word_histogram()).select("lang", "n_words", parts("classes", "n_chars").alias("classes"), parts("by", "n_words").alias("by"))
+    sound = sound.withColumn("by", word_histogram()).select("lang", "n_words", parts("classes", "n_chars").alias("classes"), parts("by", "greatest(n_folded, 1)").alias("by"))
     bins = [f"sum(get(classes, {i}))" for i in range(len(CLASSES))], [f"sum(get(by, {i}))" for i in range(COMMON + 1)]
     sums = sound.groupBy("lang").agg(F.sum("n_words").alias("n"), *[F.expr(f"array_compact(array({', '.join(b)}))").alias(k) for k, b in zip("cw", bins, strict=True)])
     share = lambda of: F.expr(f"transform({of}, x -> x / greatest(1, aggregate({of}, 0L, (a, y) -> a + y)))")
@@ -194,14 +194,14 @@ def quality_rules(docs: DataFrame, most_classes: float = MOST_CLASSES, most_word
     counted = written(counts(docs.join(side(words.drop("words"), n["rows"]), "lang", "left"), "lang", "hashes"), "quality-counts")
     refs, n = stored(references(counted), "quality-references")
     enough = (F.col("n_words") >= LEAST_WORDS) & (F.col("n_chars") >= LEAST_CHARS) & F.col("by_class").isNotNull()
-    chars, n_words = F.greatest("n_chars", F.lit(1)), F.greatest("n_words", F.lit(1))
+    chars, words = F.greatest("n_chars", F.lit(1)), F.greatest("n_folded", F.lit(1))
     usual = 1 - F.get("by_word", F.lit(0))
     judged = counted.join(side(refs, n["rows"]), "lang", "left").withColumn("base_failed", base_failed())
-    shares = distance(F.array(F.col("n_words") - together(), together()), n_words, F.array(1 - usual, usual))
+    shares = distance(F.array(F.col("n_folded") - together(), together()), words, F.array(1 - usual, usual))
     judged = judged.withColumns({
         "class_distance": F.when(enough, distance(F.col("classes"), chars, F.col("by_class"))),
-        "word_distance": F.when(enough, distance(word_histogram(), n_words, F.col("by_word"))),
-        "share_distance": F.when(enough, F.when(together() < usual * n_words, shares).otherwise(0.0)),
+        "word_distance": F.when(enough, distance(word_histogram(), words, F.col("by_word"))),
+        "share_distance": F.when(enough, F.when(together() < usual * words, shares).otherwise(0.0)),
         "bare": F.coalesce(enough & (together() == 0), F.lit(False)),
     })
     figures = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "share_distance"]
