@@ -22,7 +22,7 @@ goes on branching with the rest.
 Defined results: a text without words has an empty set, is linked with nothing and is its own
 component, even beside other rows of its id; null text is the empty text. Rows that share an id
 are one document to components, whatever their texts. A row without an id has no component (null) and is kept; it links nothing.
-An empty table gives no rows.
+Very long texts are compared by all their shingles. An empty table gives no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

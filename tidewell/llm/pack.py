@@ -12,7 +12,8 @@ waste so far shows that the incumbent cannot be beaten. Best-fit-decreasing give
 incumbent; the search ends at the lower bound or after ``NODES`` steps with the best found.
 
 Defined results: a null or empty text is one piece that holds only the closing id. Rows that
-repeat or share an id are packed each. An empty table gives no rows.
+repeat or share an id are packed each. Very long texts are tokenised whole, and only then cut. An empty table gives no rows.
+Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -7,7 +7,9 @@ score is the logistic of the sum of its table values, looked up for a whole batc
 
 Defined results: null text is the empty text and gets a score like any other. Without labels of
 both values in the training part every score is the share of label 1 (0.5 with no labels). Where a
-document has several labels each counts. The training sample is at most ``SAMPLE`` rows.
+document has several labels each counts. The training sample is at most ``SAMPLE`` rows. Equal features give equal scores;
+equally good cuts are taken in one fixed order. Very long texts are counted whole; an empty table gives no rows; rows that repeat are
+scored each; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

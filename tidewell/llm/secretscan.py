@@ -8,7 +8,8 @@ without mandatory trigrams scan every text. All of it is DataFrame functions.
 Defined results: null text is the empty text, without spans. Rows that share an id share their
 candidates, and each is verified by itself; rows without an id are candidates of every rule.
 Offsets are code points, end exclusive. Matches of a kind are leftmost and do not overlap;
-matches of different kinds may. Other columns are ignored.
+matches of different kinds may. Very long texts are searched whole; an empty
+table gives no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

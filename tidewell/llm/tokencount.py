@@ -6,7 +6,8 @@ distinct digest that misses is encoded once, and its count is appended to the ca
 
 Defined results: null text counts as the empty text (0 bytes, 0 tokens). Equal texts share one
 cache row. Rows that repeat, or share an id, each keep their row. A cache folder that does not
-exist yet is an empty cache. Other columns are ignored.
+exist yet is an empty cache. Very long texts are encoded whole; an empty table gives no rows and adds
+nothing. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
