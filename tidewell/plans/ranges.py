@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewell.operators import ranges as R
@@ -34,8 +35,6 @@ UNION ALL SELECT file, i * 64 + 45, i * 64 + 48, 'D' || k FROM o WHERE k % 7 < 3
 
 
 def _ranges(spark, sf):
-    from pyspark.sql import Window
-
     o = table(spark, sf, "orders").select(F.concat(F.lit("f"), "o_custkey").alias("file"), F.col("o_orderkey").alias("k"), ((F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1) * 64).alias("at"))
     k, at = F.col("k"), F.col("at")
     block = lambda low, high, name, when=None: F.when(F.lit(True) if when is None else when, F.struct(low.cast("long").alias("low"), high.cast("long").alias("high"), F.concat(F.lit(name), k).alias("name")))
@@ -99,3 +98,24 @@ def k10_call_edges(spark, sf):
     calls = o.select("file", "k", "at", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("j")).select("file", (F.col("at") + (k * 11 + j * 17) % 62).alias("at"), F.concat(word, F.when(j % 2 == 0, k).otherwise(near)).alias("callee"))
     imports = o.select("file", F.concat(F.lit("B"), near).alias("name"), F.concat(F.lit("f"), k % 40).alias("source_file")).distinct()
     return R.call_edges(declared, calls, imports)
+
+
+@query(f"""WITH {OCCURRENCES_SQL} SELECT file, row_number() OVER (PARTITION BY file ORDER BY seq, symbol) - 1 AS seq, symbol, line, roles, CASE WHEN line % 5 = 0 THEN 'Base' || (line % 9) || '#' END AS target FROM o""")
+def a19_index_files(spark, sf):
+    """Index files in binary, seven of them, written from rows and read again, with each fifth line's relationship."""
+    import uuid
+
+    from tidewell.session import shared_dir
+    from tidewell.sources import index_files as I  # noqa: E741
+
+    place = F.row_number().over(Window.partitionBy("file").orderBy("seq", "symbol")) - 1
+    o = _occurrences(spark, sf).withColumn("seq", place.cast("long"))
+    of = F.array_sort(F.collect_list(F.struct("seq", "symbol", "line", "roles")))  # a supplier's file
+    base = F.concat(F.lit("Base"), F.col("line") % 9, F.lit("#"))
+    related = F.collect_list(F.when(F.col("line") % 5 == 0, F.struct(F.concat("symbol", F.lit("@"), "seq").alias("symbol"), base.alias("target"), (F.col("line") % 3 == 0).alias("implements"), F.lit(True).alias("type_of"))))
+    documents = o.groupBy("file").agg(of.alias("occurrences"), related.alias("relations")).withColumn("index", F.concat(F.lit("part"), F.pmod(F.xxhash64("file"), F.lit(7))))
+    root = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    I.write_index(documents, root)
+    rows = I.read_index(spark, root)
+    relations = rows.where("kind = 'relation'").select("file", F.substring_index("symbol", "@", -1).cast("long").alias("seq"), "target")
+    return rows.where("kind = 'occurrence'").select("file", "seq", "symbol", "line", "roles").join(relations, ["file", "seq"], "left")
