@@ -174,10 +174,13 @@ def odd_texts(n, seed=5):
 
 def test_ids_are_the_librarys(library, docs):
     own = bpe.bpe(vocab.default_path(bpe.FILE))
-    for text in [*odd_texts(5000), "a" * 20_000, "ab" * 5000 + "<|endoftext|>", *(r.text or "" for r in docs.select("text").collect())]:
-        ids = np.frombuffer(own.packed(text), "<u4").tolist()
-        assert ids == library.encode(text, add_special_tokens=False).ids
-        assert own.text(ids) == text
+    texts = [*odd_texts(5000), "a" * 20_000, "ab" * 5000 + "<|endoftext|>", *(r.text or "" for r in docs.select("text").collect())]
+    for at in (1, 300):  # alone, and in batches
+        for k in range(0, len(texts), at):
+            for text, ids in zip(texts[k : k + at], own.packed(texts[k : k + at]), strict=True):
+                ids = np.frombuffer(ids, "<u4").tolist()
+                assert ids == library.encode(text, add_special_tokens=False).ids
+                assert own.text(ids) == text
 
 
 def test_any_ids_decode_as_in_the_library(library):
@@ -203,6 +206,11 @@ def test_merges_follow_rank_and_place():
             rank, i = min(pairs)
             want[i : i + 2] = [made[rank]]
         assert bpe.merged(symbols, ranks, made) == want
+        if symbols and ranks:
+            row = np.array([symbols + [-1] * (64 - len(symbols))], np.int64)
+            keys = sorted(ranks)
+            got = bpe.merged_many(np.repeat(row, 3, axis=0), np.full(3, len(symbols)), np.array(keys, np.int64), np.array([ranks[k] for k in keys], np.int64), np.array(made, np.int64))
+            assert all(r[r >= 0].tolist() == want for r in got)
 
 
 def test_odd_rows_are_coded_and_read_back(spark, odd, none):

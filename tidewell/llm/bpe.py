@@ -3,7 +3,8 @@
 A text is split into pre-tokens as its tokenizer file says. A pre-token starts as one symbol a
 byte, and a segment tree holds (rank, place) of every adjacent pair that can be merged, so its root
 is the leftmost pair of lowest rank. That pair is merged, the pairs beside it are put into the
-tree anew, each in logarithmic time, and so on until the root is empty. Pre-tokens' ids are
+tree anew, each in logarithmic time, and so on until the root is empty. Short pre-tokens of a batch of texts have
+their trees side by side in an array, and merge together; a long one has a tree to itself. Pre-tokens' ids are
 memorised. Decoding joins the bytes of the ids and reads them as UTF-8.
 
 Files of another kind (no byte-level splitter, a normaliser, word ends, dropout, …) are refused.
@@ -20,6 +21,7 @@ from __future__ import annotations
 import json
 import re
 import struct
+from collections import ChainMap
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +35,10 @@ from tidewell.llm import vocab
 FILE = "byte_bpe_50k.json"
 #: Rows of a batch that are held as Python lists at a time.
 ROWS = 256
+#: Bytes of the longest pre-token that is merged together with others, and memorised.
+LONG = 64
+#: Pre-tokens that a process memorises before it begins anew, about 200 bytes each.
+MEMO = 400_000
 _PLACE = 32
 _NONE = 1 << 62
 
@@ -83,6 +89,59 @@ def merged(symbols: list[int], ranks: dict[int, int], made: list[int]) -> list[i
     return out
 
 
+def merged_many(symbols: np.ndarray, lengths: np.ndarray, keys: np.ndarray, ranks: np.ndarray, made: np.ndarray) -> np.ndarray:
+    """merged() of many rows of symbols (rows, a power of two) at once; the end of a row is filled up with -1.
+
+    keys: the sorted ``left << 32 | right`` of all pairs, ranks: theirs; made: the symbol that each rank makes. Each row has its own segment tree;
+    all rows make their next merge together, as long as any has one.
+    """
+    m, width = symbols.shape
+    wide = width + 1  # a last column for what is beyond the end
+    symbols = np.concatenate([symbols, np.full((m, 1), -1, np.int64)], axis=1)
+    after, before = (np.tile(np.arange(first, first + wide, dtype=np.int32), m) for first in (1, -1))
+
+    def leaves(left: np.ndarray, right: np.ndarray, at: np.ndarray) -> np.ndarray:
+        pair = left << _PLACE | right
+        found = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
+        return np.where((left >= 0) & (right >= 0) & (keys[found] == pair), ranks[found] << _PLACE | at, _NONE)
+
+    tree = np.full((m, 2 * width), _NONE, np.int64)
+    tree[:, width:] = leaves(symbols[:, :-1], symbols[:, 1:], np.arange(width))
+    level = width // 2
+    while level:
+        tree[:, level : 2 * level] = np.minimum(tree[:, 2 * level : 4 * level : 2], tree[:, 2 * level + 1 : 4 * level : 2])
+        level //= 2
+    rows = np.flatnonzero(tree[:, 1] != _NONE)
+    ends, tree, symbols = lengths[rows].astype(np.int32), tree.ravel(), symbols.ravel()
+    while len(rows):
+        at, top = rows * wide, rows * (2 * width)  # where a row begins
+        root = tree[top + 1]
+        i = root & ((1 << _PLACE) - 1)
+        gone = after[at + i]
+        right = after[at + gone]
+        right = np.where(right < ends, right, width)
+        new = made[root >> _PLACE]
+        symbols[at + i] = new
+        symbols[at + gone] = -1
+        after[at + i] = right
+        before[at + right] = i
+        prior = before[at + i]
+        tree[top + width + gone] = _NONE
+        tree[top + width + i] = leaves(new, symbols[at + right], i)
+        has = np.flatnonzero(prior >= 0)
+        p = prior[has]
+        tree[top[has] + width + p] = leaves(symbols[at[has] + p], new[has], p)
+        nodes = [width + gone, width + i, width + np.maximum(prior, 0)]
+        for _ in range(width.bit_length() - 1):
+            for k in range(3):
+                below = top + (nodes[k] & ~1)
+                nodes[k] = nodes[k] >> 1
+                tree[top + nodes[k]] = np.minimum(tree[below], tree[below + 1])
+        left = tree[top + 1] != _NONE
+        rows, ends = rows[left], ends[left]
+    return symbols.reshape(m, wide)[:, :-1]
+
+
 class Bpe:
     """A byte-level BPE file: its merges, its ids' bytes and its splitter."""
 
@@ -98,44 +157,72 @@ class Bpe:
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.ranks = {ids[a] << _PLACE | ids[b]: r for r, (a, b) in enumerate(merges)}
         self.made = [ids[a + b] for a, b in merges]
-        self.first = [ids[chr(letter)] for _, letter in sorted(vocab.byte_letters().items())]
+        pairs = sorted(self.ranks.items()) or [(-1, 0)]
+        self.arrays = np.array([p for p, _ in pairs], np.int64), np.array([r for _, r in pairs], np.int64), np.array(self.made, np.int64)
+        self.first = np.array([ids[chr(letter)] for _, letter in sorted(vocab.byte_letters().items())], np.int64)
         letters = {letter: byte for byte, letter in vocab.byte_letters().items()}
         self.bytes = {i: bytes(letters[ord(c)] for c in s) for s, i in ids.items()} | {t["id"]: t["content"].encode() for t in added}
-        self.letters = ids
         self.special = {t["content"]: struct.pack("<I", t["id"]) for t in added}
         self.at_special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if added else None
         self.splitter = vocab.encoder(path).tokenizer.pre_tokenizer
-        self.memo = vocab.Memo(self._pre_token)
-        self.raw_memo = vocab.Memo(lambda raw: self._split(raw.decode("utf-8")))
-
-    def _packed(self, symbols: list[int]) -> bytes:
-        ids = merged(symbols, self.ranks, self.made)
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _pre_token(self, piece: str) -> bytes:
-        first = self.first
-        return self._packed([first[b] for b in piece.encode("utf-8")])
+        self.memo: dict[str, bytes] = dict(self.special)
 
-    def _split(self, text: str) -> bytes:
-        """Packed ids of a text that the file's own splitter cuts."""
-        return b"".join(self._packed([self.letters[c] for c in letters]) for letters, _ in self.splitter.pre_tokenize_str(text))
+    def _split(self, text: str) -> list[str]:
+        """Pre-tokens as the file's own splitter cuts them."""
+        return [text[a:b] for _, (a, b) in self.splitter.pre_tokenize_str(text)]
 
-    def _plain(self, text: str) -> bytes:
-        """Packed ids of a text without special strings."""
+    def pre_tokens(self, text: str) -> list[str]:
+        """Pre-tokens of a text without special strings."""
         pieces = vocab.byte_pieces(text)
         if pieces is None:
             return self._split(text)
-        return b"".join(map((self.memo if pieces and isinstance(pieces[0], str) else self.raw_memo).__getitem__, pieces))
+        return pieces if not pieces or isinstance(pieces[0], str) else [t for raw in pieces for t in self._split(raw.decode("utf-8"))]
 
-    def packed(self, text: str) -> bytes:
-        """All ids of a text, four little-endian bytes each."""
-        if self.at_special is None:
-            return self._plain(text)
+    def parts(self, text: str) -> list[str]:
+        """Pre-tokens and special strings, which no pre-token holds."""
+        if self.at_special is None or not self.at_special.search(text):
+            return self.pre_tokens(text)
         out, at = [], 0
         for m in self.at_special.finditer(text):
-            out += [self._plain(text[at : m.start()]), self.special[m[0]]]
+            out += [*self.pre_tokens(text[at : m.start()]), m[0]]
             at = m.end()
-        return self._plain(text) if not at else b"".join([*out, self._plain(text[at:])])
+        return out + self.pre_tokens(text[at:])
+
+    def learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """Packed ids of pre-tokens: short ones together by their width, long ones each."""
+        out: dict[str, bytes] = {}
+        by_width: dict[int, list[tuple[str, bytes]]] = {}
+        for p in pieces:
+            raw = p.encode("utf-8")
+            if len(raw) > LONG:
+                ids = merged(self.first[np.frombuffer(raw, np.uint8)].tolist(), self.ranks, self.made)
+                out[p] = struct.pack(f"<{len(ids)}I", *ids)
+            else:
+                by_width.setdefault(1 << max(1, (len(raw) - 1).bit_length()), []).append((p, raw))
+        for width, each in by_width.items():
+            lengths = np.array([len(raw) for _, raw in each])
+            inside = np.arange(width) < lengths[:, None]
+            symbols = np.full((len(each), width), -1, np.int64)
+            symbols[inside] = self.first[np.frombuffer(b"".join(raw for _, raw in each), np.uint8)]
+            found = merged_many(symbols, lengths, *self.arrays)
+            held = found >= 0
+            ends = [0, *(np.cumsum(held.sum(axis=1)) * 4).tolist()]
+            flat = found[held].astype("<u4").tobytes()
+            out |= {p: flat[a:b] for (p, _), a, b in zip(each, ends, ends[1:], strict=False)}
+        return out
+
+    def packed(self, texts: list[str]) -> list[bytes]:
+        """All ids of each text, four little-endian bytes each."""
+        cut = [self.parts(t) for t in texts]
+        pieces = set().union(*cut)
+        new = pieces - self.memo.keys()
+        if len(self.memo) + len(new) > MEMO:
+            self.memo = dict(self.special)
+            new = pieces - self.memo.keys()
+        long = {p for p in new if len(p) * 4 > LONG and len(p.encode("utf-8")) > LONG}
+        self.memo |= self.learn(new - long)
+        known = ChainMap(self.learn(long), self.memo) if long else self.memo
+        return [b"".join(map(known.__getitem__, parts)) for parts in cut]
 
     def text(self, ids: list[int | None]) -> str:
         of = self.bytes.get
@@ -161,7 +248,7 @@ def encoded(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                rows = [packed(t or "") for t in part.column(1).to_pylist()]
+                rows = packed([t or "" for t in part.column(1).to_pylist()])
                 ends = np.concatenate([[0], np.cumsum([len(r) // 4 for r in rows])])
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(rows), "<i4")))
                 yield pa.RecordBatch.from_arrays([part.column(0), ids], ["doc_id", "ids"])
