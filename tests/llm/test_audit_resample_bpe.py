@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -222,6 +223,31 @@ def test_odd_rows_are_coded_and_read_back(spark, odd, none):
     assert got == {1: ("kept", "The<|endoftext|>"), 2: (None, ""), 3: ("x", "")}
 
 
+def test_pre_tokens_that_are_met_often_are_merged_once(library, monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO", 60)
+    own, rng, learned = bpe.Bpe(vocab.default_path(bpe.FILE)), random.Random(4), Counter()
+    learn = own.learn
+    monkeypatch.setattr(own, "learn", lambda pieces: learned.update(pieces) or learn(pieces))
+    for _ in range(200):
+        text = "the same words and " + " ".join("".join(rng.choices("abcdefghij", k=9)) for _ in range(8))
+        assert np.frombuffer(own.packed([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+        assert len(own.memo) <= 60
+    assert learned.total() > 1000 and {p: learned[p] for p in ("the", " same", " words", " and")} == {"the": 1, " same": 1, " words": 1, " and": 1}
+    assert len(own.last) <= 60
+
+
+def test_rows_of_ids_decode_side_by_side(library):
+    own, rng = bpe.bpe(vocab.default_path(bpe.FILE)), random.Random(6)
+    whole = [library.encode(t, add_special_tokens=False).ids for t in odd_texts(200)]
+    torn = [[rng.randrange(50_257) for _ in range(rng.randint(0, 9))] for _ in range(200)]  # bytes that are no UTF-8 beside others that are
+    for rows in (whole, torn, [], [[]], [None, [], None]):
+        want = [library.decode(r or [], skip_special_tokens=False) for r in rows]
+        odd = [r and [10**6, None, -1, *r] for r in rows]  # ids that stand for nothing
+        for kind in (pa.int32(), pa.int64()):
+            assert own.texts(pa.array(rows, pa.list_(kind))).to_pylist() == own.texts(pa.array(odd, pa.list_(kind))).to_pylist() == want
+            assert own.texts(pa.array(odd, pa.list_(kind)).slice(3, 50)).to_pylist() == want[3:53]
+
+
 def test_other_files_are_refused_or_encoded_whole(tmp_path):
     with pytest.raises(ValueError, match="byte-level"):
         bpe.Bpe(vocab.default_path("word_bpe_49k.json"))

@@ -5,7 +5,8 @@ byte, and a segment tree holds (rank, place) of every adjacent pair that can be
 is the leftmost pair of lowest rank. That pair is merged, the pairs beside it are put into the
 tree anew, each in logarithmic time, and so on until the root is empty. Short pre-tokens of a batch of texts have
 their trees side by side in an array, and merge together; a long one has a tree to itself. Pre-tokens' ids are
-memorised. Decoding joins the bytes of the ids and reads them as UTF-8.
+memorised in two generations, so those that are met often stay. Decoding takes the bytes of all ids of a batch of
+rows side by side, as Arrow does, and reads each row's as UTF-8.
 
 Files of another kind (no byte-level splitter, a normaliser, word ends, dropout, …) are refused.
 
@@ -26,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -37,7 +39,7 @@ FILE = "byte_bpe_50k.json"
 ROWS = 256
 #: Bytes of the longest pre-token that is merged together with others, and memorised.
 LONG = 64
-#: Pre-tokens that a process memorises before it begins anew, about 200 bytes each.
+#: Pre-tokens of a generation of a process's memo, about 200 bytes each; one that is met again passes from the last generation to the present one.
 MEMO = 400_000
 _PLACE = 32
 _NONE = 1 << 62
@@ -161,11 +163,14 @@ class Bpe:
         self.arrays = np.array([p for p, _ in pairs], np.int64), np.array([r for _, r in pairs], np.int64), np.array(self.made, np.int64)
         self.first = np.array([ids[chr(letter)] for _, letter in sorted(vocab.byte_letters().items())], np.int64)
         letters = {letter: byte for byte, letter in vocab.byte_letters().items()}
-        self.bytes = {i: bytes(letters[ord(c)] for c in s) for s, i in ids.items()} | {t["id"]: t["content"].encode() for t in added}
+        said = {i: bytes(letters[ord(c)] for c in s) for s, i in ids.items()} | {t["id"]: t["content"].encode() for t in added}
+        self.nothing = max(said) + 1
+        self.bytes = pa.array([said.get(i, b"") for i in range(self.nothing + 1)], pa.large_binary())
         self.special = {t["content"]: struct.pack("<I", t["id"]) for t in added}
         self.at_special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if added else None
         self.splitter = vocab.encoder(path).tokenizer.pre_tokenizer
         self.memo: dict[str, bytes] = dict(self.special)
+        self.last: dict[str, bytes] = {}
 
     def _split(self, text: str) -> list[str]:
         """Pre-tokens as the file's own splitter cuts them."""
@@ -215,18 +220,33 @@ class Bpe:
         """All ids of each text, four little-endian bytes each."""
         cut = [self.parts(t) for t in texts]
         pieces = set().union(*cut)
-        new = pieces - self.memo.keys()
+        new = pieces.difference(self.memo)
         if len(self.memo) + len(new) > MEMO:
-            self.memo = dict(self.special)
-            new = pieces - self.memo.keys()
+            self.memo, self.last = dict(self.special), self.memo
+            new = pieces.difference(self.memo)
+        met = {p: self.last[p] for p in new if p in self.last}
+        new.difference_update(met)
         long = {p for p in new if len(p) * 4 > LONG and len(p.encode("utf-8")) > LONG}
+        self.memo |= met
         self.memo |= self.learn(new - long)
         known = ChainMap(self.learn(long), self.memo) if long else self.memo
         return [b"".join(map(known.__getitem__, parts)) for parts in cut]
 
+    def texts(self, ids: pa.ListArray) -> pa.StringArray:
+        """The text of each row's ids."""
+        flat = ids.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
+        taken = self.bytes.take(pa.array(np.where((flat >= 0) & (flat < self.nothing), flat, self.nothing)))
+        lengths = pc.list_value_length(ids).fill_null(0).to_numpy(zero_copy_only=False)
+        after = np.concatenate([[0], np.cumsum(pc.binary_length(taken).to_numpy(zero_copy_only=False))])
+        ends = after[np.concatenate([[0], np.cumsum(lengths)])]
+        rows = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(ends), taken.buffers()[2]])
+        try:
+            return rows.cast(pa.string())
+        except pa.ArrowInvalid:  # some row's bytes are no UTF-8
+            return pa.array([raw.decode("utf-8", "replace") for raw in rows.to_pylist()], pa.string())
+
     def text(self, ids: list[int | None]) -> str:
-        of = self.bytes.get
-        return b"".join([of(i, b"") for i in ids]).decode("utf-8", "replace")
+        return self.texts(pa.array([ids], pa.list_(pa.int64())))[0].as_py()
 
 
 _LOADED: dict[str, Bpe] = {}
@@ -261,11 +281,10 @@ def decoded(rows: DataFrame, tokenizer: str | None = None, ids: str = "ids", tex
     path, at_ids = tokenizer or vocab.default_path(FILE), rows.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = bpe(path).text
+        read = bpe(path).texts
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                texts = [read(x or []) for x in part.column(at_ids).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, text])
+                yield pa.RecordBatch.from_arrays([*part.columns, read(part.column(at_ids))], [*part.schema.names, text])
 
     return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(text, StringType())]))
