@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from tidewell.llm import vocab
 from tidewell.llm.names import unused
 from tidewell.session import written
 
@@ -264,6 +265,7 @@ def language_id(docs: DataFrame, model: ByteGru | None = None, fit: dict | None
         model = train(training_sample(docs), **(fit or {}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab.forget()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
@@ -301,6 +303,7 @@ def known_language(docs: DataFrame, keep: list[str] | None = None, model: ByteGr
     at_text = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab.forget()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)

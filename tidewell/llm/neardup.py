@@ -32,10 +32,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm import shingles
+from tidewell.llm import shingles, vocab
 from tidewell.llm.names import unused
 from tidewell.session import stored, written
 
@@ -67,9 +68,8 @@ def encoded(texts: list[str | None]) -> list[bytes]:
     return [(t or "").encode("utf-8", "surrogatepass") for t in texts]
 
 
-def runs(column: pa.Array, most: int = 300_000) -> Iterator[tuple[int, int]]:
-    """Cuts a batch so that each part holds about ``most`` characters at most, or one text."""
-    lengths = [len(x) if x else 0 for x in column.to_pylist()]
+def runs(lengths: list[int], most: int = 300_000) -> Iterator[tuple[int, int]]:
+    """Cuts texts of these lengths so that each part holds about ``most`` characters at most, or one text."""
     low, held = 0, 0
     for i, n in enumerate(lengths):
         if held and held + n > most:
@@ -80,6 +80,11 @@ def runs(column: pa.Array, most: int = 300_000) -> Iterator[tuple[int, int]]:
         yield low, len(lengths)
 
 
+def sets_of(texts: list[str]) -> list[np.ndarray]:
+    """shingle_sets(), part by part: its arrays, dozens of bytes a character, do not grow with the texts given at once."""
+    return [s for low, high in runs([len(t) for t in texts]) for s in shingles.shingle_sets(encoded(texts[low:high]))]
+
+
 def tokens(sets: list[np.ndarray]) -> np.ndarray:
     """Minwise tokens (sets, COORDS); the sets are not empty."""
     flat = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
@@ -99,8 +104,9 @@ def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, version (a hash of the text), n_shingles, digest of the set, the trees' root tokens and a byte of each token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab.forget()
         for batch in batches:
-            for low, high in runs(batch.column(2)):
+            for low, high in runs(pc.fill_null(pc.utf8_length(batch.column(2)), 0).to_pylist()):
                 part = batch.slice(low, high - low)
                 sets = shingles.shingle_sets(encoded(part.column(2).to_pylist()))
                 full = [i for i, s in enumerate(sets) if len(s)]
@@ -171,6 +177,7 @@ def compare_nodes(rows: DataFrame) -> DataFrame:
             c.extend(v)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab.forget()
         held: tuple[int, list, list] | None = None
         for batch in batches:
             if not batch.num_rows:
@@ -275,6 +282,7 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets are at the threshold; texts: cid, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab.forget()
         recent: dict[int, np.ndarray] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
@@ -286,7 +294,7 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                             new[i] = t
                 if len(recent) > 512:
                     recent = {i: recent[i] for c in (0, 1) for i in part.column(c).to_pylist() if i in recent}
-                recent |= dict(zip(new, shingles.shingle_sets(encoded(list(new.values()))), strict=True)) if new else {}
+                recent |= dict(zip(new, sets_of(list(new.values())), strict=True))
                 a, b = part.column(0).to_pylist(), part.column(1).to_pylist()
                 good = [k for k in range(len(a)) if shingles.linked(recent[a[k]], recent[b[k]], PERCENT)]
                 yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in good], pa.int64()), pa.array([b[k] for k in good], pa.int64())], ["a", "b"])
@@ -392,7 +400,7 @@ def settled(dense: DataFrame, labels: DataFrame, n_labels: int, texts: DataFrame
         rows, sets, out = list(once.values()), Union(), []
         place = {c: k for k, c in enumerate(once)}
         ids, x = np.array([r[1] for r in rows]), np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(-1, COORDS)
-        full = [s for at in range(0, len(rows), 64) for s in shingles.shingle_sets(encoded([r[4] for r in rows[at : at + 64]]))]
+        full = sets_of([r[4] for r in rows])
         members = np.array(sorted({place[h[1]] for h in held if not h[0]}), np.int64)
         labels = np.array([r[2] for r in rows])
         asked = sorted({place[h[1]] for h in held if h[0]})
@@ -415,6 +423,7 @@ def settled(dense: DataFrame, labels: DataFrame, n_labels: int, texts: DataFrame
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab.forget()
         block, held = None, []
 
         def found() -> pa.RecordBatch:
