@@ -62,3 +62,15 @@ def test_odd_texts(spark):
     assert [s for _, s, *_ in D.cut_file("export default class { a() {} }")] == [["anonymous", "a"]]
     rows = D.declarations(spark.createDataFrame([("a", SMALL), ("b", None), ("c", "")], "path string, content string")).orderBy("chunk").collect()
     assert len(rows) == 8 and rows[0].imports == ["./a", "./side"] and rows[1].imports is None
+
+
+def test_long_bodies_and_depths():
+    body = "  if (a[0]) { b('}') }\n" * 400
+    got = D.cut_file(f"const a = {{ b: [1, (2)] }}\nfunction f() {{\n{body}}}\nfunction g() {{ }}\nconst h = () => {{\n{body}")
+    assert [(k, s, a, b) for k, s, a, b, _ in got] == [("function", ["f"], 2, 403), ("function", ["g"], 404, 404), ("variable", ["h"], 405, 805)]
+
+
+def test_files_of_a_small_table_are_cut_by_many_tasks(spark):
+    from tidewell.plans.code import k8_declarations
+
+    assert k8_declarations(spark, "/root/testdata/sf0.01").rdd.getNumPartitions() >= 3
