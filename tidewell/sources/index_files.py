@@ -6,7 +6,12 @@ symbol 2, roles 3), SymbolInformation (symbol 1, relationships 4), Relationship
 
 from __future__ import annotations
 
+import io
+import re
+import tempfile
 from collections.abc import Iterator
+from itertools import groupby
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +23,8 @@ PATH, OCCURRENCES, SYMBOLS = 1, 2, 3
 RANGE, SYMBOL, ROLES = 1, 2, 3
 NAME, RELATIONSHIPS = 1, 4
 TARGET, IMPLEMENTATION, TYPE_DEFINITION = 1, 3, 4
+#: Rows of a batch that is read, and documents of one that is written.
+BATCH_ROWS, BATCH_DOCUMENTS = 10_000, 128
 ROWS = "index string, kind string, file string, seq long, symbol string, line long, roles int, target string, implements boolean, type_of boolean"
 
 
@@ -70,53 +77,119 @@ def _relations(data: memoryview) -> Iterator[tuple[str, str, bool, bool]]:
     return ((name, *r) for r in found)
 
 
-def rows_of(index: str, data: bytes) -> list[tuple]:
-    """An index file's occurrences and relationships, as rows of ROWS; external symbols have no file."""
+def document_rows(index: str, number: int, value: memoryview) -> list[tuple]:
+    """One top-level message's occurrences and relationships, as rows of ROWS; external symbols have no file."""
+    if number == EXTERNAL:
+        return [(index, "relation", None, None, s, None, None, t, i, d) for s, t, i, d in _relations(value)]
     out: list[tuple] = []
-    for number, value in fields(memoryview(data)):
-        if number == EXTERNAL:
-            out += [(index, "relation", None, None, s, None, None, t, i, d) for s, t, i, d in _relations(value)]
-        elif number == DOCUMENTS:
-            path, inside = "", list(fields(value))
-            path = next((_text(v) for n, v in inside if n == PATH), "")
-            seq = 0
-            for n, v in inside:
-                if n == OCCURRENCES:
-                    symbol, line, roles = "", 0, 0
-                    for k, x in fields(v):
-                        if k == SYMBOL:
-                            symbol = _text(x)
-                        elif k == ROLES:
-                            roles = x
-                        elif k == RANGE and not isinstance(x, int) and len(x):
-                            line = varint(x, 0)[0]
-                    out.append((index, "occurrence", path, seq, symbol, line, roles, None, None, None))
-                    seq += 1
-                elif n == SYMBOLS:
-                    out += [(index, "relation", path, None, s, None, None, t, i, d) for s, t, i, d in _relations(v)]
+    inside = list(fields(value))
+    path = next((_text(v) for n, v in inside if n == PATH), "")
+    seq = 0
+    for n, v in inside:
+        if n == OCCURRENCES:
+            symbol, line, roles = "", 0, 0
+            for k, x in fields(v):
+                if k == SYMBOL:
+                    symbol = _text(x)
+                elif k == ROLES:
+                    roles = x
+                elif k == RANGE and not isinstance(x, int) and len(x):
+                    line = varint(x, 0)[0]
+            out.append((index, "occurrence", path, seq, symbol, line, roles, None, None, None))
+            seq += 1
+        elif n == SYMBOLS:
+            out += [(index, "relation", path, None, s, None, None, t, i, d) for s, t, i, d in _relations(v)]
     return out
 
 
+def messages(source: BinaryIO) -> Iterator[tuple[int, memoryview]]:
+    """(field number, bytes) of a file's documents and external symbols, each read when it is asked for; what else the file has is passed over."""
+
+    def taken(n: int) -> bytes:
+        data = source.read(n)
+        if len(data) < n:
+            raise ValueError("the message is cut off")
+        return data
+
+    def number(data: bytes) -> int:
+        while data[-1] > 127:
+            data += taken(1)
+        return varint(memoryview(data), 0)[0]
+
+    while head := source.read(1):
+        tag = number(head)
+        kind = tag & 7
+        if kind == 0:
+            number(taken(1))
+        elif kind in (1, 5):
+            taken(8 if kind == 1 else 4)
+        elif kind != 2:
+            raise ValueError(f"wire type {kind}")
+        elif tag >> 3 in (DOCUMENTS, EXTERNAL):
+            yield tag >> 3, memoryview(taken(number(taken(1))))
+        else:
+            left = number(taken(1))
+            while left:
+                left -= len(taken(min(left, 1 << 20)))
+
+
+def _opened(path: str) -> BinaryIO:
+    from pyarrow import fs
+
+    store, at = fs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", path))
+    return store.open_input_stream(at, buffer_size=1 << 20)
+
+
 def read_index(spark: SparkSession, root: str) -> DataFrame:
     """All index files below root as ROWS: kind is ``occurrence`` (file, seq, symbol, line, roles) or ``relation`` (file, symbol, target, implements, type_of).
 
-    A task reads a share of the files, one file's bytes at a time. A file that is cut off, or no such message, is one row of kind ``broken``.
+    A task reads a share of the files, a document at a time; its rows wait in a temporary file of its own until the file is known to be whole. A file that is cut off, or no such message, is one row
+    of kind ``broken``. Files of a store that Arrow can't open come through Spark's reader, each whole.
     """
     types = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.string(), pa.bool_(), pa.bool_())
     names = [f.split()[0] for f in ROWS.split(", ")]
+    schema = pa.schema(list(zip(names, types, strict=True)))
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [[]] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], schema=schema)
+
+    def parsed(path: str, source: BinaryIO, kept: BinaryIO) -> None:
+        rows: list[tuple] = []
+        with pa.ipc.new_stream(kept, schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            for number, value in messages(source):
+                rows += document_rows(path, number, value)
+                if len(rows) >= BATCH_ROWS:
+                    for at in range(0, len(rows), BATCH_ROWS):
+                        out.write_batch(batch_of(rows[at : at + BATCH_ROWS]))
+                    rows = []
+            out.write_batch(batch_of(rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                try:
-                    rows = rows_of(path, data.as_py())
-                except (ValueError, IndexError, TypeError, AttributeError):
-                    rows = [(path, "broken", *[None] * 8)]
-                columns = list(zip(*rows, strict=True)) or [[]] * len(names)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+            for n, path in enumerate(batch.column(0).to_pylist()):
+                with _opened(path) if batch.num_columns == 1 else io.BytesIO(batch.column(1)[n].as_py()) as source, tempfile.TemporaryFile() as kept:
+                    try:
+                        parsed(path, source, kept)
+                    except (ValueError, IndexError, TypeError, AttributeError):
+                        yield batch_of([(path, "broken", *[None] * 8)])
+                        continue
+                    kept.seek(0)
+                    with pa.ipc.open_stream(kept) as rows:
+                        yield from rows
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.scip").load(root)
-    return files.select("path", "content").mapInArrow(run, ROWS)
+    return files.select("path", *([] if _reachable(root) else ["content"])).mapInArrow(run, ROWS)
+
+
+def _reachable(root: str) -> bool:
+    """Whether Arrow opens what is below root."""
+    from pyarrow import fs
+
+    try:
+        return bool(fs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", root)))
+    except (ValueError, OSError, NotImplementedError):
+        return False
 
 
 def _number(value: int) -> bytes:
@@ -145,20 +218,37 @@ def document_bytes(path: str, occurrences: list, relations: list) -> bytes:
 def write_index(documents: DataFrame, root: str) -> int:
     """Write documents (index, file, occurrences array<struct<symbol,line,roles>>, relations array<struct<symbol,target,implements,type_of>>) as ``<root>/<index>.scip``, and say how many files.
 
-    An index's documents must fit a task. A file that a lost task has begun is written anew.
+    Documents are written one after another in the order of their files, so a task holds few of them, however many an index has. A file that a lost task has begun is written anew.
     """
     from pyarrow import fs
 
     store, base = fs.FileSystem.from_uri(root)
     store.create_dir(base, recursive=True)
 
-    def write(key: tuple, table: pa.Table) -> pa.Table:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in range(0, batch.num_rows, 16):
+                part = batch.slice(n, 16)
+                bodies = [
+                    _field(DOCUMENTS, document_bytes(row["file"], [(o["symbol"], o["line"], o["roles"]) for o in row["occurrences"] or []], [(r["symbol"], r["target"], r["implements"], r["type_of"]) for r in row["relations"] or []]))
+                    for row in part.to_pylist()
+                ]
+                yield pa.RecordBatch.from_arrays([part.column("index"), part.column("file"), pa.array(bodies, pa.binary())], ["index", "file", "body"])
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, below = fs.FileSystem.from_uri(root)
-        name = f"{key[0].as_py()}.scip"
-        with at.open_output_stream(f"{below}/{name}") as f:
-            for row in table.sort_by("file").to_pylist():
-                body = document_bytes(row["file"], [(o["symbol"], o["line"], o["roles"]) for o in row["occurrences"] or []], [(r["symbol"], r["target"], r["implements"], r["type_of"]) for r in row["relations"] or []])
-                f.write(_field(DOCUMENTS, body))
-        return pa.table({"name": [name]})
-
-    return documents.groupBy("index").applyInArrow(write, "name string").select("name").agg(F.count("*")).first()[0]
+        rows = ((i, body) for batch in batches for i, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True))
+        for index, own in groupby(rows, lambda row: row[0]):
+            with at.open_output_stream(f"{below}/{index}.scip") as f:
+                for _, body in own:
+                    f.write(body.as_buffer())
+            yield pa.RecordBatch.from_arrays([pa.array([f"{index}.scip"])], ["name"])
+
+    few = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = documents.sparkSession.conf.get(few)
+    documents.sparkSession.conf.set(few, str(BATCH_DOCUMENTS))
+    try:
+        encoded = documents.select(F.col("index").cast("string").alias("index"), "file", "occurrences", "relations").mapInArrow(encode, "index string, file string, body binary")
+        return encoded.repartition("index").sortWithinPartitions("index", "file").select("index", "body").mapInArrow(write, "name string").agg(F.count("*")).first()[0]
+    finally:
+        documents.sparkSession.conf.set(few, before)
